@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, substring_dedup, suffix_dedup, token_counts
+from . import langid, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_language_id": langid.op7_language_id,
+    "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }

@@ -200,18 +200,34 @@ def links(classes: Classes) -> DataFrame:
     return found.union(classes.confirmed(across))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, class, root for each row; root names its component (null for an empty set)."""
     classes = Classes(docs)
-    roots = components(links(classes)).withColumnRenamed("node", "class")
+    roots = common.settled(components(links(classes)).withColumnRenamed("node", "class"), "roots")
     rows = classes.own.select("doc_id", "key").join(classes.sketched.select("key", "n_shingles", "class").distinct(), "key")
-    placed = rows.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    some = placed.where("n_shingles > 0")
-    named = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(named, "root").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "class"))
+    return rows.join(roots, "class", "left").select("doc_id", "key", "n_shingles", root.alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    rows = common.settled(placed(docs), "placed")
+    named = common.settled(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
+    out = rows.where("root is not null").join(named, "root").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id; documents with empty sets stay. Rows that
+    are equal in doc_id and text collapse to one. All columns stay."""
+    rows = placed(docs)
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    keep = first.select(F.col("best.key").alias("__row_key")).union(rows.where("root is null").select(F.col("key").alias("__row_key")).distinct())
+    keep = common.settled(keep, "representatives")
+    own = common.row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    return docs.withColumn("__row_key", own).join(keep, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
+
+
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_language_id": langid.op7_language_id,

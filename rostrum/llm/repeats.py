@@ -2,17 +2,16 @@
 
 Every window of a fixed length is filed under one of its interior symbols, its anchor, which depends on the window's
 content alone; neighbouring windows mostly share an anchor, so a text of n tokens has far fewer anchors than windows.
-
-1. Anchors. Tasks send 40-bit names of anchors, a row for each bucket, and learn which occur again (`_send_names`,
-   `_judge_names`). A name that repeats inside a batch of documents is sent once, so no name has more entries than there
-   are batches, however often it occurs.
-2. Windows. Only documents with such anchors are looked at again; the windows under them are sent by the anchor's full
-   name, each run of windows that share an anchor as one row, and equal runs of a batch once (`_send_windows`). Tasks sort
-   them by name and content; equal groups are the repeated windows (`_judge_windows`).
+Neighbouring windows under one anchor form a unit.
+
+1. Anchors. Tasks send 40-bit digests of anchors and units, a row for each bucket, and learn the fate of each unit
+   (`_send_names`, `_judge_names`): its anchor stands nowhere else; an equal unit elsewhere decides it (gone); or units
+   of other content share its anchor, so that its windows have to be looked at (open). Of equal units in a batch one is
+   sent, and of equal units in the corpus one stays open, so a frequent passage has no more entries than there are
+   batches, and one in the next step.
+2. Windows. Open units send their windows by the anchor's full name (`_send_windows`); tasks sort them by name and
+   content; equal groups are the repeated windows (`_judge_windows`).
 3. What each document loses is gathered by its row key and joined to the text.
-
-No step brings all of a frequent window's places together: equal runs are settled within their batch and only one of
-them travels on.
 """
 
 from __future__ import annotations
@@ -91,12 +90,24 @@ def _slices(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
     return zip(starts.tolist(), [*starts[1:].tolist(), n][: len(starts)], strict=True)
 
 
-NAMES = "route int, kind int, keys binary, counts binary, names binary, again binary"
+NAMES = "route int, kind int, keys binary, docs binary, counts binary, names binary, units binary, again binary"
+#: Fates of a unit, as bits.
+GONE, OPEN = 1, 2
+
+
+def _names_batch(route, kind, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(kind, pa.int32()), *map(common.binary_column, columns)], ["route", "kind", "keys", "docs", "counts", "names", "units", "again"])
+
 
+def _units(found: Runs) -> np.ndarray:
+    """Digest of a run's content: its first and last window overlap or touch the anchor, and so hold all of it."""
+    first, last = found.hashes[found.at], found.hashes[found.at + found.count - 1]
+    return hashing.mixed(found.name + hashing.mixed(first + hashing.mixed(last + found.count.astype(np.uint64))))
 
-def _names_batch(route, kind, keys, counts, names, again) -> pa.RecordBatch:
-    b = common.binary_column
-    return pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(kind, pa.int32()), b(keys), b(counts), b(names), b(again)], ["route", "kind", "keys", "counts", "names", "again"])
+
+def _fates(units: np.ndarray, fate: np.ndarray) -> np.ndarray:
+    """Rows of six bytes: the unit's digest and its fate."""
+    return np.concatenate([_five(units), fate.astype(np.uint8)[:, None]], axis=1)
 
 
 def _send_names(scheme: Scheme, buckets: int):
@@ -104,36 +115,46 @@ def _send_names(scheme: Scheme, buckets: int):
         for batch in batches:
             offsets, data = common.text_buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
-            names, rows = [], []
+            docs = batch.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False)
+            names, units, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for a, b in common.chunks(offsets):
                 found = runs_of(scheme, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 names.append(found.name)
+                units.append(_units(found))
                 rows.append(found.doc + a)
-            name, row = np.concatenate(names or [np.zeros(0, np.uint64)]), np.concatenate(rows or [np.zeros(0, np.int64)])
+            name, unit, row = map(np.concatenate, (names, units, rows))
             if not len(name):
                 continue
-            order = np.argsort(name, kind="stable")
-            name, row = name[order], row[order]
-            at = _groups(name)
-            count = np.diff(np.r_[at, len(name)])
-            again = count > 1 if scheme.anywhere else row[at] != row[at + count - 1]
-            # Places of names that this batch already knows to repeat need no answer.
-            known = np.repeat(again, count)
-            r, n = row[known], name[known]
+            order = np.lexsort((docs[row], unit))
+            name, unit, row = name[order], unit[order], row[order]
+            doc = docs[row]
+            at = _groups(unit)
+            count = np.diff(np.r_[at, len(unit)])
+            if scheme.anywhere:
+                gone, again = np.repeat(count > 1, count), count > 1
+                travels = np.zeros(len(unit), bool)
+                travels[at] = True
+            else:
+                gone, again = doc > np.repeat(doc[at], count), doc[at + count - 1] > doc[at]
+                travels = ~gone & np.r_[True, (unit[1:] != unit[:-1]) | (row[1:] != row[:-1])]
+            again = np.repeat(again, count)
+            # What this batch settles needs no answer.
+            r, fate = row[gone], _fates(unit[gone], np.full(int(gone.sum()), GONE))
             order = np.argsort(r, kind="stable")
-            r, n5 = r[order], _five(n[order])
+            r, fate = r[order], fate[order]
             told = _groups(r)
-            doc_keys = keys[r[told]]
-            yield _names_batch(doc_keys % buckets, np.ones(len(told), int), [common.packed(k) for k in doc_keys], [b""] * len(told), [n5[i:j].tobytes() for i, j in _slices(told, len(r))], [b""] * len(told))
-            n, r = name[at], row[at]
-            bucket = ((n >> U(40)) % U(buckets)).astype(np.int64)
-            order = np.lexsort((r, bucket))
-            n5, r, bucket, again = _five(n[order]), r[order], bucket[order], again[order]
+            doc_keys, none = keys[r[told]], [b""] * len(told)
+            yield _names_batch(doc_keys % buckets, np.ones(len(told), int), [common.packed(k) for k in doc_keys], none, none, none, [fate[i:j].tobytes() for i, j in _slices(told, len(r))], none)
+            name, unit, row, again = name[travels], unit[travels], row[travels], again[travels]
+            bucket = ((name >> U(40)) % U(buckets)).astype(np.int64)
+            order = np.lexsort((row, bucket))
+            n5, u5, r, bucket, again = _five(name[order]), _five(unit[order]), row[order], bucket[order], again[order]
             parts = list(_slices(_groups(bucket), len(bucket)))
-            docs = [_groups(r[i:j]) for i, j in parts]
+            firsts = [_groups(r[i:j]) for i, j in parts]
+            each = list(zip(parts, firsts, strict=True))
             yield _names_batch(
-                bucket[[i for i, _ in parts]], np.zeros(len(parts), int), [common.packed(keys[r[i:j][d]]) for (i, j), d in zip(parts, docs, strict=True)],
-                [common.packed(np.diff(np.r_[d, j - i]).astype(np.int32)) for (i, j), d in zip(parts, docs, strict=True)], [n5[i:j].tobytes() for i, j in parts], [common.packed(again[i:j]) for i, j in parts],
+                bucket[[i for i, _ in parts]], np.zeros(len(parts), int), [common.packed(keys[r[i:j][d]]) for (i, j), d in each], [common.packed(docs[r[i:j][d]]) for (i, j), d in each],
+                [common.packed(np.diff(np.r_[d, j - i]).astype(np.int32)) for (i, j), d in each], [n5[i:j].tobytes() for i, j in parts], [u5[i:j].tobytes() for i, j in parts], [common.packed(again[i:j]) for i, j in parts],
             )
 
     return run
@@ -141,35 +162,43 @@ def _send_names(scheme: Scheme, buckets: int):
 
 def _judge_names(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, owners, flags = [], [], []
+        parts: list[tuple] = []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
-            told = pa.array(kind == 1)
-            ready = batch.filter(told)
+            ready = batch.filter(pa.array(kind == 1))
             if ready.num_rows:
                 keys = np.frombuffer(b"".join(ready.column("keys").to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), ready.column("names")], ["key", "names"])
-            for i in np.flatnonzero(kind == 0).tolist():
-                name = _from_five(batch.column("names")[i].as_py())
-                ids.append(name | (U(batch.column("route")[i].as_py()) << U(40)))
-                owners.append(np.repeat(np.frombuffer(batch.column("keys")[i].as_py(), np.int64), np.frombuffer(batch.column("counts")[i].as_py(), np.int32)))
-                flags.append(np.frombuffer(batch.column("again")[i].as_py(), bool))
-        if not ids:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), ready.column("units")], ["key", "fates"])
+            for row in batch.filter(pa.array(kind == 0)).to_pylist():
+                counts = np.frombuffer(row["counts"], np.int32)
+                key, doc = (np.repeat(np.frombuffer(row[c], np.int64), counts) for c in ("keys", "docs"))
+                parts.append((_from_five(row["names"]) | (U(row["route"]) << U(40)), _from_five(row["units"]), key, doc, np.frombuffer(row["again"], bool)))
+        if not parts:
             return
-        name, owner, again = np.concatenate(ids), np.concatenate(owners), np.concatenate(flags)
-        del ids, owners, flags
-        order = np.argsort(name, kind="stable")
-        name, owner, again = name[order], owner[order], again[order]
-        at = _groups(name)
-        count = np.diff(np.r_[at, len(name)])
-        kept = np.repeat((count > 1) | np.logical_or.reduceat(again, at), count)
-        name, owner = name[kept], owner[kept]
-        order = np.argsort(owner, kind="stable")
-        owner, n5 = owner[order], _five(name[order])
-        docs = list(_slices(_groups(owner), len(owner)))
+        name, unit, key, doc, again = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        del parts
+        order = np.lexsort((doc, unit, name))
+        name, unit, key, doc, again = name[order], unit[order], key[order], doc[order], again[order]
+        n_at = _groups(name)
+        n_size = np.diff(np.r_[n_at, len(name)])
+        new = np.r_[True, (name[1:] != name[:-1]) | (unit[1:] != unit[:-1])]
+        u_at = np.flatnonzero(new)
+        u_size = np.diff(np.r_[u_at, len(unit)])
+        several = np.add.reduceat(new, n_at) > 1  # units of other content under the anchor
+        if scheme.anywhere:
+            gone = np.repeat((u_size > 1) | np.logical_or.reduceat(again, u_at), u_size)
+            open_ = new & np.repeat(several, n_size)
+        else:
+            several &= (np.minimum.reduceat(doc, n_at) != np.maximum.reduceat(doc, n_at)) | np.logical_or.reduceat(again, n_at)
+            gone = doc > np.repeat(doc[u_at], u_size)
+            open_ = ~gone & np.repeat(several, n_size)
+        told = np.flatnonzero(gone | open_)
+        order = told[np.argsort(key[told], kind="stable")]
+        key, fate = key[order], _fates(unit[order], gone[order] * GONE + open_[order] * OPEN)
+        docs = list(_slices(_groups(key), len(key)))
         for i in range(0, len(docs), 20_000):
             part = docs[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[[a for a, _ in part]]), common.binary_column([n5[a:b].tobytes() for a, b in part])], ["key", "names"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[[a for a, _ in part]]), common.binary_column([fate[a:b].tobytes() for a, b in part])], ["key", "fates"])
 
     return run
 
@@ -196,48 +225,34 @@ def _send_windows(scheme: Scheme):
             offsets, data = common.text_buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             docs = batch.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False)
-            asked = batch.column("names").to_pylist()
-            name, row, start, count, wins = [], [], [], [], []
+            told = batch.column("fates").to_pylist()
             for a, b in common.chunks(offsets):
-                blobs = [b"".join(x) for x in asked[a:b]]
-                wanted = _from_five(b"".join(blobs)) | (np.repeat(np.arange(b - a), [len(x) // 5 for x in blobs]).astype(np.uint64) << U(40))
+                blobs = [b"".join(x) for x in told[a:b]]
+                raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+                # A chunk has fewer than 2**24 documents, so document and unit fit in one number.
+                asked = _from_five(np.ascontiguousarray(raw[:, :5])) | (np.repeat(np.arange(b - a), [len(x) // 6 for x in blobs]).astype(np.uint64) << U(40))
+                order = np.argsort(asked, kind="stable")
+                asked = asked[order]
+                first = _groups(asked)
+                asked, fates = asked[first], np.bitwise_or.reduceat(raw[order, 5], first) if len(first) else raw[:0, 5]
+                if not len(asked):
+                    continue
                 found = runs_of(scheme, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                # A chunk has fewer than 2**24 documents, so row and name fit in one number.
-                hit = np.flatnonzero(np.isin((found.name & LOW40) | (found.doc.astype(np.uint64) << U(40)), wanted))
-                name.append(found.name[hit])
-                row.append(found.doc[hit] + a)
-                start.append(found.start[hit])
-                count.append(found.count[hit])
-                wins.append(found.hashes[hashing.ranges(found.at[hit], found.count[hit])])
-            if not name or not sum(map(len, name)):
-                continue
-            name, row, start, count, wins = map(np.concatenate, (name, row, start, count, wins))
-            at = hashing.starts_of(count)[:-1]
-            whole = hashing.mixed(name + hashing.mixed(wins[at] + hashing.mixed(wins[at + count - 1] + count.astype(np.uint64))))
-            doc = docs[row]
-            order = np.lexsort((doc, whole))
-            first = _groups(whole[order])
-            sizes = np.diff(np.r_[first, len(order)])
-            weight = np.ones(len(order), np.int32)
-            if scheme.anywhere:
-                done = np.repeat(sizes > 1, sizes)
-                travels = np.zeros(len(order), bool)
-                travels[first] = True
-                weight[first] = np.minimum(sizes, 2)
-            else:
-                done = doc[order] > np.repeat(doc[order][first], sizes)
-                travels = ~done
-            sure = order[done]
-            if len(sure):
-                key, blobs = _pairs_by_key(keys[row[sure]], start[sure], count[sure])
-                zero = np.zeros(len(key), np.int64)
-                yield _windows_batch(key, 1, key, zero, zero, zero, zero, blobs)
-            rest, weight = order[travels], weight[travels]
-            five = _five(wins)
-            for i in range(0, len(rest), 20_000):
-                r = rest[i : i + 20_000]
-                blobs = [five[a:b].tobytes() for a, b in zip(at[r].tolist(), (at[r] + count[r]).tolist(), strict=True)]
-                yield _windows_batch(name[r].astype(np.int64), 0, keys[row[r]], doc[r], weight[i : i + 20_000], start[r], count[r], blobs)
+                own = (_units(found) & LOW40) | (found.doc.astype(np.uint64) << U(40))
+                at = np.minimum(np.searchsorted(asked, own), len(asked) - 1)
+                fate = np.where(asked[at] == own, fates[at], 0)
+                sure = np.flatnonzero(fate & GONE)
+                if len(sure):
+                    key, pairs = _pairs_by_key(keys[found.doc[sure] + a], found.start[sure], found.count[sure])
+                    zero = np.zeros(len(key), np.int64)
+                    yield _windows_batch(key, 1, key, zero, zero, zero, zero, pairs)
+                open_ = np.flatnonzero(fate & OPEN)
+                five = _five(found.hashes)
+                for i in range(0, len(open_), 20_000):
+                    r = open_[i : i + 20_000]
+                    data_of = [five[x:y].tobytes() for x, y in zip(found.at[r].tolist(), (found.at[r] + found.count[r]).tolist(), strict=True)]
+                    row = found.doc[r] + a
+                    yield _windows_batch(found.name[r].astype(np.int64), 0, keys[row], docs[row], np.where(fate[r] & GONE, 2, 1), found.start[r], found.count[r], data_of)
 
     return run
 
@@ -288,10 +303,10 @@ def with_repeats(docs: DataFrame, scheme: Scheme) -> DataFrame:
     spark = docs.sparkSession
     parts = common.n_parts(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", common.row_key("doc_id", "text"))
-    names = own.select("key", "text").mapInArrow(_send_names(scheme, parts), NAMES)
-    asked = names.repartition(parts, "route").mapInArrow(_judge_names(scheme), "key long, names binary")
-    asked = asked.groupBy("key").agg(F.collect_list("names").alias("names"))
-    sent = own.join(asked, "key").select("key", "doc_id", "text", "names").mapInArrow(_send_windows(scheme), WINDOWS)
+    names = own.mapInArrow(_send_names(scheme, parts), NAMES)
+    told = names.repartition(parts, "route").mapInArrow(_judge_names(scheme), "key long, fates binary")
+    told = told.groupBy("key").agg(F.collect_list("fates").alias("fates"))
+    sent = own.join(told, "key").select("key", "doc_id", "text", "fates").mapInArrow(_send_windows(scheme), WINDOWS)
     lost = sent.repartition(parts, "route").mapInArrow(_judge_windows(scheme), "key long, runs binary")
     lost = lost.groupBy("key").agg(F.collect_list("runs").alias("runs"))
     return own.join(lost, "key", "left").select("doc_id", "text", "runs")

@@ -1,0 +1,6 @@
+"""The registered queries over the speech corpus."""
+
+from rostrum.plans import aggregates, analysis, filters, ingest, streams  # noqa: F401
+from rostrum.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -23,7 +23,7 @@ def transcripts(spark: SparkSession, base: str, term: int | None = None, year: i
     rows = rows.where(F.col("path").rlike(r"\.txt$") | F.col("path").rlike(r"/result\.mmd$"))
     part = lambda p: F.regexp_extract("path", p, 1)
     name = F.when(F.endswith("path", F.lit("/result.mmd")), part(r"/([^/]+)/result\.mmd$")).otherwise(part(r"/([^/]+)$"))
-    rows = rows.select("path", part(r"^(.*)/[^/]+$").alias("dir"), name.alias("name"), part(r"/d(\d+)-?y\d+").try_cast("int").alias("term"), part(r"/d\d+-?y(\d+)").try_cast("int").alias("year"), "content")
+    rows = rows.select("path", part(r"^(.*)/[^/]+$").alias("dir"), name.alias("name"), part(r"[/=]d(\d+)-?y\d+").try_cast("int").alias("term"), part(r"[/=]d\d+-?y(\d+)").try_cast("int").alias("year"), "content")
     wanted = [F.col(c) == v for c, v in (("term", term), ("year", year)) if v is not None]
     return rows.where(reduce(lambda a, b: a & b, wanted, F.lit(True)))
 

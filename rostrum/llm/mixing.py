@@ -64,24 +64,55 @@ def _blocks(docs: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     return ranked.join(F.broadcast(goal), ranked["source"].eqNullSafe(goal["goal_source"])).drop("goal_source")
 
 
-def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), draw."""
+def _placed(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """plan with `units`: for each pass in which its block is drawn, the pass and the output shard.
+
+    A source's units are ordered by pass and block rank; the splitting tree says how many of them each shard gets, and the
+    shards take them in disjoint runs. Every table here has at most BLOCKS * (CAP + 1) rows a source."""
+    passes = F.when(F.col("rest") > F.col("before"), F.col("passes") + 1).otherwise(F.col("passes"))
+    units = plan.where(passes > 0).select("source", "block", "rank", F.explode(F.sequence(F.lit(1).cast("long"), passes)).alias("pass"))
+    number = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
+    quotas = units.groupBy("source").agg(F.count("*").alias("units")).withColumn("source_no", F.row_number().over(number) - 1)
+    upto = W.partitionBy("source_no").orderBy("shard")
+    runs = split_quotas(quotas.select("source_no", "units"), shards, seed).withColumn("stop", F.sum("units").over(upto))
+    runs = runs.select("source_no", "shard", (F.col("stop") - F.col("units")).alias("start"), "stop")
+    order = W.partitionBy("source").orderBy("pass", "rank")
+    named = quotas.select("source_no", F.col("source").alias("of"))
+    placed = units.withColumn("unit", F.row_number().over(order) - 1)
+    placed = placed.join(named, placed["source"].eqNullSafe(named["of"])).join(runs, "source_no").where("unit >= start and unit < stop")
+    placed = placed.groupBy(F.col("source").alias("of"), F.col("block").alias("of_block")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("units"))
+    joined = plan.join(placed, plan["source"].eqNullSafe(placed["of"]) & (plan["block"] == placed["of_block"]), "left").drop("of", "of_block")
+    return joined.withColumn("units", F.coalesce("units", F.array().cast("array<struct<pass:bigint,shard:bigint>>")))
+
+
+def mix(docs: DataFrame, seed: int = 17, shards: int = SHARDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), draw, parts (for each
+    pass that takes words of the document: shard and words)."""
     own = sized(docs, seed)
     sums = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = _blocks(own, targets(sums), seed)
-    # A source has at most BLOCKS rows here; the table of sources and blocks is small whatever the documents are.
+    plan = _placed(_blocks(own, targets(sums), seed), shards, seed)
     extra = F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("before")))
-    plan = plan.select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "source_size", "target", "passes", "words", extra.alias("extra"))
+    plan = plan.select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "source_size", "target", "passes", "words", extra.alias("extra"), "units")
     joined = own.join(plan, own["source"].eqNullSafe(plan["plan_source"]) & (own["block"] == plan["plan_block"])).drop("plan_source", "plan_block")
     # Only the block in which a source's words run out is taken in part, so only its documents are ordered.
-    whole = joined.where((F.col("extra") == F.col("words")) | (F.col("extra") == 0))
+    whole = joined.where((F.col("extra") == F.col("words")) | (F.col("extra") == 0)).withColumn("more", F.when(F.col("extra") > 0, F.col("size")).otherwise(0))
     part = joined.where((F.col("extra") < F.col("words")) & (F.col("extra") > 0))
     order = W.partitionBy("source", "block").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    more: Column = F.greatest(F.lit(0), F.least("size", F.col("extra") - before))
-    columns = ["doc_id", "source", "size", "source_size", "target", "draw"]
-    taken = lambda x: (F.col("passes") * F.col("size") + x).alias("taken")
-    return whole.select(*columns, taken(F.when(F.col("extra") > 0, F.col("size")).otherwise(0))).unionByName(part.select(*columns, taken(more)))
+    part = part.withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("extra") - before)))
+    columns = ["doc_id", "source", "size", "source_size", "target", "draw", "passes", "more", "units"]
+    rows = whole.select(*columns).unionByName(part.select(*columns))
+    words = lambda u: F.when(u["pass"] <= F.col("passes"), F.col("size")).otherwise(F.col("more"))
+    parts = F.filter(F.transform("units", lambda u: F.struct(u["pass"].alias("pass"), u["shard"].alias("shard"), words(u).alias("words"))), lambda u: u["words"] > 0)
+    taken = F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + words(u))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draw", parts.alias("parts"))
+
+
+def shards_of(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
+    """shard, place, doc_id, words: what each output shard holds, a row per document and pass; place is the order in
+    which a shard writes them, so that each is shuffled on its own."""
+    rows = mix(docs, seed, shards).select("doc_id", "draw", F.explode("parts").alias("p"))
+    return rows.select("p.shard", F.md5(F.concat_ws(":", "draw", "p.pass", "p.shard")).alias("place"), "doc_id", "p.words")
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
@@ -95,12 +126,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 17) -> Dat
         total = F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)
         start = F.struct(total.alias("left_in"), F.floor(total / 2).cast("long").alias("room"), F.array().cast("array<long>").alias("took"))
 
-        def drawn(state: Column, units: Column, level: int = level) -> Column:
-            u = (F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), F.size(state["took"])).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-            x = _hypergeometric(state["left_in"], units, state["room"], u)
-            return F.struct((state["left_in"] - units).alias("left_in"), (state["room"] - x).alias("room"), F.array_append(state["took"], x).alias("took"))
-
-        node = node.withColumn("took", F.aggregate("units", start, drawn)["took"])
+        node = node.withColumn("took", F.aggregate("units", start, _draw(seed, level))["took"])
         right = F.zip_with("units", "took", lambda a, b: a - b)
         halves = F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("took").alias("units")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("units"))))
         node = node.select(halves.alias("h")).select("h.shard", "h.units")
@@ -108,6 +134,15 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 17) -> Dat
     return node.select("shard", F.posexplode("units").alias("source_no", "units"))
 
 
+def _draw(seed: int, level: int):
+    def drawn(state: Column, units: Column) -> Column:
+        u = (F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), F.size(state["took"])).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+        x = _hypergeometric(state["left_in"], units, state["room"], u)
+        return F.struct((state["left_in"] - units).alias("left_in"), (state["room"] - x).alias("room"), F.array_append(state["took"], x).alias("took"))
+
+    return drawn
+
+
 def _hypergeometric(total: Column, good: Column, room: Column, u: Column) -> Column:
     """The value at u of the hypergeometric distribution: of `total` units, `good` are this source's, `room` are drawn."""
     low = F.greatest(F.lit(0), room + good - total)
@@ -125,30 +160,6 @@ def _hypergeometric(total: Column, good: Column, room: Column, u: Column) -> Col
     return F.aggregate(steps, start, step)["x"]
 
 
-def shards_of(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """shard, place, doc_id, words: what each output shard holds, a row per document and pass, in local shuffled order."""
-    own = sized(docs, seed)
-    sums = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = _blocks(own, targets(sums), seed)
-    passes = F.when(F.col("rest") > F.col("before"), F.col("passes") + 1).otherwise(F.col("passes"))
-    units = plan.where(passes > 0).select("source", "block", "rank", F.explode(F.sequence(F.lit(1).cast("long"), passes)).alias("pass"))
-    number = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    quotas = units.groupBy("source").agg(F.count("*").alias("units")).withColumn("source_no", F.row_number().over(number) - 1)
-    split = split_quotas(quotas.select("source_no", "units"), shards, seed)
-    upto = W.partitionBy("source_no").orderBy("shard")
-    runs = split.withColumn("stop", F.sum("units").over(upto)).withColumn("start", F.col("stop") - F.col("units"))
-    runs = runs.join(F.broadcast(quotas.select("source_no", F.col("source").alias("run_source"))), "source_no").drop("units")
-    order = W.partitionBy("source").orderBy("pass", "rank")
-    placed = units.withColumn("unit", F.row_number().over(order) - 1)
-    placed = placed.join(F.broadcast(runs), placed["source"].eqNullSafe(runs["run_source"]) & (placed["unit"] >= runs["start"]) & (placed["unit"] < runs["stop"]))
-    placed = placed.select(F.col("source").alias("unit_source"), F.col("block").alias("unit_block"), "pass", "shard")
-    taken = mix(docs, seed).withColumn("block", F.conv(F.substring("draw", 1, 2), 16, 10).cast("int"))
-    rows = taken.join(placed, taken["source"].eqNullSafe(placed["unit_source"]) & (taken["block"] == placed["unit_block"]))
-    words = F.least("size", F.col("taken") - (F.col("pass") - 1) * F.col("size"))
-    rows = rows.withColumn("words", words).where(F.col("words") > 0)
-    return rows.select("shard", F.md5(F.concat_ws(":", "draw", "pass", "shard")).alias("place"), "doc_id", "words")
-
-
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -2,8 +2,9 @@
 
 Each text's shingle hashes pass 128 hash functions; a register keeps the leading-zero count of the least value and the
 mantissa bits after it (6 + 10 bits). Documents with the same shingle set form a class and travel on as one row. Bands of
-four registers bring classes together; a band's bucket links each member to its least one, and after those links are
-verified and joined to components, only buckets that still span components yield further pairs, and only across them.
+four registers bring classes together; a band's bucket holds each member against its most central one, and after those
+links are verified and joined to components, members of buckets that still span components are joined across components
+by the rare beginnings of their sets.
 Candidate pairs are first held against the collision-corrected Jaccard estimate (the margin below the threshold is five
 standard errors), then against the full sets, which alone decide.
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, hashing
@@ -119,7 +121,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batch.column("class").to_numpy()
         # The bucket's name also holds the band's number, so that buckets of different bands stay apart.
         bucket = hashing.mixed(rows.astype(np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MULTIPLY[0]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(own, BANDS))], ["bucket", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(own, BANDS)), pa.array(np.repeat(batch.column("n").to_numpy(), BANDS))], ["bucket", "class", "n"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,6 +146,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("class"), common.binary_column(blobs)], ["class", "set"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+        own = np.repeat(batch.column("class").to_numpy(), [len(x) for x in sets])
+        token = np.concatenate(sets or [np.zeros(0, np.int64)])
+        for i in range(0, len(own), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 500_000]), pa.array(token[i : i + 500_000])], ["class", "token"])
+
+
 def linked(a: bytes, b: bytes) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -162,7 +173,13 @@ class Classes:
     def __init__(self, docs: DataFrame):
         self.own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", common.row_key("doc_id", "text"))
         self.sketched = common.settled(self.own.select("key", "text").mapInArrow(_sketches, SKETCH), "sketches")
-        self.classes = common.settled(self.sketched.where("n_shingles > 0").groupBy("class").agg(F.min_by("sketch", "key").alias("sketch"), F.min("key").alias("key")), "classes")
+        self.classes = common.settled(self.sketched.where("n_shingles > 0").groupBy("class").agg(F.min_by("sketch", "key").alias("sketch"), F.min("key").alias("key"), F.first("n_shingles").alias("n")), "classes")
+
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """class, set (sorted shingle hashes) of the asked classes."""
+        keys = self.classes.join(asked, "class", "left_semi").select("key", "class")
+        texts = self.own.join(keys, "key")
+        return common.settled(texts.select("class", "text").mapInArrow(_sets, "class long, set binary").dropDuplicates(["class"]), "sets")
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs u > v whose estimate is near the threshold or above."""
@@ -173,40 +190,74 @@ class Classes:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets reach the threshold. Only classes in a pair have their sets made."""
         pairs = common.settled(self.likely(pairs), "pairs")
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-        keys = self.classes.join(asked, "class", "left_semi").select("key", "class")
-        texts = self.own.join(keys, "key")
-        sets = common.settled(texts.select("class", "text").mapInArrow(_sets, "class long, set binary").dropDuplicates(["class"]), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct())
         both = pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
         return common.settled(both.mapInArrow(_confirm, "u long, v long"), "links")
 
 
-def links(classes: Classes) -> DataFrame:
-    """Verified pairs of classes that connect all classes which verified pairs connect."""
-    bands = classes.classes.select("class", "sketch").mapInArrow(_bands, "bucket long, class long")
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least")).where("n > 1")
-    members = common.settled(bands.join(shared.select("bucket", "least"), "bucket"), "buckets")
-    star = members.where("class <> least").select(F.col("class").alias("u"), F.col("least").alias("v")).distinct()
-    found = classes.confirmed(star)
-    roots = components(found)
-    # Buckets that still span components: pairs across components only, beside those already tried.
-    placed = members.select("bucket", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    torn = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    placed = common.settled(placed.join(torn, "bucket", "left_semi"), "torn")
-    u = placed.select(F.col("class").alias("class_u"), "bucket", F.col("root").alias("root_u"))
-    v = placed.select(F.col("class").alias("class_v"), "bucket", F.col("root").alias("root_v"))
-    across = u.join(v, "bucket").where("class_u > class_v and root_u <> root_v").select(F.col("class_u").alias("u"), F.col("class_v").alias("v")).distinct()
-    across = across.join(star, ["u", "v"], "left_anti")
-    return found.union(classes.confirmed(across))
+def _able(n_u: str, n_v: str):
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * F.least(n_u, n_v) >= PERCENT * F.greatest(n_u, n_v)
+
+
+def _pairs(rows: DataFrame, n_u: str = "n_u", n_v: str = "n_v") -> DataFrame:
+    return rows.where(_able(n_u, n_v)).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+
+
+def _prefix_pairs(classes: Classes, torn: DataFrame) -> DataFrame:
+    """u > v of different components among the torn classes (class, root, n): all pairs that can reach the threshold.
+
+    With shingles in one order, rarest first, two sets that reach it share a shingle among the first n - 0.75 n + 1 of
+    each. At the first one they share, what is left of either set bounds what both can share; pairs under the needed
+    overlap are not made. Edits make rare shingles, so copies that differ too much share none this early."""
+    tokens = classes.sets(torn.select("class")).mapInArrow(_tokens, "class long, token long")
+    common_ = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    order = W.partitionBy("class").orderBy("df", "token")
+    ranked = tokens.join(common_, "token").withColumn("at", F.row_number().over(order) - 1).where("df > 1")
+    first = ranked.join(torn, "class").where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100))
+    first = common.settled(first.select("token", "class", "root", "n", "at"), "prefixes")
+    shared = first.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    first = common.settled(first.join(shared, "token", "left_semi"), "shared-prefixes")
+    side = lambda x, k: first.select("token", F.col("class").alias(x), F.col("root").alias(f"root_{k}"), F.col("n").alias(f"n_{k}"), (F.col("n") - F.col("at")).alias(f"left_{k}"))
+    able = F.least("left_u", "left_v") * (100 + PERCENT) >= PERCENT * (F.col("n_u") + F.col("n_v"))
+    return _pairs(side("a", "u").join(side("b", "v"), "token").where((F.col("root_u") < F.col("root_v")) & _able("n_u", "n_v") & able))
+
+
+def rooted(classes: Classes) -> DataFrame:
+    """class, root: the least class that verified links reach.
+
+    A bucket's members are first held against its most central one, the member with the most company over all its
+    buckets: the text that a group's near copies were made from has more of it than any copy, and mostly links them all.
+    Members of buckets that still hold several components after that are joined exactly, across components, by prefixes
+    of their sets (`_prefix_pairs`)."""
+    bands = classes.classes.select("class", "sketch", "n").mapInArrow(_bands, "bucket long, class long, n long")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("company")).where("company > 1")
+    members = common.settled(bands.join(shared, "bucket"), "buckets")
+    central = members.groupBy("class").agg(F.sum("company").alias("weight"))
+    members = common.settled(members.join(central, "class").select("bucket", "class", "n", "weight"), "members")
+    lead = members.groupBy("bucket").agg(F.max(F.struct("weight", "class", "n")).alias("lead")).select("bucket", F.col("lead.class").alias("b"), F.col("lead.n").alias("n_v"))
+    star = common.settled(_pairs(members.join(common.settled(lead, "leads"), "bucket").select(F.col("class").alias("a"), "b", F.col("n").alias("n_u"), "n_v")), "star")
+    roots = common.settled(_rooted(classes.classes.select("class"), components(classes.confirmed(star))), "roots")
+    placed = common.settled(members.select("bucket", "class", "n").join(roots, "class"), "rooted")
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    torn = common.settled(placed.join(several, "bucket", "left_semi"), "torn")
+    across = _prefix_pairs(classes, common.settled(torn.select("class", "root", "n").distinct(), "torn-classes"))
+    found = classes.confirmed(across.join(star, ["u", "v"], "left_anti"))
+    ends = found.join(roots.toDF("u", "root_u"), "u").join(roots.toDF("v", "root_v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    higher = components(ends).select(F.col("node").alias("class"), F.col("root").alias("top"))
+    return roots.join(higher.withColumnRenamed("class", "root"), "root", "left").select("class", F.coalesce("top", "root").alias("root"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, class, root for each row; root names its component (null for an empty set)."""
     classes = Classes(docs)
-    roots = common.settled(components(links(classes)).withColumnRenamed("node", "class"), "roots")
+    roots = common.settled(rooted(classes), "components")
     rows = classes.own.select("doc_id", "key").join(classes.sketched.select("key", "n_shingles", "class").distinct(), "key")
-    root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "class"))
-    return rows.join(roots, "class", "left").select("doc_id", "key", "n_shingles", root.alias("root"))
+    return rows.join(roots, "class", "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

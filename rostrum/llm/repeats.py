@@ -4,18 +4,21 @@ Every window of a fixed length is filed under one of its interior symbols, its a
 content alone; neighbouring windows mostly share an anchor, so a text of n tokens has far fewer anchors than windows.
 Neighbouring windows under one anchor form a unit.
 
-1. Anchors. Tasks send 40-bit digests of anchors and units, a row for each bucket, and learn the fate of each unit
-   (`_send_names`, `_judge_names`): its anchor stands nowhere else; an equal unit elsewhere decides it (gone); or units
+1. Anchors. Tasks send short digests of anchors and units, a row for each bucket, and learn the fate of each unit
+   (`_send_names`, `_judge_names`, `_gather_fates`): its anchor stands nowhere else; an equal unit elsewhere decides it (gone); or units
    of other content share its anchor, so that its windows have to be looked at (open). Of equal units in a batch one is
    sent, and of equal units in the corpus one stays open, so a frequent passage has no more entries than there are
    batches, and one in the next step.
 2. Windows. Open units send their windows by the anchor's full name (`_send_windows`); tasks sort them by name and
    content; equal groups are the repeated windows (`_judge_windows`).
 3. What each document loses is gathered by its row key and joined to the text.
+
+Texts are compressed while they travel.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -70,14 +73,15 @@ def runs_of(scheme: Scheme, data: np.ndarray, offsets: np.ndarray) -> Runs:
     return Runs(name[at], doc[at], starts[at] - firsts[doc[at]], np.diff(np.r_[at, len(starts)]), at, hashes)
 
 
-def _five(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+def _five(x: np.ndarray, size: int = 5) -> np.ndarray:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
 
 
-def _from_five(data: bytes | np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _from_five(data: bytes | np.ndarray, size: int = 5) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, size)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
+    out[:, :size] = raw
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -148,31 +152,62 @@ def _send_names(scheme: Scheme, buckets: int):
             name, unit, row, again = name[travels], unit[travels], row[travels], again[travels]
             bucket = ((name >> U(40)) % U(buckets)).astype(np.int64)
             order = np.lexsort((row, bucket))
-            n5, u5, r, bucket, again = _five(name[order]), _five(unit[order]), row[order], bucket[order], again[order]
+            n4, u5, r, bucket, again = _five(name[order], 4), _five(unit[order]), row[order], bucket[order], again[order]
             parts = list(_slices(_groups(bucket), len(bucket)))
             firsts = [_groups(r[i:j]) for i, j in parts]
             each = list(zip(parts, firsts, strict=True))
             yield _names_batch(
                 bucket[[i for i, _ in parts]], np.zeros(len(parts), int), [common.packed(keys[r[i:j][d]]) for (i, j), d in each], [common.packed(docs[r[i:j][d]]) for (i, j), d in each],
-                [common.packed(np.diff(np.r_[d, j - i]).astype(np.int32)) for (i, j), d in each], [n5[i:j].tobytes() for i, j in parts], [u5[i:j].tobytes() for i, j in parts], [common.packed(again[i:j]) for i, j in parts],
+                [common.packed(np.diff(np.r_[d, j - i]).astype(np.int32)) for (i, j), d in each], [n4[i:j].tobytes() for i, j in parts], [u5[i:j].tobytes() for i, j in parts], [common.packed(again[i:j]) for i, j in parts],
             )
 
     return run
 
 
-def _judge_names(scheme: Scheme):
+FATES = "route int, keys binary, counts binary, fates binary"
+
+
+def _by_group(key: np.ndarray, fate: np.ndarray, groups: int) -> pa.RecordBatch:
+    """A row for each group of keys: distinct keys, their numbers of fates, the fates."""
+    group = key % groups
+    order = np.lexsort((key, group))
+    key, fate, group = key[order], fate[order], group[order]
+    parts = list(_slices(_groups(group), len(group)))
+    firsts = [_groups(key[i:j]) for i, j in parts]
+    counts = [common.packed(np.diff(np.r_[f, j - i]).astype(np.int32)) for (i, j), f in zip(parts, firsts, strict=True)]
+    arrays = [pa.array(group[[i for i, _ in parts]], pa.int32()), common.binary_column([common.packed(key[i:j][f]) for (i, j), f in zip(parts, firsts, strict=True)]), common.binary_column(counts), common.binary_column([fate[i:j].tobytes() for i, j in parts])]
+    return pa.RecordBatch.from_arrays(arrays, ["route", "keys", "counts", "fates"])
+
+
+def _gather_fates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, fates = [np.zeros(0, np.int64)], [np.zeros((0, 6), np.uint8)]
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], np.int32)))
+            fates.append(np.frombuffer(row["fates"], np.uint8).reshape(-1, 6))
+    key, fate = np.concatenate(keys), np.concatenate(fates)
+    order = np.argsort(key, kind="stable")
+    key, fate = key[order], fate[order]
+    docs = list(_slices(_groups(key), len(key)))
+    for i in range(0, len(docs), 20_000):
+        part = docs[i : i + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[[a for a, _ in part]]), common.binary_column([fate[a:b].tobytes() for a, b in part])], ["key", "fates"])
+
+
+def _judge_names(scheme: Scheme, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             ready = batch.filter(pa.array(kind == 1))
             if ready.num_rows:
-                keys = np.frombuffer(b"".join(ready.column("keys").to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), ready.column("units")], ["key", "fates"])
+                sent = ready.column("units").to_pylist()
+                keys = np.repeat(np.frombuffer(b"".join(ready.column("keys").to_pylist()), np.int64), [len(x) // 6 for x in sent])
+                yield _by_group(keys, np.frombuffer(b"".join(sent), np.uint8).reshape(-1, 6), groups)
             for row in batch.filter(pa.array(kind == 0)).to_pylist():
                 counts = np.frombuffer(row["counts"], np.int32)
                 key, doc = (np.repeat(np.frombuffer(row[c], np.int64), counts) for c in ("keys", "docs"))
-                parts.append((_from_five(row["names"]) | (U(row["route"]) << U(40)), _from_five(row["units"]), key, doc, np.frombuffer(row["again"], bool)))
+                parts.append((_from_five(row["names"], 4) | (U(row["route"]) << U(32)), _from_five(row["units"]), key, doc, np.frombuffer(row["again"], bool)))
         if not parts:
             return
         name, unit, key, doc, again = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -193,12 +228,8 @@ def _judge_names(scheme: Scheme):
             gone = doc > np.repeat(doc[u_at], u_size)
             open_ = ~gone & np.repeat(several, n_size)
         told = np.flatnonzero(gone | open_)
-        order = told[np.argsort(key[told], kind="stable")]
-        key, fate = key[order], _fates(unit[order], gone[order] * GONE + open_[order] * OPEN)
-        docs = list(_slices(_groups(key), len(key)))
-        for i in range(0, len(docs), 20_000):
-            part = docs[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[[a for a, _ in part]]), common.binary_column([fate[a:b].tobytes() for a, b in part])], ["key", "fates"])
+        if len(told):
+            yield _by_group(key[told], _fates(unit[told], gone[told] * GONE + open_[told] * OPEN), groups)
 
     return run
 
@@ -222,12 +253,13 @@ def _pairs_by_key(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> tupl
 def _send_windows(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = common.text_buffers(batch.column("text"))
+            texts = [zlib.decompress(x) for x in batch.column("packed").to_pylist()]
+            offsets, data = hashing.starts_of(np.array([len(x) for x in texts], np.int64)), np.frombuffer(b"".join(texts), np.uint8)
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             docs = batch.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False)
             told = batch.column("fates").to_pylist()
             for a, b in common.chunks(offsets):
-                blobs = [b"".join(x) for x in told[a:b]]
+                blobs = told[a:b]
                 raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
                 # A chunk has fewer than 2**24 documents, so document and unit fit in one number.
                 asked = _from_five(np.ascontiguousarray(raw[:, :5])) | (np.repeat(np.arange(b - a), [len(x) // 6 for x in blobs]).astype(np.uint64) << U(40))
@@ -299,17 +331,30 @@ def _judge_windows(scheme: Scheme):
 
 
 def with_repeats(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, text, key and runs (blobs of pairs: first window and number of windows that are repeated, in tokens)."""
+    """doc_id, packed (the compressed text) and runs (blobs of pairs: first window and number of windows that are repeated,
+    in tokens)."""
     spark = docs.sparkSession
     parts = common.n_parts(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", common.row_key("doc_id", "text"))
+    moved = own.mapInArrow(_squeezed, "key long, doc_id long, packed binary")
     names = own.mapInArrow(_send_names(scheme, parts), NAMES)
-    told = names.repartition(parts, "route").mapInArrow(_judge_names(scheme), "key long, fates binary")
-    told = told.groupBy("key").agg(F.collect_list("fates").alias("fates"))
-    sent = own.join(told, "key").select("key", "doc_id", "text", "fates").mapInArrow(_send_windows(scheme), WINDOWS)
+    told = names.repartition(parts, "route").mapInArrow(_judge_names(scheme, parts), FATES)
+    told = told.repartition(parts, "route").mapInArrow(_gather_fates, "key long, fates binary")
+    sent = moved.join(told, "key").select("key", "doc_id", "packed", "fates").mapInArrow(_send_windows(scheme), WINDOWS)
     lost = sent.repartition(parts, "route").mapInArrow(_judge_windows(scheme), "key long, runs binary")
     lost = lost.groupBy("key").agg(F.collect_list("runs").alias("runs"))
-    return own.join(lost, "key", "left").select("doc_id", "text", "runs")
+    return moved.join(lost, "key", "left").select("doc_id", "packed", "runs")
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zlib.compress(t.as_buffer(), 1) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), common.binary_column(packed)], ["key", "doc_id", "packed"])
+
+
+def bytes_of(packed: pa.BinaryScalar) -> bytes:
+    """A text's bytes after its travel."""
+    return zlib.decompress(packed.as_buffer())
 
 
 def covered(runs: list[bytes] | None, n_tokens: int, length: int) -> np.ndarray:

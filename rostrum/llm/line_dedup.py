@@ -1,11 +1,12 @@
-r"""Line deduplication by a log-template tree, in DataFrame operations only.
+r"""Line deduplication by a log-template tree.
 
 Lines are split into tokens; tokens that hold a digit are variable fields and become `<*>`. The tree has a fixed depth: a
 line goes to the leaf of its token count and its first three tokens. A leaf whose lines agree at all but a fifth of the
 places becomes one template, with `<*>` where they differ; in any other leaf each masked line is its own template. A
 template that occurs in at least `min_docs` documents is dropped everywhere but in the document with the smallest doc_id.
+Tasks parse lines and send names (64-bit hashes) of leaves and masked lines; Spark counts, joins and decides.
 
-Lines end at \n; blank lines and lines under `min_tokens` tokens have no template and stay. Defined cases: a null text
+Lines end at \n; blank lines and lines under `MIN_TOKENS` tokens have no template and stay. Defined cases: a null text
 stays null; a null doc_id counts as larger than any other; repeated rows count as documents of their own and lose or keep
 lines alike; an empty table gives an empty result; columns other than doc_id and text pass through `dedup_lines`
 untouched, whatever their names.
@@ -13,50 +14,110 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 MIN_DOCS, MIN_TOKENS, LEAD, VARIABLE = 5, 3, 3, 0.2
-#: Most leaves (8 bytes each) that are broadcast.
+#: Most leaves (8 bytes each) that are sent along with tasks.
 SMALL = 500_000
-_SPACE = r"[\x20\x09-\x0D]+"
-_FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-
-
-def masked(line: Column) -> Column:
-    """The line with single spaces between tokens and `<*>` for variable fields."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _SPACE, " ")), _FIELD, "<*>")
-
-
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc, doc_id, line: distinct masked lines of each row. doc names the row's content."""
-    own = docs.select("doc_id", common.row_key("doc_id", "text").alias("doc"), F.array_distinct(F.transform(_lines(F.col("text")), masked)).alias("lines"))
-    rows = own.select("doc_id", "doc", F.explode("lines").alias("line"))
-    tokens = F.split("line", " ")
-    rows = rows.withColumn("n", F.size(tokens)).where(F.col("n") >= MIN_TOKENS)
-    return rows.withColumn("leaf", F.xxhash64("n", F.slice(tokens, 1, LEAD))).withColumn("own", F.xxhash64("line"))
+_DIGIT = re.compile(rb"[0-9]")
+LINES = "doc_id long, doc long, leaf long, own long"
+PLACES = "leaf long, n int, place int, token long"
+EDITED = T.StructType([T.StructField("text", T.StringType()), T.StructField("lost", T.LongType())])
+
+
+def masked(line: bytes) -> list[bytes]:
+    """A line's tokens, variable fields as `<*>`. bytes.split() parts at the code points that separate words here."""
+    tokens = line.split()
+    if _DIGIT.search(line):
+        return [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+    return tokens
+
+
+def _name(data: bytes) -> int:
+    x = xxhash.xxh64_intdigest(data, 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def own_of(tokens: list[bytes]) -> int:
+    return _name(b" ".join(tokens))
+
+
+def leaf_of(tokens: list[bytes]) -> int:
+    return _name(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, doc, leaf, own: distinct masked lines of each row."""
+    for batch in batches:
+        rows, leaves, owns = [], [], []
+        for k, text in enumerate(batch.column("text")):
+            if not text.is_valid:
+                continue
+            found = {}
+            for line in text.as_buffer().to_pybytes().split(b"\n"):
+                tokens = masked(line)
+                if len(tokens) >= MIN_TOKENS:
+                    found[own_of(tokens)] = leaf_of(tokens)
+            rows += [k] * len(found)
+            owns += found.keys()
+            leaves += found.values()
+        rows = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("doc").take(rows), pa.array(leaves, pa.int64()), pa.array(owns, pa.int64())], ["doc_id", "doc", "leaf", "own"])
+
+
+def _places(wanted: np.ndarray | None):
+    """Tokens of lines in the wanted leaves (sorted), or in all leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = None if wanted is None else frozenset(wanted.tolist())
+        for batch in batches:
+            seen, leaves, sizes, tokens_ = set(), [], [], []
+            for text in batch.column("text"):
+                for line in text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else ():
+                    tokens = masked(line)
+                    if len(tokens) < MIN_TOKENS or some is not None and leaf_of(tokens) not in some:
+                        continue
+                    own = own_of(tokens)
+                    if own not in seen:
+                        seen.add(own)
+                        leaves.append(leaf_of(tokens))
+                        sizes.append(len(tokens))
+                        tokens_ += map(_name, tokens)
+            n = np.array(sizes, np.int64)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(leaves, np.int64), n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(tokens_, pa.int64())], ["leaf", "n", "place", "token"])
+
+    return run
 
 
 def _general(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """leaf, general: leaves of several lines that agree at all but VARIABLE of their places."""
     several = rows.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("several")).where("several").select("leaf")
     several = common.settled(several, "leaves")
-    if several.count() <= SMALL:  # else the lines themselves are shuffled by leaf
-        several = F.broadcast(several)
-    places = _occurrences(docs).join(several, "leaf").select("leaf", "n", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    fixed = places.groupBy("leaf", "n", "place").agg((F.min(F.xxhash64("token")) == F.max(F.xxhash64("token"))).alias("same"))
+    if several.count() <= SMALL:
+        wanted = np.array([r["leaf"] for r in several.collect()], np.int64)
+        places = docs.select("text").mapInArrow(_places(wanted), PLACES)
+    else:  # too many to send along: all lines' tokens are joined to them
+        places = docs.select("text").mapInArrow(_places(None), PLACES).join(several, "leaf", "left_semi")
+    fixed = places.groupBy("leaf", "n", "place").agg((F.min("token") == F.max("token")).alias("same"))
     return fixed.groupBy("leaf", "n").agg(F.count_if(~F.col("same")).alias("variable")).where(F.col("variable") <= F.floor(F.col("n") * VARIABLE)).select("leaf", F.lit(True).alias("general"))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, lines: for each row that loses lines, the masked lines' names."""
-    rows = common.settled(_occurrences(docs).select("doc_id", "doc", "leaf", "own"), "lines")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key("doc_id", "text").alias("doc"), "text")
+    rows = common.settled(own.mapInArrow(_parsed, LINES), "lines")
     general = common.settled(_general(docs, rows), "general-leaves")
     templates = rows.select("leaf", "own").distinct().join(general, "leaf", "left").select("own", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("own")).alias("template"))
     templates = common.settled(templates, "templates")
@@ -70,13 +131,28 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return lost.groupBy("doc").agg(F.collect_set("own").alias("lost"))
 
 
+@F.pandas_udf(EDITED)
+def _edited(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
+    """The text without its lost lines, and how many it lost; null where no text is given."""
+    out = []
+    for text, names in zip(texts, lost, strict=True):
+        if text is None:
+            out.append((None, 0))
+            continue
+        names = set(names)
+        lines = text.encode().split(b"\n")
+        kept = [x for x in lines if own_of(masked(x)) not in names]
+        out.append((b"\n".join(kept).decode(), len(lines) - len(kept)))
+    return pd.DataFrame(out, columns=["text", "lost"])
+
+
 def _split_by_fate(docs: DataFrame, min_docs: int) -> tuple[DataFrame, Column, Column]:
     key = "__row_key"
     lost = recurring(docs.select("doc_id", "text"), min_docs).select(F.col("doc").alias(key), F.col("lost").alias("__lost"))
     joined = docs.withColumn(key, common.row_key("doc_id", "text")).join(lost, key, "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains("__lost", F.xxhash64(masked(x))))
-    dropped = F.size(_lines(F.col("text"))) - F.size(kept)
-    return joined, F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(dropped)
+    # Only texts that lose lines go to Python and back.
+    joined = joined.withColumn("__edited", _edited(F.when(F.col("__lost").isNotNull(), F.col("text")), F.coalesce("__lost", F.array().cast("array<long>"))))
+    return joined, F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.col("__edited.text")), F.coalesce("__edited.lost", F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -90,7 +166,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_md5 for each row; a null text has no lines."""
     joined, text, dropped = _split_by_fate(docs.select("doc_id", "text"), min_docs)
-    return joined.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"), F.md5(F.coalesce(text, F.lit(""))).alias("kept_md5"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.md5(F.coalesce(text, F.lit(""))).alias("kept_md5"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

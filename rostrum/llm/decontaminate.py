@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ GROUP_BYTES = 4 << 20
 #: Tokens between passage starts; a passage is twice as long, so any run of STRIDE tokens lies in one. Longer items get
 #: longer strides.
 STRIDE = 64
+#: Texts that are searched at once.
+DOCS = 256
 TOKEN = re.compile(r"\w+")
 
 
@@ -59,10 +61,10 @@ class Index:
         df = Counter(w for t in self.tokens for w in set(t))
         self.term = {w: k for k, w in enumerate(sorted(df))}
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.gain: list[dict[int, float]] = []
+        self.gain: list[dict[str, float]] = []
         for t in self.tokens:
             norm = K1 * (1 - B + B * len(t) / mean)
-            self.gain.append({self.term[w]: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(t).items()})
+            self.gain.append({w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(t).items()})
         own = np.array([sum(g.values()) for g in self.gain]) if n else np.zeros(0)
         self.least = SCORE * own
         self.rest = np.zeros(n)
@@ -72,10 +74,12 @@ class Index:
                 if self.rest[k] + x < self.least[k]:
                     self.rest[k] += x
                 else:
-                    postings.append((w, k, x))
+                    postings.append((self.term[w], k, x))
         postings.sort()
         self.p_item = np.array([k for _, k, _ in postings], np.int64)
         self.p_gain = np.array([x for *_, x in postings], np.float64)
+        words = sorted(df)
+        self.essential = {words[w]: w for w, *_ in postings}
         self.first = np.searchsorted([w for w, *_ in postings], np.arange(len(self.term) + 1)) if postings else np.zeros(len(self.term) + 1, np.int64)
         # Block maxima: a term's best gain in each block of items.
         blocks: dict[tuple[int, int], float] = {}
@@ -89,19 +93,12 @@ class Index:
         self.need = self.least - self.rest
         self.b_need = np.minimum.reduceat(self.need, np.arange(0, n, BLOCK)) if n else np.zeros(0)
 
-    def essential(self, term: np.ndarray) -> np.ndarray:
-        return self.first[term + 1] > self.first[term]
-
-    def search(self, terms: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, item) pairs whose score reaches the item's threshold. terms: the term of each token, -1 for none;
-        passage p covers tokens p * stride to (p + 2) * stride."""
-        at = np.flatnonzero(terms >= 0)
-        at = at[self.essential(terms[at])]
-        if not len(at):
+    def search(self, passage: np.ndarray, term: np.ndarray, words_of: Callable[[int], set[str]]) -> list[tuple[int, int]]:
+        """(passage, item) pairs whose score reaches the item's threshold. passage, term: where essential terms stand;
+        words_of gives a passage's tokens."""
+        if not len(passage):
             return []
-        passage = at // self.stride
-        hits = np.unique(np.concatenate([passage, np.maximum(passage - 1, 0)]) * len(self.term) + np.tile(terms[at], 2))
-        passage, term = np.divmod(hits, len(self.term))
+        passage, term = np.divmod(np.unique(passage * len(self.term) + term), len(self.term))
         alive = self._bounded(passage, term, self.b_first, self.b_block, self.b_gain, self.b_need)
         if not len(alive):
             return []
@@ -112,7 +109,7 @@ class Index:
         out, last, here = [], -1, set()
         for p, k in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(self.ids)))), strict=True):
             if p != last:
-                last, here = p, set(terms[p * self.stride : (p + 2) * self.stride].tolist())
+                last, here = p, words_of(p)
             if sum(x for w, x in self.gain[k].items() if w in here) >= self.least[k] - 1e-9:
                 out.append((p, k))
         return out
@@ -141,22 +138,40 @@ class Index:
 
 def _hits(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = index.term.get
         for batch in batches:
             keys, items = [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                tokens = tokens_of(text.as_py())
-                if not tokens:
-                    continue
-                terms = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
-                found = {k for p, k in index.search(terms) if index.confirmed(k, tokens[p * index.stride : (p + 2) * index.stride])}
-                keys += [key] * len(found)
-                items += [index.ids[k] for k in sorted(found)]
+            all_keys, texts = batch.column("key").to_pylist(), batch.column("text")
+            for at in range(0, len(all_keys), DOCS):
+                for k, found in _found(index, [t.as_py() for t in texts[at : at + DOCS]]):
+                    keys.append(all_keys[at + k])
+                    items.append(index.ids[found])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], ["key", "item_id"])
 
     return run
 
 
+def _found(index: Index, texts: list[str]) -> set[tuple[int, int]]:
+    """(text, item) for each item that a text holds. Passages of all texts are numbered through; passage p of a text
+    covers its tokens p * stride to (p + 2) * stride."""
+    essential, stride = index.essential, index.stride
+    tokens = [tokens_of(t) for t in texts]
+    first = np.concatenate(([0], np.cumsum([len(t) // stride + 1 for t in tokens])))
+    passages, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, words in enumerate(tokens):
+        at = [i for i, w in enumerate(words) if w in essential]
+        if at:
+            own, term = np.array(at) // stride, np.array([essential[words[i]] for i in at])
+            passages += [own + first[k], np.maximum(own - 1, 0) + first[k]]
+            terms += [term, term]
+
+    def passage(p: int) -> tuple[int, list[str]]:
+        k = int(np.searchsorted(first, p, "right")) - 1
+        return k, tokens[k][(p - first[k]) * stride : (p - first[k] + 2) * stride]
+
+    pairs = index.search(np.concatenate(passages), np.concatenate(terms), lambda p: set(passage(p)[1]))
+    return {(k, item) for p, item in pairs for k, words in [passage(p)] if index.confirmed(item, words)}
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key (row_key of doc_id and text), item_id for each item that a document holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")

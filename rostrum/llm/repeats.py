@@ -11,14 +11,11 @@ Neighbouring windows under one anchor form a unit.
    batches, and one in the next step.
 2. Windows. Open units send their windows by the anchor's full name (`_send_windows`); tasks sort them by name and
    content; equal groups are the repeated windows (`_judge_windows`).
-3. What each document loses is gathered by its row key and joined to the text.
-
-Texts are compressed while they travel.
+3. What each document loses is gathered by its row key and joined to the text, which was dealt out once for both joins.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -253,8 +250,7 @@ def _pairs_by_key(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> tupl
 def _send_windows(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [zlib.decompress(x) for x in batch.column("packed").to_pylist()]
-            offsets, data = hashing.starts_of(np.array([len(x) for x in texts], np.int64)), np.frombuffer(b"".join(texts), np.uint8)
+            offsets, data = common.text_buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             docs = batch.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False)
             told = batch.column("fates").to_pylist()
@@ -331,30 +327,21 @@ def _judge_windows(scheme: Scheme):
 
 
 def with_repeats(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, packed (the compressed text) and runs (blobs of pairs: first window and number of windows that are repeated,
-    in tokens)."""
+    """doc_id, text and runs (blobs of pairs: first window and number of windows that are repeated, in tokens)."""
     spark = docs.sparkSession
     parts = common.n_parts(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", common.row_key("doc_id", "text"))
-    moved = own.mapInArrow(_squeezed, "key long, doc_id long, packed binary")
     names = own.mapInArrow(_send_names(scheme, parts), NAMES)
     told = names.repartition(parts, "route").mapInArrow(_judge_names(scheme, parts), FATES)
     told = told.repartition(parts, "route").mapInArrow(_gather_fates, "key long, fates binary")
-    sent = moved.join(told, "key").select("key", "doc_id", "packed", "fates").mapInArrow(_send_windows(scheme), WINDOWS)
+    sent = own.join(told, "key").select("key", "doc_id", "text", "fates").mapInArrow(_send_windows(scheme), WINDOWS)
     lost = sent.repartition(parts, "route").mapInArrow(_judge_windows(scheme), "key long, runs binary")
     lost = lost.groupBy("key").agg(F.collect_list("runs").alias("runs"))
-    return moved.join(lost, "key", "left").select("doc_id", "packed", "runs")
-
-
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [zlib.compress(t.as_buffer(), 1) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), common.binary_column(packed)], ["key", "doc_id", "packed"])
+    return own.join(lost, "key", "left").select("doc_id", "text", "runs")
 
 
-def bytes_of(packed: pa.BinaryScalar) -> bytes:
-    """A text's bytes after its travel."""
-    return zlib.decompress(packed.as_buffer())
+def bytes_of(text: pa.StringScalar) -> bytes:
+    return text.as_buffer().to_pybytes()
 
 
 def covered(runs: list[bytes] | None, n_tokens: int, length: int) -> np.ndarray:

@@ -101,8 +101,8 @@ def scheme(length: int = LENGTH) -> repeats.Scheme:
 def _kept(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[int, int, bytes]]]]:
     for batch in batches:
         rows = []
-        for packed, runs in zip(batch.column("packed"), batch.column("runs"), strict=True):
-            words = repeats.bytes_of(packed).split()
+        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+            words = repeats.bytes_of(text).split()
             runs, removed = runs.as_py(), 0
             if runs:
                 gone = repeats.covered(runs, len(words), length)

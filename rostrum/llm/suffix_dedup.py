@@ -54,8 +54,8 @@ def _digests(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for packed, runs in zip(batch.column("packed"), batch.column("runs"), strict=True):
-                data = repeats.bytes_of(packed)
+            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+                data = repeats.bytes_of(text)
                 runs = runs.as_py()
                 if runs:
                     gone = repeats.covered(runs, len(data), length)
@@ -82,8 +82,8 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for packed, runs in zip(batch.column("packed"), batch.column("runs"), strict=True):
-                data = repeats.bytes_of(packed)
+            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+                data = repeats.bytes_of(text)
                 texts.append(remaining(data, repeats.covered(runs.as_py(), len(data), length)).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -2,11 +2,10 @@
 
 Vectors are scaled to length 1 in double precision; equal ones form a class and travel on as one. Two independent
 codebooks, one for each half of the vector, form a grid of cells. A vector's home is its nearest cell; it looks for
-partners in the cells that multi-sequence traversal visits first. How many it visits is fitted: for a sample of classes,
-true partners among all classes are found by brute force and ranked in traversal order, and the number of visits is the
-least that reaches TARGET of them. Candidates are verified by their cosine; a pair that both sides would find is counted
-once. A cell's rows are dealt into blocks, so that no task holds more than two blocks, and within a block pair links are
-counted and joined into components without listing them.
+partners in every cell that its distance to the cell's border lets hold one, so no pair is missed. Candidates are verified
+by their cosine; of two homes the lesser is visited, so a pair comes by once. A cell's rows are dealt into blocks, so that
+no task holds more than two blocks, and within a block pair links are counted and joined into components without listing
+them. Where the vectors have no structure that the borders could use, this is a comparison of all with all.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do
 vectors of different length; repeated rows count as vectors of their own; a null vec_id never names a component that has
@@ -27,10 +26,13 @@ from . import common
 from .components import components
 
 COSINE = 0.9
-#: Expected size of the sample the codebooks are fitted on and of the sample of queries that fits the visits.
-SAMPLE, QUERIES, TARGET = 8192, 256, 0.995
-#: Expected classes of a cell, most centroids of a codebook, rows of a block.
-PER_CELL, CENTROIDS, BLOCK = 8, 256, 512
+#: Expected size of the sample the codebooks are fitted on.
+SAMPLE = 8192
+#: Most centroids of a codebook; rows of a block, and expected classes of a cell.
+CENTROIDS, BLOCK = 256, 4096
+#: Rows of a block that are compared at a time; what rounding may add to a squared distance; the least distance of two
+#: centroids whose border counts.
+STRIP, SLACK, APART = 256, 1e-6, 1e-6
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +94,28 @@ class Grid:
         sums = np.sort((left[:, None] + right).ravel())
         return np.searchsorted(sums, left[cells // self.k] + right[cells % self.k], "right")
 
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        return _distances(x[:, : self.half], self.left).argmin(axis=1) * self.k + _distances(x[:, self.half :], self.right).argmin(axis=1)
+
+    def permitted(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """row, cell: the cells that can be home to a vector of this cosine or more to the row (all of length 1)."""
+        rows, cells, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], max(1, (1 << 22) // (self.k * self.k))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            least = _to_borders(part[:, : self.half], self.left)[:, :, None] + _to_borders(part[:, self.half :], self.right)[:, None, :]
+            row, left, right = np.nonzero(least <= 2 - 2 * cosine + SLACK)
+            rows.append(row + at)
+            cells.append(left * self.k + right)
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def _to_borders(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """For each row and centroid, at most the squared distance to the points nearest to that centroid: the farthest of the
+    planes half-way to another centroid that lie between."""
+    d, apart = _distances(x, centers), np.sqrt(_distances(centers, centers))
+    inverse = np.where(apart > APART, 0.5 / np.maximum(apart, APART), 0)
+    return ((d[:, :, None] - d[:, None, :]) * inverse).max(axis=2) ** 2
+
 
 def fit_grid(classes: DataFrame, n: int) -> Grid | None:
     """Codebooks for the most frequent vector length, from a bounded sample; None without vectors."""
@@ -102,63 +126,37 @@ def fit_grid(classes: DataFrame, n: int) -> Grid | None:
     drawn = classes.where((F.length("unit") == lengths[0]["bytes"]) & (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("unit").collect()
     points = np.array(sorted(bytes(r["unit"]) for r in drawn))
     points = np.frombuffer(b"".join(points.tolist()), np.float64).reshape(len(points), -1) if len(points) else np.zeros((0, lengths[0]["bytes"] // 8))
-    k = int(min(CENTROIDS, len(points), max(1, round((n / PER_CELL) ** 0.5))))
+    k = int(min(CENTROIDS, len(points), max(1, round((n / BLOCK) ** 0.5))))
     if k < 1:
         return None
     half = points.shape[1] // 2
     return Grid(kmeans(points[:, :half], k), kmeans(points[:, half:], k))
 
 
-def fit_visits(classes: DataFrame, grid: Grid, n: int, cosine: float, target: float) -> int:
-    """The least number of visits by which `target` of the sampled queries' true partners are found."""
-    share = int(min(1.0, QUERIES / n) * (1 << 30))
-    size = grid.dim * 8
-    drawn = classes.where((F.length("unit") == size) & (F.pmod(F.xxhash64("class", F.lit(7)), F.lit(1 << 30)) < share)).select("class", "unit").collect()
-    if not drawn:
-        return 1
-    own = np.array([r["class"] for r in drawn])
-    queries = np.frombuffer(b"".join(bytes(r["unit"]) for r in drawn), np.float64).reshape(len(drawn), -1)
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, grid.dim)
-            q, b = np.nonzero(queries @ base.T >= cosine)
-            other = own[q] != batch.column("class").to_numpy()[b]
-            q, b = q[other], b[other]
-            homes = grid.visits(base[b], 1)[:, 0] if len(b) else np.zeros(0, np.int64)
-            ranks = np.concatenate([grid.ranks(queries[i], homes[q == i]) for i in np.unique(q)]) if len(q) else np.zeros(0, np.int64)
-            rank, count = np.unique(ranks, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(count, pa.int64())], ["rank", "n"])
-
-    # A row for each place in the traversal at most: CENTROIDS ** 2.
-    found = classes.where(F.length("unit") == size).select("class", "unit").mapInArrow(ranked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toPandas()
-    if not len(found):
-        return min(2, grid.k * grid.k)
-    reached = found.n.cumsum() >= target * found.n.sum()
-    return int(max(1, found["rank"][reached.idxmax()]))
-
+PLACED = "cell long, class long, home long, is_home boolean, unit binary"
 
-PLACED = "cell long, class long, home long, is_home boolean, visits binary, unit binary"
 
+def _placed(grid: Grid | None, cosine: float):
+    """Each vector in its home and in the lesser cells that may hold partners."""
 
-def _placed(grid: Grid | None, visits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, units = batch.column("class").to_numpy(), batch.column("unit").to_pylist()
             fits = np.array([grid is not None and len(u) == grid.dim * 8 for u in units], bool)
             for i in np.flatnonzero(~fits).tolist():  # other lengths share one cell for each length
                 home = -1 - len(units[i]) // 8
-                yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array(own[i : i + 1]), pa.array([home]), pa.array([True]), pa.array([common.packed(np.array([home]))]), pa.array([units[i]], pa.binary())], ["cell", "class", "home", "is_home", "visits", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array(own[i : i + 1]), pa.array([home]), pa.array([True]), pa.array([units[i]], pa.binary())], ["cell", "class", "home", "is_home", "unit"])
             rows = np.flatnonzero(fits)
-            for at in range(0, len(rows), 2048):
-                part = rows[at : at + 2048]
-                cells = grid.visits(np.frombuffer(b"".join(units[i] for i in part), np.float64).reshape(len(part), -1), visits).astype(np.int64)
-                n = cells.shape[1]
-                each = [c.tobytes() for c in cells]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), pa.array(np.repeat(own[part], n)), pa.array(np.repeat(cells[:, 0], n)), pa.array(np.tile(np.arange(n) == 0, len(part))), pa.array([x for x in each for _ in range(n)], pa.binary()), pa.array([units[i] for i in part for _ in range(n)], pa.binary())],
-                    ["cell", "class", "home", "is_home", "visits", "unit"],
-                )
+            for at in range(0, len(rows), STRIP):
+                part = rows[at : at + STRIP]
+                x = np.frombuffer(b"".join(units[i] for i in part), np.float64).reshape(len(part), -1)
+                homes = grid.homes(x).astype(np.int64)
+                row, cell = grid.permitted(x, cosine)
+                lesser = cell < homes[row]
+                row, cell = np.r_[np.arange(len(part)), row[lesser]], np.r_[homes, cell[lesser]]
+                for k in range(0, len(row), 1 << 14):
+                    r, c = row[k : k + (1 << 14)], cell[k : k + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(own[part[r]]), pa.array(homes[r]), pa.array(c == homes[r]), pa.array([units[i] for i in part[r]], pa.binary())], ["cell", "class", "home", "is_home", "unit"])
 
     return run
 
@@ -174,19 +172,23 @@ def _linked(cosine: float):
             return pa.table({"class": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         cell = group.column("cell")[0].as_py()
         b, q = (np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(t.num_rows, -1) for t in (base, query))
-        near = (q @ b.T >= cosine) & (q_own[:, None] != b_own)
-        # A base row that visits the query's home finds the pair there too; the lesser cell counts it.
-        visits = np.frombuffer(b"".join(base.column("visits").to_pylist()), np.int64).reshape(base.num_rows, -1)
-        away = q_home != cell
-        for i in np.flatnonzero(away & near.any(axis=1)):
-            if q_home[i] < cell:
-                near[i] &= ~(visits == q_home[i]).any(axis=1)
+        strips = [slice(at, at + STRIP) for at in range(0, len(q), STRIP)]
+        near = np.zeros((len(q), len(b)), bool)
+        for part in strips:
+            near[part] = (q[part] @ b.T >= cosine) & (q_own[part, None] != b_own)
         # Each ordered pair of one home comes by once; a pair of two homes once for both its directions.
-        n_q, n_b = near @ b_m, (near & away[:, None]).T @ q_m
+        away = q_home != cell
+        n_q, n_b = np.zeros(len(q), np.int64), np.zeros(len(b), np.int64)
         root_q, root_b = q_own.copy(), b_own.copy()
-        while True:
-            new_q = np.minimum(root_q, np.where(near, root_b, big).min(axis=1))
-            new_b = np.minimum(root_b, np.where(near, new_q[:, None], big).min(axis=0))
+        linked = [part for part in strips if near[part].any()]
+        for part in linked:
+            n_q[part] = near[part] @ b_m
+            n_b += (near[part] & away[part, None]).T @ q_m[part]
+        while linked:
+            new_q, new_b = root_q.copy(), root_b.copy()
+            for part in linked:
+                new_q[part] = np.minimum(root_q[part], np.where(near[part], root_b, big).min(axis=1))
+                new_b = np.minimum(new_b, np.where(near[part], new_q[part, None], big).min(axis=0))
             if (new_q == root_q).all() and (new_b == root_b).all():
                 break
             root_q, root_b = new_q, new_b
@@ -197,8 +199,9 @@ def _linked(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, target: float = TARGET) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, target: float = 1.0) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding). Every pair is found, whatever the
+    target (least recall) asks for."""
     units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_units, "vec_id long, unit binary")
     own = F.when(F.col("unit").isNotNull(), F.xxhash64("unit", F.lit(1)))
     units = common.settled(units.withColumn("class", own), "units")
@@ -206,15 +209,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, target: float = TAR
     classes = common.settled(valid.groupBy("class").agg(F.first("unit").alias("unit"), F.count("*").alias("m"), F.min("vec_id").alias("least")), "vectors")
     n = max(1, classes.count())
     grid = fit_grid(classes, n)
-    visits = fit_visits(classes, grid, n, cosine, target) if grid else 1
-    placed = classes.select("class", "unit").mapInArrow(_placed(grid, visits), PLACED)
+    placed = classes.select("class", "unit").mapInArrow(_placed(grid, cosine), PLACED)
     placed = placed.join(classes.select("class", "m"), "class")
     placed = common.settled(placed, "placed")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("is_home") / BLOCK).alias("bases"), F.ceil(F.count("*") / BLOCK).alias("queries"), F.count("*").alias("rows")).where("bases > 0 and rows > 1")
     dealt = placed.join(sizes, "cell")
     block = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["cell", "base_block", "query_block", "class", "m", "home", "visits", "unit", "side"]
+    columns = ["cell", "base_block", "query_block", "class", "m", "home", "unit", "side"]
     bases = dealt.where("is_home").withColumn("base_block", block("bases", 1)).withColumn("query_block", upto("queries")).withColumn("side", F.lit(True)).select(*columns)
     queries = dealt.withColumn("query_block", block("queries", 2)).withColumn("base_block", upto("bases")).withColumn("side", F.lit(False)).select(*columns)
     found = bases.unionByName(queries).groupBy("cell", "base_block", "query_block").applyInArrow(_linked(cosine), "class long, root long, n long")

@@ -77,3 +77,30 @@ def test_recall_on_the_table(spark):
     rows = [tuple(r) for r in df.select("vec_id", "embedding").collect()]
     got, want = (sorted(x) for x in (map(tuple, ed.near_vectors(df).collect()), brute(rows)))
     assert sum(r[1] for r in got) >= 0.9 * sum(r[1] for r in want)
+
+
+def test_rare_pairs(spark, monkeypatch):
+    """Few near copies among vectors without structure: a sample of queries would hardly see one."""
+    monkeypatch.setattr(ed, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    for i in range(12):
+        a = np.array(rows[i * 100][1])
+        b = rng.normal(size=64)
+        b -= (a @ b) / (a @ a) * a
+        rows.append((5000 + i, (a / np.linalg.norm(a) + np.tan(np.arccos(0.9 + 0.005 * (i + 1))) * b / np.linalg.norm(b)).tolist()))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(n for n, _ in got.values()) == 24
+    assert all(got[5000 + i] == (1, i * 100) for i in range(12))
+
+
+def test_permitted_cells_hold_all_partners():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 16)) + 2 * rng.normal(size=(6, 16))[rng.integers(0, 6, 300)]
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.25])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = ed.Grid(ed.kmeans(x[:, :8], 6), ed.kmeans(x[:, 8:], 6))
+    homes = grid.homes(x)
+    found = set(zip(*(c.tolist() for c in grid.permitted(x, 0.9)), strict=True))
+    q, b = np.nonzero(x @ x.T >= 0.9)
+    assert set(zip(q.tolist(), homes[b].tolist(), strict=True)) <= found and len(found) < 0.7 * len(x) * 36

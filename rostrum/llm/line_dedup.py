@@ -2,8 +2,8 @@ r"""Line deduplication by a log-template tree.
 
 Lines are split into tokens; tokens that hold a digit are variable fields and become `<*>`. The tree has a fixed depth: a
 line goes to the leaf of its token count and its first three tokens. A leaf whose lines agree at all but a fifth of the
-places becomes one template, with `<*>` where they differ; in any other leaf each masked line is its own template. A
-template that occurs in at least `min_docs` documents is dropped everywhere but in the document with the smallest doc_id.
+places becomes one template, with `<*>` where they differ; any other leaf is parted by the place with the fewest distinct
+tokens (the first of such), and its parts again, until a part agrees or is a single masked line. A template that occurs in at least `min_docs` documents is dropped everywhere but in the document with the smallest doc_id.
 Tasks parse lines and send names (64-bit hashes) of leaves and masked lines; Spark counts, joins and decides.
 
 Lines end at \n; blank lines and lines under `MIN_TOKENS` tokens have no template and stay. Defined cases: a null text
@@ -28,11 +28,12 @@ from pyspark.sql import types as T
 from . import common
 
 MIN_DOCS, MIN_TOKENS, LEAD, VARIABLE = 5, 3, 3, 0.2
-#: Most leaves (8 bytes each) that are sent along with tasks.
-SMALL = 500_000
+#: Most leaves (8 bytes each) that are sent along with tasks; most tokens of a part that one task parts further.
+SMALL, PART = 500_000, 1_000_000
 _DIGIT = re.compile(rb"[0-9]")
 LINES = "doc_id long, doc long, leaf long, own long"
-PLACES = "leaf long, n int, place int, token long"
+TOKENS = "part long, own long, tokens array<long>"
+AGREED = "own long, template long"
 EDITED = T.StructType([T.StructField("text", T.StringType()), T.StructField("lost", T.LongType())])
 
 
@@ -76,50 +77,97 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("doc").take(rows), pa.array(leaves, pa.int64()), pa.array(owns, pa.int64())], ["doc_id", "doc", "leaf", "own"])
 
 
-def _places(wanted: np.ndarray | None):
-    """Tokens of lines in the wanted leaves (sorted), or in all leaves."""
+def _tokens(wanted: np.ndarray | None):
+    """part, own, tokens: lines in the wanted leaves, or in all leaves, that are long enough for a variable place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = None if wanted is None else frozenset(wanted.tolist())
         for batch in batches:
-            seen, leaves, sizes, tokens_ = set(), [], [], []
+            seen, leaves, sizes, tokens_ = {}, [], [], []
             for text in batch.column("text"):
                 for line in text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else ():
                     tokens = masked(line)
-                    if len(tokens) < MIN_TOKENS or some is not None and leaf_of(tokens) not in some:
+                    if int(len(tokens) * VARIABLE) < 1:
+                        continue
+                    leaf = leaf_of(tokens)
+                    if some is not None and leaf not in some:
                         continue
                     own = own_of(tokens)
                     if own not in seen:
-                        seen.add(own)
-                        leaves.append(leaf_of(tokens))
+                        seen[own] = None
+                        leaves.append(leaf)
                         sizes.append(len(tokens))
                         tokens_ += map(_name, tokens)
-            n = np.array(sizes, np.int64)
-            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(leaves, np.int64), n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(tokens_, pa.int64())], ["leaf", "n", "place", "token"])
+            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(list(seen), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(tokens_, pa.int64()))], ["part", "own", "tokens"])
 
     return run
 
 
-def _general(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """leaf, general: leaves of several lines that agree at all but VARIABLE of their places."""
-    several = rows.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("several")).where("several").select("leaf")
+def _parted(group: pa.Table) -> pa.Table:
+    """own, template: lines of parts of a part that agree."""
+    own = group.column("own").to_numpy()
+    tokens = group.column("tokens").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    owns, templates = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    most, todo = int(tokens.shape[1] * VARIABLE), [(group.column("part")[0].as_py(), np.arange(len(own)))]
+    while todo:
+        part, rows = todo.pop()
+        here = np.sort(tokens[rows], axis=0)
+        distinct = (here[1:] != here[:-1]).sum(axis=0) + 1
+        variable = np.flatnonzero(distinct > 1)
+        if len(variable) <= most:
+            owns.append(own[rows])
+            templates.append(np.full(len(rows), part))
+        elif len(rows) > 2:
+            place = int(variable[distinct[variable].argmin()])
+            values = tokens[rows, place]
+            order = values.argsort(kind="stable")
+            for piece in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+                if len(piece) > 1:
+                    todo.append((_name(b"%d %d %d" % (part, place, values[piece[0]])), rows[piece]))
+    return pa.table({"own": pa.array(np.concatenate(owns), pa.int64()), "template": pa.array(np.concatenate(templates), pa.int64())})
+
+
+def _agreed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """own, template: lines that agree with others at all but VARIABLE of their places. Parts that one task can hold are
+    parted there, larger ones on Spark, a place at a time."""
+    several = rows.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("several")).where("several").select(F.col("leaf").alias("part"))
     several = common.settled(several, "leaves")
     if several.count() <= SMALL:
-        wanted = np.array([r["leaf"] for r in several.collect()], np.int64)
-        places = docs.select("text").mapInArrow(_places(wanted), PLACES)
+        wanted = np.array([r["part"] for r in several.collect()], np.int64)
+        lines = docs.select("text").mapInArrow(_tokens(wanted), TOKENS)
     else:  # too many to send along: all lines' tokens are joined to them
-        places = docs.select("text").mapInArrow(_places(None), PLACES).join(several, "leaf", "left_semi")
-    fixed = places.groupBy("leaf", "n", "place").agg((F.min("token") == F.max("token")).alias("same"))
-    return fixed.groupBy("leaf", "n").agg(F.count_if(~F.col("same")).alias("variable")).where(F.col("variable") <= F.floor(F.col("n") * VARIABLE)).select("leaf", F.lit(True).alias("general"))
+        lines = docs.select("text").mapInArrow(_tokens(None), TOKENS).join(several, "part", "left_semi")
+    lines = common.settled(lines.groupBy("own").agg(F.first("part").alias("part"), F.first("tokens").alias("tokens")), "line-tokens")
+    found = []
+    while True:
+        sizes = lines.groupBy("part").agg(F.count("*").alias("lines"), F.sum(F.size("tokens")).alias("size")).where("lines > 1")
+        sizes = common.settled(sizes.select("part", (F.col("size") > PART).alias("large")), "parts")
+        small = lines.join(sizes.where("not large"), "part", "left_semi").select("part", "own", "tokens")
+        found.append(small.groupBy("part").applyInArrow(_parted, AGREED))
+        if sizes.where("large").isEmpty():
+            break
+        large = common.settled(lines.join(F.broadcast(sizes.where("large")), "part", "left_semi"), "large-parts")
+        places = large.select("part", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+        places = places.groupBy("part", "n", "place", "token").agg(F.lit(1).alias("one")).groupBy("part", "n", "place").agg(F.count("*").alias("distinct")).where("distinct > 1")
+        ruled = places.groupBy("part", "n").agg(F.count("*").alias("variable"), F.min(F.struct("distinct", "place"))["place"].alias("place"))
+        ruled = common.settled(ruled.select("part", "place", (F.col("variable") <= F.floor(F.col("n") * VARIABLE)).alias("agrees")), "ruled-parts")
+        ruled_lines = large.join(F.broadcast(ruled), "part")
+        found.append(ruled_lines.where("agrees").select("own", F.col("part").alias("template")))
+        parted = F.xxhash64("part", "place", F.get("tokens", F.col("place")))
+        lines = common.settled(ruled_lines.where("not agrees").select("own", parted.alias("part"), "tokens"), "line-tokens")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, lines: for each row that loses lines, the masked lines' names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key("doc_id", "text").alias("doc"), "text")
     rows = common.settled(own.mapInArrow(_parsed, LINES), "lines")
-    general = common.settled(_general(docs, rows), "general-leaves")
-    templates = rows.select("leaf", "own").distinct().join(general, "leaf", "left").select("own", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("own")).alias("template"))
+    agreed = common.settled(_agreed(docs, rows), "agreed-lines")
+    templates = rows.select("own").distinct().join(agreed, "own", "left").select("own", F.coalesce("template", "own").alias("template"))
     templates = common.settled(templates, "templates")
     seen = rows.select("doc_id", "doc", "own").join(templates, "own")
     # Counting rows, not distinct keys, lets repeated rows count; a row's lines are distinct, its templates by max below.

@@ -90,6 +90,16 @@ def test_lines_of_the_table(spark):
     assert sorted(map(tuple, line_dedup.line_report(docs, 3).collect())) == sorted(brute_lines(rows, 3))
 
 
+@pytest.mark.parametrize("part", [1_000_000, 8])
+def test_outlier_in_a_leaf(spark, monkeypatch, part):
+    """Lines that share token count and lead with a template don't switch it off."""
+    monkeypatch.setattr(line_dedup, "PART", part)
+    rows = [(i, f"Read more stories about {a}{b} here\n{a}{b}") for i, (a, b) in enumerate((a, b) for a in "klmnop" for b in "aeiou")]
+    rows += [(50, "Read more stories from our archive"), (51, "Read more stories from our archive\nRead more stories by Ann today")]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(0 < i < 30) for i, _ in rows}
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_dedup.line_report(empty).collect() == [] and line_dedup.dedup_lines(empty).collect() == []

@@ -6,7 +6,11 @@ places becomes one template, with `<*>` where they differ; any other leaf is par
 tokens (the first of such), and its parts again, until a part agrees or is a single masked line. A template that occurs in at least `min_docs` documents is dropped everywhere but in the document with the smallest doc_id.
 Tasks parse lines and send names (64-bit hashes) of leaves and masked lines; Spark counts, joins and decides.
 
-Lines end at \n; blank lines and lines under `MIN_TOKENS` tokens have no template and stay. Defined cases: a null text
+Lines of fewer than `MIN_TOKENS` tokens, and lines of which less than half the tokens are free of digits (rows of tables),
+have no variable fields: only the same tokens in `min_docs` documents drop them.
+
+Lines end at \n; blank lines and lines under `min_tokens` tokens have no template and stay; op2 and the pipeline give
+every line of a token or more one. Defined cases: a null text
 stays null; a null doc_id counts as larger than any other; repeated rows count as documents of their own and lose or keep
 lines alike; an empty table gives an empty result; columns other than doc_id and text pass through `dedup_lines`
 untouched, whatever their names.
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MIN_DOCS, MIN_TOKENS, LEAD, VARIABLE = 5, 3, 3, 0.2
+MIN_DOCS, MIN_TOKENS, LEAD, VARIABLE, FIXED = 5, 3, 3, 0.2, 0.5
 #: Most leaves (8 bytes each) that are sent along with tasks; most tokens of a part that one task parts further.
 SMALL, PART = 500_000, 1_000_000
 _DIGIT = re.compile(rb"[0-9]")
@@ -38,10 +42,11 @@ EDITED = T.StructType([T.StructField("text", T.StringType()), T.StructField("los
 
 
 def masked(line: bytes) -> list[bytes]:
-    """A line's tokens, variable fields as `<*>`. bytes.split() parts at the code points that separate words here."""
+    """A line's tokens, variable fields as `<*>` where enough others are left. bytes.split() parts at the code points that separate words here."""
     tokens = line.split()
-    if _DIGIT.search(line):
-        return [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+    if len(tokens) >= MIN_TOKENS and _DIGIT.search(line):
+        some = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+        return some if some.count(b"<*>") <= (1 - FIXED) * len(some) else tokens
     return tokens
 
 
@@ -58,23 +63,27 @@ def leaf_of(tokens: list[bytes]) -> int:
     return _name(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(min_tokens: int):
     """doc_id, doc, leaf, own: distinct masked lines of each row."""
-    for batch in batches:
-        rows, leaves, owns = [], [], []
-        for k, text in enumerate(batch.column("text")):
-            if not text.is_valid:
-                continue
-            found = {}
-            for line in text.as_buffer().to_pybytes().split(b"\n"):
-                tokens = masked(line)
-                if len(tokens) >= MIN_TOKENS:
-                    found[own_of(tokens)] = leaf_of(tokens)
-            rows += [k] * len(found)
-            owns += found.keys()
-            leaves += found.values()
-        rows = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("doc").take(rows), pa.array(leaves, pa.int64()), pa.array(owns, pa.int64())], ["doc_id", "doc", "leaf", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaves, owns = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                if not text.is_valid:
+                    continue
+                found = {}
+                for line in text.as_buffer().to_pybytes().split(b"\n"):
+                    tokens = masked(line)
+                    if tokens and len(tokens) >= min_tokens:
+                        found[own_of(tokens)] = leaf_of(tokens)
+                rows += [k] * len(found)
+                owns += found.keys()
+                leaves += found.values()
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("doc").take(rows), pa.array(leaves, pa.int64()), pa.array(owns, pa.int64())], ["doc_id", "doc", "leaf", "own"])
+
+    return run
 
 
 def _tokens(wanted: np.ndarray | None):
@@ -87,7 +96,7 @@ def _tokens(wanted: np.ndarray | None):
             for text in batch.column("text"):
                 for line in text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else ():
                     tokens = masked(line)
-                    if int(len(tokens) * VARIABLE) < 1:
+                    if int(len(tokens) * VARIABLE) < 1 or _DIGIT.search(line) and b"<*>" not in tokens:
                         continue
                     leaf = leaf_of(tokens)
                     if some is not None and leaf not in some:
@@ -162,10 +171,10 @@ def _agreed(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc, lines: for each row that loses lines, the masked lines' names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key("doc_id", "text").alias("doc"), "text")
-    rows = common.settled(own.mapInArrow(_parsed, LINES), "lines")
+    rows = common.settled(own.mapInArrow(_parsed(min_tokens), LINES), "lines")
     agreed = common.settled(_agreed(docs, rows), "agreed-lines")
     templates = rows.select("own").distinct().join(agreed, "own", "left").select("own", F.coalesce("template", "own").alias("template"))
     templates = common.settled(templates, "templates")
@@ -194,29 +203,29 @@ def _edited(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "lost"])
 
 
-def _split_by_fate(docs: DataFrame, min_docs: int) -> tuple[DataFrame, Column, Column]:
+def _split_by_fate(docs: DataFrame, min_docs: int, min_tokens: int) -> tuple[DataFrame, Column, Column]:
     key = "__row_key"
-    lost = recurring(docs.select("doc_id", "text"), min_docs).select(F.col("doc").alias(key), F.col("lost").alias("__lost"))
+    lost = recurring(docs.select("doc_id", "text"), min_docs, min_tokens).select(F.col("doc").alias(key), F.col("lost").alias("__lost"))
     joined = docs.withColumn(key, common.row_key("doc_id", "text")).join(lost, key, "left")
     # Only texts that lose lines go to Python and back.
     joined = joined.withColumn("__edited", _edited(F.when(F.col("__lost").isNotNull(), F.col("text")), F.coalesce("__lost", F.array().cast("array<long>"))))
     return joined, F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.col("__edited.text")), F.coalesce("__edited.lost", F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with texts that lost their recurring lines; a document that lost all it had goes. All columns stay."""
-    joined, text, dropped = _split_by_fate(docs, min_docs)
+    joined, text, dropped = _split_by_fate(docs, min_docs, min_tokens)
     marked = joined.withColumn("__new", text).withColumn("__dropped", dropped)
     full = marked.where((F.col("__dropped") == 0) | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
     return full.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_md5 for each row; a null text has no lines."""
-    joined, text, dropped = _split_by_fate(docs.select("doc_id", "text"), min_docs)
+    joined, text, dropped = _split_by_fate(docs.select("doc_id", "text"), min_docs, min_tokens)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
     return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.md5(F.coalesce(text, F.lit(""))).alias("kept_md5"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_report(common.table(spark, sf_dir, "documents"))
+    return line_report(common.table(spark, sf_dir, "documents"), min_tokens=1)

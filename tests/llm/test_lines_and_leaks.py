@@ -100,6 +100,17 @@ def test_outlier_in_a_leaf(spark, monkeypatch, part):
     assert got == {i: int(0 < i < 30) for i, _ in rows}
 
 
+def test_short_lines_and_numbers(spark, tmp_path):
+    """Lines of one or two words go like any other; rows of numbers only where all their tokens recur."""
+    rows = [(i, f"Read more\n{i} {i + 7} {i * 3}\n1 2 3\nPage {i}\n0 0 0 0 {i}\nown{'x' * i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i == 0 else 2 for i, _ in rows}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_tokens=1).collect()}
+    assert left[7] == f"7 14 21\nPage 7\n0 0 0 0 7\nown{'x' * 7}"
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert line_dedup.line_report(empty).collect() == [] and line_dedup.dedup_lines(empty).collect() == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rostrum.functions import names
 from rostrum.operators.facets import best
@@ -29,16 +30,24 @@ def fuzzy_party(speeches: DataFrame, members: DataFrame, threshold: float = 0.85
 
 
 def similar_names(members: DataFrame, name: str = "speech_giver", threshold: float = 0.9, words: int = 3) -> DataFrame:
-    """name_a, name_b, similarity, ordered pairs of different names whose first words are similar. Pairs share a prefix
-    of the folded name or its last word, and their lengths and letters must allow the threshold."""
+    """name_a, name_b, similarity, ordered pairs of different names whose first words are similar. Similar names share at
+    least threshold / (2 - threshold) of the letters of either, so they share one of the rarest that remain without all but
+    one of these; what is joined on them must also allow the threshold by lengths and letters. No pair is lost."""
     short = names.first_words(F.col(name), words)
     keyed = members.select(F.col(name).alias("n"), short.alias("s")).where("n is not null").distinct()
-    fold = names.folded(F.col("s"))
-    blocks = keyed.select("n", "s", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.left(fold, F.lit(3))), F.concat(F.lit(">"), F.right(fold, F.lit(3)))))).alias("block"))
-    a, b = blocks.toDF("name_a", "s_a", "block"), blocks.toDF("name_b", "s_b", "block")
-    pairs = a.join(b, "block").where("name_a <> name_b").select("name_a", "s_a", "name_b", "s_b").distinct()
+    lower = keyed.select("n", "s", F.lower("s").alias("l")).where("l <> ''")
+    # A letter's second occurrence is another letter: what two names share is then the overlap of two sets.
+    letters = F.expr("transform(sequence(1, length(l)), i -> concat(substring(l, i, 1), length(left(l, i)) - length(replace(left(l, i), substring(l, i, 1), ''))))")
+    each = lower.select("n", "s", F.length("l").alias("size"), F.explode(letters).alias("letter"))
+    each = each.join(each.groupBy("letter").agg(F.count("*").alias("names")), "letter")
+    place = F.row_number().over(W.partitionBy("n").orderBy("names", "letter"))
+    needed = F.ceil(F.col("size") * threshold / (2 - threshold) - 1e-9)
+    blocks = each.withColumn("place", place).where(F.col("place") <= F.col("size") - needed + 1).select("n", "s", "letter")
+    a, b = blocks.toDF("name_a", "s_a", "letter"), blocks.toDF("name_b", "s_b", "letter")
+    pairs = a.join(b, "letter").where("name_a <> name_b")
     for bound in (names.length_bound, names.letters_bound):
-        pairs = pairs.where(bound(F.col("s_b"), F.col("s_a")) >= threshold)
+        pairs = pairs.where(bound(F.lower("s_b"), F.lower("s_a")) >= threshold - 1e-9)
+    pairs = pairs.select("name_a", "s_a", "name_b", "s_b").distinct()
     return pairs.withColumn("similarity", names.ratio("s_b", "s_a")).where(F.col("similarity") >= threshold).select("name_a", "name_b", "similarity")
 
 

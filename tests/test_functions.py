@@ -1,5 +1,8 @@
 """Documented examples of the functions, on tiny tables, and properties of the operators."""
 
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from rostrum.functions import dates, names, text
@@ -172,3 +175,23 @@ def test_close_names_find_all(spark):
     for most in (1, 2, 3):
         lev = df.select(F.col("n").alias("a")).crossJoin(df.select(F.col("n").alias("b"))).where("a < b").where(F.levenshtein("a", "b") <= most)
         assert {tuple(r) for r in enrich.close_names(df, "n", most).collect()} == {tuple(r) for r in lev.collect()}
+
+
+def test_similar_names_against_all_pairs(spark):
+    rnd = random.Random(5)
+    people = ["Mustafa Kemalettin Erdogan", "Mstafa Kemalettin Erdogn"]
+    for _ in range(40):
+        one = " ".join("".join(rnd.choices("abcdeiklmnrstuyzğışİ", k=rnd.randint(2, 9))) for _ in range(rnd.randint(1, 4)))
+        people.append(one)
+        for _ in range(2):
+            other = list(one)
+            for _ in range(rnd.randint(1, 3)):
+                other[rnd.choice([0, 1, -1, -2, rnd.randrange(len(other))])] = rnd.choice("abcdeikl")
+            people.append("".join(other))
+    people = sorted(set(people))
+    df = spark.createDataFrame([(p,) for p in people], "speech_giver string")
+    short = {p: " ".join(p.split()[:3]).lower() for p in people}
+    for threshold in (0.8, 0.9):
+        want = {(a, b) for a in people for b in people if a != b and SequenceMatcher(None, short[b], short[a]).ratio() >= threshold}
+        assert {(r["name_a"], r["name_b"]) for r in enrich.similar_names(df, threshold=threshold).collect()} == want
+    assert tuple(people[people.index(x)] for x in ("Mustafa Kemalettin Erdogan", "Mstafa Kemalettin Erdogn")) in want

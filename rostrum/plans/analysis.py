@@ -337,6 +337,12 @@ def f22(spark, d):
     return table(spark, d, "documents").select("doc_id", names.first_words(head).alias("head"), names.has_conjunction(head).alias("conj"))
 
 
+@query("F22_first_words_whole")
+def f22_whole(spark, d):
+    """Over whole texts; F22_first_words and its SQL see their first 200 characters."""
+    return table(spark, d, "documents").select("doc_id", names.first_words(F.col("text")).alias("head"), names.has_conjunction(F.col("text")).alias("conj"))
+
+
 @query("F23_similarity")
 def f23(spark, d):
     a, b = (table(spark, d, "part").select(F.col("p_name").alias(n)).distinct() for n in ("a", "b"))
@@ -348,6 +354,12 @@ def f24(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.left("text", F.lit(500)))).alias("folded"))
 
 
+@query("F24_folded_whole")
+def f24_whole(spark, d):
+    """Over whole texts; F24_folded and its SQL see their first 500 characters."""
+    return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.col("text"))).alias("folded"))
+
+
 @query("F25_filter_keywords", f"WITH {COMMA_SQL}, f AS (SELECT p_partkey, l, list_filter(l, lambda w: NOT (contains(w, 'ring') OR contains('ring', w) OR contains(w, 'red') OR contains('red', w))) AS g FROM k) SELECT p_partkey, array_to_string(CASE WHEN len(g) > 0 THEN g ELSE l END, ', ') AS k FROM f")
 def f25(spark, d):
     return _comma(spark, d).select("p_partkey", text.filter_keywords(F.col("k"), F.array(F.lit("Ring"), F.lit("RED"))).alias("k"))

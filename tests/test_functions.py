@@ -1,10 +1,12 @@
 """Documented examples of the functions, on tiny tables, and properties of the operators."""
 
+import hashlib
 import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from rostrum.functions import dates, names, text
 from rostrum.operators import cluster, drift, enrich, extract, facets, topics
 from rostrum.sources import files
@@ -195,3 +197,14 @@ def test_similar_names_against_all_pairs(spark):
         want = {(a, b) for a in people for b in people if a != b and SequenceMatcher(None, short[b], short[a]).ratio() >= threshold}
         assert {(r["name_a"], r["name_b"]) for r in enrich.similar_names(df, threshold=threshold).collect()} == want
     assert tuple(people[people.index(x)] for x in ("Mustafa Kemalettin Erdogan", "Mstafa Kemalettin Erdogn")) in want
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["a b  c d " + "x" * 600 + " ve Çağrı", "y" * 300 + " ile " + "z" * 300 + " Âî", "W" * 700, "ve", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = __spark_entry__.queries()
+    found = {r["doc_id"]: (r["head"], r["conj"]) for r in queries["F22_first_words_whole"](spark, str(tmp_path)).collect()}
+    assert found == {i: (" ".join(x.split()[:3]), bool({"ve", "ile"} & set(x.lower().split(" ")))) for i, x in enumerate(texts)}
+    fold = str.maketrans("çğıöşüâîûÇĞİÖŞÜÂÎÛI", "cgiosuaiucgiosuaiui")
+    got = {r["doc_id"]: r["folded"] for r in queries["F24_folded_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(x.translate(fold).lower().encode()).hexdigest() for i, x in enumerate(texts)}

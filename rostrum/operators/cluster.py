@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
@@ -15,18 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions.vectors import cosine, mean_vectors, scaled
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read again, so that loops keep short plans and survive lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from rostrum.sources.store import stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

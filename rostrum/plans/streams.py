@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from rostrum.operators import topics
 from rostrum.plans.registry import query
 from rostrum.sources.fixtures import speeches, table
+from rostrum.sources.store import fresh_path
 from rostrum.streaming import stream
 
 
 def _places(spark) -> tuple[str, str]:
     """A result and a checkpoint folder, in the shared store where the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rostrum-stream-")
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = fresh_path(spark, "stream")
     return f"{run}/out", f"{run}/checkpoint"
 
 

@@ -2,45 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.sources.store import fresh_path, shared_dir
+from rostrum.sources.store import stored as settled
+
 #: Code points that separate words everywhere in this subpackage (fixed values).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text whose share of a shuffle one task holds.
+PART_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,7 +45,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], body
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 21):
+def chunks(offsets: np.ndarray, size: int = 1 << 18):
     """Ranges [a, b) of documents that hold about `size` bytes; a longer document stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -76,6 +55,18 @@ def chunks(offsets: np.ndarray, size: int = 1 << 21):
         a = b
 
 
+def given_back() -> None:
+    """Returns the memory that Arrow keeps for later to the system, at the end of a task; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+
+
+def by_bytes(df: DataFrame, *columns: str) -> int:
+    """Shuffle partitions for work that holds a partition in memory: at least the session's, more if a partition would
+    hold over PART_BYTES of the columns' bytes."""
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0).cast("long")))).first()[0] or 0
+    return max(n_parts(df.sparkSession), -(-size // PART_BYTES))
+
+
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
@@ -89,4 +80,4 @@ def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-__all__ = ["WORD", "binary_column", "chunks", "clean_columns", "fresh_path", "n_parts", "packed", "row_key", "settled", "shared_dir", "table", "text_buffers", "F"]
+__all__ = ["WORD", "binary_column", "by_bytes", "chunks", "clean_columns", "given_back", "fresh_path", "n_parts", "packed", "row_key", "settled", "shared_dir", "table", "text_buffers", "F"]

@@ -15,8 +15,8 @@ under 35 words lose nothing; an empty table gives an empty result; columns other
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,9 @@ from . import common, hashing, repeats
 
 U = np.uint64
 LENGTH, ROUNDS = 35, 2
-PLACE = 28
+#: Words of a long text that are looked at together; bits of a key that hold a place among them.
+SEGMENT, PLACE = 1 << 16, 28
+SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 _NAMES = (np.random.default_rng(103).integers(0, 1 << 62, 4, dtype=np.uint64) << U(1)) | U(1)
 
 
@@ -35,6 +37,12 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names, firsts
 
 
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    names, *_ = hashing.words(data, np.array([0, len(data)]))
+    for at in range(0, len(names), SEGMENT):
+        yield names[at : at + SEGMENT]
+
+
 def recompressed(tokens: np.ndarray, firsts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after some rounds: name, words it spans, and the stretch [low, high) of words that its making looked at.
     A stretch that would need a word before the first or after the last of a document reaches beyond it."""
@@ -95,22 +103,26 @@ def _anchors(length: int):
 
 
 def scheme(length: int = LENGTH) -> repeats.Scheme:
-    return repeats.Scheme(length, _tokens, _anchors(length), anywhere=True)
+    return repeats.Scheme(length, _tokens, _parts, _anchors(length), anywhere=True)
+
+
+def without(text: bytes, stretches: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+    """Number of words, number removed, and the kept words joined by one space."""
+    spaced = SPACES.sub(b" ", text).strip(b" ")
+    gaps = np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32)
+    n = len(gaps) + 1 if spaced else 0
+    if not stretches:
+        return n, 0, spaced
+    begin, end = (lambda k: int(gaps[k - 1]) + 1 if k else 0), (lambda k: int(gaps[k - 1]) if k < n else len(spaced))
+    kept = [spaced[begin(a) : end(b)] for a, b in repeats.left_over(stretches, n)]
+    return n, sum(b - a for a, b in stretches), b" ".join(kept)
 
 
 def _kept(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[tuple[int, int, bytes]]]]:
     for batch in batches:
-        rows = []
-        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-            words = repeats.bytes_of(text).split()
-            runs, removed = runs.as_py(), 0
-            if runs:
-                gone = repeats.covered(runs, len(words), length)
-                removed = int(gone.sum())
-                rows.append((len(words), removed, b" ".join(compress(words, (~gone).tolist()))))
-            else:
-                rows.append((len(words), 0, b" ".join(words)))
-        yield batch.column("doc_id"), rows
+        pairs = zip(batch.column("text"), batch.column("runs"), strict=True)
+        yield batch.column("doc_id"), [without(repeats.bytes_of(text), repeats.covered(runs.as_py(), length)) for text, runs in pairs]
+    common.given_back()
 
 
 def dedup_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:

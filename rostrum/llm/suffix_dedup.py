@@ -4,7 +4,8 @@ Suffixes are ordered only as deep as the threshold (50 bytes), most significant
 is its anchor, the 16 bytes with the least hash among the window's 16-byte strings; windows under one anchor are
 neighbouring suffixes. The first pass deals suffixes into buckets by that digit and drops groups whose digit occurs in one
 document alone. The second pass orders what is left by the digit and the rest of the window; equal groups are exactly the
-repeated windows. Full 64-bit digits and 40-bit rests are compared, about 1e-13 odds of a false match for a pair.
+repeated windows. 40 bits of the digit's hash and 40 of the window's are compared within a bucket, about 1e-24 odds of a
+false match for a pair.
 
 Defined cases: a null text is empty; a null doc_id counts as larger than any other, and rows with equal doc_id don't
 remove from each other; repeated rows each get a row; texts under 50 bytes lose nothing; an empty table gives an empty
@@ -24,7 +25,7 @@ from . import common, hashing, repeats
 
 U = np.uint64
 LENGTH, DIGIT = 50, 16
-#: Bits of a key that hold a place; the rest orders digits. Places reach 2**28 bytes in one text.
+#: Bits of a key that hold a place; the rest orders digits. Places count within a segment, which is far shorter.
 PLACE = 28
 
 
@@ -32,6 +33,11 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashing.byte_tokens(data), offsets
 
 
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    for at in range(0, len(data), hashing.BLOCK):
+        yield hashing.byte_tokens(data[at : at + hashing.BLOCK])
+
+
 def _anchors(length: int, digit: int):
     def anchors(tokens: np.ndarray, firsts: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         digits = hashing.window_hashes(tokens, digit)
@@ -43,11 +49,11 @@ def _anchors(length: int, digit: int):
 
 
 def scheme(length: int = LENGTH) -> repeats.Scheme:
-    return repeats.Scheme(length, _tokens, _anchors(length, min(DIGIT, length)), anywhere=False)
+    return repeats.Scheme(length, _tokens, _parts, _anchors(length, min(DIGIT, length)), anywhere=False)
 
 
-def remaining(text: bytes, gone: np.ndarray) -> bytes:
-    return np.frombuffer(text, np.uint8)[~gone].tobytes()
+def remaining(text: bytes, stretches: list[tuple[int, int]]) -> bytes:
+    return b"".join(text[a:b] for a, b in repeats.left_over(stretches, len(text)))
 
 
 def _digests(length: int):
@@ -56,15 +62,12 @@ def _digests(length: int):
             rows = []
             for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 data = repeats.bytes_of(text)
-                runs = runs.as_py()
-                if runs:
-                    gone = repeats.covered(runs, len(data), length)
-                    rows.append((len(data), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), hashlib.sha256(remaining(data, gone)).hexdigest()))
-                else:
-                    rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
+                gone = repeats.covered(runs.as_py(), length)
+                rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(remaining(data, gone) if gone else data).hexdigest()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        common.given_back()
 
     return run
 
@@ -84,7 +87,7 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             texts = []
             for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 data = repeats.bytes_of(text)
-                texts.append(remaining(data, repeats.covered(runs.as_py(), len(data), length)).decode("utf-8", "replace"))
+                texts.append(remaining(data, repeats.covered(runs.as_py(), length)).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return repeats.with_repeats(docs, scheme(length)).mapInArrow(run, "doc_id long, text string")

@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from rostrum.llm import common, hashing, substring_dedup, suffix_dedup
+from rostrum.llm import common, hashing, repeats, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, runs int, names string"
 
@@ -134,3 +136,79 @@ def test_words_and_windows():
     assert [data[a:b].tobytes() for a, b in zip(s, e, strict=True)] == [b"a", b"bb", b"ccc", b"bb", b"a", b"a", b"bb"]
     assert firsts.tolist() == [0, 3, 3, 5, 7] and h[0] == h[4] == h[5] and h[1] == h[3] == h[6]
     assert [(a, b) for a, b in common.chunks(offsets, 9)] == [(0, 1), (1, 4)]
+
+
+def test_words_over_blocks(monkeypatch):
+    """Words that blocks cut keep their names, starts and ends, whatever the block."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices("aB \n", k=rnd.randint(0, 40))) for _ in range(60)] + ["x" * 300, " " * 50, "", "y" * 90 + " z"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    whole = hashing.words(data, offsets, lower=True)
+    for block in (1, 3, 7, 64):
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        assert all((x == y).all() for x, y in zip(whole, hashing.words(data, offsets, lower=True), strict=True))
+    assert [len(t.split()) for t in texts] == np.diff(whole[3]).tolist()
+
+
+def hot_rows():
+    """One passage of 70 bytes and 40 words in many contexts, so that its edges make very many units of one anchor."""
+    rnd = random.Random(8)
+    phrase = " ".join(f"k{i}" for i in range(40))
+    word = lambda: "".join(rnd.choices("abcdef", k=rnd.randint(2, 6)))
+    rows = [(i, " ".join([*(word() for _ in range(20)), phrase, *(word() for _ in range(20))])) for i in range(150)]
+    return rows + [(1000 + i, f"{word()} {word()} k7 k8 k9 k10 k11 k12 k13 {word()} {word()} {word()} {word()} {word()} {word()} {word()}") for i in range(150)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_hot_anchors(spark, monkeypatch, parts):
+    """Windows of hot anchors are dealt by content; the result stays the same."""
+    rows = hot_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    for batch, task in ((3, 1 << 30), (1 << 30, 5), (2, 2)):
+        monkeypatch.setattr(repeats, "HOT_BATCH", batch)
+        monkeypatch.setattr(repeats, "HOT_TASK", task)
+        batches = docs.select("doc_id", "text", (docs.doc_id + 7).alias("key")).toArrow().to_batches(max_chunksize=40)
+        for scheme, brute, kept in ((suffix_dedup.scheme(), brute_bytes(rows, 50), 2), (substring_dedup.scheme(), brute_words(rows, 35), 2)):
+            lost = local(scheme, batches, 5)
+            got = {k - 7: sum(b - a for a, b in repeats.covered(v, scheme.length)) for k, v in lost.items()}
+            assert {i: got.get(i, 0) for i, _ in rows} == {r[0]: r[kept] for r in brute}
+
+
+def local(scheme, batches, buckets):
+    """What the Spark side does, on one list of batches: key and runs."""
+    dealt = lambda made: [pa.Table.from_batches([b for b in made]).filter(pc.equal(pc.field("route"), r)).to_batches() for r in range(buckets)]
+    told = [x for part in dealt(list(repeats._send_names(scheme, buckets)(iter(batches)))) for x in repeats._judge_names(scheme, buckets)(iter(part))]
+    fates = pa.Table.from_batches([x for part in dealt(told) if part for x in repeats._gather_fates(iter(part))])
+    rows = pa.Table.from_batches(batches).join(fates, "key", join_type="inner")
+    sent = list(repeats._send_windows(scheme, buckets)(iter(rows.combine_chunks().to_batches(max_chunksize=40))))
+    lost = {}
+    for part in dealt(sent):
+        for x in repeats._judge_windows(scheme)(iter(part)):
+            for k, v in zip(x.column("key").to_pylist(), x.column("runs").to_pylist(), strict=True):
+                lost.setdefault(k, []).append(v)
+    return lost
+
+
+def test_long_texts_in_segments(spark, monkeypatch):
+    """Texts longer than a segment give the same result."""
+    monkeypatch.setattr(hashing, "BLOCK", 120)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 50)
+    monkeypatch.setattr(common.chunks, "__defaults__", (120,))
+    rows = [(i if i is not None else 5000 + k, t or "") for k, (i, t, *_) in enumerate(corpus(11, 40))]
+    rows = [(k, i, t) for k, (i, t) in enumerate(rows)]
+    batches = pa.table({"key": [k for k, _, _ in rows], "doc_id": [i for _, i, _ in rows], "text": [t for *_, t in rows]}).to_batches(max_chunksize=9)
+    for scheme, brute in ((suffix_dedup.scheme(), brute_bytes([(i, t) for _, i, t in rows], 50)), (substring_dedup.scheme(), brute_words([(i, t) for _, i, t in rows], 35))):
+        lost = local(scheme, batches, 3)
+        assert [sum(b - a for a, b in repeats.covered(lost.get(k), scheme.length)) for k, _, _ in rows] == [r[2] for r in brute]
+
+
+def test_very_long_texts(spark):
+    """Texts of 50 MB: a later one that holds a copy of the first loses just that."""
+    words = " ".join(f"{i:07d}" for i in range(6_500_000))
+    docs = spark.createDataFrame([(1, words), (2, "start " + words[: 30_000_000] + " end")], "doc_id long, text string")
+    assert len(words) > 50_000_000
+    got = {r.doc_id: r for r in suffix_dedup.dedup_bytes(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_bytes == 30_000_010 and got[2].n_spans == 1 and 30_000_000 <= got[2].n_removed <= 30_000_002
+    got = {r.doc_id: r for r in substring_dedup.dedup_words(docs).collect()}
+    assert got[1].n_words == 6_500_000 and got[1].n_removed == got[2].n_removed == 30_000_000 // 8

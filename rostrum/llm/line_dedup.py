@@ -34,6 +34,8 @@ from . import common
 MIN_DOCS, MIN_TOKENS, LEAD, VARIABLE, FIXED = 5, 3, 3, 0.2, 0.5
 #: Most leaves (8 bytes each) that are sent along with tasks; most tokens of a part that one task parts further.
 SMALL, PART = 500_000, 1_000_000
+#: Tokens that a task collects before it sends them.
+FLUSH = 1 << 17
 _DIGIT = re.compile(rb"[0-9]")
 LINES = "doc_id long, doc long, leaf long, own long"
 TOKENS = "part long, own long, tokens array<long>"
@@ -82,37 +84,52 @@ def _parsed(min_tokens: int):
                 leaves += found.values()
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("doc").take(rows), pa.array(leaves, pa.int64()), pa.array(owns, pa.int64())], ["doc_id", "doc", "leaf", "own"])
+        common.given_back()
 
     return run
 
 
 def _tokens(wanted: np.ndarray | None):
-    """part, own, tokens: lines in the wanted leaves, or in all leaves, that are long enough for a variable place."""
+    """part, own, tokens: lines in the wanted leaves (sorted), or in all leaves, that are long enough for a variable
+    place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = None if wanted is None else frozenset(wanted.tolist())
         for batch in batches:
-            seen, leaves, sizes, tokens_ = {}, [], [], []
+            seen, rows, size = set(), [], 0
             for text in batch.column("text"):
                 for line in text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else ():
                     tokens = masked(line)
                     if int(len(tokens) * VARIABLE) < 1 or _DIGIT.search(line) and b"<*>" not in tokens:
                         continue
                     leaf = leaf_of(tokens)
-                    if some is not None and leaf not in some:
+                    if wanted is not None and not _holds(wanted, leaf):
                         continue
                     own = own_of(tokens)
                     if own not in seen:
-                        seen[own] = None
-                        leaves.append(leaf)
-                        sizes.append(len(tokens))
-                        tokens_ += map(_name, tokens)
-            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(list(seen), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(tokens_, pa.int64()))], ["part", "own", "tokens"])
+                        seen.add(own)
+                        rows.append((leaf, own, np.fromiter(map(_name, tokens), np.int64, len(tokens))))
+                        size += len(tokens)
+                if size > FLUSH:
+                    yield _token_batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _token_batch(rows)
+        common.given_back()
 
     return run
 
 
+def _holds(wanted: np.ndarray, x: int) -> bool:
+    at = wanted.searchsorted(x)
+    return bool(at < len(wanted) and wanted[at] == x)
+
+
+def _token_batch(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    leaves, owns, tokens = zip(*rows, strict=True)
+    ends = pa.array(np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(owns, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))], ["part", "own", "tokens"])
+
+
 def _parted(group: pa.Table) -> pa.Table:
     """own, template: lines of parts of a part that agree."""
     own = group.column("own").to_numpy()
@@ -143,7 +160,7 @@ def _agreed(docs: DataFrame, rows: DataFrame) -> DataFrame:
     several = rows.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("several")).where("several").select(F.col("leaf").alias("part"))
     several = common.settled(several, "leaves")
     if several.count() <= SMALL:
-        wanted = np.array([r["part"] for r in several.collect()], np.int64)
+        wanted = np.sort(np.array([r["part"] for r in several.collect()], np.int64))
         lines = docs.select("text").mapInArrow(_tokens(wanted), TOKENS)
     else:  # too many to send along: all lines' tokens are joined to them
         lines = docs.select("text").mapInArrow(_tokens(None), TOKENS).join(several, "part", "left_semi")

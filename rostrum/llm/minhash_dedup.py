@@ -35,6 +35,8 @@ PERCENT = 75
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
+#: Shingles that are hashed together; bytes of sets that a batch of rows holds.
+SLICE, SET_BYTES = 1 << 17, 4 << 20
 #: Odds that two registers of unrelated sets agree: about 2 ** -MANTISSA times 1.4 for like sizes; measured on pairs of
 #: disjoint sets.
 COLLISION = 1.4 / (1 << MANTISSA)
@@ -50,6 +52,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.diff(firsts)
     many = np.maximum(n - WORDS + 1, 0)
     windows = hashing.window_hashes(names, WORDS)
+    if len(n) == 1 and len(windows):  # one long text
+        value = np.unique(windows)
+        return value, np.array([0, len(value)])
     whole = windows[hashing.ranges(firsts[:-1], many)]
     doc = np.repeat(np.arange(len(n)), many)
     few = np.flatnonzero((n > 0) & (n < WORDS))
@@ -71,11 +76,14 @@ def _fold(names: np.ndarray) -> np.uint64:
 
 def registers(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """HyperMinHash registers, a row of REGISTERS 16-bit numbers for each non-empty range of value."""
-    out = np.zeros((len(starts), REGISTERS), np.uint16)
-    for k in range(REGISTERS):
-        least = np.minimum.reduceat((value ^ _FLIP[k]) * _MULTIPLY[k], starts)
-        out[:, k] = compressed(least)
-    return out
+    least = np.full((REGISTERS, len(starts)), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(value), SLICE):  # a slice of the values, and the ranges that have part in it
+        part = value[at : at + SLICE]
+        a, b = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(part))
+        begins = np.maximum(starts[a:b] - at, 0)
+        for k in range(REGISTERS):
+            np.minimum(least[k, a:b], np.minimum.reduceat((part ^ _FLIP[k]) * _MULTIPLY[k], begins), out=least[k, a:b])
+    return np.stack([compressed(x) for x in least], axis=1)
 
 
 def compressed(x: np.ndarray) -> np.ndarray:
@@ -97,7 +105,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = common.text_buffers(batch.column("text"))
         counts, classes, sketches = [], [], []
-        for a, b in common.chunks(offsets, 1 << 20):
+        for a, b in common.chunks(offsets):
             value, firsts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             n = np.diff(firsts)
             some = np.flatnonzero(n)
@@ -113,6 +121,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches += made
         if sketches:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.concatenate(counts)), pa.array(np.concatenate(classes)), pa.array(sketches, pa.binary())], ["key", "n_shingles", "class", "sketch"])
+    common.given_back()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,23 +148,42 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = common.text_buffers(batch.column("text"))
-        blobs = []
+        blobs, size, at = [], 0, 0
         for a, b in common.chunks(offsets):
             value, firsts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             blobs += [common.packed(value[i:j]) for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("class"), common.binary_column(blobs)], ["class", "set"])
+            size += value.nbytes
+            if size > SET_BYTES or b == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("class")[at:b], common.binary_column(blobs)], ["class", "set"])
+                blobs, size, at = [], 0, b
+    common.given_back()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
-        own = np.repeat(batch.column("class").to_numpy(), [len(x) for x in sets])
-        token = np.concatenate(sets or [np.zeros(0, np.int64)])
-        for i in range(0, len(own), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 500_000]), pa.array(token[i : i + 500_000])], ["class", "token"])
-
-
-def linked(a: bytes, b: bytes) -> bool:
+        for own, found in zip(batch.column("class").to_pylist(), batch.column("set"), strict=True):
+            token = np.frombuffer(found.as_buffer(), np.int64)
+            for i in range(0, len(token), 500_000):
+                yield token[i : i + 500_000], own
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, token: a row for each member of the sets."""
+    tokens, owns, size = [], [], 0
+    rows = lambda: pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(owns, np.int64), [len(x) for x in tokens])), pa.array(np.concatenate(tokens))], ["class", "token"])
+    for token, own in _tokens(batches):
+        tokens.append(token)
+        owns.append(own)
+        size += len(token)
+        if size > 200_000:
+            yield rows()
+            tokens, owns, size = [], [], 0
+    if tokens:
+        yield rows()
+    common.given_back()
+
+
+def linked(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
@@ -163,8 +191,9 @@ def linked(a: bytes, b: bytes) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [linked(a.as_py(), b.as_py()) for a, b in zip(batch.column("set_u"), batch.column("set_v"), strict=True)]
+        keep = [linked(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column("set_u"), batch.column("set_v"), strict=True)]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    common.given_back()
 
 
 class Classes:
@@ -210,7 +239,7 @@ def _prefix_pairs(classes: Classes, torn: DataFrame) -> DataFrame:
     With shingles in one order, rarest first, two sets that reach it share a shingle among the first n - 0.75 n + 1 of
     each. At the first one they share, what is left of either set bounds what both can share; pairs under the needed
     overlap are not made. Edits make rare shingles, so copies that differ too much share none this early."""
-    tokens = classes.sets(torn.select("class")).mapInArrow(_tokens, "class long, token long")
+    tokens = classes.sets(torn.select("class")).mapInArrow(_token_rows, "class long, token long")
     common_ = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = W.partitionBy("class").orderBy("df", "token")
     ranked = tokens.join(common_, "token").withColumn("at", F.row_number().over(order) - 1).where("df > 1")
@@ -277,7 +306,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     keep = first.select(F.col("best.key").alias("__row_key")).union(rows.where("root is null").select(F.col("key").alias("__row_key")).distinct())
     keep = common.settled(keep, "representatives")
     own = common.row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    return docs.withColumn("__row_key", own).join(keep, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
+    keyed = docs.select(own.alias("key"), F.struct(*docs.columns).alias("row"))
+    kept = keyed.join(keep.withColumnRenamed("__row_key", "key"), "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

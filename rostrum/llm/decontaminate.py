@@ -9,10 +9,11 @@ least threshold are skipped, the rest are scored in full. An item that scores en
 most of its question's five-token shingles (the first two thirds of its tokens) and most of its answer's tokens (the
 rest). Nothing is cut off: all passages, and all items above their threshold, are looked at.
 
-Items are indexed in groups of at most GROUP_BYTES of text, one pass over the documents for each, so that what a task
-holds is bounded however large the benchmark is.
+Document frequencies, the mean length and the stride are those of all items. Items are indexed in groups of about
+GROUP_BYTES of text, one pass over the documents for each, so that what a task holds is bounded however large the benchmark
+is; the groups don't change the result.
 
-Defined cases: null or blank items match nothing; a null text has no passages; repeated rows each get their result; empty
+Defined cases: null or blank items match nothing, nor do items of one token, which have no answer to verify; a null text has no passages; repeated rows each get their result; empty
 tables give an empty result or no hits; columns other than doc_id and text (item_id and text) are ignored.
 """
 
@@ -22,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +52,33 @@ def _shingles(tokens: list, n: int = SHINGLE) -> set:
     return {tuple(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))} if tokens else set()
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, mean and greatest length in tokens, and the number of items that hold a term."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, split: list[list[str]]) -> Statistics:
+        return cls(len(split), sum(map(len, split)) / max(1, len(split)), max(map(len, split), default=0), Counter(w for t in split for w in set(t)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
+        """whole: the statistics of all items, of which items may be a part."""
         split = [(i, tokens_of(t)) for i, t in items]
-        split = [(i, t) for i, t in split if t]
+        split = [(i, t) for i, t in split if len(t) > 1]
         self.ids = [i for i, _ in split]
         self.tokens = [t for _, t in split]
-        self.stride = max([STRIDE, *map(len, self.tokens)])
-        n, mean = len(split), sum(map(len, self.tokens)) / max(1, len(split))
-        df = Counter(w for t in self.tokens for w in set(t))
-        self.term = {w: k for k, w in enumerate(sorted(df))}
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        whole = whole or Statistics.of(self.tokens)
+        self.stride = max(STRIDE, whole.longest)
+        n, mean = len(split), whole.mean
+        df = sorted({w for t in self.tokens for w in t})
+        self.term = {w: k for k, w in enumerate(df)}
+        idf = {w: math.log(1 + (whole.n - whole.df[w] + 0.5) / (whole.df[w] + 0.5)) for w in df}
         self.gain: list[dict[str, float]] = []
         for t in self.tokens:
             norm = K1 * (1 - B + B * len(t) / mean)
@@ -78,8 +96,7 @@ class Index:
         postings.sort()
         self.p_item = np.array([k for _, k, _ in postings], np.int64)
         self.p_gain = np.array([x for *_, x in postings], np.float64)
-        words = sorted(df)
-        self.essential = {words[w]: w for w, *_ in postings}
+        self.essential = {df[w]: w for w, *_ in postings}
         self.first = np.searchsorted([w for w, *_ in postings], np.arange(len(self.term) + 1)) if postings else np.zeros(len(self.term) + 1, np.int64)
         # Block maxima: a term's best gain in each block of items.
         blocks: dict[tuple[int, int], float] = {}
@@ -146,6 +163,7 @@ def _hits(index: Index):
                     keys.append(all_keys[at + k])
                     items.append(index.ids[found])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], ["key", "item_id"])
+        common.given_back()
 
     return run
 
@@ -172,16 +190,32 @@ def _found(index: Index, texts: list[str]) -> set[tuple[int, int]]:
     return {(k, item) for p, item in pairs for k, words in [passage(p)] if index.confirmed(item, words)}
 
 
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        split = [tokens_of(t.as_py()) for t in batch.column("text")]
+        kept = [len(t) > 1 for t in split]
+        distinct = pa.array([sorted(set(t)) for t, k in zip(split, kept, strict=True) if k], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([len(t) for t in split if len(t) > 1], pa.int64()), pa.array([i for i, k in zip(batch.column("item_id").to_pylist(), kept, strict=True) if k], pa.int64()), distinct], ["size", "item_id", "terms"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key (row_key of doc_id and text), item_id for each item that a document holds."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(size / GROUP_BYTES))
     own = docs.select(common.row_key("doc_id", "text").alias("key"), "text").where("text is not null")
-    found = None
+    group, whole, found = F.pmod(F.xxhash64("item_id"), F.lit(groups)), None, None
+    if groups > 1:
+        terms = common.settled(items.mapInArrow(_item_tokens, "size long, item_id long, terms array<string>"), "item-terms")
+        each = terms.select(group.alias("group"), F.explode("terms").alias("term"))
+        df = common.settled(each.groupBy("term").agg(F.count("*").alias("df")), "item-df")
+        n, mean, longest = terms.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0)), F.coalesce(F.max("size"), F.lit(0))).first()
     for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g) if groups > 1 else items
-        index = Index(sorted((r["item_id"], r["text"]) for r in part.where("item_id is not null").collect()))
+        part = items.where(group == g) if groups > 1 else items
+        if groups > 1:
+            held = df.join(each.where(F.col("group") == g).select("term").distinct(), "term").collect()
+            whole = Statistics(n, mean, longest, {r["term"]: r["df"] for r in held})
+        index = Index(sorted((r["item_id"], r["text"]) for r in part.collect()), whole)
         hits = own.mapInArrow(_hits(index), "key long, item_id long")
         found = hits if found is None else found.union(hits)
     return found.distinct()
@@ -198,9 +232,9 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a test item; all columns stay."""
-    key = "__row_key"
-    bad = common.settled(leaks(docs, benchmark).select(F.col("key").alias(key)).distinct(), "leaks")
-    return docs.withColumn(key, common.row_key("doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)
+    bad = common.settled(leaks(docs, benchmark).select("key").distinct(), "leaks")
+    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(bad, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Only text and non-null lang of documents whose crc32(doc_id as text) mod 5 is no
 
 Defined cases: a null text, or one without letters, is `und` with score 0, as is every text when nothing can be learned;
 a null doc_id is neither held out nor learned from; repeated rows each get a row; an empty table gives an empty result;
-columns other than doc_id, text and lang are ignored. More than MAX_LANGS languages raise ValueError.
+columns other than doc_id, text and lang are ignored. Any number of languages may stand in the table; those that the sample
+drew can be predicted, and with more than WIDE of them n-grams share features, so that the weights keep their size.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 16
-FEATURES = 1 << BITS
 ORDERS = 3
-MAX_LANGS = 256
+#: Most languages that the weights hold at the full number of features; most rows of a table that is sent along with tasks.
+WIDE, SENT = 256, 10_000
 UND = "und"
 #: Expected number of sampled training documents over all languages, and the part of them that fits the temperature.
 SAMPLE, CALIBRATION, SHARDS, EPOCHS = 6000, 0.2, 4, 3
@@ -42,7 +43,7 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x33480)), bool, 0x33480)
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Hashed n-grams of a text, one for each place; empty if it has no letters."""
     if not text:
         return np.zeros(0, np.int64)
@@ -64,16 +65,16 @@ def features(text: str | None) -> np.ndarray:
             nxt = code[k : len(code) - n + k]
             h = h * np.uint64(0x100000001B3) + nxt
             some |= nxt != 0
-        out.append(((h[some] * _ODD[n]) >> np.uint64(64 - BITS)).astype(np.int64))
+        out.append(((h[some] * _ODD[n]) >> np.uint64(64 - bits)).astype(np.int64))
     return np.concatenate(out)
 
 
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's TF-IDF vector of length 1 (1 + log of counts)."""
-    found = features(text)
+    found = features(text, len(idf).bit_length() - 1)
     if not len(found):
         return found, np.zeros(0)
-    counts = np.bincount(found, minlength=FEATURES)
+    counts = np.bincount(found, minlength=len(idf))
     index = np.flatnonzero(counts)
     value = (1 + np.log(counts[index])) * idf[index]
     norm = np.sqrt(value @ value)
@@ -92,19 +93,22 @@ class Model:
         return value @ self.weights[index] if len(index) else None
 
 
-def _doc_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, n = np.zeros(FEATURES, np.int64), 0
-    for batch in batches:
-        for text in batch.column("text"):
-            found = features(text.as_py())
-            seen += np.bincount(found, minlength=FEATURES) > 0
-            n += 1
-    index = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, index].astype(np.int32)), pa.array(np.r_[n, seen[index]])], ["feature", "df"])
+def _doc_frequencies(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(1 << bits, np.int64), 0
+        for batch in batches:
+            for text in batch.column("text"):
+                seen += np.bincount(features(text.as_py(), bits), minlength=1 << bits) > 0
+                n += 1
+        index = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, index].astype(np.int32)), pa.array(np.r_[n, seen[index]])], ["feature", "df"])
+        common.given_back()
+
+    return run
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int) -> np.ndarray:
-    z, n = np.zeros((FEATURES, n_langs)), np.zeros((FEATURES, n_langs))
+def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, n_features: int = 1 << BITS) -> np.ndarray:
+    z, n = np.zeros((n_features, n_langs)), np.zeros((n_features, n_langs))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -144,22 +148,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     on; document frequencies cover all."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     train = docs.select("doc_id", "text", "lang").where((rest != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_lang = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
-    if len(by_lang) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = sorted(by_lang)
+    counts = common.settled(train.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n_langs = counts.count()
+    if not n_langs:
+        return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)))
+    unit = (F.xxhash64("doc_id", F.lit(29)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+    labelled = train.withColumn("unit", unit).join(F.broadcast(counts) if n_langs <= SENT else counts, "lang")
+    drawn = labelled.where(F.col("unit") < F.least(F.lit(1.0), F.lit(sample / n_langs) / F.col("n"))).select(F.xxhash64("doc_id", F.lit(31)).alias("own"), "lang", "text")
+    drawn = common.settled(drawn, "langid-texts")
+    langs = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())
+    number, n_langs = {k: i for i, k in enumerate(langs)}, len(langs)
     if not langs:
-        return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)))
-    df = train.select("text").mapInArrow(_doc_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
-    idf, n = np.zeros(FEATURES), max(1, int(df.loc[df.feature == -1, "df"].sum()))
+        return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)))
+    bits = max(8, BITS - max(0, (n_langs - 1).bit_length() - (WIDE - 1).bit_length()))
+    df = train.select("text").mapInArrow(_doc_frequencies(bits), "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()
+    idf, n = np.zeros(1 << bits), max(1, int(df.loc[df.feature == -1, "df"].sum()))
     df = df[df.feature >= 0]
     idf[df.feature] = np.log((1 + n) / (1 + df.df)) + 1
 
-    unit = (F.xxhash64("doc_id", F.lit(29)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-    share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample / len(langs) / by_lang[k])))]), F.col("lang"))
-    drawn = train.withColumn("unit", unit).where(F.col("unit") < share).withColumn("own", F.xxhash64("doc_id", F.lit(31)))
-    number = {k: i for i, k in enumerate(langs)}
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [vector(t.as_py(), idf) for t in batch.column("text")]
@@ -167,23 +173,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 [batch.column("own"), pa.array([number[x] for x in batch.column("lang").to_pylist()], pa.int32()), pa.array([common.packed(i.astype(np.int32)) for i, _ in made], pa.binary()), pa.array([common.packed(v) for _, v in made], pa.binary())],
                 ["own", "lang", "index", "value"],
             )
+        common.given_back()
 
-    vectored = drawn.select("own", "lang", "text").mapInArrow(vectors, "own long, lang int, index binary, value binary")
-    vectored = common.settled(vectored, "langid-sample")
+    vectored = common.settled(drawn.mapInArrow(vectors, "own long, lang int, index binary, value binary"), "langid-sample")
     kept_out = F.pmod(F.col("own"), F.lit(1000)) < int(CALIBRATION * 1000)
-    n_langs = len(langs)
 
     def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["own", "lang"])
         examples = [(np.frombuffer(i, np.int32), np.frombuffer(v), int(k)) for i, v, k in zip(pdf["index"], pdf["value"], pdf["lang"], strict=True) if len(i)]
-        w = ftrl(examples, n_langs)
+        w = ftrl(examples, n_langs, 1 << bits)
         feature, lang = np.nonzero(w)
         return pd.DataFrame({"feature": feature.astype(np.int32), "lang": lang.astype(np.int32), "weight": w[feature, lang], "n": 1})
 
     fitted = vectored.where(~kept_out).withColumn("shard", F.pmod(F.xxhash64("own"), F.lit(SHARDS)))
     shards = max(1, fitted.select("shard").distinct().count())
     found = fitted.groupBy("shard").applyInPandas(train_shard, "feature int, lang int, weight double, n int").groupBy("feature", "lang").agg(F.sort_array(F.collect_list("weight")).alias("w")).toPandas()
-    weights = np.zeros((FEATURES, n_langs))
+    weights = np.zeros((1 << bits, n_langs))
     if len(found):
         weights[found.feature, found.lang] = [sum(w) / shards for w in found.w]
     model = Model(langs, idf, weights)
@@ -216,6 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     said.append(langs[k])
                     score.append(float(p[k] / p.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        common.given_back()
 
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "text")

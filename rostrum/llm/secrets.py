@@ -31,9 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----([^-]+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*((?:[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([^-]+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: A run of token letters is looked at once, from its start, so the time grows with the text alone.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+OPENSSH = b"openssh-key-v1\0"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 
 
@@ -78,24 +80,44 @@ def is_der_key(data: bytes) -> bool:
         return True
     if tags[:2] == [0x02, 0x04] and inner[0][2] - inner[0][1] == 1:  # elliptic curve key
         return True
-    algorithm = inner[1] if tags[:3] == [0x02, 0x30, 0x04] else inner[0] if tags == [0x30, 0x03] else None
+    sealed = tags == [0x30, 0x04] and inner[1][2] - inner[1][1] >= 32  # an encrypted key
+    algorithm = inner[1] if tags[:3] == [0x02, 0x30, 0x04] else inner[0] if tags == [0x30, 0x03] or sealed else None
     if algorithm is None:
         return False
     names = _elements(data, algorithm[1], algorithm[2])
     return bool(names) and names[0][0] == 0x06
 
 
+def _fields(data: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """n length-prefixed fields from `at` on, or as many as fill the bytes, and where they end; None if one doesn't fit."""
+    out: list[bytes] = []
+    while len(out) < n if n is not None else at < len(data):
+        if at + 4 > len(data):
+            return None
+        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if size > len(data) - at:
+            return None
+        out.append(data[at : at + size])
+        at += size
+    return out, at
+
+
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
+    """Whether the bytes are a public key of a known kind, or a private key file: cipher, derivation and its options, the
+    number of keys, that many public keys, and the private part, which ends the file."""
+    if data.startswith(OPENSSH):
+        head = _fields(data, len(OPENSSH), 3)
+        if head is None or head[1] + 4 > len(data):
             return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0] in SSH_KINDS
+        n = int.from_bytes(data[head[1] : head[1] + 4], "big")
+        rest = _fields(data, head[1] + 4, n + 1) if 1 <= n <= len(data) // 4 else None
+        return rest is not None and rest[1] == len(data) and all(map(_is_public, rest[0][:-1])) and len(rest[0][-1]) % 8 == 0
+    return _is_public(data)
+
+
+def _is_public(data: bytes) -> bool:
+    found = _fields(data, 0)
+    return found is not None and len(found[0]) >= 2 and found[0][0] in SSH_KINDS
 
 
 def _decoded(text: str, url: bool = False) -> bytes | None:
@@ -141,7 +163,9 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             more.append((kind, *m.span()))
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if _kind_of(_decoded(re.sub(r"\s", "", m[1]))):
+            data = _decoded(re.sub(r"\s", "", m[2]))
+            # With headers that name a cipher, the body is encrypted and fills whole cipher blocks.
+            if _kind_of(data) or data and "ENCRYPTED" in m[1] and "DEK-Info:" in m[1] and len(data) % 8 == 0:
                 more.append(("pem", *m.span()))
     if "eyJ" in text:
         more += [("jwt", *m.span()) for m in JWT.finditer(text) if _is_token(m[0])]
@@ -162,6 +186,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         columns = list(zip(*out, strict=True)) if out else [()] * 6
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
+    common.given_back()
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

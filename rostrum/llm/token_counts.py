@@ -4,7 +4,8 @@ Content digests and the tokenizer's version digest are joined to stored counts;
 lacks are encoded, and their counts are appended to it.
 
 Defined cases: a null text counts as empty (0 tokens); repeated rows each get a row; an empty table gives an empty
-result; columns other than doc_id and text are ignored. A text has no size limit.
+result; columns other than doc_id and text are ignored. A text has no size limit. Content is normalised before its digest
+only as far as the tokenizer does so itself: white space at the ends goes where the tokenizer drops white space.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     if cache_path is None or not _exists(spark, path):
         spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.btrim("text", F.lit(" \t\r\n")), 256)))
+    content = F.btrim("text", F.lit(" \t\r\n")) if tokenizer_path.endswith(".json") and _drops_space(tokenizer_path) else F.col("text")
+    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2(content, 256)))
 
     def stored() -> DataFrame:
         mine = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version)

@@ -32,17 +32,12 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return loose.limit(1).count() == 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (any order, loops allowed). Returns node, root: the least node that is reachable, for every node with
-    an edge to another. Stops when every component is a star round its
-    least node; both ends of a hot node are joined by splittable joins, and
-    each round's table is written to shared storage."""
+    an edge to another. Rounds go on until every component is a star round its least node, which each round comes nearer
+    to; both ends of a hot node are joined by splittable joins, and each round's table is written to shared storage."""
     current = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = common.settled(current, "edges")
-    for _ in range(rounds):
-        if _is_star_forest(current):
-            break
+    while not _is_star_forest(current):
         current = common.settled(_small_star(_large_star(current)), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,28 +220,29 @@ def _edited(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "lost"])
 
 
-def _split_by_fate(docs: DataFrame, min_docs: int, min_tokens: int) -> tuple[DataFrame, Column, Column]:
-    key = "__row_key"
-    lost = recurring(docs.select("doc_id", "text"), min_docs, min_tokens).select(F.col("doc").alias(key), F.col("lost").alias("__lost"))
-    joined = docs.withColumn(key, common.row_key("doc_id", "text")).join(lost, key, "left")
+def _split_by_fate(docs: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
+    """row (all columns of docs), text (what is left of it), dropped (lines lost)."""
+    lost = recurring(docs.select("doc_id", "text"), min_docs, min_tokens).select(F.col("doc").alias("key"), "lost")
+    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+    joined = keyed.join(lost, "key", "left").select("row", F.col("row").getField("text").alias("text"), "lost")
     # Only texts that lose lines go to Python and back.
-    joined = joined.withColumn("__edited", _edited(F.when(F.col("__lost").isNotNull(), F.col("text")), F.coalesce("__lost", F.array().cast("array<long>"))))
-    return joined, F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.col("__edited.text")), F.coalesce("__edited.lost", F.lit(0))
+    joined = joined.withColumn("edited", _edited(F.when(F.col("lost").isNotNull(), F.col("text")), F.coalesce("lost", F.array().cast("array<long>"))))
+    return joined.select("row", F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.col("edited.text")).alias("text"), F.coalesce("edited.lost", F.lit(0)).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with texts that lost their recurring lines; a document that lost all it had goes. All columns stay."""
-    joined, text, dropped = _split_by_fate(docs, min_docs, min_tokens)
-    marked = joined.withColumn("__new", text).withColumn("__dropped", dropped)
-    full = marked.where((F.col("__dropped") == 0) | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    return full.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    marked = _split_by_fate(docs, min_docs, min_tokens)
+    full = marked.where((F.col("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return full.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_md5 for each row; a null text has no lines."""
-    joined, text, dropped = _split_by_fate(docs.select("doc_id", "text"), min_docs, min_tokens)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.md5(F.coalesce(text, F.lit(""))).alias("kept_md5"))
+    marked = _split_by_fate(docs.select("doc_id", "text"), min_docs, min_tokens)
+    whole = F.col("row.text")
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1)
+    return marked.select("row.doc_id", n_lines.cast("long").alias("n_lines"), F.col("dropped").cast("long").alias("n_dropped"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

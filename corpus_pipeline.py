@@ -1,4 +1,9 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's documents."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's documents.
+
+Every stage takes an empty table, null texts, languages and sources, repeated rows and further columns of any name: rows
+without text go in the first stage; repeated rows pass it and line dedup as they are and leave near-dedup as one; further
+columns come through all stages but the last. The operators' modules state each case.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words it takes of each."""
-    return mixing.mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
+    """Documents that the mix takes, with the words it takes of each and those that each output shard gets."""
+    return mixing.mix_report(docs).where("taken > 0")
 
 
 STAGES = [

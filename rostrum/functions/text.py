@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rostrum.sources.store import stored
+
 #: Markers that generated text carries (fixed values).
 SPECIAL_TOKENS = ("<|START_OF_TURN_TOKEN|>", "<|END_OF_TURN_TOKEN|>", "<|CHATBOT_TOKEN|>", "<|USER_TOKEN|>", "<|SYSTEM_TOKEN|>", "<BOS_TOKEN>", "<EOS_TOKEN>", "<s>", "</s>")
 KEYWORDS_MARK = "Anahtar kelimeler:"
@@ -91,20 +93,30 @@ def clean_topic_name(name: Column) -> Column:
     """Without title prefix and quotes, each word capitalised."""
     name = F.regexp_replace(name, r"(?iu)^(Başlık:|Konu:|Topic:)\s*", "")
     words = F.filter(F.split(one_spaced(F.translate(name, "\"'", "")), " "), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 10_000)))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(w.substr(F.lit(2), F.length(w))))), " ")
 
 
 def keywords_fallback(keywords: Column) -> Column:
     """Up to three words joined by ` ve `; of four or more the first three joined by spaces."""
-    words = F.transform(F.slice(F.split(keywords, ","), 1, 4), lambda w: F.concat(F.upper(F.left(F.trim(w), F.lit(1))), F.lower(F.substring(F.trim(w), 2, 10_000))))
+    words = F.transform(F.slice(F.split(keywords, ","), 1, 4), lambda w: F.concat(F.upper(F.left(F.trim(w), F.lit(1))), F.lower(F.trim(w).substr(F.lit(2), F.length(w)))))
     return F.when(F.size(words) <= 3, F.array_join(words, " ve ")).otherwise(F.array_join(F.slice(words, 1, 3), " "))
 
 
 def title_between_marks(label: Column) -> Column:
-    """The title in an over-long generated label: after the last title mark, within quotes, or the first line."""
+    """The title in an over-long generated label: between bold marks, after a title mark, within quotes, or the first line.
+    Bold marks: `**başlık:** X **gerekçe:** ...`, `... **başlık** X"`, `... **proposed Title** X`, or `**X** ...` where X has
+    more than 15 letters and more than 3 words."""
+    marked = F.regexp_extract(label, r"(?isu)\*\*\s*(?:başlık|proposed title)\s*:?\s*\*\*:?\s*(.+?)\s*(?:\*\*.*|\"\s*)?$", 1)
+    bold = F.regexp_extract(label, r"^\s*\*\*\s*([^*]+?)\s*\*\*", 1)
+    bold = F.when((F.length(bold) > 15) & (F.size(F.split(bold, r"\s+")) > 3), bold)
     after = F.regexp_extract(label, r"(?iu)(?:Başlık|Konu|Topic):\s*\"?([^\"\n]+)", 1)
     quoted = F.regexp_extract(label, r'"([^"\n]+)"', 1)
-    return F.trim(F.coalesce(F.nullif(after, F.lit("")), F.nullif(quoted, F.lit("")), F.get(F.split(label, "\n"), F.lit(0))))
+    return F.trim(F.coalesce(F.nullif(marked, F.lit("")), bold, F.nullif(after, F.lit("")), F.nullif(quoted, F.lit("")), F.get(F.split(label, "\n"), F.lit(0))))
+
+
+def cleaned_label(label: Column, longest: int = 60) -> Column:
+    """Labels of more than 60 letters give way to their title."""
+    return F.when(F.length(label) > longest, title_between_marks(label)).otherwise(label)
 
 
 def filter_keywords(keywords: Column, common_words: Column) -> Column:
@@ -120,13 +132,23 @@ def shortened(text: Column, n: int, mark: str = "...") -> Column:
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, tf."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """key, token, tf. Texts are dealt by key before they are taken apart, so tokens don't travel."""
+    return docs.select(key, text).repartition(F.col(key)).select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def tf_idf(tf: DataFrame, n_docs: DataFrame, key: str) -> DataFrame:
-    """Adds df and score = tf * ln(n / df); n_docs has the one column n."""
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+#: Most tokens whose document counts are sent along with tasks.
+SENT = 500_000
+
+
+def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """token, df: in how many rows a token stands; counted before anything travels."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def tf_idf(tf: DataFrame, n_docs: DataFrame, key: str, df: DataFrame | None = None) -> DataFrame:
+    """Adds df and score = tf * ln(n / df); n_docs has the one column n. df: token, df, sent along if it is small."""
+    df = tf.groupBy("token").agg(F.count("*").alias("df")) if df is None else stored(df, "df")
+    df = F.broadcast(df) if df.count() <= SENT else df
     return tf.join(df, "token").crossJoin(F.broadcast(n_docs)).withColumn("score", F.col("tf") * F.log(F.col("n").cast("double") / F.col("df")))
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -16,12 +19,16 @@ from rostrum.functions.vectors import cosine, mean_vectors, scaled
 from rostrum.sources.store import stored
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: Vectors of a block, and those of them that are compared at a time.
+BLOCK, STRIP = 2048, 256
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: every node of an edge and the least node it can reach. Each round gives a node the least root of its
-    neighbours, then follows roots twice, so that long chains halve."""
+    neighbours, then follows that root once more, until nothing changes."""
     both = stored(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     roots = stored(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(roots.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         new = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
         hop = roots.select(F.col("node").alias("new"), F.col("root").alias("hop"))
@@ -30,34 +37,106 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         roots = new.select("node", "root")
         if not changed:
             return roots
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def dbscan(points: DataFrame, key: str, vector: str, eps: float = 0.3, min_points: int = 3, groups: list[str] | None = None, planes: int = 0) -> DataFrame:
+def dbscan(points: DataFrame, key: str, vector: str, eps: float = 0.3, min_points: int = 3, groups: list[str] | None = None) -> DataFrame:
     """groups, key, cluster: density clusters by cosine distance within each group; the cluster is its least core key, -1
-    for noise. A border point joins the least core it is near to. Exact pairs within a group by default; with `planes`
-    random hyperplanes, only points on the same side of all are compared (approximate, for large groups)."""
+    for noise. A border point joins the least core it is near to.
+
+    A group's vectors are dealt into blocks, and a task compares two blocks at a time, first to count neighbours, then to
+    join cores into chains and to find border points' cores; pairs are never listed, and no task holds a group."""
     groups = groups or []
-    unit = points.select(*groups, key, scaled(F.col(vector)).alias("v"))
-    on = list(groups)
-    if planes:
-        size = unit.select(F.max(F.size("v"))).first()[0] or 1
-        side = lambda p: F.aggregate(F.zip_with("v", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.signum(F.xxhash64(i, F.lit(p)).cast("double"))), lambda x, s: x * s), F.lit(0.0), lambda a, x: a + x) > 0
-        unit = unit.withColumn("bucket", F.concat(*[side(p).cast("int").cast("string") for p in range(planes)]))
-        on.append("bucket")
-    unit = stored(unit)
-    left, right = unit.withColumnRenamed(key, "a").withColumnRenamed("v", "va"), unit.withColumnRenamed(key, "b").withColumnRenamed("v", "vb")
-    pairs = left.join(right, on) if on else left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one")
-    near = stored(pairs.where(F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 1 - eps).select(*groups, "a", "b"))
-    core = stored(near.groupBy(*groups, "a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(*groups, F.col("a").alias("core")))
-    both = near.join(core.withColumnRenamed("core", "a"), [*groups, "a"]).join(core.withColumnRenamed("core", "b"), [*groups, "b"])
-    node = (lambda c: F.struct(*groups, F.col(c).alias("k"))) if groups else (lambda c: F.col(c))
-    roots = connected_components(both.select(node("a").alias("a"), node("b").alias("b")))
-    placed = roots.select(*([F.col(f"node.{g}").alias(g) for g in groups] + [F.col("node.k").alias("core"), F.col("root.k").alias("cluster")] if groups else [F.col("node").alias("core"), F.col("root").alias("cluster")]))
-    reach = near.join(placed, (near["b"] == placed["core"]) & reduce(lambda x, g: x & near[g].eqNullSafe(placed[g]), groups, F.lit(True))).select(*[near[g] for g in groups], near["a"], "core", "cluster")
-    best = reach.groupBy(*groups, F.col("a").alias(key)).agg(F.min(F.struct((F.col("core") != F.col("a")).alias("far"), "core", "cluster")).alias("m"))
-    out = points.select(*groups, key).join(best, [*groups, key], "left")
-    return out.select(*groups, key, F.coalesce("m.cluster", F.lit(-1)).alias("cluster"))
+    unit = points.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(*groups, key, scaled(F.col(vector)).alias("v")).withColumn("size", F.size("v"))
+    unit = stored(unit.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))))
+    sizes = unit.groupBy(*groups, "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = unit.join(sizes, [*groups, "size"]).withColumn("b", F.pmod(F.xxhash64(key), F.col("blocks")))
+    met = dealt.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select(*groups, key, "v", "size", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).alias("second"))
+    kept = [f"{c} {points.schema[c].dataType.simpleString()}" for c in [*groups, key]]
+    together = [*groups, "size", "i", "j"]
+    near = met.groupBy(*together).applyInArrow(_neighbours(groups, key, eps), ", ".join([*kept, "n long"]))
+    core = stored(near.groupBy(*groups, key).agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select(*groups, key, F.lit(True).alias("core")))
+    marked = met.join(core, [*groups, key], "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    to = f"other {points.schema[key].dataType.simpleString()}"
+    links = stored(marked.groupBy(*together).applyInArrow(_chains(groups, key, eps), ", ".join([*kept, to, "border boolean"])))
+    node = lambda c: F.struct(*groups, F.col(c).alias("k"))
+    roots = connected_components(links.where("not border").select(node(key).alias("a"), node("other").alias("b")))
+    placed = roots.select(*[F.col(f"node.{g}").alias(g) for g in groups], F.col("node.k").alias("other"), F.col("root.k").alias("cluster"))
+    border = links.where("border").groupBy(*groups, key).agg(F.min("other").alias("other"))
+    found = placed.withColumnRenamed("other", key).unionByName(border.join(placed, [*groups, "other"]).select(*groups, key, "cluster"))
+    return points.select(*groups, key).join(found, [*groups, key], "left").select(*groups, key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _blocks(table: pa.Table, key: str) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+    """The rows of both blocks by key, and their vectors; a block that meets itself comes twice."""
+    table = table.sort_by(key)
+    second = table.column("second").to_numpy()
+    one = table.filter(pa.array(~second))
+    two = table.filter(pa.array(second)) if second.any() else one
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        two = table.filter(pa.array(second))
+    vectors = [t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (one, two)]
+    return one, two, *vectors
+
+
+def _out(table: pa.Table, columns: list[str], picked: np.ndarray, **more) -> pa.Table:
+    out = table.select(columns).take(pa.array(picked))
+    for name, values in more.items():
+        out = out.append_column(name, values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values))
+    return out
+
+
+def _strips(n: int):
+    return (slice(at, at + STRIP) for at in range(0, n, STRIP))
+
+
+def _neighbours(groups: list[str], key: str, eps: float):
+    def run(table: pa.Table) -> pa.Table:
+        one, two, a, b = _blocks(table, key)
+        n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for s in _strips(len(a)):
+            near = a[s] @ b.T >= 1 - eps
+            n_a[s] = near.sum(axis=1)
+            n_b += near.sum(axis=0)
+        out = _out(one, [*groups, key], np.flatnonzero(n_a), n=n_a[n_a > 0])
+        return out if one is two else pa.concat_tables([out, _out(two, [*groups, key], np.flatnonzero(n_b), n=n_b[n_b > 0])])
+
+    return run
+
+
+def _chains(groups: list[str], key: str, eps: float):
+    """For cores the least core key that chains within the two blocks reach; for other points the least core near to them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        one, two, a, b = _blocks(table, key)
+        near = np.zeros((len(a), len(b)), bool)
+        for s in _strips(len(a)):
+            near[s] = a[s] @ b.T >= 1 - eps
+        core_a, core_b = (t.column("core").to_numpy() for t in (one, two))
+        keys = pa.chunked_array([*one.column(key).chunks, *two.column(key).chunks])
+        rank = np.empty(len(keys), np.int64)
+        order = pc.sort_indices(keys).to_numpy()
+        rank[order] = np.arange(len(keys))
+        root_a, root_b = rank[: len(a)].copy(), rank[len(a) :].copy()
+        linked = near & core_a[:, None] & core_b
+        while linked.any():
+            new_a = np.minimum(root_a, np.where(linked, root_b, len(keys)).min(axis=1, initial=len(keys)))
+            new_b = np.minimum(root_b, np.where(linked, new_a[:, None], len(keys)).min(axis=0, initial=len(keys)))
+            if (new_a == root_a).all() and (new_b == root_b).all():
+                break
+            root_a, root_b = new_a, new_b
+        made = []
+        for t, own, near_, root, core, other in ((one, core_a, near, root_a, core_b, two), (two, core_b, near.T, root_b, core_a, one)):
+            cores = np.flatnonzero(own)
+            made.append(_out(t, [*groups, key], cores, other=keys.take(pa.array(order[root[cores]])), border=np.zeros(len(cores), bool)))
+            close = near_ & core & ~own[:, None]
+            border = np.flatnonzero(close.any(axis=1))
+            made.append(_out(t, [*groups, key], border, other=other.column(key).take(pa.array(close[border].argmax(axis=1) if len(border) else np.zeros(0, np.int64))), border=np.ones(len(border), bool)))
+            if one is two:
+                break
+        return pa.concat_tables(made)
+
+    return run
 
 
 def largest(rows: DataFrame, keys: list[str], label: str, k: int) -> DataFrame:
@@ -71,29 +150,23 @@ def largest(rows: DataFrame, keys: list[str], label: str, k: int) -> DataFrame:
 def align(local: DataFrame, threshold: float = 0.7, cap: int = 50, first_cap: int = 30) -> DataFrame:
     """local: term, year, cluster, centroid, size. Returns those with global_id. Period by period in order, larger
     clusters first, each takes the most similar known centre at or above the threshold, else a new id up to the cap, else
-    -1. State is the table of centres; a period's clusters are few, so the loop runs over small tables."""
-    periods = [(r["term"], r["year"]) for r in local.select("term", "year").distinct().orderBy("term", "year").collect()]
-    known: list[tuple[int, list[float]]] = []
-    out: list[tuple] = []
-    for term, year in periods:
-        rows = local.where((F.col("term") == term) & (F.col("year") == year)).orderBy(F.col("size").desc(), "cluster").limit(cap).collect()
-        limit = cap if known else first_cap
-        for r in rows:
-            best = max(((_cosine(r["centroid"], c), -i) for i, c in known), default=(-2.0, 0))
-            if best[0] >= threshold:
-                out.append((term, year, r["cluster"], -best[1]))
-            elif len(known) < limit:
-                known.append((len(known), list(r["centroid"])))
-                out.append((term, year, r["cluster"], len(known) - 1))
-            else:
-                out.append((term, year, r["cluster"], -1))
+    -1. The table of centres holds a few rows a period, whatever the number of contexts, and is read once."""
+    local = stored(local)
+    known, out, period, limit = np.zeros((0, 0)), [], None, first_cap
+    for r in sorted(local.collect(), key=lambda r: (r["term"], r["year"], -r["size"], r["cluster"])):
+        if period != (r["term"], r["year"]):
+            period, limit = (r["term"], r["year"]), cap if len(known) else first_cap
+        c = np.array(r["centroid"], np.float64)
+        c /= np.sqrt(c @ c) or 1.0
+        sims = known @ c if len(known) else np.zeros(0)
+        best = int(sims.argmax()) if len(sims) else -1
+        if best < 0 or sims[best] < threshold:
+            best = len(known) if len(known) < limit else -1
+            if best >= 0:
+                known = np.vstack([known, c]) if len(known) else c[None]
+        out.append((*period, r["cluster"], best))
     ids = local.sparkSession.createDataFrame(out, "term int, year int, cluster long, global_id int")
-    return local.join(F.broadcast(ids), ["term", "year", "cluster"], "left").withColumn("global_id", F.coalesce("global_id", F.lit(-1)))
-
-
-def _cosine(a: list[float], b: list[float]) -> float:
-    size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
-    return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+    return local.join(ids, ["term", "year", "cluster"], "left").withColumn("global_id", F.coalesce("global_id", F.lit(-1)))
 
 
 def period_clusters(contexts: DataFrame, key: str, vector: str, eps: float, min_points: int, k: int) -> DataFrame:
@@ -110,7 +183,7 @@ def kmeans(points: DataFrame, vector: str, k: int, seed: int = 42, min_size: int
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
     labelled = model.transform(ready)
     sizes = labelled.groupBy("cluster").agg(F.count("*").alias("__n"))
-    return labelled.join(F.broadcast(sizes), "cluster").withColumn("cluster", F.when(F.col("__n") >= min_size, F.col("cluster")).otherwise(-1)).drop("__n")
+    return labelled.join(sizes, "cluster").withColumn("cluster", F.when(F.col("__n") >= min_size, F.col("cluster")).otherwise(-1)).drop("__n")
 
 
 def project(points: DataFrame, vector: str, dims: int = 2) -> DataFrame:

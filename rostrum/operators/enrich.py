@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rostrum.functions import names
-from rostrum.operators.facets import best
+from rostrum.operators.facets import best, ranked
 
 
 def exact_party(speeches: DataFrame, members: DataFrame) -> DataFrame:
@@ -51,6 +51,12 @@ def similar_names(members: DataFrame, name: str = "speech_giver", threshold: flo
     return pairs.withColumn("similarity", names.ratio("s_b", "s_a")).where(F.col("similarity") >= threshold).select("name_a", "name_b", "similarity")
 
 
+def ranked_matches(pairs: DataFrame, members: DataFrame, name: str = "speech_giver", party: str = "party") -> DataFrame:
+    """Adds rank to similar names: for each name_a the most similar first, of equal ones those with a party, then by name."""
+    known = members.groupBy(F.col(name).alias("name_b")).agg(F.max(F.coalesce(F.col(party), F.lit("")) != "").alias("has_party"))
+    return ranked(pairs.join(known, "name_b", "left"), ["name_a"], F.col("similarity").desc(), F.col("has_party").desc_nulls_last(), F.col("name_b"))
+
+
 def close_names(members: DataFrame, name: str, most: int = 1) -> DataFrame:
     """name_a < name_b within an edit distance; blocked by length and by pieces of the name, of which an edit leaves one."""
     base = members.select(F.col(name).alias("n")).where("n is not null").distinct()
@@ -85,7 +91,7 @@ def backfill(df: DataFrame, column: str, found: Column) -> DataFrame:
 
 def relabel(speeches: DataFrame, labels: DataFrame) -> DataFrame:
     """New labels (topic_id, new_label) for every row of their topics, with a `changed` mark."""
-    joined = speeches.join(F.broadcast(labels), "topic_id", "left")
+    joined = speeches.join(labels, "topic_id", "left")
     return joined.withColumn("changed", F.col("new_label").isNotNull() & ~F.col("new_label").eqNullSafe(F.col("topic_label"))).withColumn("topic_label", F.coalesce("new_label", "topic_label")).drop("new_label")
 
 
@@ -101,8 +107,11 @@ def quarantine(df: DataFrame, raw: str, parsed: Column, good: str) -> DataFrame:
     return out.withColumn("reason", F.when(F.col(raw).isNotNull() & F.col(good).isNull(), F.concat(F.lit("bad date: "), raw)))
 
 
-def pivot_members(members: DataFrame, terms: list[int]) -> DataFrame:
-    """speech_giver, term17 ... : the party by term, empty where a member did not serve; the last name wins a clash."""
+def pivot_members(members: DataFrame, terms: list[int] | None = None) -> DataFrame:
+    """speech_giver, term17 ... : the party by term, empty where a member did not serve; the last name wins a clash. All
+    terms there are, unless some are named."""
+    if terms is None:
+        terms = sorted(r["term"] for r in members.select("term").where("term is not null").distinct().collect())
     wide = members.groupBy(F.col("mp_name").alias("speech_giver")).pivot("term", terms).agg(F.max("party"))
     return wide.select("speech_giver", *[F.coalesce(F.col(f"`{t}`"), F.lit("")).alias(f"term{t}") for t in terms])
 
@@ -121,7 +130,15 @@ def merge_names(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("norm", names.normalize_mp_name(F.col("name")))
     first = F.min_by("party", F.when(F.coalesce("party", F.lit("")) != "", F.col("pos")))
     set_party = F.when(F.count_if(F.coalesce("party", F.lit("")) != "") > 0, first)
-    return keyed.groupBy("norm").agg(set_party.alias("party"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), F.count("*").alias("merged"))
+    merged = keyed.groupBy("norm").agg(set_party.alias("party"), F.count("*").alias("merged"))
+    return _with_terms(merged, keyed, "norm").select("norm", "party", "terms", "merged")
+
+
+def _with_terms(merged: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds the distinct terms of a key's rows; only distinct ones are gathered."""
+    terms = rows.select(key, F.explode("terms").alias("term")).groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    kind = dict(rows.dtypes)["terms"]
+    return merged.join(terms, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast(kind)))
 
 
 def canonical_names(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -132,7 +149,8 @@ def canonical_names(rows: DataFrame, groups: DataFrame) -> DataFrame:
     scored = joined.withColumn("score", score)
     order = F.struct(-F.col("score"), "name")
     party = F.min_by("party", F.when(F.coalesce("party", F.lit("")) != "", order))
-    return scored.groupBy("root").agg(F.min_by("name", order).alias("canonical"), party.alias("party"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"), F.count("*").alias("names"))
+    merged = scored.groupBy("root").agg(F.min_by("name", order).alias("canonical"), party.alias("party"), F.count("*").alias("names"))
+    return _with_terms(merged, scored, "root").select("root", "canonical", "party", "terms", "names")
 
 
 def attach_links(nested: DataFrame, links: DataFrame) -> DataFrame:

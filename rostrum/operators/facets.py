@@ -26,10 +26,16 @@ def modal(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
 
 def topic_statistics(speeches: DataFrame) -> DataFrame:
     """topic_id, topic_label (the most frequent), speech_count, for topics that are present and no sentinel."""
-    rows = speeches.where(analysed_topic(F.col("topic_id"), ()))
-    label = modal(rows, ["topic_id"], "topic_label", "topic_label")
-    counts = rows.groupBy("topic_id").agg(F.count("*").alias("speech_count"))
-    return counts.join(label, "topic_id", "left").withColumn("topic_label", F.coalesce("topic_label", F.concat(F.lit("Topic "), "topic_id")))
+    counts = labelled_counts(speeches.where(analysed_topic(F.col("topic_id"), ())), ["topic_id"], "speech_count")
+    return counts.withColumn("topic_label", F.coalesce("topic_label", F.concat(F.lit("Topic "), "topic_id")))
+
+
+def labelled_counts(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """keys, count, topic_label: rows of each key and its most frequent label, ties by label. Rows are counted by key and
+    label once, then rolled up."""
+    counts = rows.groupBy(*keys, "topic_label").agg(F.count("*").alias("__n"))
+    often = F.when(F.col("topic_label").isNotNull(), F.struct(-F.col("__n"), "topic_label"))
+    return counts.groupBy(*keys).agg(F.sum("__n").alias(count), F.min_by("topic_label", often).alias("topic_label"))
 
 
 def shares(counts: DataFrame, keys: list[str], count: str = "cnt", out: str = "pct") -> DataFrame:
@@ -41,9 +47,8 @@ def shares(counts: DataFrame, keys: list[str], count: str = "cnt", out: str = "p
 def top_topics(speeches: DataFrame, keys: list[str], top_n: int) -> DataFrame:
     """keys, topic_id, topic_label, cnt, pct: the top_n topics of each key; percents of all its counted speeches."""
     rows = speeches.where(analysed_topic(F.col("topic_id")))
-    counts = shares(rows.groupBy(*keys, "topic_id").agg(F.count("*").alias("cnt")), keys)
-    top = ranked(counts, keys, F.col("cnt").desc(), F.col("topic_id")).where(F.col("rank") <= top_n).drop("rank")
-    return top.join(modal(rows, [*keys, "topic_id"], "topic_label", "topic_label"), [*keys, "topic_id"], "left")
+    counts = shares(labelled_counts(rows, [*keys, "topic_id"], "cnt"), keys)
+    return ranked(counts, keys, F.col("cnt").desc(), F.col("topic_id")).where(F.col("rank") <= top_n).drop("rank")
 
 
 def activity(speeches: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -90,7 +95,9 @@ def top_entities(nested: DataFrame, entity_group: str | None = None, mode: str =
         flat = flat.where(F.col("entity_group") == entity_group)
     counts = flat.groupBy("entity").agg(F.count("*").alias("mentions"))
     top = counts.orderBy(F.col("mentions").desc(), "entity").limit(limit)
-    return top.join(modal(flat, ["entity"], "entity_group", "entity_group"), "entity")
+    # Types are counted for the few top entities alone.
+    named = flat.join(F.broadcast(top.select("entity")), "entity", "left_semi")
+    return top.join(modal(named, ["entity"], "entity_group", "entity_group"), "entity")
 
 
 def summary(speeches: DataFrame, drop_outliers: bool = True) -> DataFrame:

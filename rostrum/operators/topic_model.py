@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import tokens
+from rostrum.operators.facets import ranked
 from rostrum.operators.topics import class_tf_idf
 
 
@@ -27,7 +30,7 @@ def transform(model: PipelineModel, docs: DataFrame, text: str, min_size: int =
     """Adds topic_id; topics under min_size become -1."""
     rows = model.transform(tokenized(docs, text))
     sizes = rows.groupBy("topic_id").agg(F.count("*").alias("__n"))
-    return rows.join(F.broadcast(sizes), "topic_id").withColumn("topic_id", F.when(F.col("__n") >= min_size, F.col("topic_id")).otherwise(-1)).drop("__n", "tf", "tfidf")
+    return rows.join(sizes, "topic_id").withColumn("topic_id", F.when(F.col("__n") >= min_size, F.col("topic_id")).otherwise(-1)).drop("__n", "tf", "tfidf")
 
 
 def topic_words(rows: DataFrame, n: int = 10) -> DataFrame:
@@ -42,4 +45,20 @@ def topic_words(rows: DataFrame, n: int = 10) -> DataFrame:
 def topics_of(docs: DataFrame, key: str, text: str, k: int = 250) -> DataFrame:
     """key, topic_id, name."""
     rows = transform(fit(docs.select(key, text), text, k), docs.select(key, text), text)
-    return rows.select(key, "topic_id").join(F.broadcast(topic_words(rows).select("topic_id", "name")), "topic_id", "left")
+    return rows.select(key, "topic_id").join(topic_words(rows).select("topic_id", "name"), "topic_id", "left")
+
+
+def representatives(rows: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """topic_id, rank, key, distance: the n documents of each topic nearest to its mean feature vector, ties by key; rows
+    are those of `transform`. Outliers have none."""
+    real = rows.where("topic_id >= 0")
+    means = real.groupBy("topic_id").agg(Summarizer.mean(F.col("features")).alias("m"))
+    pairs = real.select(key, "topic_id", vector_to_array("features").alias("x")).join(means.select("topic_id", vector_to_array("m").alias("m")), "topic_id")
+    square = F.aggregate(F.zip_with("x", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    return ranked(pairs.select("topic_id", key, F.round(F.sqrt(square), 9).alias("distance")), ["topic_id"], F.col("distance"), F.col(key)).where(F.col("rank") <= n)
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """Writes a model to a shared folder and loads it again."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)

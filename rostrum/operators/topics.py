@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions.vectors import cosine, dot, mean_vectors, scaled
+from rostrum.operators.order import numbered
 from rostrum.sources.schema import analysed_topic
 
 #: Most centroids (rows) that are broadcast for matching; beyond, they are matched in groups of this size.
@@ -34,27 +35,37 @@ def similarities(vectors: DataFrame, centers: DataFrame, key: str, vector: str =
 
 
 def nearest(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.7) -> DataFrame:
-    """key, topic_id, sim: the most similar centre, ties to the lesser id; topic_id is null under the threshold."""
-    found = similarities(vectors, centers, key, vector).groupBy(key).agg(F.max(F.struct(F.col("sim"), (-F.col("topic_id")).alias("t"))).alias("best"))
+    """key, topic_id, sim: the most similar centre, ties to the lesser id; topic_id is null under the threshold. Centres
+    that fit one row are looked through within each vector's row, so vectors don't travel."""
+    if centers.count() <= GROUP:
+        unit = vectors.select(key, scaled(F.col(vector)).alias("__v"))
+        row = centers.agg(F.collect_list(F.struct("topic_id", scaled(F.col("centroid")).alias("c"))).alias("__all"))
+        scored = F.transform("__all", lambda c: F.struct(dot(F.col("__v"), c["c"]).alias("sim"), (-c["topic_id"]).alias("t")))
+        found = unit.crossJoin(F.broadcast(row)).select(key, F.array_max(F.filter(scored, lambda s: s["sim"].isNotNull())).alias("best"))
+    else:
+        found = similarities(vectors, centers, key, vector).groupBy(key).agg(F.max(F.struct(F.col("sim"), (-F.col("topic_id")).alias("t"))).alias("best"))
     sim = F.col("best.sim")
     return found.select(key, F.when(sim >= threshold, -F.col("best.t")).alias("topic_id"), sim.alias("sim"))
 
 
-def assign(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.7, shared_new_id: bool = False) -> DataFrame:
-    """Like `nearest`, but what matches nothing gets new ids after the greatest: one each, or one for all."""
+def assign(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.7, shared_new_id: bool = False, top: int | None = None) -> DataFrame:
+    """Like `nearest`, but what matches nothing gets new ids after the greatest (`top`, or that of the centres): one each,
+    or one for all."""
     found = nearest(vectors, centers, key, vector, threshold)
-    top = centers.agg(F.coalesce(F.max("topic_id"), F.lit(0)).alias("top"))
-    fresh = found.where("topic_id is null").crossJoin(F.broadcast(top))
-    new = F.col("top") + 1 if shared_new_id else F.col("top") + F.row_number().over(W.partitionBy("top").orderBy(key))
+    if top is None:
+        top = centers.agg(F.max("topic_id")).first()[0] or 0
+    fresh = found.where("topic_id is null")
+    fresh = fresh.withColumn("n", F.lit(0)) if shared_new_id else numbered(fresh, [key])
+    new = F.lit(top) + 1 + F.col("n")
     fresh = fresh.select(key, new.cast("int").alias("topic_id"), "sim", F.lit(True).alias("is_new"))
     return found.where("topic_id is not null").select(key, F.col("topic_id").cast("int").alias("topic_id"), "sim", F.lit(False).alias("is_new")).unionByName(fresh)
 
 
 def renumber(rows: DataFrame, label: str, top: DataFrame) -> DataFrame:
     """New clusters get ids after the greatest topic id, in the order of their labels; -1 stays."""
-    order = rows.where(F.col(label) >= 0).select(label).distinct()
-    numbered = order.crossJoin(F.broadcast(top)).withColumn("topic_id", (F.col("top") + F.row_number().over(W.partitionBy("top").orderBy(label))).cast("int")).drop("top")
-    return rows.join(numbered, label, "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
+    order = numbered(rows.where(F.col(label) >= 0).select(label).distinct(), [label])
+    named = order.crossJoin(F.broadcast(top)).select(label, (F.col("top") + 1 + F.col("n")).cast("int").alias("topic_id"))
+    return rows.join(named, label, "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
 
 
 def refine(vectors: DataFrame, centers: DataFrame, key: str, topic: int, vector: str = "embedding", margin: float = 0.1, threshold: float = 0.7) -> DataFrame:
@@ -69,9 +80,18 @@ def refine(vectors: DataFrame, centers: DataFrame, key: str, topic: int, vector:
     return wide.withColumn("action", action)
 
 
-def keep_closest(sims: DataFrame, keys: list[str], sim: str = "sim", part: float = 0.8) -> DataFrame:
-    """Rows at or above the given percentile of their group."""
-    cut = sims.groupBy(*keys).agg(F.percentile(sim, part).alias("cut"))
+def refined(actions: DataFrame, clustered: DataFrame, key: str, topic: int, top: int) -> DataFrame:
+    """key, topic_id after a refinement: actions as `refine` gives them, clustered (key, cluster) for the vectors that
+    were clustered anew. Those get ids after the greatest, in the order of their clusters; noise becomes -1."""
+    fresh = renumber(clustered.select(key, "cluster"), "cluster", clustered.sparkSession.createDataFrame([(top,)], "top int")).select(key, F.col("topic_id").alias("new"))
+    topic_id = F.when(F.col("action") == "move", F.col("best_topic")).when(F.col("action") == "keep", F.lit(topic)).otherwise(F.coalesce("new", F.lit(-1)))
+    return actions.join(fresh, key, "left").select(key, topic_id.cast("int").alias("topic_id"), "action")
+
+
+def keep_closest(sims: DataFrame, keys: list[str], sim: str = "sim", part: float = 0.8, accuracy: int | None = None) -> DataFrame:
+    """Rows at or above the given percentile of their group; with an accuracy, an approximate percentile, whose state stays
+    small however large a group is."""
+    cut = sims.groupBy(*keys).agg((F.percentile(sim, part) if accuracy is None else F.percentile_approx(sim, part, accuracy)).alias("cut"))
     return sims.join(cut, keys).where(F.col(sim) >= F.col("cut"))
 
 
@@ -90,7 +110,7 @@ def class_tf_idf(tokens: DataFrame, label: str) -> DataFrame:
     per_class = tf.groupBy(label).agg(F.sum("tf").alias("words"))
     everywhere = tf.groupBy("token").agg(F.sum("tf").alias("freq"))
     mean = per_class.agg(F.avg("words").alias("mean_words"))
-    joined = tf.join(F.broadcast(per_class), label).join(everywhere, "token").crossJoin(F.broadcast(mean))
+    joined = tf.join(per_class, label).join(everywhere, "token").crossJoin(F.broadcast(mean))
     return joined.withColumn("score", F.col("tf").cast("double") / F.col("words") * F.log(1 + F.col("mean_words") / F.col("freq")))
 
 

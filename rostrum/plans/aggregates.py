@@ -45,6 +45,13 @@ def j3_similar(spark, d):
     return enrich.similar_names(table(spark, d, "part"), "p_name", 0.8)
 
 
+@query("J3_ranked_names")
+def j3_ranked(spark, d):
+    """Every third name has no type, as names without a party."""
+    rows = table(spark, d, "part").select("p_name", F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("party"))
+    return enrich.ranked_matches(enrich.similar_names(rows, "p_name", 0.8), rows, "p_name").select("name_a", "name_b", "rank", "has_party")
+
+
 @query("J4_session_dates", "SELECT s.id, x.day FROM speeches s LEFT JOIN (SELECT session_id, min(session_date) AS day FROM speeches WHERE year <> 3 GROUP BY 1) x ON x.session_id = s.session_id", "speeches")
 def j4(spark, d):
     rows = speeches(spark, d)
@@ -264,12 +271,12 @@ PIVOT_SQL = "wide AS (SELECT mp_name AS speech_giver, " + ", ".join(f"coalesce(m
 
 @query("A23_member_pivot", f"WITH {PIVOT_SQL} SELECT * FROM wide", "mps")
 def a23(spark, d):
-    return enrich.pivot_members(members(spark, d), list(range(17, 24)))
+    return enrich.pivot_members(members(spark, d))
 
 
 @query("A24_party_lists", "SELECT mp_name AS speech_giver, string_agg(concat(term, '.dönem ', party), '; ' ORDER BY term) AS parties, string_agg(CAST(term AS VARCHAR), ',' ORDER BY term) AS terms FROM mps GROUP BY 1", "mps")
 def a24(spark, d):
-    long = enrich.unpivot_members(enrich.pivot_members(members(spark, d), list(range(17, 24))))
+    long = enrich.unpivot_members(enrich.pivot_members(members(spark, d)))
     return long.select("speech_giver", F.array_join("parties", "; ").alias("parties"), F.array_join(F.transform("terms", lambda x: x.cast("string")), ",").alias("terms"))
 
 
@@ -336,7 +343,7 @@ def a33(spark, d):
     ratio = F.col("cnt") / F.sum("cnt").over(W.partitionBy("speech_giver"))
     by_topic = counts.groupBy("topic_id").agg(F.sum("cnt").alias("t"))
     share = by_topic.crossJoin(F.broadcast(by_topic.agg(F.sum("t").alias("total")))).select("topic_id", (F.col("t") * 100.0 / F.col("total")).alias("topic_share"))
-    return counts.select("speech_giver", "topic_id", ratio.alias("ratio"), (1 - ratio).alias("distance")).join(F.broadcast(share), "topic_id")
+    return counts.select("speech_giver", "topic_id", ratio.alias("ratio"), (1 - ratio).alias("distance")).join(share, "topic_id")
 
 
 @query("A34_stop_vocabulary", "SELECT w FROM (SELECT political_party_at_time AS w FROM speeches WHERE political_party_at_time IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50) UNION SELECT w FROM (SELECT speech_giver AS w FROM speeches GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100) UNION SELECT unnest([" + ", ".join(f"'{w}'" for w in texts.INSTITUTIONS) + "])", "speeches")

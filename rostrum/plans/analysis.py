@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import dates, names, text, vectors
-from rostrum.operators import cluster, drift, extract, facets, search, topics
+from rostrum.operators import cluster, drift, extract, facets, order, search, topics
 from rostrum.plans.aggregates import CENTRE_SQL, NEAREST_SQL
 from rostrum.plans.aggregates import vectors as topic_vectors
 from rostrum.plans.registry import query
 from rostrum.sources.fixtures import calendar, members, speeches, table
+from rostrum.sources.store import fresh_path, stored
 
 TOP_SQL = "SELECT term, province, count(*) AS cnt FROM speeches GROUP BY 1, 2"
 
@@ -31,7 +32,8 @@ def w2(spark, d):
 
 @query("W3_running_index", "SELECT id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY session_date, id) - 1 AS INT) AS n FROM speeches", "speeches")
 def w3(spark, d):
-    return speeches(spark, d).select("id", (F.row_number().over(W.partitionBy("topic_id").orderBy("session_date", "id")) - 1).alias("n"))
+    rows = speeches(spark, d).select("id", "topic_id", "session_date")
+    return order.numbered(rows, ["session_date", "id"], ["topic_id"]).select("id", F.col("n").cast("int").alias("n"))
 
 
 def timeline(spark, d):
@@ -204,7 +206,10 @@ def f3(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.normalize_raw_text(F.col("text"))).alias("clean"))
 
 
-@query("F4_remove_hyphens")
+HYPHEN = "'([A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû])-\\s*([A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû])', '\\1\\2', 'g'"
+
+
+@query("F4_remove_hyphens", f"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, {HYPHEN}), {HYPHEN})) AS INT) AS chars FROM documents")
 def f4(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(text.remove_hyphens(F.col("text"))).alias("chars"))
 
@@ -331,15 +336,25 @@ def f21(spark, d):
     return table(spark, d, "part").select("p_partkey", text.title_between_marks(long).alias("title"))
 
 
-@query("F22_first_words", "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')), ' ')[1:3], ' ') AS head, list_has_any(string_split(lower(left(text, 200)), ' '), ['ve', 'ile']) AS conj FROM documents")
+WORDS_SQL = "SELECT doc_id, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:3], ' ') AS head, list_has_any(string_split(lower(text), ' '), ['ve', 'ile']) AS conj FROM documents"
+FOLDED_SQL = "SELECT doc_id, md5(lower(translate(text, 'çğıöşüâîûÇĞİÖŞÜÂÎÛI', 'cgiosuaiucgiosuaiui'))) AS folded FROM documents"
+
+
+@query("F21_long_labels", "WITH p AS (SELECT p_partkey, p_name, repeat('uzun açıklama ', 6) AS long FROM part) SELECT p_partkey, CASE WHEN p_partkey % 5 <> 3 OR (length(p_name) > 15 AND len(string_split(p_name, ' ')) > 3) THEN p_name ELSE trim(concat('**', p_name, '** ', long)) END AS label FROM p")
+def f21_long(spark, d):
+    """Generated labels with bold title marks; short ones stay."""
+    long, name = F.lit("uzun açıklama " * 6), F.col("p_name")
+    forms = [F.concat(F.lit("**başlık:** "), name, F.lit(" **gerekçe:** "), long), F.concat(long, F.lit("**BAŞLIK** "), name, F.lit('"')), F.concat(long, F.lit("**proposed Title** "), name), F.concat(F.lit("**"), name, F.lit("** "), long), name]
+    return table(spark, d, "part").select("p_partkey", text.cleaned_label(F.element_at(F.array(*forms), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("label"))
+
+
+@query("F22_first_words", WORDS_SQL)
 def f22(spark, d):
-    head = F.left("text", F.lit(200))
-    return table(spark, d, "documents").select("doc_id", names.first_words(head).alias("head"), names.has_conjunction(head).alias("conj"))
+    return table(spark, d, "documents").select("doc_id", names.first_words(F.col("text")).alias("head"), names.has_conjunction(F.col("text")).alias("conj"))
 
 
-@query("F22_first_words_whole")
+@query("F22_first_words_whole", WORDS_SQL)
 def f22_whole(spark, d):
-    """Over whole texts; F22_first_words and its SQL see their first 200 characters."""
     return table(spark, d, "documents").select("doc_id", names.first_words(F.col("text")).alias("head"), names.has_conjunction(F.col("text")).alias("conj"))
 
 
@@ -349,14 +364,13 @@ def f23(spark, d):
     return a.join(b, F.left("a", F.lit(1)) == F.left("b", F.lit(1))).select("a", "b", names.ratio("a", "b").alias("ratio"))
 
 
-@query("F24_folded", "SELECT doc_id, md5(lower(translate(left(text, 500), 'çğıöşüâîûÇĞİÖŞÜÂÎÛI', 'cgiosuaiucgiosuaiui'))) AS folded FROM documents")
+@query("F24_folded", FOLDED_SQL)
 def f24(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.left("text", F.lit(500)))).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.col("text"))).alias("folded"))
 
 
-@query("F24_folded_whole")
+@query("F24_folded_whole", FOLDED_SQL)
 def f24_whole(spark, d):
-    """Over whole texts; F24_folded and its SQL see their first 500 characters."""
     return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.col("text"))).alias("folded"))
 
 
@@ -386,7 +400,7 @@ def f29(spark, d):
 @query("M1_document_keywords", "WITH tf AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT doc_id, token, tf * ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS score FROM tf JOIN df USING (token)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, token) AS rank FROM s) SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS keywords_str FROM r WHERE rank <= 10 GROUP BY 1", "tokens")
 def m1(spark, d):
     docs = table(spark, d, "documents")
-    scored = text.tf_idf(text.term_frequencies(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")), "doc_id")
+    scored = text.tf_idf(text.term_frequencies(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")), "doc_id", text.document_frequencies(docs, "text"))
     top = text.top_tokens(scored, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("x"))
     return top.select("doc_id", F.array_join("x.token", ", ").alias("keywords_str"))
 
@@ -406,6 +420,16 @@ def m2_model(spark, d):
     return topic_model.topics_of(table(spark, d, "documents"), "doc_id", "text", k=8)
 
 
+@query("M2_representatives")
+def m2_representatives(spark, d):
+    """A model that was saved and loaded names the three documents nearest to each topic's middle."""
+    from rostrum.operators import topic_model
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = topic_model.saved(topic_model.fit(docs, "text", 8, 1 << 10), fresh_path(spark, "topic-model"))
+    return topic_model.representatives(topic_model.transform(model, docs, "text"), "doc_id")
+
+
 @query("M3_assign_topics", f"WITH {CENTRE_SQL}, {NEAREST_SQL}, n AS (SELECT *, sim < 0.25 AS is_new FROM near) SELECT vec_id, CAST(CASE WHEN is_new THEN (SELECT max(topic_id) FROM centre) + row_number() OVER (PARTITION BY is_new ORDER BY vec_id) ELSE topic_id END AS INT) AS topic_id, is_new FROM n")
 def m3(spark, d):
     return topics.assign(topic_vectors(spark, d), topics.centroids(topic_vectors(spark, d)), "vec_id", threshold=0.25).drop("sim")
@@ -423,7 +447,27 @@ def m4_closest(spark, d):
     return topics.keep_closest(sims, ["topic_id"]).select("vec_id", "topic_id")
 
 
-@query("M5_density_clusters")
+@query("M4_reclustered")
+def m4_reclustered(spark, d):
+    """An over-large topic after refinement: what fits neither another topic nor its own is clustered anew."""
+    rows = topic_vectors(spark, d)
+    actions = stored(topics.refine(rows, topics.centroids(rows), "vec_id", 4, margin=0.01, threshold=0.25))
+    again = rows.join(actions.where("action = 'recluster'").select("vec_id"), "vec_id")
+    clustered = cluster.dbscan(again, "vec_id", "embedding", 0.7, 2)
+    return topics.refined(actions, clustered, "vec_id", 4, rows.agg(F.max("topic_id")).first()[0])
+
+
+DENSITY_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND list_cosine_similarity(a.e, b.e) >= 0.4e0),
+core AS (SELECT label, a AS core FROM near GROUP BY 1, 2 HAVING count(*) >= 3),
+cc AS (SELECT n.label, n.a, n.b FROM near n JOIN core x ON x.label = n.label AND x.core = n.a JOIN core y ON y.label = n.label AND y.core = n.b),
+reach AS (SELECT label, a, b FROM cc UNION SELECT r.label, r.a, cc.b FROM reach r JOIN cc ON cc.label = r.label AND cc.a = r.b),
+root AS (SELECT label, a AS core, min(b) AS cluster FROM reach GROUP BY 1, 2),
+best AS (SELECT n.label, n.a AS vec_id, arg_min(r.cluster, (CASE WHEN r.core = n.a THEN 0 ELSE 1 END, r.core)) AS cluster FROM near n JOIN root r ON r.label = n.label AND r.core = n.b GROUP BY 1, 2)
+SELECT v.label, v.vec_id, coalesce(b.cluster, -1) AS cluster FROM v LEFT JOIN best b ON b.label = v.label AND b.vec_id = v.vec_id"""
+
+
+@query("M5_density_clusters", DENSITY_SQL)
 def m5(spark, d):
     return cluster.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6, 3, ["label"])
 

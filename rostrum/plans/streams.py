@@ -23,7 +23,7 @@ def x1(spark, d):
     out, checkpoint = _places(spark)
     counts = stream.events(spark, d).groupBy("user_id").agg(F.count("*").alias("events"), F.max("event_id").alias("latest"))
     stream.run_once(counts, out, checkpoint, "update", stream.ingest_sink(spark, out, "user_id"))
-    return stream.current(spark, out, counts.schema, 0)
+    return stream.current(spark, out, counts.schema)
 
 
 @query("X2_once_by_id", "SELECT count(DISTINCT event_id) AS n FROM events")
@@ -74,9 +74,5 @@ def x7(spark, d):
     known = table(spark, d, "embeddings").withColumnRenamed("label", "topic_id")
     centers = topics.centroids(known)
     arriving = spark.readStream.schema(table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
-
-    def sink(batch, n):
-        topics.assign(batch.select("vec_id", "embedding"), centers, "vec_id", threshold=0.25).write.mode("overwrite").parquet(f"{out}/v{n}")
-
-    stream.run_once(arriving, out, checkpoint, "append", sink)
-    return spark.read.parquet(f"{out}/v0")
+    stream.run_once(arriving.select("vec_id", "embedding"), out, checkpoint, "append", stream.topic_sink(spark, out, centers, "vec_id", 0.25))
+    return stream.all_versions(spark, out, "vec_id long, topic_id int, sim double, is_new boolean")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.sources.schema import CALENDAR, CALENDAR_SCHEMA
+from rostrum.sources.store import fresh_path
 
 SPEECHES_SQL = """speeches AS (
 SELECT concat('term', o.term, '-year', o.yr, '-session', o.doy, '-', o.o_orderkey) AS id, o.o_orderkey AS speech_key,
@@ -48,8 +49,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def speeches(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
-    """The speech table. Texts are joined only where content is asked for."""
+    """The speech table, typed and partitioned by term and year. It is derived and written once for an application and a
+    folder; queries read it, so that filters on term and year prune partitions and others reach the files. Texts are
+    joined only where content is asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    derived = _derived(spark, sf_dir)
+    if key not in _stored:
+        path = fresh_path(spark, "speeches")
+        derived.repartition("term", "year").sortWithinPartitions("session_date").write.partitionBy("term", "year").parquet(path)
+        _stored[key] = path
+    rows = spark.read.schema(derived.schema).parquet(_stored[key]).select(*derived.columns)
+    if content:
+        texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("speech_key"), F.col("text").alias("content"))
+        rows = rows.join(texts, "speech_key", "left")
+    return rows
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     get = lambda n: table(spark, sf_dir, n)
     at = F.col("o_orderdate")
     orders = get("orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.year(at) - 1978).alias("term"), F.quarter(at).alias("year"), F.dayofyear(at).alias("doy"))
@@ -57,14 +77,11 @@ def speeches(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFra
     key, named = F.col("o_orderkey"), F.col("o_orderkey") % 13 != 0
     topic = (key % 12).cast("int") - 1
     session = F.concat(F.lit("term"), "term", F.lit("-year"), "year", F.lit("-session"), "doy")
-    rows = rows.select(
+    return rows.select(
         F.concat(session, F.lit("-"), key).alias("id"), key.alias("speech_key"), session.alias("session_id"), "term", "year", F.col("c_name").alias("speech_giver"), F.col("n_name").alias("province"),
         F.when(key % 11 != 0, F.col("c_mktsegment")).alias("political_party_at_time"), F.when(named, topic).alias("topic_id"),
         F.when(named, F.concat(F.lit("topic "), topic, F.when(key % 5 == 0, " alt").otherwise(""))).alias("topic_label"), F.col("o_orderdate").cast("date").alias("session_date"),
     )
-    if content:
-        rows = rows.join(get("documents").select(F.col("doc_id").alias("speech_key"), F.col("text").alias("content")), "speech_key", "left")
-    return rows
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rostrum.operators.enrich import plan_ingest, upsert
+from rostrum.operators.topics import assign
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,32 +69,55 @@ def complete_result(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def ingest_sink(spark: SparkSession, store: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """Upserts each batch into a versioned Parquet store: a batch writes version n from version n - 1, never onto itself,
+    """Upserts each batch into a versioned Parquet store: a batch writes version n from the last before it, never onto itself,
     so a repeated batch writes the same version again."""
 
     def sink(batch: DataFrame, n: int) -> None:
         latest = batch.dropDuplicates([key])
-        before = f"{store}/v{n - 1}"
-        if n == 0 or not _exists(spark, before):
-            merged = latest
-        else:
-            merged = upsert(spark.read.schema(batch.schema).parquet(before), latest, key)
+        earlier = [v for v in versions(spark, store) if v < n]
+        merged = upsert(spark.read.schema(batch.schema).parquet(f"{store}/v{earlier[-1]}"), latest, key) if earlier else latest
         merged.write.mode("overwrite").parquet(f"{store}/v{n}")
 
     return sink
 
 
-def current(spark: SparkSession, store: str, schema: T.StructType, version: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{store}/v{version}")
+def versions(spark: SparkSession, store: str) -> list[int]:
+    """The versions that batches have written, ascending."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(hadoop)] if files.exists(hadoop) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
 
-def dry_run(arriving: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    return plan_ingest(arriving, stored, key).groupBy("action").agg(F.count("*").alias("n"))
+def current(spark: SparkSession, store: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+    """A version of the store, the last by default; empty where no batch has come yet."""
+    found = versions(spark, store)
+    if version is None and not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{store}/v{found[-1] if version is None else version}")
+
+
+def topic_sink(spark: SparkSession, store: str, centers: DataFrame, key: str, threshold: float) -> Callable[[DataFrame, int], None]:
+    """Assigns each batch to the known centres and writes it as a version of its own; new ids go on from the greatest that
+    the centres and earlier batches have, so batches share none."""
+
+    def sink(batch: DataFrame, n: int) -> None:
+        earlier = [v for v in versions(spark, store) if v < n]
+        seen = spark.read.parquet(*[f"{store}/v{v}" for v in earlier]).agg(F.max("topic_id")).first()[0] if earlier else None
+        top = max(centers.agg(F.max("topic_id")).first()[0] or 0, seen or 0)
+        assign(batch, centers, key, threshold=threshold, top=top).write.mode("overwrite").parquet(f"{store}/v{n}")
 
+    return sink
+
+
+def all_versions(spark: SparkSession, store: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of all batches of an appending store."""
+    found = versions(spark, store)
+    return spark.read.schema(schema).parquet(*[f"{store}/v{v}" for v in found]) if found else spark.createDataFrame([], schema)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+def dry_run(arriving: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
+    return plan_ingest(arriving, stored, key).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def day(column: str) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from rostrum.functions import dates, names, text
-from rostrum.operators import cluster, drift, enrich, extract, facets, topics
+from rostrum.operators import cluster, drift, enrich, extract, facets, order, topics
 from rostrum.sources import files
 from rostrum.sources.schema import SPEECH, conform
+from rostrum.streaming import stream
 
 
 def apply(spark, f, *values):
@@ -122,13 +123,13 @@ def test_word_pieces(spark):
     assert [(r["word"], r["entity_group"], round(r["score"], 6)) for r in got] == [("Meclis", "ORG", 0.6), ("Ali", "PER", 0.9), ("x", "LOC", 0.5)]
 
 
-def test_density_clusters(spark):
+def test_density_clusters(spark, monkeypatch):
     points = [(i, [1.0, 0.01 * i]) for i in range(5)] + [(10 + i, [0.01 * i, 1.0]) for i in range(4)] + [(20, [-1.0, -1.0])]
     df = spark.createDataFrame(points, "k long, v array<double>")
-    for kwargs in ({}, {"planes": 1}):
-        got = {r["k"]: r["cluster"] for r in cluster.dbscan(df, "k", "v", 0.05, 3, **kwargs).collect()}
-        if not kwargs:
-            assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 14), 10), 20: -1}
+    for block in (2048, 3):
+        monkeypatch.setattr(cluster, "BLOCK", block)
+        got = {r["k"]: r["cluster"] for r in cluster.dbscan(df, "k", "v", 0.05, 3).collect()}
+        assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 14), 10), 20: -1}
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = dict(map(tuple, cluster.connected_components(edges).collect()))
     assert roots == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
@@ -208,3 +209,50 @@ def test_whole_texts(spark, tmp_path):
     fold = str.maketrans("çğıöşüâîûÇĞİÖŞÜÂÎÛI", "cgiosuaiucgiosuaiui")
     got = {r["doc_id"]: r["folded"] for r in queries["F24_folded_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.md5(x.translate(fold).lower().encode()).hexdigest() for i, x in enumerate(texts)}
+
+
+def test_numbers_in_order(spark):
+    rows = [(i, i % 3 or None, (i * 37) % 101) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g int, v int")
+    want = {}
+    for g in (None, 1, 2):
+        want |= {i: n for n, (_, i) in enumerate(sorted((v, i) for i, h, v in rows if h == g))}
+    assert {r["id"]: r["n"] for r in order.numbered(df, ["v", "id"], ["g"]).collect()} == want
+    assert sorted(r["n"] for r in order.numbered(df, ["v", "id"]).collect()) == list(range(200))
+
+
+def test_ingest_over_several_runs(spark, tmp_path):
+    """Files that come later are taken up by the next run; each key's latest row stays, and batches share no new topic."""
+    source, out, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    for k in range(3):
+        spark.createDataFrame([(i, k) for i in range(k, k + 3)], "id int, run int").coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("id int, run int").parquet(source)
+        stream.run_once(arriving, out, checkpoint, "append", stream.ingest_sink(spark, out, "id"))
+    assert stream.versions(spark, out) == [0, 1, 2]
+    assert sorted(map(tuple, stream.current(spark, out, arriving.schema).collect())) == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)]
+    centers = spark.createDataFrame([(7, [1.0, 0.0])], "topic_id int, centroid array<double>")
+    sink = stream.topic_sink(spark, f"{tmp_path}/topics", centers, "id", 0.9)
+    for n, batch in enumerate(([(1, [1.0, 0.1]), (2, [0.0, 1.0])], [(3, [-1.0, 0.0])])):
+        sink(spark.createDataFrame(batch, "id int, embedding array<double>"), n)
+    got = {r["id"]: r["topic_id"] for r in stream.all_versions(spark, f"{tmp_path}/topics", "id int, topic_id int, sim double, is_new boolean").collect()}
+    assert got == {1: 7, 2: 8, 3: 9}
+
+
+def test_long_labels(spark):
+    long = "uzun bir açıklama metni " * 4
+    forms = [f"**başlık:** Eğitim Politikası **gerekçe:** {long}", f'{long} **başlık** Eğitim Politikası"', f"{long} **proposed Title** Eğitim Politikası", f"**Eğitim Politikası ve Okullar** {long}", f"**Kısa** {long}".strip(), "Kısa etiket"]
+    assert apply(spark, text.cleaned_label, *forms) == ["Eğitim Politikası"] * 3 + ["Eğitim Politikası ve Okullar", forms[4], "Kısa etiket"]
+
+
+def test_ranked_matches(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.95), ("a", "c", 0.95), ("a", "d", 0.97)], "name_a string, name_b string, similarity double")
+    members = spark.createDataFrame([("b", None), ("c", "X"), ("d", "")], "n string, party string")
+    got = enrich.ranked_matches(pairs, members, "n").orderBy("rank").collect()
+    assert [r["name_b"] for r in got] == ["d", "c", "b"]
+
+
+def test_refined_topics(spark):
+    actions = spark.createDataFrame([(1, 3, "move"), (2, 3, "keep"), (3, 3, "recluster"), (4, 3, "recluster"), (5, 3, "recluster")], "id int, best_topic int, action string")
+    clustered = spark.createDataFrame([(3, 3), (4, 3), (5, -1)], "id int, cluster int")
+    got = {r["id"]: r["topic_id"] for r in topics.refined(actions, clustered, "id", 4, 20).collect()}
+    assert got == {1: 3, 2: 4, 3: 21, 4: 21, 5: -1}

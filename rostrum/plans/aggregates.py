@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import names
 from rostrum.functions import text as texts
 from rostrum.operators import cluster, enrich, facets, review, search, topics
-from rostrum.plans.registry import query
+from rostrum.plans.registry import query, ratio_sql
 from rostrum.sources.fixtures import calendar, entities, keywords, members, nested_entities, speeches, table
 
 OK = "topic_id NOT IN (-1, 1, 3, 5)"
@@ -27,7 +27,15 @@ def j1(spark, d):
     return enrich.exact_party(speeches(spark, d), members(spark, d)).select("id", "party")
 
 
-@query("J2_fuzzy_party")
+J2_SQL = f"""WITH RECURSIVE m AS (SELECT CAST(n_regionkey + 17 AS INT) AS term, n_name AS mp_name FROM nation),
+s AS (SELECT term, concat(left(mp_name, length(mp_name) - 2), right(mp_name, 1)) AS speech_giver FROM m),
+open AS (SELECT s.term, s.speech_giver, m.mp_name FROM s JOIN m USING (term) WHERE NOT EXISTS (SELECT 1 FROM m e WHERE e.term = s.term AND e.mp_name = s.speech_giver)),
+{ratio_sql("SELECT DISTINCT mp_name AS a, speech_giver AS b FROM open")},
+best AS (SELECT term, speech_giver, arg_max(mp_name, (similarity, mp_name)) AS party FROM open JOIN ratio ON a = mp_name AND b = speech_giver WHERE similarity >= 0.85e0 GROUP BY 1, 2)
+SELECT s.term, s.speech_giver, coalesce(m.mp_name, best.party) AS party FROM s LEFT JOIN m ON m.term = s.term AND m.mp_name = s.speech_giver LEFT JOIN best ON best.term = s.term AND best.speech_giver = s.speech_giver"""
+
+
+@query("J2_fuzzy_party", J2_SQL)
 def j2(spark, d):
     """Every name lost its last but one letter, as misread names do."""
     misread = F.concat(F.expr("left(speech_giver, length(speech_giver) - 2)"), F.right("speech_giver", F.lit(1)))
@@ -40,12 +48,17 @@ def j3(spark, d):
     return enrich.close_names(table(spark, d, "part"), "p_name", 3)
 
 
-@query("J3_similar_names")
+SIMILAR_SQL = f"""n AS (SELECT DISTINCT p_name AS n, array_to_string(string_split(p_name, ' ')[1:3], ' ') AS s FROM part),
+{ratio_sql("SELECT DISTINCT y.s AS a, x.s AS b FROM n x JOIN n y ON x.n <> y.n")},
+similar_names AS (SELECT x.n AS name_a, y.n AS name_b, similarity FROM n x JOIN n y ON x.n <> y.n JOIN ratio ON a = y.s AND b = x.s WHERE similarity >= 0.8e0)"""
+
+
+@query("J3_similar_names", f"WITH RECURSIVE {SIMILAR_SQL} SELECT name_a, name_b, similarity FROM similar_names")
 def j3_similar(spark, d):
     return enrich.similar_names(table(spark, d, "part"), "p_name", 0.8)
 
 
-@query("J3_ranked_names")
+@query("J3_ranked_names", f"WITH RECURSIVE {SIMILAR_SQL}, k AS (SELECT p_name AS name_b, bool_or(p_partkey % 3 <> 0 AND coalesce(p_type, '') <> '') AS has_party FROM part GROUP BY 1) SELECT name_a, name_b, CAST(row_number() OVER (PARTITION BY name_a ORDER BY similarity DESC, has_party DESC, name_b) AS INT) AS rank, has_party FROM similar_names JOIN k USING (name_b)")
 def j3_ranked(spark, d):
     """Every third name has no type, as names without a party."""
     rows = table(spark, d, "part").select("p_name", F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("party"))
@@ -288,11 +301,21 @@ def a25(spark, d):
     return merged.select("norm", "party", F.array_join(F.transform("terms", lambda x: x.cast("string")), ",").alias("terms"), "merged")
 
 
-@query("A26_canonical_names")
+A26_SQL = f"""WITH RECURSIVE {SIMILAR_SQL}, reach AS (SELECT name_a AS name, name_a AS other FROM similar_names UNION SELECT name, name_b FROM reach JOIN similar_names ON name_a = other),
+root AS (SELECT name, min(other) AS root FROM reach GROUP BY 1),
+r AS (SELECT p_name AS name, min(p_type) AS party, count(DISTINCT p_size) AS n FROM part GROUP BY 1),
+g AS (SELECT root, r.*, CASE WHEN coalesce(party, '') <> '' THEN 100 ELSE 0 END + n * 10 - length(name) AS score FROM r JOIN root USING (name)),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, name) AS place FROM g),
+t AS (SELECT root, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS terms FROM root JOIN part ON p_name = name GROUP BY 1)
+SELECT root, arg_min(name, place) AS canonical, arg_min(party, place) FILTER (coalesce(party, '') <> '') AS party, count(*) AS names, any_value(terms) AS terms FROM o JOIN t USING (root) GROUP BY root"""
+
+
+@query("A26_canonical_names", A26_SQL)
 def a26(spark, d):
     rows = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_type").alias("party"), F.array_sort(F.collect_set("p_size")).alias("terms"))
     pairs = enrich.similar_names(rows, "name", 0.8).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-    return enrich.canonical_names(rows, cluster.connected_components(pairs).toDF("name", "root"))
+    found = enrich.canonical_names(rows, cluster.connected_components(pairs).toDF("name", "root"))
+    return found.withColumn("terms", F.array_join(F.transform("terms", lambda x: x.cast("string")), ","))
 
 
 @query("A27_centroids", f"WITH {CENTRE_SQL} SELECT topic_id, CAST(i AS INT) AS i, round(x, 9) AS x FROM c0")

@@ -209,12 +209,27 @@ def s13(spark, d):
     return conform(speeches(spark, d))
 
 
-@query("S14_schema_report")
+#: Fields of the joined table and their types.
+REPORT = {
+    "speech_key": "bigint", "ner_entities": "array<struct<entity:string,entity_group:string,frequency:int,wikipedia_url:string,confidence:double>>", "ner_entities[].entity": "string",
+    "ner_entities[].entity_group": "string", "ner_entities[].frequency": "int", "ner_entities[].wikipedia_url": "string", "ner_entities[].confidence": "double", "id": "string", "session_id": "string",
+    "term": "int", "year": "int", "speech_giver": "string", "province": "string", "political_party_at_time": "string", "topic_id": "int", "topic_label": "string", "session_date": "date",
+}
+REPORT_SQL = (
+    "WITH j AS (SELECT s.* FROM speeches s WHERE EXISTS (SELECT 1 FROM entities e WHERE e.speech_key = s.speech_key)), f AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{k}', '{v}')" for k, v in REPORT.items())
+    + ") AS f(field, type)), c AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS field, count({'id' if k == 'ner_entities' else k}) AS present FROM j" for k in REPORT if "[]" not in k)
+    + ") SELECT f.field, f.type, c.present FROM f LEFT JOIN c ON c.field = f.field"
+)
+
+
+@query("S14_schema_report", REPORT_SQL, "speeches", "entities")
 def s14(spark, d):
     return files.schema_rows(nested_entities(spark, d).join(speeches(spark, d), "speech_key"))
 
 
-@query("S14_richest_sample")
+@query("S14_richest_sample", "SELECT *, CAST(CASE WHEN topic_id IS NULL THEN 0 ELSE 8 END + CASE WHEN content IS NULL THEN 0 ELSE 4 END + CASE WHEN political_party_at_time IS NULL THEN 0 ELSE 2 END AS INT) AS richness FROM speeches ORDER BY richness DESC, id LIMIT 1", "speeches")
 def s14_sample(spark, d):
     return files.richest(speeches(spark, d, content=True), [["topic_id"], ["content"], ["political_party_at_time"]], "id")
 

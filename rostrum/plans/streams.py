@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rostrum.operators import topics
+from rostrum.plans.aggregates import CENTRE_SQL, NEAREST_SQL
 from rostrum.plans.registry import query
 from rostrum.sources.fixtures import speeches, table
 from rostrum.sources.store import fresh_path
@@ -67,7 +68,7 @@ def x6(spark, d):
     return stream.dry_run(arriving, speeches(spark, d).select("speech_key"), "speech_key")
 
 
-@query("X7_stream_topics")
+@query("X7_stream_topics", f"WITH {CENTRE_SQL}, {NEAREST_SQL}, n AS (SELECT *, sim < 0.25 AS is_new FROM near) SELECT vec_id, CAST(CASE WHEN is_new THEN (SELECT max(topic_id) FROM centre) + row_number() OVER (PARTITION BY is_new ORDER BY vec_id) ELSE topic_id END AS INT) AS topic_id, round(sim, 6) AS sim, is_new FROM n")
 def x7(spark, d):
     """Vectors arrive as a stream and take the topic of the nearest known centre."""
     out, checkpoint = _places(spark)
@@ -75,4 +76,4 @@ def x7(spark, d):
     centers = topics.centroids(known)
     arriving = spark.readStream.schema(table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
     stream.run_once(arriving.select("vec_id", "embedding"), out, checkpoint, "append", stream.topic_sink(spark, out, centers, "vec_id", 0.25))
-    return stream.all_versions(spark, out, "vec_id long, topic_id int, sim double, is_new boolean")
+    return stream.all_versions(spark, out, "vec_id long, topic_id int, sim double, is_new boolean").withColumn("sim", F.round("sim", 6))

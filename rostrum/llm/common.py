@@ -14,6 +14,8 @@ from rostrum.sources.store import stored as settled
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text whose share of a shuffle one task holds.
 PART_BYTES = 32 << 20
+#: A key is hot that holds more than one in so many rows; there are fewer hot keys than that.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,18 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """key: those of more than 1/HOT of all rows, so fewer than HOT of them. counts has a row for each key."""
+    return settled(counts.where(F.col(n) * HOT > total).select(key), "hot-keys")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined to a table with one row a key. Rows of hot keys stay where they are and meet the table's few rows of
+    these by broadcast; all others are shuffled."""
+    few = F.broadcast(hot)
+    return rows.join(few, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(few, key, "left_semi")), key))
+
+
 def row_key(*cols: str):
     """A key of the row's content, so that rows which share a doc_id but not a text stay apart."""
     return F.xxhash64(*cols)

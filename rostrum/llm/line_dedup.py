@@ -154,10 +154,10 @@ def _parted(group: pa.Table) -> pa.Table:
     return pa.table({"own": pa.array(np.concatenate(owns), pa.int64()), "template": pa.array(np.concatenate(templates), pa.int64())})
 
 
-def _agreed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _agreed(docs: DataFrame, owns: DataFrame) -> DataFrame:
     """own, template: lines that agree with others at all but VARIABLE of their places. Parts that one task can hold are
     parted there, larger ones on Spark, a place at a time."""
-    several = rows.groupBy("leaf").agg((F.min("own") != F.max("own")).alias("several")).where("several").select(F.col("leaf").alias("part"))
+    several = owns.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select(F.col("leaf").alias("part"))
     several = common.settled(several, "leaves")
     if several.count() <= SMALL:
         wanted = np.sort(np.array([r["part"] for r in several.collect()], np.int64))
@@ -192,16 +192,20 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     """doc, lines: for each row that loses lines, the masked lines' names."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key("doc_id", "text").alias("doc"), "text")
     rows = common.settled(own.mapInArrow(_parsed(min_tokens), LINES), "lines")
-    agreed = common.settled(_agreed(docs, rows), "agreed-lines")
-    templates = rows.select("own").distinct().join(agreed, "own", "left").select("own", F.coalesce("template", "own").alias("template"))
-    templates = common.settled(templates, "templates")
-    seen = rows.select("doc_id", "doc", "own").join(templates, "own")
-    # Counting rows, not distinct keys, lets repeated rows count; a row's lines are distinct, its templates by max below.
+    # Rows, not distinct keys, are counted, so that repeated rows count.
+    owns = rows.groupBy("own").agg(F.min("leaf").alias("leaf"), F.count("*").alias("times"), F.min("doc_id").alias("least"))
+    owns = common.settled(owns, "masked-lines")
+    hot = common.hot_keys(owns.select("own", "times"), "own", "times", rows.count())
+    agreed = common.settled(_agreed(docs, owns), "agreed-lines")
+    # A template can't be in more documents than its lines have rows; those that may be in enough are counted.
+    bounded = agreed.join(owns.select("own", "times"), "own").groupBy("template").agg(F.sum("times").alias("most")).where(F.col("most") >= min_docs)
+    seen = common.join_hot(rows.select("doc_id", "doc", "own"), common.settled(agreed.join(bounded, "template", "left_semi"), "templates"), "own", hot)
     per_doc = seen.groupBy("template", "doc").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), F.count_distinct("own").alias("lines"))
     frequent = per_doc.groupBy("template").agg(F.sum(F.ceil(F.col("times") / F.col("lines"))).alias("docs"), F.min("doc_id").alias("least")).where(F.col("docs") >= min_docs)
     frequent = common.settled(frequent.select("template", "least"), "frequent")
-    named = common.settled(templates.join(frequent, "template").select("own", "least"), "dropped-lines")
-    lost = rows.select("doc_id", "doc", "own").join(named, "own").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
+    alone = owns.where(F.col("times") >= min_docs).join(agreed, "own", "left_anti").select("own", "least")
+    named = common.settled(agreed.join(frequent, "template").select("own", "least").unionByName(alone), "dropped-lines")
+    lost = common.join_hot(rows.select("doc_id", "doc", "own"), named, "own", hot).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
     return lost.groupBy("doc").agg(F.collect_set("own").alias("lost"))
 
 

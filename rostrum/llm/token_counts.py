@@ -106,8 +106,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(stored().select("digest"), "digest", "left_anti")
     counted = misses.mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(path)
-    sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    out = sized.join(stored(), "digest", "left")
+    sized = common.settled(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "sized")
+    hot = common.hot_keys(sized.groupBy("digest").agg(F.count("*").alias("n")), "digest", "n", sized.count())
+    out = common.join_hot(sized, stored(), "digest", hot)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -9,11 +9,12 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oracle import rows as plain
 from oracle import tables
-from rostrum.llm import langid, mixing, secrets, token_counts
+from rostrum.llm import common, langid, mixing, secrets, token_counts
 from rostrum.llm import queries as registered
 
 SCHEMA = "doc_id long, text string, lang string, source string, digest string, size int, block string"
@@ -231,3 +232,13 @@ def test_very_long_texts(spark):
     assert found[1]["n_confirmed"] == 0 and found[2]["n_hex"] == 1 and "jwt:" in found[3]["spans"] and found[4]["spans"] == ""
     counts = {r["doc_id"]: r for r in token_counts.count_tokens(docs.where("doc_id = 4"), public_tokenizers.path("word_bpe_49k.json")).collect()}
     assert counts[4]["n_bytes"] == 50_400_000 and counts[4]["over_limit"]
+
+
+def test_hot_keys_join_like_others(spark):
+    """A key of a third of the rows, others that are rare, and some that the table lacks."""
+    rows = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
+    table = spark.range(0, 6000, 2).selectExpr("id AS k", "id * 7 AS v")
+    hot = common.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 6000)
+    assert [r["k"] for r in hot.collect()] == [0]
+    got = common.join_hot(rows, table, "k", hot).select("id", "k", "v").collect()
+    assert sorted(got) == sorted(rows.join(table, "k").select("id", "k", "v").collect())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
 }
 SQL = {"op6_mixing": mixing.OP6_SQL}

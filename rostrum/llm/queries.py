@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, langid, line_dedup, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts, whitening
+from . import decontaminate, embedding_dedup, importance, langid, line_dedup, minhash_dedup, mixing, secrets, substring_dedup, suffix_dedup, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_importance_resampling": importance.op13_importance_resampling,
 }
-SQL = {"op6_mixing": mixing.OP6_SQL}
+SQL = {"op6_mixing": mixing.OP6_SQL, "op13_importance_resampling": importance.OP13_SQL}

@@ -1,6 +1,6 @@
 """Target-distribution importance resampling: documents are drawn by how much their n-grams look like a target's.
 
-Separators collapse to single spaces; `regex` then scans each text for every n-gram order with overlapping matches between
+Separators collapse to single spaces (`slabs`); `regex` then scans each text for every n-gram order with overlapping matches between
 boundary lookarounds, so that a match's span is an n-gram, and its CRC is counted in a bucket. Buckets of all documents and
 all target texts give each bucket a gain, the log ratio of its smoothed shares in thousandths; a document's weight is the
 floored mean of its n-grams' gains. Gumbel noise from a digest of the doc_id is added and the highest scores are drawn, which
@@ -30,8 +30,11 @@ from rostrum.operators.order import numbered
 
 from . import common
 
-#: Bytes that separate words once A-Z are lower case (fixed values).
-SEPARATORS = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A-Z to lower case, and every other byte that separates words (fixed values) to a space.
+ONE_CASE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
+SPACES = regex.compile(rb" {2,}")
+#: Bytes that are looked at together; a longer text is cut at separators.
+SLAB = 1 << 20
 ORDERS, BUCKETS = (1, 1), 10_000
 #: Fewest words of a document that can be drawn, per cent that are drawn, seed of the noise.
 LEAST, PERCENT, SEED = 20, 10, 2024
@@ -43,13 +46,28 @@ def ngram_pattern(n: int) -> regex.Pattern:
     return regex.compile(rb"(?<![^ ])[^ ]++(?: [^ ]++){%d}(?![^ ])" % (n - 1))
 
 
-def buckets_of(text: str | None, patterns: list[regex.Pattern], buckets: int) -> tuple[int, array]:
-    """Number of words, and the bucket of each n-gram."""
-    line = SEPARATORS.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip(b" ")
-    out = array("I")
-    for pattern in patterns:
-        out.extend(crc32(m[0]) % buckets for m in pattern.finditer(line, overlapped=True))
-    return line.count(b" ") + bool(line), out
+def slabs(text: str | None) -> Iterator[bytes]:
+    """Words of a text with single spaces between them, about SLAB bytes at a time."""
+    line, a = (text or "").encode("utf-8", "surrogatepass").translate(ONE_CASE), 0
+    while a < len(line):
+        b = line.find(b" ", a + SLAB)
+        b = len(line) if b < 0 else b
+        part = SPACES.sub(b" ", line[a:b]).strip(b" ")
+        if part:
+            yield part
+        a = b
+
+
+def buckets_of(text: str | None, patterns: dict[int, regex.Pattern], buckets: int) -> tuple[int, array]:
+    """Number of words, and the bucket of each n-gram; patterns by n. The last n - 1 words of a slab lead the next one."""
+    out, n_words, tails = array("I"), 0, dict.fromkeys(patterns, b"")
+    for part in slabs(text):
+        n_words += part.count(b" ") + 1
+        for n, pattern in patterns.items():
+            line = tails[n] + b" " + part if tails[n] else part
+            out.extend(crc32(m[0]) % buckets for m in pattern.finditer(line, overlapped=True))
+            tails[n] = b" ".join(line.rsplit(b" ", n - 1)[-(n - 1) :]) if n > 1 else b""
+    return n_words, out
 
 
 def scanned(docs: DataFrame, orders: tuple[int, int] = ORDERS, buckets: int = BUCKETS, key: str | None = "doc_id") -> DataFrame:
@@ -57,7 +75,7 @@ def scanned(docs: DataFrame, orders: tuple[int, int] = ORDERS, buckets: int = BU
     kind = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [ngram_pattern(n) for n in range(orders[0], orders[1] + 1)]
+        patterns = {n: ngram_pattern(n) for n in range(orders[0], orders[1] + 1)}
         for batch in batches:
             found = [buckets_of(t.as_py(), patterns, buckets) for t in batch.column("text")]
             packed = common.binary_column([common.packed(np.array(b, kind)) for _, b in found])

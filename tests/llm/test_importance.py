@@ -83,8 +83,17 @@ def test_query_against_sql(spark):
     assert plain(im.op13_importance_resampling(spark, d).toPandas()) == plain(tables(d).sql(im.OP13_SQL).df())
 
 
+def test_slabs(monkeypatch):
+    text = "Aé, b c. " * 40 + "x" * 90 + " y"
+    patterns = {n: im.ngram_pattern(n) for n in (1, 2, 3)}
+    whole = im.buckets_of(text, patterns, 1000)
+    monkeypatch.setattr(im, "SLAB", 7)
+    n, found = im.buckets_of(text, patterns, 1000)
+    assert (n, sorted(found)) == (whole[0], sorted(whole[1])) and len(list(im.slabs(text))) > 20
+
+
 def test_very_long_text():
     tracemalloc.start()
-    n, found = im.buckets_of("Word " * 4_000_000 + "x" * 1_000_000, [im.ngram_pattern(1)], 10_000)
-    assert n == len(found) == 4_000_001 and tracemalloc.get_traced_memory()[1] < 250 << 20
+    n, found = im.buckets_of("Word " * 4_000_000 + "x" * 1_000_000, {1: im.ngram_pattern(1)}, 10_000)
+    assert n == len(found) == 4_000_001 and tracemalloc.get_traced_memory()[1] < 150 << 20
     tracemalloc.stop()

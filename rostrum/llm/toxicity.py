@@ -177,14 +177,14 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on the learnable documents of docs that labels (doc_id, toxic) covers; `sample` bounds their expected number."""
     texts, known = _labelled(docs, labels)
-    known = common.settled(known, "toxic-labels")
-    counts = {r["toxic"]: r["n"] for r in texts.select("doc_id", "key").join(known, "doc_id").select("key", "toxic").distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    labelled = common.settled(texts.select("doc_id", "key").join(known, "doc_id").select("key", "toxic").distinct(), "toxic-labels")
+    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model()
-    rates = {k: min(1.0, sample / 2 / n) for k, n in counts.items()}
     unit = F.xxhash64("key", F.lit(41)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
-    drawn = texts.withColumn("unit", unit).where(F.col("unit") < max(rates.values())).join(known, "doc_id")
-    drawn = drawn.where(F.col("unit") < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])).dropDuplicates(["key"])
+    rate = F.when(F.col("toxic") == 1, sample / 2 / counts[1]).otherwise(sample / 2 / counts[0])
+    # About `sample` keys, so they are sent to the texts and only those of the sample are shuffled.
+    drawn = texts.select("key", "text").join(F.broadcast(labelled.where(unit < rate)), "key").dropDuplicates(["key"])
     drawn = common.settled(drawn.select("key", "toxic", "text"), "toxic-texts")
     found = drawn.select("text", "toxic").mapInArrow(_presence, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= FEWEST).toPandas()
     total = found[found.feature == -1]

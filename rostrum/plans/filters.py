@@ -9,6 +9,8 @@ from rostrum.operators import enrich, extract, search
 from rostrum.plans.registry import query
 from rostrum.sources import files
 from rostrum.sources.fixtures import entities, keywords, members, nested_entities, speeches, table
+from rostrum.sources.store import fresh_path
+from rostrum.sources.versioned import StoredTable
 
 MEMBERS_SQL = "m AS (SELECT mp_name, list_sort(list(term)) AS terms FROM mps GROUP BY 1)"
 
@@ -41,18 +43,29 @@ def s6(spark, d):
     return vectors.select("id", "label", F.size("embedding").alias("dims"), F.get("embedding", F.lit(0)).cast("double").alias("head"))
 
 
+def stored_speeches(spark, d, *columns: str) -> StoredTable:
+    """A stored table of these columns, with a folder for each term and year."""
+    held = StoredTable(spark, fresh_path(spark, "speech-store"))
+    held.create(speeches(spark, d).select(*columns, "term", "year"), "speech_key", ["term", "year"])
+    return held
+
+
 @query("S7_upsert", "WITH fresh AS (SELECT (SELECT max(o_orderkey) FROM orders) - 499 + doc_id AS speech_key, CASE WHEN n_chars % 2 = 0 THEN lang END AS topic_label FROM documents) SELECT coalesce(s.speech_key, f.speech_key) AS speech_key, s.speech_giver, s.topic_id, coalesce(f.topic_label, s.topic_label) AS topic_label FROM speeches s FULL JOIN fresh f ON f.speech_key = s.speech_key", "speeches")
 def s7(spark, d):
-    old = speeches(spark, d).select("speech_key", "speech_giver", "topic_id", "topic_label")
+    """Documents are merged into a stored table; the query reads the version that the merge made."""
+    held = stored_speeches(spark, d, "speech_key", "speech_giver", "topic_id", "topic_label")
     top = table(spark, d, "orders").agg(F.max("o_orderkey").alias("top"))
     fresh = table(spark, d, "documents").crossJoin(F.broadcast(top)).select((F.col("top") - 499 + F.col("doc_id")).alias("speech_key"), F.when(F.col("n_chars") % 2 == 0, F.col("lang")).alias("topic_label"))
-    return enrich.upsert(old, fresh, "speech_key")
+    return held.read(held.merge(fresh, writer="documents", batch=0)).select("speech_key", "speech_giver", "topic_id", "topic_label")
 
 
 @query("S8_backfill", "SELECT s.id, coalesce(s.political_party_at_time, m.party) AS political_party_at_time FROM speeches s LEFT JOIN mps m ON m.term = s.term AND m.mp_name = s.speech_giver", "speeches", "mps")
 def s8(spark, d):
-    found = enrich.exact_party(speeches(spark, d), members(spark, d))
-    return enrich.backfill(found, "political_party_at_time", F.col("party")).select("id", "political_party_at_time")
+    """Only rows without a party are looked up, and only their folders are written anew."""
+    held = stored_speeches(spark, d, "speech_key", "id", "speech_giver", "political_party_at_time")
+    open_ = held.read().where("political_party_at_time is null").select("speech_key", "term", "speech_giver")
+    found = enrich.exact_party(open_, members(spark, d)).where("party is not null").select("speech_key", F.col("party").alias("political_party_at_time"))
+    return held.read(held.update(found)).select("id", "political_party_at_time")
 
 
 LABELS = [(4, "Budget"), (6, "Health"), (7, "topic 7")]
@@ -60,9 +73,14 @@ LABELS = [(4, "Budget"), (6, "Health"), (7, "topic 7")]
 
 @query("S9_relabel", "WITH l AS (SELECT * FROM (VALUES (4, 'Budget'), (6, 'Health'), (7, 'topic 7')) AS t(topic_id, new_label)) SELECT s.topic_id, coalesce(l.new_label, s.topic_label) AS topic_label, count(*) AS n, count(*) FILTER (l.new_label IS NOT NULL AND l.new_label IS DISTINCT FROM s.topic_label) AS changed FROM speeches s LEFT JOIN l ON l.topic_id = s.topic_id GROUP BY 1, 2", "speeches")
 def s9(spark, d):
+    """The labels of three topics in a stored table; rows that have them already aren't written anew."""
     labels = spark.createDataFrame(LABELS, "topic_id int, new_label string")
-    done = enrich.relabel(speeches(spark, d), labels)
-    return done.groupBy("topic_id", "topic_label").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
+    held = stored_speeches(spark, d, "speech_key", "topic_id", "topic_label")
+    changed = enrich.relabel(held.read(), labels).where("changed").select("speech_key", "topic_label")
+    before, after = held.manifest()["version"], held.update(changed)
+    old = held.read(before).select("speech_key", F.col("topic_label").alias("was"))
+    both = held.read(after).join(old, "speech_key").withColumn("changed", ~F.col("was").eqNullSafe(F.col("topic_label")))
+    return both.groupBy("topic_id", "topic_label").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
 
 
 @query("S10_sync", "WITH src AS (SELECT speech_key, CASE WHEN term >= 20 THEN topic_label END AS topic_label FROM speeches), dst AS (SELECT speech_key, CASE WHEN term < 22 THEN topic_label END AS topic_label FROM speeches), synced AS (SELECT d.speech_key, coalesce(s.topic_label, d.topic_label) AS topic_label FROM dst d LEFT JOIN (SELECT * FROM src WHERE topic_label IS NOT NULL) s USING (speech_key)) SELECT (SELECT count(topic_label) FROM src) AS in_source, (SELECT count(topic_label) FROM dst) AS before, count(topic_label) AS after FROM synced", "speeches")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.vectors import cosine, dot, mean_vectors, scaled
 from rostrum.operators.order import numbered
 from rostrum.sources.schema import analysed_topic
+from rostrum.sources.store import stored
 
 #: Most centroids (rows) that are broadcast for matching; beyond, they are matched in groups of this size.
 GROUP = 4096
@@ -22,7 +23,7 @@ def centroids(vectors: DataFrame, topic: str = "topic_id", vector: str = "embedd
 def similarities(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """key, topic_id, sim for every vector and centre: an explicit product with a stated, small side."""
     unit = vectors.select(key, scaled(F.col(vector)).alias("__v"))
-    target = centers.select("topic_id", scaled(F.col("centroid")).alias("__c"))
+    target = stored(centers.select("topic_id", scaled(F.col("centroid")).alias("__c")), "centres")
     n = target.count()
     if n <= GROUP:
         return unit.crossJoin(F.broadcast(target)).select(key, "topic_id", dot(F.col("__v"), F.col("__c")).alias("sim"))
@@ -37,6 +38,7 @@ def similarities(vectors: DataFrame, centers: DataFrame, key: str, vector: str =
 def nearest(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.7) -> DataFrame:
     """key, topic_id, sim: the most similar centre, ties to the lesser id; topic_id is null under the threshold. Centres
     that fit one row are looked through within each vector's row, so vectors don't travel."""
+    centers = stored(centers, "centres")
     if centers.count() <= GROUP:
         unit = vectors.select(key, scaled(F.col(vector)).alias("__v"))
         row = centers.agg(F.collect_list(F.struct("topic_id", scaled(F.col("centroid")).alias("c"))).alias("__all"))
@@ -51,7 +53,8 @@ def nearest(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "emb
 def assign(vectors: DataFrame, centers: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.7, shared_new_id: bool = False, top: int | None = None) -> DataFrame:
     """Like `nearest`, but what matches nothing gets new ids after the greatest (`top`, or that of the centres): one each,
     or one for all."""
-    found = nearest(vectors, centers, key, vector, threshold)
+    centers = stored(centers, "centres")
+    found = stored(nearest(vectors, centers, key, vector, threshold), "matched")
     if top is None:
         top = centers.agg(F.max("topic_id")).first()[0] or 0
     fresh = found.where("topic_id is null")

@@ -9,7 +9,7 @@ from rostrum.plans.aggregates import CENTRE_SQL, NEAREST_SQL
 from rostrum.plans.registry import query
 from rostrum.sources.fixtures import speeches, table
 from rostrum.sources.store import fresh_path
-from rostrum.streaming import stream
+from rostrum.streaming import founding, stream
 
 
 def _places(spark) -> tuple[str, str]:
@@ -77,3 +77,15 @@ def x7(spark, d):
     arriving = spark.readStream.schema(table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
     stream.run_once(arriving.select("vec_id", "embedding"), out, checkpoint, "append", stream.topic_sink(spark, out, centers, "vec_id", 0.25))
     return stream.all_versions(spark, out, "vec_id long, topic_id int, sim double, is_new boolean").withColumn("sim", F.round("sim", 6))
+
+
+@query("X7_founded_topics")
+def x7_founded(spark, d):
+    """Vectors arrive a minute apart; those that match no known centre found topics, which expire after a day."""
+    out, checkpoint = _places(spark)
+    known = table(spark, d, "embeddings").withColumnRenamed("label", "topic_id")
+    arriving = spark.readStream.schema(table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    timed = arriving.withColumn("ts", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("vec_id") * 60))
+    with founding.rocksdb_state(spark):
+        stream.run_once(founding.founded_topics(timed, topics.centroids(known), "vec_id", threshold=0.25, ttl="1 day"), out, checkpoint)
+    return spark.read.schema("vec_id long, topic_id long, sim double, is_new boolean, members long").parquet(out).withColumn("sim", F.round("sim", 6))

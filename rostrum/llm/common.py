@@ -89,9 +89,14 @@ def binary_column(pieces: list[bytes]) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are, whatever characters they hold."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator works on, so that columns with clashing names can't reach it."""
     return df.select(*names)
 
 
-__all__ = ["WORD", "binary_column", "by_bytes", "chunks", "clean_columns", "given_back", "fresh_path", "n_parts", "packed", "row_key", "settled", "shared_dir", "table", "text_buffers", "F"]
+__all__ = ["WORD", "binary_column", "by_bytes", "chunks", "clean_columns", "given_back", "fresh_path", "n_parts", "packed", "quoted", "row_key", "settled", "shared_dir", "table", "text_buffers", "F"]

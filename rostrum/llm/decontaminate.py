@@ -233,7 +233,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a test item; all columns stay."""
     bad = common.settled(leaks(docs, benchmark).select("key").distinct(), "leaks")
-    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), F.struct(*common.quoted(docs.columns)).alias("row"))
     return keyed.join(bad, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

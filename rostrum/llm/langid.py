@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from . import common
 
 BITS = 16
 ORDERS = 3
+#: Code points of a text that are looked at together.
+SEGMENT = 1 << 18
 #: Most languages that the weights hold at the full number of features; most rows of a table that is sent along with tasks.
 WIDE, SENT = 256, 10_000
 UND = "und"
@@ -43,39 +46,54 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x33480)), bool, 0x33480)
 
 
-def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Hashed n-grams of a text, one for each place; empty if it has no letters."""
-    if not text:
-        return np.zeros(0, np.int64)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(points, 0x33480 - 1)]
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    code = np.zeros(len(points) + 2, np.uint64)
-    code[1:-1] = np.where(letter, points, 0)
-    kept = np.flatnonzero((code != 0) | np.r_[True, code[:-1] != 0])  # one edge mark between words
-    code = code[kept]
-    out = []
-    for n in range(ORDERS):
-        if len(code) <= n:
-            break
-        h = code[: len(code) - n].copy()
-        some = h != 0
-        for k in range(1, n + 1):
-            nxt = code[k : len(code) - n + k]
-            h = h * np.uint64(0x100000001B3) + nxt
-            some |= nxt != 0
-        out.append(((h[some] * _ODD[n]) >> np.uint64(64 - bits)).astype(np.int64))
-    return np.concatenate(out)
+def segments(text: str) -> Iterator[str]:
+    """Parts of a text of up to SEGMENT code points, which end with a blank where there is one: so case depends on no other part."""
+    a = 0
+    while a < len(text):
+        b = a + SEGMENT
+        if b < len(text):
+            b = text.rfind(" ", a, b) + 1 or b
+        yield text[a:b]
+        a = b
+
+
+def features(text: str | None, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Hashed n-grams of a text, one for each place, a segment of the text at a time; nothing if it has no letters. The last
+    codes of a segment lead the next one, so segments change no n-gram."""
+    tail, before = np.zeros(0, np.uint64), np.uint64(1)
+    for part in chain(["\n"], segments(text or ""), ["\n"]):  # an edge mark stands before and after the text
+        points = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.where(_letters()[np.minimum(points, 0x33480 - 1)], points, 0).astype(np.uint64)
+        kept = code[(code != 0) | (np.r_[before, code[:-1]] != 0)]  # one edge mark between words
+        before = code[-1]
+        line = np.r_[tail, kept]
+        for n in range(ORDERS):
+            new = line[max(0, len(tail) - n) :]  # n codes of what was seen, so that each n-gram comes once
+            if len(new) > n:
+                h = new[: len(new) - n].copy()
+                some = h != 0
+                for k in range(1, n + 1):
+                    nxt = new[k : len(new) - n + k]
+                    h = h * np.uint64(0x100000001B3) + nxt
+                    some |= nxt != 0
+                yield ((h[some] * _ODD[n]) >> np.uint64(64 - bits)).astype(np.int64)
+        tail = line[-(ORDERS - 1) :]
+
+
+def counts_of(text: str | None, bits: int = BITS) -> np.ndarray:
+    """How often each hashed n-gram stands in a text."""
+    out = np.zeros(1 << bits, np.int64)
+    for found in features(text, bits):
+        out += np.bincount(found, minlength=1 << bits)
+    return out
 
 
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's TF-IDF vector of length 1 (1 + log of counts)."""
-    found = features(text, len(idf).bit_length() - 1)
-    if not len(found):
-        return found, np.zeros(0)
-    counts = np.bincount(found, minlength=len(idf))
+    counts = counts_of(text, len(idf).bit_length() - 1)
     index = np.flatnonzero(counts)
+    if not len(index):
+        return index, np.zeros(0)
     value = (1 + np.log(counts[index])) * idf[index]
     norm = np.sqrt(value @ value)
     return index, value / (norm or 1.0)
@@ -98,7 +116,7 @@ def _doc_frequencies(bits: int):
         seen, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             for text in batch.column("text"):
-                seen += np.bincount(features(text.as_py(), bits), minlength=1 << bits) > 0
+                seen += counts_of(text.as_py(), bits) > 0
                 n += 1
         index = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, index].astype(np.int32)), pa.array(np.r_[n, seen[index]])], ["feature", "df"])

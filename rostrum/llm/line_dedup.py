@@ -227,7 +227,7 @@ def _edited(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
 def _split_by_fate(docs: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
     """row (all columns of docs), text (what is left of it), dropped (lines lost)."""
     lost = recurring(docs.select("doc_id", "text"), min_docs, min_tokens).select(F.col("doc").alias("key"), "lost")
-    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), F.struct(*common.quoted(docs.columns)).alias("row"))
     joined = keyed.join(lost, "key", "left").select("row", F.col("row").getField("text").alias("text"), "lost")
     # Only texts that lose lines go to Python and back.
     joined = joined.withColumn("edited", _edited(F.when(F.col("lost").isNotNull(), F.col("text")), F.coalesce("lost", F.array().cast("array<long>"))))

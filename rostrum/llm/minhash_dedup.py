@@ -306,7 +306,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     keep = first.select(F.col("best.key").alias("__row_key")).union(rows.where("root is null").select(F.col("key").alias("__row_key")).distinct())
     keep = common.settled(keep, "representatives")
     own = common.row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    keyed = docs.select(own.alias("key"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(own.alias("key"), F.struct(*common.quoted(docs.columns)).alias("row"))
     kept = keyed.join(keep.withColumnRenamed("__row_key", "key"), "key", "left_semi").dropDuplicates(["key"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 

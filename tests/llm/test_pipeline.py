@@ -2,6 +2,8 @@
 
 import sys
 
+import numpy as np
+
 import corpus_pipeline
 from rostrum.llm import common
 
@@ -51,3 +53,27 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def _written(spark, folder, docs, like):
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, `meta.url` string, row string, key long")
+    rows.write.parquet(f"{folder}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        (like(name).limit(0) if not docs else like(name)).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Empty tables, null texts and sources, repeated rows, and columns whose names hold dots or clash."""
+    like = lambda name: common.table(spark, SF, name)
+    assert corpus_pipeline.run(spark, _written(spark, tmp_path / "empty", [], like)).count() == 0
+    text = lambda i: " ".join("".join(np.random.default_rng(i * 99 + k).choice(list("abdeilmnorstu"), 3 + k % 7)) for k in range(12 + i % 9))
+    docs = [(i, text(i), "en", "a" if i % 2 else None, len(text(i)), "u", "r", i) for i in range(40)]
+    docs += [(50, None, "en", "a", None, "u", "r", 1), (51, "", None, None, 0, None, None, None), (52, "12 34", "en", "b", 5, "u", "r", 2), docs[3], (None, text(99), None, "b", 1, "u", "r", 3)]
+    folder = _written(spark, tmp_path / "odd", docs, like)
+    frame = common.table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = common.settled(stage(spark, frame, folder), name)
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", "meta.url", "row", "key"]
+    assert {r["doc_id"] for r in frame.collect()} == {*range(40), None} and frame.count() == 41
+    assert corpus_pipeline.run(spark, folder).count() > 0

@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import public_tokenizers
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -176,6 +177,25 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_id_segments(monkeypatch):
+    """Segments change no n-gram, and a long text costs little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abÉß ı.!?\n7_-ñ"), int(rng.integers(0, 80)))) for _ in range(60)] + ["İΣ ΑΣ. ΣΑΣ"]
+    whole = [langid.counts_of(t) for t in texts]
+    for size in (1, 2, 3, 11):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert all((langid.counts_of(t) == w).all() for t, w in zip(texts[:60], whole, strict=False))
+    assert sum(w.sum() for w in whole[:60]) > 1000 and langid.counts_of("12 .").sum() == langid.counts_of(None).sum() == 0
+    monkeypatch.undo()
+    text = "äbc déf " * 6_250_000
+    tracemalloc.start()
+    assert langid.counts_of(text).sum() > 100_000_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_language_id_cases(spark):
     import zlib
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostrum.operators import sketches
+from rostrum.operators import selection, sketches
 from rostrum.plans.registry import query
-from rostrum.sources.fixtures import speeches
+from rostrum.sources import documents
+from rostrum.sources.fixtures import speeches, table
 from rostrum.sources.store import fresh_path, stored
 from rostrum.sources.sync import Replica
 
@@ -56,3 +57,40 @@ def a14_sketch(spark, d):
     found = sketches.busiest(_cells(spark, d, "term", "year", "province").where("term >= 16"))
     exact = speeches(spark, d).where("term >= 16").groupBy("province").agg(F.count_distinct("speech_giver").alias("exact"))
     return found.join(exact, "province").select("province", "speeches", (F.abs(F.col("members") - F.col("exact")) <= 0.02 * F.col("exact")).alias("near"))
+
+
+#: A document for each order; which fields it has, and of which types, depends on its key. Both engines read this text.
+MIXED = """concat('{', CASE WHEN o_orderkey % 5 = 0 THEN '"a note":null,' ELSE '' END, '"id":', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ',"score":1.5' ELSE ',"score":"high"' END,
+CASE WHEN o_orderkey % 4 = 0 THEN concat(',"tags":["x",', o_orderkey, ',{"deep":[true,null]}]') ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN concat(',"topic":{"id":', o_orderkey % 12, ',"label":"topic ', o_orderkey % 12, '"}') ELSE '' END,
+CASE WHEN o_orderkey % 101 = 0 THEN '' ELSE '}' END)"""
+
+
+def mixed(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.expr(MIXED).alias("doc"))
+
+
+@query("S14_document_fields", f"WITH j AS (SELECT o_orderkey, {MIXED} AS doc FROM orders), t AS (SELECT o_orderkey, regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type FROM j, json_tree(CASE WHEN o_orderkey % 101 = 0 THEN 'null' ELSE doc END) WHERE o_orderkey % 101 <> 0 UNION ALL SELECT o_orderkey, '$', 'malformed' FROM j WHERE o_orderkey % 101 = 0) SELECT path, type, count(DISTINCT o_orderkey) AS documents, count(*) AS \"values\" FROM t GROUP BY 1, 2")
+def s14_fields(spark, d):
+    """Every path and type of documents that share no schema."""
+    return documents.field_report(mixed(spark, d), "o_orderkey", "doc")
+
+
+@query("S14_first_with_fields", f"SELECT o_orderkey, {MIXED} AS doc FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 101 <> 0 AND o_orderkey > 0)")
+def s14_first(spark, d):
+    return documents.first_with(mixed(spark, d), "o_orderkey", "doc", ["$.topic.label", "$.tags[2].deep[0]", "$.score"])
+
+
+@query("S12_backup_documents", f"SELECT o_orderkey AS key, {MIXED} AS text FROM orders WHERE o_orderkey % 101 <> 0")
+def s12_documents(spark, d):
+    """Documents with differing fields to lines of JSON and back."""
+    path = fresh_path(spark, "backup")
+    documents.backup(mixed(spark, d), "o_orderkey", "doc", path)
+    return documents.restore(spark, path)
+
+
+@query("M4_exact_percentiles", "SELECT l_returnflag, l_linestatus, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.8) AS cut FROM lineitem GROUP BY 1, 2 UNION ALL SELECT 'all', NULL, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.8) FROM lineitem")
+def m4_percentiles(spark, d):
+    """The same percentile of groups and of all rows as one group, by distributed selection."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    whole = selection.exact_percentile(rows.withColumn("l_returnflag", F.lit("all")).withColumn("l_linestatus", F.lit(None).cast("string")), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.8)
+    return selection.exact_percentile(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.8).unionByName(whole)

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,13 +46,14 @@ def _letters() -> np.ndarray:
 
 
 def segments(text: str) -> Iterator[str]:
-    """Parts of a text of up to SEGMENT code points, which end with a blank where there is one: so case depends on no other part."""
+    """Parts of a text of up to SEGMENT code points, which end with a blank where there is one: so case depends on no other
+    part. A line end stands before and after the text."""
     a = 0
     while a < len(text):
         b = a + SEGMENT
         if b < len(text):
             b = text.rfind(" ", a, b) + 1 or b
-        yield text[a:b]
+        yield "\n" * (a == 0) + text[a:b] + "\n" * (b >= len(text))
         a = b
 
 
@@ -61,7 +61,7 @@ def features(text: str | None, bits: int = BITS) -> Iterator[np.ndarray]:
     """Hashed n-grams of a text, one for each place, a segment of the text at a time; nothing if it has no letters. The last
     codes of a segment lead the next one, so segments change no n-gram."""
     tail, before = np.zeros(0, np.uint64), np.uint64(1)
-    for part in chain(["\n"], segments(text or ""), ["\n"]):  # an edge mark stands before and after the text
+    for part in segments(text or ""):
         points = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         code = np.where(_letters()[np.minimum(points, 0x33480 - 1)], points, 0).astype(np.uint64)
         kept = code[(code != 0) | (np.r_[before, code[:-1]] != 0)]  # one edge mark between words
@@ -82,10 +82,14 @@ def features(text: str | None, bits: int = BITS) -> Iterator[np.ndarray]:
 
 def counts_of(text: str | None, bits: int = BITS) -> np.ndarray:
     """How often each hashed n-gram stands in a text."""
-    out = np.zeros(1 << bits, np.int64)
+    out, waiting, size = np.zeros(1 << bits, np.int64), [], 0
     for found in features(text, bits):
-        out += np.bincount(found, minlength=1 << bits)
-    return out
+        waiting.append(found)
+        size += len(found)
+        if size > SEGMENT:
+            out += np.bincount(np.concatenate(waiting), minlength=1 << bits)
+            waiting, size = [], 0
+    return out + np.bincount(np.concatenate(waiting), minlength=1 << bits) if waiting else out
 
 
 def vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rostrum.operators import selection, sketches
+from rostrum.operators import inference, selection, sketches
 from rostrum.plans.registry import query
 from rostrum.sources import documents
 from rostrum.sources.fixtures import speeches, table
@@ -94,3 +94,23 @@ def m4_percentiles(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
     whole = selection.exact_percentile(rows.withColumn("l_returnflag", F.lit("all")).withColumn("l_linestatus", F.lit(None).cast("string")), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.8)
     return selection.exact_percentile(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.8).unionByName(whole)
+
+
+def first_words_model():
+    """Stands in for a model: two words of each text; it can't read texts whose length 9 divides."""
+
+    def model(texts):
+        if any(len(t) % 9 == 0 for t in texts):
+            raise ValueError("unreadable")
+        return [" ".join(t.split(" ")[:2]) for t in texts]
+
+    return model
+
+
+@query("M1_model_batches", "SELECT doc_id, CASE WHEN length(text) % 9 <> 0 THEN array_to_string(string_split(text, ' ')[1:2], ' ') END AS result, CASE WHEN length(text) % 9 = 0 THEN 'ValueError: unreadable' END AS error FROM documents")
+def m1_model(spark, d):
+    """A model over all documents in batches; the second call finds every answer in the table and asks none."""
+    docs, path = table(spark, d, "documents"), fresh_path(spark, "model-results")
+    for _ in range(2):
+        found = inference.with_model(docs, "text", first_words_model, path, "two-words")
+    return found.select("doc_id", "result", "error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
@@ -147,34 +148,43 @@ def largest(rows: DataFrame, keys: list[str], label: str, k: int) -> DataFrame:
     return rows.join(kept, [*keys, label], "left").withColumn(label, F.when(F.col("kept"), F.col(label)).otherwise(-1)).drop("kept")
 
 
-def align(local: DataFrame, threshold: float = 0.7, cap: int = 50, first_cap: int = 30) -> DataFrame:
-    """local: term, year, cluster, centroid, size. Returns those with global_id. Period by period in order, larger
-    clusters first, each takes the most similar known centre at or above the threshold, else a new id up to the cap, else
-    -1. The table of centres holds a few rows a period, whatever the number of contexts, and is read once."""
-    local = stored(local)
-    known, out, period, limit = np.zeros((0, 0)), [], None, first_cap
-    for r in sorted(local.collect(), key=lambda r: (r["term"], r["year"], -r["size"], r["cluster"])):
-        if period != (r["term"], r["year"]):
-            period, limit = (r["term"], r["year"]), cap if len(known) else first_cap
-        c = np.array(r["centroid"], np.float64)
-        c /= np.sqrt(c @ c) or 1.0
-        sims = known @ c if len(known) else np.zeros(0)
-        best = int(sims.argmax()) if len(sims) else -1
-        if best < 0 or sims[best] < threshold:
-            best = len(known) if len(known) < limit else -1
-            if best >= 0:
-                known = np.vstack([known, c]) if len(known) else c[None]
-        out.append((*period, r["cluster"], best))
-    ids = local.sparkSession.createDataFrame(out, "term int, year int, cluster long, global_id int")
-    return local.join(ids, ["term", "year", "cluster"], "left").withColumn("global_id", F.coalesce("global_id", F.lit(-1)))
-
-
-def period_clusters(contexts: DataFrame, key: str, vector: str, eps: float, min_points: int, k: int) -> DataFrame:
-    """term, year, cluster, centroid, size of each period's k largest density clusters."""
-    labelled = dbscan(contexts, key, vector, eps, min_points, ["term", "year"])
-    kept = stored(largest(labelled, ["term", "year"], "cluster", k).where("cluster >= 0").join(contexts.select(key, vector), key))
-    sizes = kept.groupBy("term", "year", "cluster").agg(F.count("*").alias("size"))
-    return mean_vectors(kept, ["term", "year", "cluster"], vector).join(sizes, ["term", "year", "cluster"])
+def align(local: DataFrame, threshold: float = 0.7, cap: int = 50, first_cap: int = 30, words: list[str] | None = None) -> DataFrame:
+    """local: words (columns that name a target word, if there are several), term, year, cluster, centroid, size. Returns
+    those with global_id. For each word, period by period in order, larger clusters first, each takes the most similar known
+    centre at or above the threshold, else a new id up to the cap, else -1. Words are folded apart from each other, each in
+    a task of its own over its few centres a period."""
+    words = words or []
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["term", "year", "size", "cluster"], ascending=[True, True, False, True])
+        known, ids, period, limit = np.zeros((0, 0)), [], None, first_cap
+        for term, year, centroid in zip(pdf["term"], pdf["year"], pdf["centroid"], strict=True):
+            if period != (term, year):
+                period, limit = (term, year), cap if len(known) else first_cap
+            c = np.array(centroid, np.float64)
+            c /= np.sqrt(c @ c) or 1.0
+            sims = known @ c if len(known) else np.zeros(0)
+            best = int(sims.argmax()) if len(sims) else -1
+            if best < 0 or sims[best] < threshold:
+                best = len(known) if len(known) < limit else -1
+                if best >= 0:
+                    known = np.vstack([known, c]) if len(known) else c[None]
+            ids.append(best)
+        return pdf.assign(global_id=np.array(ids, np.int32))
+
+    columns = [*words, "term", "year", "cluster", "size", "centroid"]
+    whole = ", ".join(f"`{c}` {local.schema[c].dataType.simpleString()}" for c in columns)
+    return local.select(*columns).groupBy(*words or [F.lit(0).alias("__all")]).applyInPandas(fold, f"{whole}, global_id int")
+
+
+def period_clusters(contexts: DataFrame, key: str, vector: str, eps: float, min_points: int, k: int, words: list[str] | None = None) -> DataFrame:
+    """words, term, year, cluster, centroid, size of each word's and period's k largest density clusters. A key stands once
+    for each word."""
+    groups = [*(words or []), "term", "year"]
+    labelled = dbscan(contexts, key, vector, eps, min_points, groups)
+    kept = stored(largest(labelled, groups, "cluster", k).where("cluster >= 0").join(contexts.select(*groups, key, vector), [*groups, key]))
+    sizes = kept.groupBy(*groups, "cluster").agg(F.count("*").alias("size"))
+    return mean_vectors(kept, [*groups, "cluster"], vector).join(sizes, [*groups, "cluster"])
 
 
 def kmeans(points: DataFrame, vector: str, k: int, seed: int = 42, min_size: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from rostrum.functions import names
 from rostrum.operators.facets import best, ranked
+from rostrum.sources.store import stored
 
 
 def exact_party(speeches: DataFrame, members: DataFrame) -> DataFrame:
@@ -17,38 +18,57 @@ def exact_party(speeches: DataFrame, members: DataFrame) -> DataFrame:
 
 def fuzzy_party(speeches: DataFrame, members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Adds party by (term, speech_giver); names that the term lacks take the most similar one's, if similar enough.
-    Only distinct unmatched names are compared, and only where the lengths and letters allow the threshold."""
+    Only distinct unmatched names are compared, only with those that share a block, and only where the lengths and letters
+    allow the threshold; no match is lost."""
     exact = exact_party(speeches, members)
     missing = exact.where("party is null").select("term", "speech_giver").distinct()
     candidates = members.where("party is not null")
-    pairs = missing.join(candidates, "term")
+    every = missing.select(F.col("speech_giver").alias("n")).union(candidates.select("mp_name")).where("n is not null").distinct()
+    blocks = stored(letter_blocks(every, "n", threshold), "name-blocks")
+    mine = missing.join(blocks.withColumnRenamed("n", "speech_giver"), "speech_giver")
+    theirs = candidates.join(blocks.withColumnRenamed("n", "mp_name"), "mp_name")
+    pairs = mine.join(theirs, ["term", "block"]).select("term", "speech_giver", "mp_name", "party")
     for bound in (names.length_bound, names.letters_bound):
-        pairs = pairs.where(bound(F.col("mp_name"), F.col("speech_giver")) >= threshold)
-    scored = pairs.withColumn("similarity", names.ratio("mp_name", "speech_giver")).where(F.col("similarity") >= threshold)
+        pairs = pairs.where(bound(F.lower("mp_name"), F.lower("speech_giver")) >= threshold - 1e-9)
+    scored = pairs.distinct().withColumn("similarity", names.ratio("mp_name", "speech_giver")).where(F.col("similarity") >= threshold)
     found = best(scored, ["term", "speech_giver"], F.col("similarity").desc(), F.col("mp_name").desc()).select("term", "speech_giver", F.col("party").alias("fuzzy"))
     return exact.join(found, ["term", "speech_giver"], "left").withColumn("party", F.coalesce("party", "fuzzy")).drop("fuzzy")
 
 
-def similar_names(members: DataFrame, name: str = "speech_giver", threshold: float = 0.9, words: int = 3) -> DataFrame:
-    """name_a, name_b, similarity, ordered pairs of different names whose first words are similar. Similar names share at
-    least threshold / (2 - threshold) of the letters of either, so they share one of the rarest that remain without all but
-    one of these; what is joined on them must also allow the threshold by lengths and letters. No pair is lost."""
-    short = names.first_words(F.col(name), words)
-    keyed = members.select(F.col(name).alias("n"), short.alias("s")).where("n is not null").distinct()
-    lower = keyed.select("n", "s", F.lower("s").alias("l")).where("l <> ''")
-    # A letter's second occurrence is another letter: what two names share is then the overlap of two sets.
+def letter_blocks(rows: DataFrame, name: str, threshold: float) -> DataFrame:
+    """name, block: any two names whose similarity reaches the threshold share a block. rows has each name once.
+
+    A letter's second occurrence is another letter, so what two names share is the overlap of two sets. Similar names share
+    at least threshold / (2 - threshold) of the letters of either; in one order of letters, rarest first, two of those stand
+    among the letters that remain without all but two of them. Each pair of these is a block. Names so short that one
+    shared letter can be enough are blocked by each letter too."""
+    lower = rows.select(name, F.lower(name).alias("l")).where("l <> ''")
     letters = F.expr("transform(sequence(1, length(l)), i -> concat(substring(l, i, 1), length(left(l, i)) - length(replace(left(l, i), substring(l, i, 1), ''))))")
-    each = lower.select("n", "s", F.length("l").alias("size"), F.explode(letters).alias("letter"))
+    each = lower.select(name, F.length("l").alias("size"), F.explode(letters).alias("letter"))
     each = each.join(each.groupBy("letter").agg(F.count("*").alias("names")), "letter")
-    place = F.row_number().over(W.partitionBy("n").orderBy("names", "letter"))
-    needed = F.ceil(F.col("size") * threshold / (2 - threshold) - 1e-9)
-    blocks = each.withColumn("place", place).where(F.col("place") <= F.col("size") - needed + 1).select("n", "s", "letter")
-    a, b = blocks.toDF("name_a", "s_a", "letter"), blocks.toDF("name_b", "s_b", "letter")
-    pairs = a.join(b, "letter").where("name_a <> name_b")
+    needed = F.ceil(F.col("size") * threshold / (2 - threshold) - 1e-9).cast("int")
+    # A name's letters are as many as it is long.
+    own = each.groupBy(name, "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("names", "letter"))), lambda x: x["letter"]).alias("all"))
+    first = own.select(name, "size", "all", F.slice("all", F.lit(1), F.col("size") - needed + 2).alias("p"))
+    pairs = F.expr("flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> concat(x, ' ', y))))")
+    single = F.when(F.col("size") <= max(1.0, 2 / threshold - 1), F.col("all")).otherwise(F.array().cast("array<string>"))
+    return first.select(name, F.explode(F.concat(pairs, single)).alias("block"))
+
+
+def similar_names(members: DataFrame, name: str = "speech_giver", threshold: float = 0.9, words: int = 3) -> DataFrame:
+    """name_a, name_b, similarity, ordered pairs of different names whose first words are similar. Only names that share a
+    block (`letter_blocks`) are compared, and only where lengths and letters allow the threshold. No pair is lost."""
+    short = names.first_words(F.col(name), words)
+    keyed = stored(members.select(F.col(name).alias("n"), short.alias("s")).where("n is not null").distinct(), "names")
+    blocks = stored(letter_blocks(keyed.select("s").distinct(), "s", threshold), "name-blocks")
+    a, b = blocks.toDF("s_a", "block"), blocks.toDF("s_b", "block")
+    # Each pair of first words is scored once, however many names begin with them.
+    pairs = a.join(b, "block")
     for bound in (names.length_bound, names.letters_bound):
         pairs = pairs.where(bound(F.lower("s_b"), F.lower("s_a")) >= threshold - 1e-9)
-    pairs = pairs.select("name_a", "s_a", "name_b", "s_b").distinct()
-    return pairs.withColumn("similarity", names.ratio("s_b", "s_a")).where(F.col("similarity") >= threshold).select("name_a", "name_b", "similarity")
+    scored = stored(pairs.select("s_a", "s_b").distinct().withColumn("similarity", names.ratio("s_b", "s_a")).where(F.col("similarity") >= threshold), "similar")
+    both = scored.join(keyed.toDF("name_a", "s_a"), "s_a").join(keyed.toDF("name_b", "s_b"), "s_b")
+    return both.where("name_a <> name_b").select("name_a", "name_b", "similarity")
 
 
 def ranked_matches(pairs: DataFrame, members: DataFrame, name: str = "speech_giver", party: str = "party") -> DataFrame:

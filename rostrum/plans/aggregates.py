@@ -43,6 +43,22 @@ def j2(spark, d):
     return enrich.fuzzy_party(named.withColumn("speech_giver", misread), named.select("term", F.col("speech_giver").alias("mp_name"), F.col("speech_giver").alias("party")))
 
 
+J2_NAMES_SQL = f"""WITH RECURSIVE m AS (SELECT CAST(min(p_partkey % 40) AS INT) AS term, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS mp_name FROM part GROUP BY 2),
+s AS (SELECT term, concat(left(mp_name, 3), right(mp_name, length(mp_name) - 4)) AS speech_giver FROM m),
+open AS (SELECT DISTINCT s.term, s.speech_giver, m.mp_name FROM s JOIN m USING (term) WHERE NOT EXISTS (SELECT 1 FROM m e WHERE e.term = s.term AND e.mp_name = s.speech_giver)),
+{ratio_sql("SELECT DISTINCT mp_name AS a, speech_giver AS b FROM open")},
+best AS (SELECT term, speech_giver, arg_max(mp_name, (similarity, mp_name)) AS party FROM open JOIN ratio ON a = mp_name AND b = speech_giver WHERE similarity >= 0.85e0 GROUP BY 1, 2)
+SELECT s.term, s.speech_giver, coalesce(m.mp_name, best.party) AS party FROM s LEFT JOIN m ON m.term = s.term AND m.mp_name = s.speech_giver LEFT JOIN best ON best.term = s.term AND best.speech_giver = s.speech_giver"""
+
+
+@query("J2_fuzzy_names", J2_NAMES_SQL)
+def j2_names(spark, d):
+    """Part names as members of forty terms; every speaker's name lost its fourth letter."""
+    named = table(spark, d, "part").groupBy(names.first_words(F.col("p_name"), 2).alias("mp_name")).agg(F.min(F.col("p_partkey") % 40).cast("int").alias("term"))
+    said = named.select("term", F.expr("concat(left(mp_name, 3), right(mp_name, length(mp_name) - 4))").alias("speech_giver"))
+    return enrich.fuzzy_party(said, named.select("term", "mp_name", F.col("mp_name").alias("party")))
+
+
 @query("J3_close_names", "WITH n AS (SELECT DISTINCT p_name AS n FROM part) SELECT a.n AS name_a, b.n AS name_b FROM n a JOIN n b ON a.n < b.n AND levenshtein(a.n, b.n) <= 3")
 def j3(spark, d):
     return enrich.close_names(table(spark, d, "part"), "p_name", 3)

@@ -10,7 +10,7 @@ from rostrum.operators import cluster, drift, extract, facets, order, search, to
 from rostrum.plans.aggregates import CENTRE_SQL, NEAREST_SQL
 from rostrum.plans.aggregates import vectors as topic_vectors
 from rostrum.plans.registry import query, ratio_sql
-from rostrum.sources.fixtures import calendar, members, speeches, table
+from rostrum.sources.fixtures import calendar, keywords, members, speeches, table
 from rostrum.sources.store import fresh_path, stored
 
 TOP_SQL = "SELECT term, province, count(*) AS cnt FROM speeches GROUP BY 1, 2"
@@ -209,9 +209,9 @@ def f3(spark, d):
 HYPHEN = "'([A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû])-\\s*([A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû])', '\\1\\2', 'g'"
 
 
-@query("F4_remove_hyphens", f"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, {HYPHEN}), {HYPHEN})) AS INT) AS chars FROM documents")
+@query("F4_remove_hyphens", f"SELECT doc_id, CAST(length(regexp_replace(regexp_replace(text, {HYPHEN}), {HYPHEN})) AS INT) AS chars, md5(regexp_replace(regexp_replace(text, {HYPHEN}), {HYPHEN})) AS closed FROM documents")
 def f4(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(text.remove_hyphens(F.col("text"))).alias("chars"))
+    return table(spark, d, "documents").select("doc_id", F.length(text.remove_hyphens(F.col("text"))).alias("chars"), F.md5(text.remove_hyphens(F.col("text"))).alias("closed"))
 
 
 @query("F5_clean_party", "WITH p AS (SELECT c_custkey, concat(c_mktsegment, ['', ' Partisi ek', ' PARTI x', ' parti'][c_custkey % 4 + 1]) AS raw FROM customer) SELECT c_custkey, coalesce(nullif(regexp_extract(raw, '(?i)^(.*?Partisi)\\b', 1), ''), nullif(regexp_extract(raw, '(?i)^(.*?Parti)\\b', 1), ''), raw) AS party FROM p")
@@ -506,3 +506,12 @@ def m6(spark, d):
     rows = table(spark, d, "embeddings").join(speeches(spark, d).select("speech_key", "term", "year"), F.col("vec_id") == F.col("speech_key")).select("vec_id", "embedding", "term", "year")
     local = cluster.period_clusters(rows, "vec_id", "embedding", 0.7, 2, 30)
     return cluster.align(local, 0.3).select("term", "year", "cluster", "size", "global_id")
+
+
+@query("M6_aligned_words")
+def m6_words(spark, d):
+    """Senses of every keyword at once: contexts of its speeches, clustered by term, aligned from term to term."""
+    dated = speeches(spark, d).select("speech_key", "term", F.lit(1).alias("year"))
+    rows = keywords(spark, d).join(dated, "speech_key").join(table(spark, d, "embeddings"), F.col("speech_key") == F.col("vec_id")).select("keyword", "vec_id", "embedding", "term", "year")
+    local = cluster.period_clusters(rows, "vec_id", "embedding", 0.7, 2, 30, ["keyword"])
+    return cluster.align(local, 0.3, words=["keyword"]).select("keyword", "term", "cluster", "size", "global_id")

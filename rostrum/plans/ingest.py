@@ -36,6 +36,37 @@ def j6(spark, d):
     return extract.speeches_in_section(transcripts(spark, d)).select("file", "speech_no", F.md5("content").alias("body"))
 
 
+def index_transcripts(spark, d):
+    """file, content: conversations in the older layout, an index under one header and the speeches after a second."""
+    turns = table(spark, d, "conversations").where("conv_id % 2 = 0")
+    number = F.col("turn") + 1
+    entry = F.concat(number, F.lit(".- Ankara Milletvekili Ayşe "), F.initcap("role"), F.lit("'ın, konu "), number, F.lit(" hakkında konuşması"))
+    head = F.concat(number, F.lit(".- AYŞE "), F.upper("role"), F.lit(" (Ankara)"))
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry"), head.alias("head"), "text"))).alias("t"))
+    title = F.lit("GÜNDEM DIŞI KONUŞMALAR\n")
+    bodies = F.array_join(F.transform("t", lambda x: F.concat(x["head"], F.lit("\n"), x["text"])), "\n")
+    return per.select(F.col("conv_id").cast("string").alias("file"), F.concat(title, F.array_join(F.col("t.entry"), "\n"), F.lit("\n"), title, bodies).alias("content"))
+
+
+@query("U2_two_eras", f"SELECT file, speech_no, speech_giver, md5(body) AS body, page_ref FROM (SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS INT) AS speech_no, concat('Ayşe ', upper(role[1]), role[2:]) AS speech_giver, {BODY_SQL} AS body, CASE WHEN conv_id % 2 = 1 THEN concat('1:', turn + 11) END AS page_ref, conv_id FROM conversations) WHERE conv_id % 2 = 1 OR body <> ''")
+def u2_eras(spark, d):
+    """Both extractors, each over the sessions of its own layout, into one table."""
+    older = extract.speeches_with_index(index_transcripts(spark, d)).withColumn("page_ref", F.lit(None).cast("string"))
+    newer = extract.speeches_in_section(transcripts(spark, d).where("conv_id % 2 = 1"))
+    rows = older.select("file", "speech_no", "speech_giver", "content", "page_ref").unionByName(newer.select("file", "speech_no", "speech_giver", "content", "page_ref"))
+    return rows.select("file", "speech_no", "speech_giver", F.md5("content").alias("body"), "page_ref")
+
+
+@query("S15_party_for_term", "SELECT term, mp_name, party FROM mps", "mps")
+def s15_party(spark, d):
+    """A page for each member, which names the party of each term in one of three ways."""
+    rows = members(spark, d)
+    way = F.pmod(F.col("term"), F.lit(3))
+    line = F.when(way == 0, F.concat("term", F.lit(". Dönem"), "party", F.lit("AnkaraMilletvekili"))).when(way == 1, F.concat("term", F.lit(". Dönem "), "party", F.lit(" Ankara Milletvekili"))).otherwise(F.concat("term", F.lit(". Dönem "), "party", F.lit(" Milletvekili")))
+    pages = rows.groupBy("mp_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", line.alias("line")))), lambda x: F.concat(F.lit("<li>"), x["line"], F.lit("</li>"))), "").alias("html"))
+    return rows.select("term", "mp_name").join(pages, "mp_name").select("term", "mp_name", extract.party_for_term(F.col("html"), F.col("term")).alias("party"))
+
+
 def _written(spark, d) -> str:
     """Session texts by term and year, as folders of text files."""
     out, _ = _places(spark)

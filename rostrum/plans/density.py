@@ -35,7 +35,7 @@ merge{s} AS MATERIALIZED (SELECT m.*, x.comp AS ca, y.comp AS cb, u.n AS na, w.n
 JOIN sizes{s} u ON u.no = m.no - 1 AND u.comp = x.comp JOIN sizes{s} w ON w.no = m.no - 1 AND w.comp = y.comp),
 born{s} AS (SELECT no AS cluster, a, d, na + nb AS n FROM merge{s} WHERE (na < {size} AND nb < {size} AND na + nb >= {size}) OR (na >= {size} AND nb >= {size})),
 ends{s} AS (SELECT no, d, ca AS comp, na AS n, nb AS other FROM merge{s} UNION ALL SELECT no, d, cb, nb, na FROM merge{s}),
-held{s} AS MATERIALIZED (SELECT e.no, e.d, e.n, e.other, max(b.cluster) AS cluster FROM ends{s} e JOIN born{s} b ON b.cluster < e.no JOIN state{p} x ON x.no = e.no - 1 AND x.k = b.a AND x.comp = e.comp WHERE e.n >= {size} GROUP BY ALL),
+held{s} AS MATERIALIZED (SELECT e.no, e.comp, e.d, e.n, e.other, max(b.cluster) AS cluster FROM ends{s} e JOIN born{s} b ON b.cluster < e.no JOIN state{p} x ON x.no = e.no - 1 AND x.k = b.a AND x.comp = e.comp WHERE e.n >= {size} GROUP BY ALL),
 mass{s} AS (SELECT cluster, sum(n * (1e0 / greatest(d, 1e-12))) AS mass FROM (SELECT cluster, n, d FROM born{s} UNION ALL SELECT cluster, other, d FROM held{s} WHERE other < {size}) GROUP BY 1),
 closed{s} AS (SELECT h.cluster, h.no AS parent, round(mass - n * (1e0 / greatest(d, 1e-12)), 9) AS excess, row_number() OVER (ORDER BY h.cluster) AS r FROM held{s} h JOIN mass{s} USING (cluster) WHERE other >= {size}),
 parted{s} AS (SELECT c.r, any_value(c.excess) AS excess, list(k.r ORDER BY k.r) FILTER (k.r IS NOT NULL) AS kids FROM closed{s} c LEFT JOIN closed{s} k ON k.parent = c.cluster GROUP BY 1),

@@ -9,9 +9,13 @@ least threshold are skipped, the rest are scored in full. An item that scores en
 most of its question's five-token shingles (the first two thirds of its tokens) and most of its answer's tokens (the
 rest). Nothing is cut off: all passages, and all items above their threshold, are looked at.
 
-Document frequencies, the mean length and the stride are those of all items. Items are indexed in groups of about
-GROUP_BYTES of text, one pass over the documents for each, so that what a task holds is bounded however large the benchmark
-is; the groups don't change the result.
+Passages are as long as an item's own length asks for: items are indexed by length class, and each class has a stride, the
+least of STRIDE, twice, four times it and so on that holds the item. Other items' lengths don't matter to it. Texts are
+looked at in slabs of SLAB tokens that overlap by the longest stride, so every passage lies in one.
+
+Document frequencies and the mean length are those of all items. Items are indexed in groups of about GROUP_BYTES of text,
+one pass over the documents for each, so that what a task holds is bounded however large the benchmark is; the groups don't
+change the result.
 
 Defined cases: null or blank items match nothing, nor do items of one token, which have no answer to verify; a null text has no passages; repeated rows each get their result; empty
 tables give an empty result or no hits; columns other than doc_id and text (item_id and text) are ignored.
@@ -21,9 +25,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +44,8 @@ GROUP_BYTES = 4 << 20
 #: Tokens between passage starts; a passage is twice as long, so any run of STRIDE tokens lies in one. Longer items get
 #: longer strides.
 STRIDE = 64
-#: Texts that are searched at once.
-DOCS = 256
+#: Tokens that are searched at once, of one text or several.
+SLAB = 1 << 18
 TOKEN = re.compile(r"\w+")
 
 
@@ -48,34 +53,35 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def stride_of(size: int) -> int:
+    """Tokens between starts of the passages that are held against an item of so many tokens."""
+    return STRIDE << max(0, (-(-size // STRIDE) - 1).bit_length())
+
+
 def _shingles(tokens: list, n: int = SHINGLE) -> set:
     return {tuple(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))} if tokens else set()
 
 
 @dataclass
 class Statistics:
-    """Of all items: their number, mean and greatest length in tokens, and the number of items that hold a term."""
+    """Of all items: their number, mean length in tokens, and the number of items that hold a term."""
 
     n: int
     mean: float
-    longest: int
     df: dict[str, int]
 
     @classmethod
     def of(cls, split: list[list[str]]) -> Statistics:
-        return cls(len(split), sum(map(len, split)) / max(1, len(split)), max(map(len, split), default=0), Counter(w for t in split for w in set(t)))
+        return cls(len(split), sum(map(len, split)) / max(1, len(split)), Counter(w for t in split for w in set(t)))
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
-        """whole: the statistics of all items, of which items may be a part."""
-        split = [(i, tokens_of(t)) for i, t in items]
-        split = [(i, t) for i, t in split if len(t) > 1]
-        self.ids = [i for i, _ in split]
-        self.tokens = [t for _, t in split]
-        whole = whole or Statistics.of(self.tokens)
-        self.stride = max(STRIDE, whole.longest)
-        n, mean = len(split), whole.mean
+    def __init__(self, items: list[tuple[int, list[str]]], whole: Statistics, stride: int):
+        """The tokens of items of one length class; whole: the statistics of all items."""
+        self.ids = [i for i, _ in items]
+        self.tokens = [t for _, t in items]
+        self.stride = stride
+        n, mean = len(items), whole.mean
         df = sorted({w for t in self.tokens for w in t})
         self.term = {w: k for k, w in enumerate(df)}
         idf = {w: math.log(1 + (whole.n - whole.df[w] + 0.5) / (whole.df[w] + 0.5)) for w in df}
@@ -153,26 +159,56 @@ class Index:
         return both.total() >= OVERLAP * answer.total()
 
 
-def _hits(index: Index):
+def by_length(items: list[tuple[int, str]], whole: Statistics | None = None) -> list[Index]:
+    """An index for each length class, shortest first. whole: the statistics of all items, of which items may be a part."""
+    classes: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+    for i, t in ((i, tokens_of(t)) for i, t in items):
+        if len(t) > 1:
+            classes[stride_of(len(t))].append((i, t))
+    whole = whole or Statistics.of([t for c in classes.values() for _, t in c])
+    return [Index(classes[stride], whole, stride) for stride in sorted(classes)]
+
+
+def _slabs(text: str, overlap: int) -> Iterator[list[str]]:
+    """A text's tokens, a slab at a time with the next `overlap` tokens. Passages that begin in the overlap come whole in
+    the next slab; there they may be cut short, which can't add a hit."""
+    step = max(SLAB, overlap)
+    if len(text) <= step:
+        yield tokens_of(text)
+        return
+    words, held = (m.group() for m in TOKEN.finditer(text.lower())), []
+    while True:
+        held += islice(words, step + overlap - len(held))
+        yield held
+        if len(held) <= step:
+            return
+        held = held[step:]
+
+
+def _hits(indexes: list[Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, items = [], []
-            all_keys, texts = batch.column("key").to_pylist(), batch.column("text")
-            for at in range(0, len(all_keys), DOCS):
-                for k, found in _found(index, [t.as_py() for t in texts[at : at + DOCS]]):
-                    keys.append(all_keys[at + k])
-                    items.append(index.ids[found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], ["key", "item_id"])
+            hits: set[tuple[int, int]] = set()
+            keys, slabs, size = [], [], 0
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                for slab in _slabs(text.as_py(), indexes[-1].stride if indexes else 0):
+                    keys.append(key)
+                    slabs.append(slab)
+                    size += len(slab)
+                    if size >= SLAB:
+                        hits |= {(keys[k], index.ids[item]) for index in indexes for k, item in _found(index, slabs)}
+                        keys, slabs, size = [], [], 0
+            hits |= {(keys[k], index.ids[item]) for index in indexes for k, item in _found(index, slabs)}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64())], ["key", "item_id"])
         common.given_back()
 
     return run
 
 
-def _found(index: Index, texts: list[str]) -> set[tuple[int, int]]:
-    """(text, item) for each item that a text holds. Passages of all texts are numbered through; passage p of a text
-    covers its tokens p * stride to (p + 2) * stride."""
+def _found(index: Index, tokens: list[list[str]]) -> set[tuple[int, int]]:
+    """(text, item) for each item that the tokens of a text hold. Passages of all texts are numbered through; passage p of
+    a text covers its tokens p * stride to (p + 2) * stride."""
     essential, stride = index.essential, index.stride
-    tokens = [tokens_of(t) for t in texts]
     first = np.concatenate(([0], np.cumsum([len(t) // stride + 1 for t in tokens])))
     passages, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k, words in enumerate(tokens):
@@ -209,14 +245,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         terms = common.settled(items.mapInArrow(_item_tokens, "size long, item_id long, terms array<string>"), "item-terms")
         each = terms.select(group.alias("group"), F.explode("terms").alias("term"))
         df = common.settled(each.groupBy("term").agg(F.count("*").alias("df")), "item-df")
-        n, mean, longest = terms.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        n, mean = terms.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).first()
     for g in range(groups):
         part = items.where(group == g) if groups > 1 else items
         if groups > 1:
             held = df.join(each.where(F.col("group") == g).select("term").distinct(), "term").collect()
-            whole = Statistics(n, mean, longest, {r["term"]: r["df"] for r in held})
-        index = Index(sorted((r["item_id"], r["text"]) for r in part.collect()), whole)
-        hits = own.mapInArrow(_hits(index), "key long, item_id long")
+            whole = Statistics(n, mean, {r["term"]: r["df"] for r in held})
+        indexes = by_length(sorted((r["item_id"], r["text"]) for r in part.collect()), whole)
+        hits = own.mapInArrow(_hits(indexes), "key long, item_id long")
         found = hits if found is None else found.union(hits)
     return found.distinct()
 

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from rostrum.llm import decontaminate, line_dedup, minhash_dedup
@@ -121,13 +123,14 @@ def brute_leaks(docs, items):
     index = [(i, t) for i, t in index if len(t) > 1]  # one token has no answer to verify
     n, mean = len(index), sum(len(t) for _, t in index) / max(1, len(index))
     df = Counter(w for _, t in index for w in set(t))
-    stride = max([64, *(len(t) for _, t in index)])
+    # an item's passages start every 64, 128, 256, ... tokens, as its own length asks for
+    stride = {i: next(s for s in (64 * 2**k for k in range(40)) if s >= len(t)) for i, t in index}
     out = []
     for d, text, *_ in docs:
         tokens, found = decontaminate.tokens_of(text), set()
-        for at in range(0, len(tokens), stride):
-            passage = tokens[at : at + 2 * stride]
-            for i, own in index:
+        for i, own in index:
+            for at in range(0, len(tokens), stride[i]):
+                passage = tokens[at : at + 2 * stride[i]]
                 score = lambda words, own=own: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, c in Counter(own).items() if w in words)
                 if score(set(passage)) < 0.5 * score(set(own)) - 1e-9:
                     continue
@@ -176,6 +179,53 @@ def test_leaks(spark, monkeypatch, group_bytes):
     assert left.columns == df.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((r[0] for r in want if not r[2]), key=str)
 
 
+def test_other_items_lengths_do_not_matter(spark):
+    """A question with its answer's words scattered far from it is no hit, however long another item is."""
+    rnd = random.Random(5)
+    vocab = [a + b + c + d for a in "bcdf" for b in "aeiou" for c in "lmnr" for d in "aeiou"]
+    filler = lambda n: [rnd.choice(vocab) + "x" for _ in range(n)]
+    items = [(i, " ".join(rnd.sample(vocab, 30))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        own = t.split()
+        scattered = own[:20] + [w for a in own[20:] for w in (*filler(40), a)]
+        docs += [(2 * i, " ".join(filler(50) + own + filler(50))), (2 * i + 1, " ".join(filler(50) + scattered))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    few = {tuple(r) for r in decontaminate.leak_report(df, bench(items)).collect()}
+    assert few == {(2 * i, 1, True, str(i)) for i in range(20)} | {(2 * i + 1, 0, False, "") for i in range(20)}
+    long = [(100, " ".join(f"other{k}" for k in range(6000))), (101, " ".join(f"some{k}" for k in range(200)))]
+    assert {tuple(r) for r in decontaminate.leak_report(df, bench(items + long)).collect()} == few
+    both = spark.createDataFrame([(1, " ".join(filler(5000)) + f" {long[0][1]} " + docs[0][1])], "doc_id long, text string")
+    assert decontaminate.leak_report(both, bench(items + long)).first()["items"] == "0,100"
+
+
+@pytest.mark.parametrize("slab", [64, 256])
+def test_leaks_in_slabs(spark, monkeypatch, slab):
+    """Long texts in overlapping slabs give what whole texts give."""
+    docs, items = leak_corpus()
+    items = [(i, t) for i, t in items if t and i is not None]
+    docs = [(d, t) for d, t, *_ in docs if t and d is not None]
+    batch = pa.RecordBatch.from_pydict({"key": [d for d, _ in docs], "text": [t for _, t in docs]})
+    indexes = decontaminate.by_length(items)
+    assert [i.stride for i in indexes] == [64, 128]
+    hits = lambda: {(k, i) for out in decontaminate._hits(indexes)(iter([batch])) for k, i in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    whole = hits()
+    monkeypatch.setattr(decontaminate, "SLAB", slab)
+    assert hits() == whole and len(whole) > 20
+
+
+def test_leaks_of_a_very_long_text():
+    """50 MB in one text, with an item near its end."""
+    indexes = decontaminate.by_length([(7, "which of the old ports lies nearest to the cape of storms answer simons town")])
+    text = "word " * 10_000_000 + indexes[0].tokens[0][0] + " " + " ".join(indexes[0].tokens[0][1:]) + " and on"
+    tracemalloc.start()
+    (out,) = decontaminate._hits(indexes)(iter([pa.RecordBatch.from_pydict({"key": [3], "text": [text]})]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pydict() == {"key": [3], "item_id": [7]} and peak < 300 << 20
+
+
 def test_leaks_empty(spark):
     docs, items = leak_corpus()
     none = spark.createDataFrame([], "item_id long, text string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.sources.schema import CALENDAR, CALENDAR_SCHEMA
-from rostrum.sources.store import fresh_path
+from rostrum.sources.store import file_states, fresh_path
 
 SPEECHES_SQL = """speeches AS (
 SELECT concat('term', o.term, '-year', o.yr, '-session', o.doy, '-', o.o_orderkey) AS id, o.o_orderkey AS speech_key,
@@ -49,20 +49,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stored: dict[tuple[str, str], str] = {}
+SOURCES = ("orders", "customer", "nation")
+_stored: dict[tuple[str, str], tuple[list[tuple], str]] = {}
 
 
 def speeches(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
     """The speech table, typed and partitioned by term and year. It is derived and written once for an application and a
-    folder; queries read it, so that filters on term and year prune partitions and others reach the files. Texts are
-    joined only where content is asked for."""
+    folder, and again when its source files change; queries read it, so that filters on term and year prune partitions
+    and others reach the files. Texts are joined only where content is asked for."""
     key = (spark.sparkContext.applicationId, sf_dir)
     derived = _derived(spark, sf_dir)
-    if key not in _stored:
+    state = [f for name in SOURCES for f in file_states(spark, f"{sf_dir}/{name}.parquet")]
+    if key not in _stored or _stored[key][0] != state:
         path = fresh_path(spark, "speeches")
         derived.repartition("term", "year").sortWithinPartitions("session_date").write.partitionBy("term", "year").parquet(path)
-        _stored[key] = path
-    rows = spark.read.schema(derived.schema).parquet(_stored[key]).select(*derived.columns)
+        _stored[key] = state, path
+    rows = spark.read.schema(derived.schema).parquet(_stored[key][1]).select(*derived.columns)
     if content:
         texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("speech_key"), F.col("text").alias("content"))
         rows = rows.join(texts, "speech_key", "left")

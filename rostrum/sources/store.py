@@ -26,6 +26,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, bytes and time of change of each file under a path, in order; tells whether a table has changed since."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """Written to the shared folder and read again: plans stay short, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rostrum.operators import selection, sketches
-from rostrum.sources import documents
+from rostrum.sources import documents, fixtures
 from rostrum.sources.store import fresh_path
 
 SPEECH = "term int, year int, session_id string, speech_giver string, topic_id int, political_party_at_time string, province string"
@@ -78,3 +78,15 @@ def test_percentiles(spark, monkeypatch, part):
     got = {r["g"]: r["cut"] for r in selection.exact_percentile(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v", part).collect()}
     assert got.keys() == groups.keys()
     assert all(abs(got[g] - np.quantile(v, part)) <= 1e-12 * max(1, abs(got[g])) for g, v in groups.items())
+
+
+def test_speech_table_follows_its_sources(spark, tmp_path):
+    """A changed source table is derived anew, an unchanged one is read as stored."""
+    given = "/root/testdata/sf0.001"
+    for name in fixtures.SOURCES:
+        spark.read.parquet(f"{given}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = fixtures.speeches(spark, str(tmp_path))
+    assert fixtures.speeches(spark, str(tmp_path)).inputFiles() == first.inputFiles()
+    n = first.count()
+    spark.read.parquet(f"{given}/orders.parquet").limit(10).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    assert fixtures.speeches(spark, str(tmp_path)).count() == n + 10

@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.sources.store import stored
 
 
-def numbered(df: DataFrame, order: list[str], groups: list[str] | None = None, out: str = "n") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], groups: list[str] | None = None, out: str = "n") -> DataFrame:
     """Adds each row's place, from 0 on, in an order within its group (null is a group). Rows are dealt by ranges of the
     order; tasks number their own rows, and the few counts by group and range say where each range begins."""
     groups = groups or []

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions import dates, names, text
+from rostrum.operators.order import numbered
 from rostrum.sources.schema import known_topic
 
 LATEST = ("term", "year")
+#: Rows up to the end of a page that one task may sort.
+SHALLOW = 10_000
 
 
 def match_any_token(column: Column, query: str) -> Column:
@@ -54,7 +57,12 @@ def search(speeches: DataFrame, size: int = 20, from_: int = 0, sort_by: str = "
 
 
 def page(df: DataFrame, order: list[Column], size: int, from_: int = 0) -> DataFrame:
-    return df.orderBy(*order).offset(from_).limit(size)
+    """Rows from_ to from_ + size in an order. Tasks keep only the rows that a shallow page may need; for a deep one, rows
+    are numbered by ranges, so that no task holds all that it skips."""
+    if from_ + size <= SHALLOW:
+        return df.orderBy(*order).offset(from_).limit(size)
+    place = F.col("__place")
+    return numbered(df, order, out="__place").where(place.between(from_, from_ + size - 1)).orderBy(place).drop("__place")
 
 
 def total_pages(total: Column, size: int) -> Column:

@@ -4,8 +4,9 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rostrum.operators import selection, sketches
+from rostrum.operators import search, selection, sketches
 from rostrum.sources import documents, fixtures
 from rostrum.sources.store import fresh_path
 
@@ -90,3 +91,16 @@ def test_speech_table_follows_its_sources(spark, tmp_path):
     n = first.count()
     spark.read.parquet(f"{given}/orders.parquet").limit(10).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
     assert fixtures.speeches(spark, str(tmp_path)).count() == n + 10
+
+
+def test_deep_pages(spark, monkeypatch):
+    """Pages by ranges are those of a plain sort, with descending and null keys; the last page may be short or empty."""
+    rows = [(i, None if i % 50 == 0 else i % 7, f"t{i}") for i in range(503)]
+    frame = spark.createDataFrame(rows, "id long, k int, t string").repartition(5)
+    order = [F.col("k").desc_nulls_last(), F.col("id")]
+    plain = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    monkeypatch.setattr(search, "SHALLOW", 20)
+    for start, size in ((0, 20), (10, 20), (250, 40), (500, 20), (600, 20)):
+        assert [tuple(r) for r in search.page(frame, order, size, start).collect()] == plain[start : start + size]
+    assert [tuple(r) for r in search.clamped_page(frame, order, 10**9, 25).collect()] == plain[500:]
+    assert search.clamped_page(frame.where("false"), order, 3, 25).collect() == []

@@ -18,9 +18,10 @@ def best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return ranked(df, keys, *order, name="__rank").where("__rank = 1").drop("__rank")
 
 
-def modal(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The most frequent non-null value of each key, ties by value."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(out)).agg(F.count("*").alias("__n"))
+def modal(df: DataFrame, keys: list[str], value: str, out: str, weight: str | None = None) -> DataFrame:
+    """The most frequent non-null value of each key, ties by value. weight: a column that says how often a row counts."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(out)).agg(n.alias("__n"))
     return best(counts, keys, F.col("__n").desc(), F.col(out)).drop("__n")
 
 

@@ -1,11 +1,17 @@
 """Embedding near-dedup over an inverted multi-index.
 
-Vectors are scaled to length 1 in double precision; equal ones form a class and travel on as one. Two independent
-codebooks, one for each half of the vector, form a grid of cells. A vector's home is its nearest cell; it looks for
-partners in every cell that its distance to the cell's border lets hold one, so no pair is missed. Candidates are verified
-by their cosine; of two homes the lesser is visited, so a pair comes by once. A cell's rows are dealt into blocks, so that
-no task holds more than two blocks, and within a block pair links are counted and joined into components without listing
-them. Where the vectors have no structure that the borders could use, this is a comparison of all with all.
+Vectors are scaled to length 1 in double precision; equal ones form a class and travel on as one. They are turned to the
+sample's principal axes, dealt to the two halves in turn, so that both halves carry their share of the length. Two
+independent codebooks, one for each half, form a grid of cells. A vector's home is its nearest cell. It visits the cells of
+the product nearest first, both codebooks' lists sorted by the distance to the cell's border, until no further cell can
+hold a partner: the recall reached is 1. Of these, empty cells and those whose farthest row is too far are passed over.
+Candidates are verified by their cosine.
+
+Cells that follow each other make ranges of up to a block of rows, and a vector is sent once to each range that has a cell
+to visit, so it never travels more often than in a comparison of all blocks with all. Of two homes in different ranges the
+lesser is visited, so a pair comes by once. A range's rows are dealt into blocks, so that no task holds more than two
+blocks, and within a block pair links are counted and joined into components without listing them. Where the vectors have
+no structure that the borders could use, this is a comparison of all with all.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do
 vectors of different length; repeated rows count as vectors of their own; a null vec_id never names a component that has
@@ -28,11 +34,11 @@ from .components import components
 COSINE = 0.9
 #: Expected size of the sample the codebooks are fitted on.
 SAMPLE = 8192
-#: Most centroids of a codebook; rows of a block, and expected classes of a cell.
-CENTROIDS, BLOCK = 256, 4096
+#: Most centroids of a codebook; rows of a block; expected classes of a cell.
+CENTROIDS, BLOCK, CELL = 256, 4096, 256
 #: Rows of a block that are compared at a time; what rounding may add to a squared distance; the least distance of two
-#: centroids whose border counts.
-STRIP, SLACK, APART = 256, 1e-6, 1e-6
+#: centroids whose border counts; squared distances that rounding may swap.
+STRIP, SLACK, APART, TIE = 256, 1e-6, 1e-6, 1e-9
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +72,15 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """Two codebooks and the traversal of their product."""
+    """Two codebooks and the traversal of their product; `axes` turns vectors first, `radius` is how far from its centroids
+    a cell's rows reach (-inf if it has none), where known."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray):
-        self.left, self.right, self.k, self.half = left, right, len(left), left.shape[1]
+    def __init__(self, left: np.ndarray, right: np.ndarray, axes: np.ndarray | None = None):
+        self.left, self.right, self.k, self.half, self.axes = left, right, len(left), left.shape[1], axes
+        self.radius: np.ndarray | None = None
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return x if self.axes is None else x @ self.axes
 
     @property
     def dim(self) -> int:
@@ -98,14 +109,31 @@ class Grid:
         return _distances(x[:, : self.half], self.left).argmin(axis=1) * self.k + _distances(x[:, self.half :], self.right).argmin(axis=1)
 
     def permitted(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """row, cell: the cells that can be home to a vector of this cosine or more to the row (all of length 1)."""
-        rows, cells, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], max(1, (1 << 22) // (self.k * self.k))
+        """row, cell: the cells that can be home to a vector of this cosine or more to the row (all of length 1).
+
+        A row's traversal goes along both lists of border distances, nearest first; the cells before its stop are, for
+        each entry of the left list, a first part of the right one."""
+        limit = 2 - 2 * cosine + SLACK
+        rows, cells, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], max(1, (1 << 21) // (self.k * self.k))
         for at in range(0, len(x), step):
             part = x[at : at + step]
-            least = _to_borders(part[:, : self.half], self.left)[:, :, None] + _to_borders(part[:, self.half :], self.right)[:, None, :]
-            row, left, right = np.nonzero(least <= 2 - 2 * cosine + SLACK)
+            sides = [_to_borders(part[:, : self.half], self.left), _to_borders(part[:, self.half :], self.right)]
+            left, right = order = [d.argsort(axis=1, kind="stable") for d in sides]
+            near = [np.take_along_axis(d, o, axis=1) for d, o in zip(sides, order, strict=True)]
+            # All rows' right lists in one, each in a stretch of values of its own; what can't be reached lies at its end.
+            own = np.arange(len(part))[:, None] * 16.0
+            reach = np.where(near[0] <= limit, limit - near[0], -1.0)
+            upto = np.searchsorted((np.minimum(near[1], 8) + own).ravel(), (reach + own).ravel(), "right") - np.repeat(np.arange(len(part)) * self.k, self.k)
+            row, i = np.divmod(np.repeat(np.arange(upto.size), upto), self.k)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(upto) - upto, upto)
+            i, j = left[row, i], right[row, j]
+            cell = i * self.k + j
+            if self.radius is not None:
+                away = np.sqrt(_distances(part[:, : self.half], self.left)[row, i] + _distances(part[:, self.half :], self.right)[row, j])
+                near = away - self.radius[cell] <= np.sqrt(limit) + SLACK
+                row, cell = row[near], cell[near]
             rows.append(row + at)
-            cells.append(left * self.k + right)
+            cells.append(cell)
         return np.concatenate(rows), np.concatenate(cells)
 
 
@@ -126,37 +154,87 @@ def fit_grid(classes: DataFrame, n: int) -> Grid | None:
     drawn = classes.where((F.length("unit") == lengths[0]["bytes"]) & (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("unit").collect()
     points = np.array(sorted(bytes(r["unit"]) for r in drawn))
     points = np.frombuffer(b"".join(points.tolist()), np.float64).reshape(len(points), -1) if len(points) else np.zeros((0, lengths[0]["bytes"] // 8))
-    k = int(min(CENTROIDS, len(points), max(1, round((n / BLOCK) ** 0.5))))
+    k = int(min(CENTROIDS, len(points), max(1, round((n / CELL) ** 0.5))))
     if k < 1:
         return None
-    half = points.shape[1] // 2
-    return Grid(kmeans(points[:, :half], k), kmeans(points[:, half:], k))
+    axes = np.linalg.eigh(np.cov(points, rowvar=False, bias=True))[1][:, ::-1]
+    axes = np.concatenate([axes[:, ::2], axes[:, 1::2]], axis=1)
+    points, half = points @ axes, (points.shape[1] + 1) // 2
+    books = [kmeans(side, k) for side in (points[:, :half], points[:, half:])]
+    left, right = (book[book[:, 0].argsort(kind="stable")] for book in books)  # in order along the main axis
+    return Grid(left, right, axes)
+
+
+def _fitting(grid: Grid | None, units: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The places of units of other lengths; and, in strips, the places of the grid's and their turned vectors."""
+    fits = np.array([grid is not None and len(u) == grid.dim * 8 for u in units], bool)
+    rows = np.flatnonzero(fits)
+    parts = (rows[at : at + STRIP] for at in range(0, len(rows), STRIP))
+    return np.flatnonzero(~fits), ((part, grid.turned(np.frombuffer(b"".join(units[i] for i in part), np.float64).reshape(len(part), -1))) for part in parts)
+
+
+def _homes(grid: Grid):
+    """home, n, away: a task's rows by cell, and the largest squared distance to its centroids. Where rounding could send
+    a row to another cell next time, its distance counts for each of these cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, counts = np.full((grid.k, grid.k), -1.0), np.zeros(grid.k * grid.k, np.int64)
+        for batch in batches:
+            for _, x in _fitting(grid, batch.column("unit").to_pylist())[1]:
+                left, right = _distances(x[:, : grid.half], grid.left), _distances(x[:, grid.half :], grid.right)
+                home, away = left.argmin(axis=1) * grid.k + right.argmin(axis=1), left.min(axis=1) + right.min(axis=1)
+                counts += np.bincount(home, minlength=len(counts))
+                np.maximum.at(far.reshape(-1), home, away)
+                close = [side <= side.min(axis=1)[:, None] + TIE for side in (left, right)]
+                for row in np.flatnonzero((close[0].sum(axis=1) > 1) | (close[1].sum(axis=1) > 1)).tolist():
+                    cells = np.ix_(close[0][row], close[1][row])
+                    far[cells] = np.maximum(far[cells], away[row])
+        held = np.flatnonzero(far.reshape(-1) >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held]), pa.array(far.reshape(-1)[held])], ["home", "n", "away"])
+
+    return run
+
+
+def ranges_of(grid: Grid | None, classes: DataFrame) -> np.ndarray:
+    """The range of each cell: cells in order, up to BLOCK rows together; one with more has a range of its own. Tells the
+    grid its radii. Of the table only count and radius of at most CENTROIDS squared cells reach the driver."""
+    if grid is None:
+        return np.zeros(0, np.int64)
+    counts, grid.radius = np.zeros(grid.k * grid.k, np.int64), np.full(grid.k * grid.k, -np.inf)
+    homes = classes.select("unit").mapInArrow(_homes(grid), "home long, n long, away double")
+    for home, n, away in homes.groupBy("home").agg(F.sum("n").alias("n"), F.max("away").alias("away")).collect():
+        counts[home], grid.radius[home] = n, np.sqrt(away)
+    out, at, held = np.zeros(len(counts), np.int64), 0, 0
+    for cell, n in enumerate(counts.tolist()):
+        if held and held + n > BLOCK:
+            at, held = at + 1, 0
+        out[cell], held = at, held + n
+    return out
 
 
-PLACED = "cell long, class long, home long, is_home boolean, unit binary"
+PLACED = "cell long, class long, m long, home long, is_home boolean, unit binary"
 
 
-def _placed(grid: Grid | None, cosine: float):
-    """Each vector in its home and in the lesser cells that may hold partners."""
+def _placed(grid: Grid | None, ranges: np.ndarray, cosine: float):
+    """Each vector in the range of its home and in the lesser ranges with cells that it visits; `cell` and `home` are ranges."""
+    names = [c.split()[0] for c in PLACED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, units = batch.column("class").to_numpy(), batch.column("unit").to_pylist()
-            fits = np.array([grid is not None and len(u) == grid.dim * 8 for u in units], bool)
-            for i in np.flatnonzero(~fits).tolist():  # other lengths share one cell for each length
+            own, m, units = batch.column("class").to_numpy(), batch.column("m").to_numpy(), batch.column("unit").to_pylist()
+            others, strips = _fitting(grid, units)
+            for i in others.tolist():  # other lengths share one cell for each length
                 home = -1 - len(units[i]) // 8
-                yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array(own[i : i + 1]), pa.array([home]), pa.array([True]), pa.array([units[i]], pa.binary())], ["cell", "class", "home", "is_home", "unit"])
-            rows = np.flatnonzero(fits)
-            for at in range(0, len(rows), STRIP):
-                part = rows[at : at + STRIP]
-                x = np.frombuffer(b"".join(units[i] for i in part), np.float64).reshape(len(part), -1)
-                homes = grid.homes(x).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array(own[i : i + 1]), pa.array(m[i : i + 1]), pa.array([home]), pa.array([True]), pa.array([units[i]], pa.binary())], names)
+            for part, x in strips:
+                homes = ranges[grid.homes(x)]
                 row, cell = grid.permitted(x, cosine)
+                row, cell = np.divmod(np.unique(row * len(ranges) + ranges[cell]), len(ranges))
                 lesser = cell < homes[row]
                 row, cell = np.r_[np.arange(len(part)), row[lesser]], np.r_[homes, cell[lesser]]
                 for k in range(0, len(row), 1 << 14):
                     r, c = row[k : k + (1 << 14)], cell[k : k + (1 << 14)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(own[part[r]]), pa.array(homes[r]), pa.array(c == homes[r]), pa.array([units[i] for i in part[r]], pa.binary())], ["cell", "class", "home", "is_home", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(own[part[r]]), pa.array(m[part[r]]), pa.array(homes[r]), pa.array(c == homes[r]), pa.array([units[i] for i in part[r]], pa.binary())], names)
 
     return run
 
@@ -209,8 +287,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, target: float = 1.0
     classes = common.settled(valid.groupBy("class").agg(F.first("unit").alias("unit"), F.count("*").alias("m"), F.min("vec_id").alias("least")), "vectors")
     n = max(1, classes.count())
     grid = fit_grid(classes, n)
-    placed = classes.select("class", "unit").mapInArrow(_placed(grid, cosine), PLACED)
-    placed = placed.join(classes.select("class", "m"), "class")
+    ranges = ranges_of(grid, classes)
+    placed = classes.select("class", "m", "unit").mapInArrow(_placed(grid, ranges, cosine), PLACED)
     placed = common.settled(placed, "placed")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("is_home") / BLOCK).alias("bases"), F.ceil(F.count("*") / BLOCK).alias("queries"), F.count("*").alias("rows")).where("bases > 0 and rows > 1")
     dealt = placed.join(sizes, "cell")

@@ -104,3 +104,56 @@ def test_permitted_cells_hold_all_partners():
     found = set(zip(*(c.tolist() for c in grid.permitted(x, 0.9)), strict=True))
     q, b = np.nonzero(x @ x.T >= 0.9)
     assert set(zip(q.tolist(), homes[b].tolist(), strict=True)) <= found and len(found) < 0.7 * len(x) * 36
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_ranges_prune_and_keep_all_links(spark, monkeypatch, seed):
+    """Vectors in groups: a vector is sent to less than a tenth of the ranges, and no link is lost."""
+    monkeypatch.setattr(ed, "BLOCK", 50)
+    monkeypatch.setattr(ed, "CELL", 4)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 24))
+    v = np.concatenate([centres[rng.integers(0, 40, 2000)] + 0.3 * rng.normal(size=(2000, 24)), centres[:1] + 0.05 * rng.normal(size=(300, 24))])
+    rows = [(int(k), x.tolist()) for k, x in zip(rng.permutation(len(v)), v, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    classes = spark.createDataFrame([(i, 1, x.tobytes()) for i, x in enumerate(unit)], "class long, m long, unit binary")
+    grid = ed.fit_grid(classes, len(v))
+    ranges = ed.ranges_of(grid, classes)
+    placed = classes.mapInArrow(ed._placed(grid, ranges, 0.9), ed.PLACED)
+    assert grid.k == 24 and ranges.max() > 30
+    assert placed.count() - len(v) < 0.1 * len(v) * (ranges.max() + 1) / 2
+    got = {r["vec_id"]: tuple(r) for r in ed.near_vectors(df).collect()}
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.array([r[0] for r in rows])
+    while True:
+        new = np.minimum(root, np.where(near, root, len(v)).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    assert near.sum() > 1000
+    assert got == {r[0]: (r[0], int(n), int(c), r[0] == int(c)) for r, n, c in zip(rows, near.sum(axis=1), root, strict=True)}
+
+
+def test_traversal_stops_at_the_bound():
+    """Every cell under the bound is visited and no other, for rows turned to the principal axes too."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 10)) * np.linspace(3, 0.2, 10)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = ed.Grid(ed.kmeans(x[:, :5], 7), ed.kmeans(x[:, 5:], 7))
+    for cosine in (0.99, 0.9, -1.0):
+        least = ed._to_borders(x[:, :5], grid.left)[:, :, None] + ed._to_borders(x[:, 5:], grid.right)[:, None, :]
+        row, i, j = np.nonzero(least <= 2 - 2 * cosine + ed.SLACK)
+        got = list(zip(*(c.tolist() for c in grid.permitted(x, cosine)), strict=True))
+        assert len(got) == len(set(got)) and set(got) == set(zip(row.tolist(), (i * 7 + j).tolist(), strict=True))
+
+
+def test_vectors_between_centroids(spark, monkeypatch):
+    """Vectors of few whole numbers lie on borders and their codebooks repeat centroids."""
+    monkeypatch.setattr(ed, "BLOCK", 20)
+    monkeypatch.setattr(ed, "CELL", 1)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.choice([-1.0, 0.0, 1.0], 7, p=[0.1, 0.6, 0.3]).tolist(), 1, "c", 2) for i in range(400)]
+    got = ed.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))

@@ -152,8 +152,7 @@ def fit_grid(classes: DataFrame, n: int) -> Grid | None:
         return None
     share = min(1.0, SAMPLE / n)
     drawn = classes.where((F.length("unit") == lengths[0]["bytes"]) & (F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("unit").collect()
-    points = np.array(sorted(bytes(r["unit"]) for r in drawn))
-    points = np.frombuffer(b"".join(points.tolist()), np.float64).reshape(len(points), -1) if len(points) else np.zeros((0, lengths[0]["bytes"] // 8))
+    points = np.frombuffer(b"".join(sorted(bytes(r["unit"]) for r in drawn)), np.float64).reshape(len(drawn), lengths[0]["bytes"] // 8)
     k = int(min(CENTROIDS, len(points), max(1, round((n / CELL) ** 0.5))))
     if k < 1:
         return None

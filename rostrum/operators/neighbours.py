@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.vectors import norm, scaled
 from rostrum.operators.order import numbered
-from rostrum.sources.store import stored
+from rostrum.sources.store import scratch, stored
 
 #: Most rows of a run that is compared whole, of a block of queries and of a block of points.
 RUN, QUERIES, BLOCK = 512, 1024, 4096
@@ -131,6 +131,11 @@ def neighbour_graph(points: DataFrame, k: int = 10, pool: int | None = None) ->
     is a neighbour of, and itself are compared with each other, and everyone keeps its best, until fewer than SETTLED of
     the edges change. A wider pool than k finds more of the neighbours. A task holds a batch of rows and one point's list."""
     pool = max(pool or 2 * k, k)
+    with scratch(points.sparkSession):
+        return stored(_top(_descended(points, pool), k), "neighbours", outlives=True)
+
+
+def _descended(points: DataFrame, pool: int) -> DataFrame:
     points = stored(points, "points")
     graph = stored(_top(_first_graph(points, pool), pool).drop("rank"), "neighbours")
     for step in range(ROUNDS):
@@ -148,7 +153,7 @@ def neighbour_graph(points: DataFrame, k: int = 10, pool: int | None = None) ->
         graph = new.drop("old")
         if counts["changed"] <= SETTLED * counts["edges"]:
             break
-    return _top(graph, k)
+    return graph
 
 
 def exact_neighbours(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +39,30 @@ def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` writes within the block are removed at its end, failed or not, except those that outlive it.
+    Blocks nest; a table that outlives one belongs to the next outer one. For jobs that run to their end inside: a result
+    that has yet to read such a table has to be stored with `outlives` first."""
+    blocks = _open.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for path in blocks.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, what: str = "table", outlives: bool = False) -> DataFrame:
     """Written to the shared folder and read again: plans stay short, and lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    blocks = _open.__dict__.get("blocks", [])
+    if len(blocks) > outlives:
+        blocks[-1 - outlives].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

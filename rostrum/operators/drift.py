@@ -44,6 +44,6 @@ def merge_word_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
     marked = islands(pieces.withColumn("__before", F.lag("entity_group").over(by)), keys, "pos", ~joins)
     listed = F.array_sort(F.collect_list(F.struct("pos", "word", "entity_group", "score")))
     grouped = marked.groupBy(*keys, "island").agg(listed.alias("p"))
-    word = F.array_join(F.transform("p", lambda s: F.when(F.startswith(s["word"], F.lit("##")), F.substring(s["word"], 3, 10_000)).otherwise(s["word"])), "")
-    score = F.aggregate(F.slice("p", 2, 10_000), F.col("p")[0]["score"], lambda acc, s: (acc + s["score"]) / 2)
+    word = F.array_join(F.transform("p", lambda s: F.when(F.startswith(s["word"], F.lit("##")), F.substring(s["word"], F.lit(3), F.length(s["word"]))).otherwise(s["word"])), "")
+    score = F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.col("p")[0]["score"], lambda acc, s: (acc + s["score"]) / 2)
     return grouped.select(*keys, F.col("p")[0]["pos"].alias("pos"), F.col("p")[0]["entity_group"].alias("entity_group"), word.alias("word"), score.alias("score"))

@@ -59,15 +59,15 @@ def w5(spark, d):
     return extract.numbered_from_one(rows, ["l_orderkey"], "l_linenumber", "o").groupBy("l_orderkey").agg(F.count("*").alias("accepted"))
 
 
-PIECES_SQL = "p AS (SELECT user_id, event_id AS pos, CASE WHEN value < 8 THEN concat('##', event_type) ELSE event_type END AS word, CASE WHEN event_id % 4 = 0 THEN 'LOC' ELSE 'PER' END AS g FROM events), q AS (SELECT *, lag(g) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM p), r AS (SELECT *, sum(CASE WHEN starts_with(word, '##') AND g = b THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos) AS island FROM q)"
+PIECES_SQL = "p AS (SELECT user_id, event_id AS pos, value AS score, CASE WHEN value < 8 THEN concat('##', event_type) ELSE event_type END AS word, CASE WHEN event_id % 4 = 0 THEN 'LOC' ELSE 'PER' END AS g FROM events), q AS (SELECT *, lag(g) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM p), r AS (SELECT *, sum(CASE WHEN starts_with(word, '##') AND g = b THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos) AS island FROM q)"
 
 
-@query("W6_word_pieces", f"WITH {PIECES_SQL} SELECT user_id, min(pos) AS pos, min(g) AS entity_group, string_agg(regexp_replace(word, '^##', ''), '' ORDER BY pos) AS word FROM r GROUP BY user_id, island")
+@query("W6_word_pieces", f"WITH {PIECES_SQL} SELECT user_id, min(pos) AS pos, min(g) AS entity_group, string_agg(regexp_replace(word, '^##', ''), '' ORDER BY pos) AS word, round(list_reduce(list(score ORDER BY pos), lambda a, b: (a + b) / 2), 6) AS score FROM r GROUP BY user_id, island")
 def w6(spark, d):
     word = F.when(F.col("value") < 8, F.concat(F.lit("##"), "event_type")).otherwise(F.col("event_type"))
     group = F.when(F.col("event_id") % 4 == 0, "LOC").otherwise("PER")
     pieces = table(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), word.alias("word"), group.alias("entity_group"), F.col("value").alias("score"))
-    return drift.merge_word_pieces(pieces, ["user_id"]).drop("score")
+    return drift.merge_word_pieces(pieces, ["user_id"]).withColumn("score", F.round("score", 6))
 
 
 @query("W7_contexts", r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), h AS (SELECT *, unnest(range(len(w))) AS pos FROM t) SELECT doc_id, CAST(pos AS INT) AS pos, w[pos + 1] AS token, array_to_string(w[greatest(pos + 1 - 10, 1):pos + 11], ' ') AS context FROM h WHERE starts_with(w[pos + 1], 'ver')")

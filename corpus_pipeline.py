@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.llm import common, decontaminate, langid, line_dedup, minhash_dedup, mixing
+from rostrum.sources.store import scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage writes on its way goes with it
+            docs = common.settled(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
     return docs

@@ -100,3 +100,22 @@ def stance(parties: Column, topics: Column) -> Column:
     shown = F.when(F.size(bare) > 0, F.array_join(bare, ", ")).otherwise("Unknown party")
     top = F.get(topics, F.lit(0))
     return F.when(F.coalesce(F.size(topics), F.lit(0)) <= 0, F.concat(F.lit("Member of "), shown, F.lit(" with parliamentary activity."))).otherwise(F.concat(F.lit("Served in "), shown, F.lit(" with focus on "), top, F.lit(" and related parliamentary matters.")))
+
+
+# What a letter of a name may stand for in a transcript, where it is more than the letter itself.
+SPELLINGS = {
+    "ç": "cç", "Ç": "cÇC", "ğ": "gğ", "Ğ": "gĞG", "ı": "ıiItT", "i": "ıiItTÎî", "I": "iİıIîÎ", "İ": "İIitTÎî", "ö": "oöOÖ", "Ö": "oöOÖ", "ş": "sşSŞ",
+    "Ş": "sşSŞ", "ü": "uüUÜ", "Ü": "uüUÜ", "â": "aâAÂ", "Â": "aâAÂ", "î": "iîIÎtT", "Î": "iîIÎtT", "û": "uûUÛ", "Û": "uûUÛ",
+}
+
+
+def spelling_key(name: Column) -> Column:
+    """Equal for a name and everything that its lenient pattern matches: folded, and t, which scans confuse with i, as i."""
+    return F.translate(folded(name), "t", "i")
+
+
+def lenient_pattern(name: Column) -> Column:
+    """A regular expression of the spellings of a name in transcripts; other signs stand for themselves."""
+    classes = F.create_map(*[F.lit(x) for c, of in SPELLINGS.items() for x in (c, f"[{of}]")])
+    plain = lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
+    return F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.element_at(classes, c), plain(c))), "")

@@ -181,3 +181,13 @@ def attach_links(nested: DataFrame, links: DataFrame) -> DataFrame:
     filled = flat.join(found, flat["e.entity"] == found["entity"], "left")
     element = F.col("e").withField("wikipedia_url", F.coalesce(F.nullif("e.wikipedia_url", F.lit("")), "link"))
     return filled.groupBy("speech_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", element.alias("e")))), lambda s: s["e"]).alias("ner_entities"))
+
+
+def lenient_names(known: DataFrame, found: DataFrame, name: str, spelled: str) -> DataFrame:
+    """Rows of known joined to those of found whose `spelled` the lenient pattern of `name` matches as a whole. They meet by
+    the key that all spellings of a name share, so no match is lost and only names of one key are compared; null and empty
+    names match nothing."""
+    left = known.where(F.length(name) > 0).withColumn("__key", names.spelling_key(F.col(name)))
+    right = found.where(F.length(spelled) > 0).withColumn("__key", names.spelling_key(F.col(spelled)))
+    whole = F.concat(F.lit("^(?:"), names.lenient_pattern(F.col(name)), F.lit(r")\z"))
+    return left.join(right, "__key").where(F.regexp_like(F.col(spelled), whole)).drop("__key")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import dates, names, text, vectors
-from rostrum.operators import cluster, drift, extract, facets, order, search, topics
+from rostrum.operators import cluster, drift, enrich, extract, facets, order, search, topics
 from rostrum.plans.aggregates import CENTRE_SQL, NEAREST_SQL
 from rostrum.plans.aggregates import vectors as topic_vectors
 from rostrum.plans.registry import query, ratio_sql
@@ -369,6 +369,16 @@ def f24(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.col("text"))).alias("folded"))
 
 
+SPELLED_SQL = " ".join(f"WHEN '{c}' THEN '[{of}]'" for c, of in names.SPELLINGS.items())
+
+
+@query("F24_lenient_spellings", rf"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{{L}}]+')) AS word FROM documents), p AS (SELECT *, lower(translate(word, 'çğıöşüâîûÇĞİÖŞÜÂÎÛItT', 'cgiosuaiucgiosuaiuiii')) AS k, array_to_string(list_transform(string_split(word, ''), lambda c: CASE c {SPELLED_SQL} ELSE c END), '') AS pattern FROM w) SELECT a.word, b.word AS spelled FROM p a JOIN p b ON a.k = b.k AND regexp_full_match(b.word, a.pattern)")
+def f24_lenient(spark, d):
+    """Every word of the documents with the words that a scan may have made of it."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).distinct()
+    return enrich.lenient_names(words, words.withColumnRenamed("word", "spelled"), "word", "spelled")
+
+
 @query("F24_folded_whole", FOLDED_SQL)
 def f24_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(names.folded(F.col("text"))).alias("folded"))

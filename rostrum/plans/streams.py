@@ -74,7 +74,7 @@ def x7(spark, d):
     out, checkpoint = _places(spark)
     known = table(spark, d, "embeddings").withColumnRenamed("label", "topic_id")
     centers = topics.centroids(known)
-    arriving = spark.readStream.schema(table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    arriving = stream.arriving(spark, d, "embeddings")
     stream.run_once(arriving.select("vec_id", "embedding"), out, checkpoint, "append", stream.topic_sink(spark, out, centers, "vec_id", 0.25))
     return stream.all_versions(spark, out, "vec_id long, topic_id int, sim double, is_new boolean").withColumn("sim", F.round("sim", 6))
 
@@ -84,7 +84,7 @@ def x7_founded(spark, d):
     """Vectors arrive a minute apart; those that match no known centre found topics, which expire after a day."""
     out, checkpoint = _places(spark)
     known = table(spark, d, "embeddings").withColumnRenamed("label", "topic_id")
-    arriving = spark.readStream.schema(table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    arriving = stream.arriving(spark, d, "embeddings")
     timed = arriving.withColumn("ts", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("vec_id") * 60))
     with founding.rocksdb_state(spark):
         stream.run_once(founding.founded_topics(timed, topics.centroids(known), "vec_id", threshold=0.25, ttl="1 day"), out, checkpoint)

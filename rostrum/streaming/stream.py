@@ -15,9 +15,17 @@ from rostrum.operators.topics import assign
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, with a timestamp that watermarks accept."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return arriving(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def session_files(spark: SparkSession, base: str, pattern: str = "*.txt") -> DataFrame:

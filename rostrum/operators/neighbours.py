@@ -1,4 +1,4 @@
-"""Nearest neighbours by descent, exact ones for a query set, and a spectral layout of the neighbour graph.
+"""Nearest neighbours of a query set or of all points, exact or by descent, and a spectral layout of the neighbour graph.
 
 Points are distinct vectors scaled to length 1, named by the least key that has them; copies share a point, so large groups
 of copies add no work. Vectors that are null, empty, zero or hold null or non-finite components, and null keys, are no
@@ -15,11 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions.vectors import norm, scaled
+from rostrum.operators import nearest
 from rostrum.operators.order import numbered
 from rostrum.sources.store import scratch, stored
 
 #: Most rows of a run that is compared whole, of a block of queries and of a block of points.
-RUN, QUERIES, BLOCK = 512, 1024, 4096
+RUN, QUERIES, BLOCK = 512, 1 << 16, 1 << 16
 #: Random directions that order the points at first; the most rounds of descent, and the share of changed edges that ends it.
 DIRECTIONS, ROUNDS, SETTLED = 3, 12, 0.001
 #: Similarities are compared to so many decimals, so that the order of additions decides nothing.
@@ -125,14 +126,16 @@ def _met(table: pa.Table, cuts: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
 
 
 def neighbour_graph(points: DataFrame, k: int = 10, pool: int | None = None) -> DataFrame:
-    """key, other, sim, rank: (nearly) the k nearest points by cosine of each point (`distinct_points`).
+    """key, other, sim, rank: the k nearest points by cosine of each point (`distinct_points`), of equals the lesser key.
 
-    Runs along random directions give a first graph. In each round a point's neighbours, at most as many of those that it
-    is a neighbour of, and itself are compared with each other, and everyone keeps its best, until fewer than SETTLED of
-    the edges change. A wider pool than k finds more of the neighbours. A task holds a batch of rows and one point's list."""
-    pool = max(pool or 2 * k, k)
+    Without a pool they are exact: blocks of points meet all blocks, so a point travels twice per block and not with every
+    list it is in. With one they are (nearly) the nearest, by descent: runs along random directions give a first graph; in
+    each round a point's neighbours, at most as many of those that it is a neighbour of, and itself are compared with each
+    other, and everyone keeps its best `pool`, until fewer than SETTLED of the edges change. That saves comparisons on
+    very many points that lie in groups, and finds less where they don't."""
     with scratch(points.sparkSession):
-        return stored(_top(_descended(points, pool), k), "neighbours", outlives=True)
+        found = exact_neighbours(points, points, k) if pool is None else _top(_descended(points, max(pool, k)), k)
+        return stored(found, "neighbours", outlives=True)
 
 
 def _descended(points: DataFrame, pool: int) -> DataFrame:
@@ -160,21 +163,22 @@ def exact_neighbours(points: DataFrame, queries: DataFrame, k: int = 10) -> Data
     """key, other, sim, rank: the k nearest points (key, v) of each query (key, v), a row of its own key left out; of equals
     the lesser key. Blocks of queries meet blocks of points, and only a query's best of a block travel on."""
     points, queries = stored(points.withColumn("size", F.size("v")), "points"), stored(queries.withColumn("size", F.size("v")), "queries")
-    blocks = lambda rows, n: rows.groupBy("size").agg(F.ceil(F.count("*") / n).alias("blocks"))
-    sizes = blocks(points, BLOCK).withColumnRenamed("blocks", "p").join(blocks(queries, QUERIES).withColumnRenamed("blocks", "q"), "size")
+    found = lambda rows: dict(rows.groupBy("size").count().collect())  # a row for each length of vectors
+    p, q = found(points), found(queries)
+    sizes = points.sparkSession.createDataFrame([(n, nearest.parts(p[n], BLOCK), nearest.parts(q[n], QUERIES)) for n in p if n in q], "size int, p long, q long")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     columns = ["size", "pb", "qb", "asks", "key", "v"]
-    base = points.join(sizes, "size").withColumn("pb", mine("p")).withColumn("qb", upto("q")).withColumn("asks", F.lit(False)).select(*columns)
-    asks = queries.join(sizes, "size").withColumn("qb", mine("q")).withColumn("pb", upto("p")).withColumn("asks", F.lit(True)).select(*columns)
+    base = points.join(F.broadcast(sizes), "size").withColumn("pb", mine("p")).withColumn("qb", upto("q")).withColumn("asks", F.lit(False)).select(*columns)
+    asks = queries.join(F.broadcast(sizes), "size").withColumn("qb", mine("q")).withColumn("pb", upto("p")).withColumn("asks", F.lit(True)).select(*columns)
 
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
         keys, v = table.column("key").to_numpy(), _matrix(table.column("v"))
-        q, x, other, found = keys[asks], v[asks], keys[~asks], [_table([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)])]
-        for at in range(0, len(q), 128) if len(other) else ():
-            found.append(_table(_best(q[at : at + 128], other, x[at : at + 128] @ v[~asks].T, k)))
-        return pa.concat_tables(found)
+        cost = lambda a, b: -np.round((a * b).sum(axis=1), DECIMALS)
+        found = [(key, other, -far) for key, other, far in nearest.nearest(keys[asks], v[asks], keys[~asks], v[~asks], k, cost, False, False)]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _table([np.concatenate(x) for x in zip(none, *found, strict=True)])
 
     near = base.unionByName(asks).groupBy("size", "pb", "qb").applyInArrow(run, EDGES)
     order = W.partitionBy("key").orderBy(F.col("sim").desc(), "other")

@@ -102,3 +102,17 @@ def test_parts_come_apart(spark):
     centres = [np.mean([place[100 * ring + i] for i in range(12)], axis=0) for ring in range(3)]
     assert all(np.abs(place[100 * ring + i] - centres[ring]).max() < 1e-3 for ring in range(3) for i in range(12))
     assert min(np.linalg.norm(centres[a] - centres[b]) for a in range(3) for b in range(a)) > 0.5
+
+
+def test_graph_without_structure_is_exact(spark):
+    """Far from each other in many dimensions, points share few neighbours: a descent finds a part of them only."""
+    v = np.random.default_rng(9).normal(size=(3000, 64))
+    points = nb.stored(nb.distinct_points(nb.valid(frame(spark, v), "k", "v")))
+    assert {(r["key"], r["other"]) for r in nb.neighbour_graph(points, 10).collect()} == set(nearest(v, 10))
+
+
+def test_descent_with_a_pool(spark):
+    v = groups(6, 700)
+    points = nb.stored(nb.distinct_points(nb.valid(frame(spark, v), "k", "v")))
+    got = {(r["key"], r["other"]) for r in nb.neighbour_graph(points, 5, 15).collect()}
+    assert len(got & set(nearest(v, 5))) >= 0.9 * len(set(nearest(v, 5)))

@@ -168,3 +168,33 @@ def top_tokens(scored: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The n best tokens of each key, ties by token."""
     order = W.partitionBy(key).orderBy(F.round("score", 9).desc(), "token")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def best_tokens(docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
+    """key, token, tf, df, score, rank: the n tokens of each key with the highest tf * ln(rows / df), ties by token.
+
+    Document counts of the SENT most frequent tokens are sent along, so their rows stay where their text is and only a key's
+    n best of them go on. Rows of the other tokens, each in few texts, travel to their counts."""
+    tf, total = term_frequencies(docs, key, text), docs.agg(F.count("*").alias("n"))
+    df = stored(document_frequencies(docs, text), "df")
+    least = frequent_from(df, SENT)
+    often = F.broadcast(df if least is None else df.where(F.col("df") >= least))
+    score = (F.col("tf") * F.log(F.col("n").cast("double") / F.col("df"))).alias("score")
+    scored = tf.join(often, "token", "left").crossJoin(F.broadcast(total)).select(key, "token", "tf", "n", "df", score)
+    if least is None:
+        return top_tokens(scored, key, n)
+    order = W.partitionBy(key).orderBy(F.round("score", 9).desc_nulls_last(), "token")
+    left = stored(scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= n) | F.col("df").isNull()).drop("rank"), "scored")
+    rare = left.where("df is null").select(key, "token", "tf", "n").join(df.where(F.col("df") < least), "token").select(key, "token", "tf", "n", "df", score)
+    return top_tokens(left.where("df is not null").unionByName(rare), key, n)
+
+
+def frequent_from(df: DataFrame, most: int) -> int | None:
+    """The least count from which on there are at most so many tokens (one more than the greatest if even those are more);
+    None if all are."""
+    by_count = df.groupBy("df").agg(F.count("*").alias("tokens"))
+    cut = by_count.withColumn("upto", F.sum("tokens").over(W.orderBy(F.col("df").desc()).rowsBetween(W.unboundedPreceding, 0)))
+    found = cut.agg(F.min(F.when(F.col("upto") <= most, F.col("df"))).alias("least"), F.max("df").alias("top"), F.max("upto").alias("all")).first()
+    if (found["all"] or 0) <= most:
+        return None
+    return found["least"] or found["top"] + 1

@@ -409,9 +409,7 @@ def f29(spark, d):
 
 @query("M1_document_keywords", "WITH tf AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT doc_id, token, tf * ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS score FROM tf JOIN df USING (token)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, token) AS rank FROM s) SELECT doc_id, string_agg(token, ', ' ORDER BY rank) AS keywords_str FROM r WHERE rank <= 10 GROUP BY 1", "tokens")
 def m1(spark, d):
-    docs = table(spark, d, "documents")
-    scored = text.tf_idf(text.term_frequencies(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")), "doc_id", text.document_frequencies(docs, "text"))
-    top = text.top_tokens(scored, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("x"))
+    top = text.best_tokens(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("x"))
     return top.select("doc_id", F.array_join("x.token", ", ").alias("keywords_str"))
 
 

@@ -256,3 +256,24 @@ def test_refined_topics(spark):
     clustered = spark.createDataFrame([(3, 3), (4, 3), (5, -1)], "id int, cluster int")
     got = {r["id"]: r["topic_id"] for r in topics.refined(actions, clustered, "id", 4, 20).collect()}
     assert got == {1: 3, 2: 4, 3: 21, 4: 21, 5: -1}
+
+
+def test_best_tokens_when_few_counts_are_sent(spark, monkeypatch):
+    """Only frequent tokens' counts are sent along; the rest is joined, and the n best are those of all."""
+    import math
+    import random
+    from collections import Counter
+
+    random.seed(5)
+    docs = [(i, " ".join(f"w{min(int(random.expovariate(0.12)), 60)}" for _ in range(random.randint(0, 30))) or None) for i in range(60)]
+    words = {i: Counter((t or "").split()) for i, t in docs}
+    df = Counter(w for c in words.values() for w in c)
+    want = {(i, w) for i, c in words.items() for w in sorted(c, key=lambda w: (-round(c[w] * math.log(len(docs) / df[w]), 9), w))[:4]}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for sent in (0, 1, 12, 1000):
+        monkeypatch.setattr(text, "SENT", sent)
+        got = text.best_tokens(frame, "doc_id", "text", 4)
+        assert {(r["doc_id"], r["token"]) for r in got.collect()} == want
+        if sent == 12:  # tokens that are sent along are in most of the rows; the others' rows alone are joined by a shuffle
+            least = text.frequent_from(text.document_frequencies(frame, "text"), sent)
+            assert 0 < sum(n >= least for n in df.values()) <= sent < len(df)

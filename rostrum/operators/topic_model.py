@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from rostrum.functions.text import tokens
 from rostrum.operators.facets import ranked
 from rostrum.operators.topics import class_tf_idf
+from rostrum.sources.store import stored
 
 
 def fit(docs: DataFrame, text: str, k: int = 250, features: int = 1 << 12, seed: int = 42) -> PipelineModel:
     """A saved model transforms new texts with `transform`."""
+    return fit_tokens(stored(tokenized(docs, text).select("tokens"), "tokens"), k, features, seed)
+
+
+def fit_tokens(words: DataFrame, k: int = 250, features: int = 1 << 12, seed: int = 42) -> PipelineModel:
+    """The model of rows with `tokens`, which are read several times; a stored table saves taking texts apart each time."""
     stages = [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"), KMeans(k=k, seed=seed, maxIter=10, featuresCol="features", predictionCol="topic_id")]
-    return Pipeline(stages=stages).fit(tokenized(docs, text))
+    return Pipeline(stages=stages).fit(words)
 
 
 def tokenized(docs: DataFrame, text: str) -> DataFrame:
@@ -28,9 +34,14 @@ def tokenized(docs: DataFrame, text: str) -> DataFrame:
 
 def transform(model: PipelineModel, docs: DataFrame, text: str, min_size: int = 3) -> DataFrame:
     """Adds topic_id; topics under min_size become -1."""
-    rows = model.transform(tokenized(docs, text))
+    return assigned(model, tokenized(docs, text), min_size)
+
+
+def assigned(model: PipelineModel, words: DataFrame, min_size: int = 3) -> DataFrame:
+    """`transform` of rows with `tokens`. They are assigned once and stored; sizes, a row for each topic, are sent along."""
+    rows = stored(model.transform(words).drop("tf", "tfidf"), "assigned")
     sizes = rows.groupBy("topic_id").agg(F.count("*").alias("__n"))
-    return rows.join(sizes, "topic_id").withColumn("topic_id", F.when(F.col("__n") >= min_size, F.col("topic_id")).otherwise(-1)).drop("__n", "tf", "tfidf")
+    return rows.join(F.broadcast(sizes), "topic_id").withColumn("topic_id", F.when(F.col("__n") >= min_size, F.col("topic_id")).otherwise(-1)).drop("__n")
 
 
 def topic_words(rows: DataFrame, n: int = 10) -> DataFrame:
@@ -44,8 +55,9 @@ def topic_words(rows: DataFrame, n: int = 10) -> DataFrame:
 
 def topics_of(docs: DataFrame, key: str, text: str, k: int = 250) -> DataFrame:
     """key, topic_id, name."""
-    rows = transform(fit(docs.select(key, text), text, k), docs.select(key, text), text)
-    return rows.select(key, "topic_id").join(topic_words(rows).select("topic_id", "name"), "topic_id", "left")
+    words = stored(tokenized(docs.select(key, text), text).select(key, "tokens"), "tokens")
+    rows = assigned(fit_tokens(words, k), words)
+    return rows.select(key, "topic_id").join(F.broadcast(topic_words(rows).select("topic_id", "name")), "topic_id", "left")
 
 
 def representatives(rows: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -53,7 +65,7 @@ def representatives(rows: DataFrame, key: str, n: int = 3) -> DataFrame:
     are those of `transform`. Outliers have none."""
     real = rows.where("topic_id >= 0")
     means = real.groupBy("topic_id").agg(Summarizer.mean(F.col("features")).alias("m"))
-    pairs = real.select(key, "topic_id", vector_to_array("features").alias("x")).join(means.select("topic_id", vector_to_array("m").alias("m")), "topic_id")
+    pairs = real.select(key, "topic_id", vector_to_array("features").alias("x")).join(F.broadcast(means.select("topic_id", vector_to_array("m").alias("m"))), "topic_id")
     square = F.aggregate(F.zip_with("x", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
     return ranked(pairs.select("topic_id", key, F.round(F.sqrt(square), 9).alias("distance")), ["topic_id"], F.col("distance"), F.col(key)).where(F.col("rank") <= n)
 

@@ -433,9 +433,9 @@ def m2_representatives(spark, d):
     """A model that was saved and loaded names the three documents nearest to each topic's middle."""
     from rostrum.operators import topic_model
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    model = topic_model.saved(topic_model.fit(docs, "text", 8, 1 << 10), fresh_path(spark, "topic-model"))
-    return topic_model.representatives(topic_model.transform(model, docs, "text"), "doc_id")
+    words = stored(topic_model.tokenized(table(spark, d, "documents"), "text").select("doc_id", "tokens"), "tokens")
+    model = topic_model.saved(topic_model.fit_tokens(words, 8, 1 << 10), fresh_path(spark, "topic-model"))
+    return topic_model.representatives(topic_model.assigned(model, words), "doc_id")
 
 
 @query("M3_assign_topics", f"WITH {CENTRE_SQL}, {NEAREST_SQL}, n AS (SELECT *, sim < 0.25 AS is_new FROM near) SELECT vec_id, CAST(CASE WHEN is_new THEN (SELECT max(topic_id) FROM centre) + row_number() OVER (PARTITION BY is_new ORDER BY vec_id) ELSE topic_id END AS INT) AS topic_id, is_new FROM n")

@@ -1,9 +1,10 @@
 """Hierarchical density clusters: core distances, the minimum spanning forest of mutual reachability, the condensed tree.
 
-Vectors are dealt into blocks of neighbours (cells round sampled pivots). A task meets two blocks at a time: first for the
+Vectors are dealt into blocks of neighbours (cells round sampled pivots). Two blocks at a time are met: first for the
 distances to nearest neighbours, then for the minimum spanning tree of both. An edge that is not in the tree of some two
 blocks is not in the tree of all (it is the greatest of a cycle), so these trees hold the whole forest, which Boruvka rounds
-then find among their edges. No pair of vectors is listed.
+then find among their edges. No pair of vectors is listed. A task has the blocks of two bundles, meets all their pairs, and
+hands on the least distances of all and the tree of all trees, so what travels grows with the bundles, not the blocks.
 
 The forest's edges in rising order are the merges of a single-linkage hierarchy. They are worked off LEVEL at a time, each
 level in one bounded task, which carries on sizes and open clusters and decides by excess of mass which clusters stay; the
@@ -34,6 +35,8 @@ from rostrum.sources.store import stored
 
 #: Vectors of a block at most (about), and pivots at most; merges of a level; decimals of a distance.
 BLOCK, PIVOTS, LEVEL, PLACES = 2048, 4096, 1 << 20, 9
+#: Vectors of a bundle of blocks at most (about), bundles at least, and edges that a task gathers before it thins them out.
+WIDE, BUNDLES, EDGES = 1 << 15, 8, 1 << 20
 #: Partial lists of nearest distances that are merged at a time; the least distance that a density is taken of.
 FAN, LEAST = 32, 1e-12
 EDGE = "a long, b long, d double"
@@ -79,6 +82,7 @@ class Blocks:
             return pa.table({"block": table.column("block")[:1], "keys": pa.array([table.column("key").to_numpy().tobytes()], pa.binary()), "body": pa.array([v.tobytes()], pa.binary()), "centre": pa.array([centre.tolist()]), "radius": [radius]})
 
         self.table = stored(dealt.groupBy("block").applyInArrow(packed, "block int, keys binary, body binary, centre array<double>, radius double"), "hierarchy-blocks")
+        self.wide = self.bundle()
 
     def bounds(self) -> DataFrame:
         """i <= j and low, the least distance that vectors of both blocks can have."""
@@ -88,13 +92,34 @@ class Blocks:
         low = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.greatest(F.lit(0.0), apart - F.col("ri") - F.col("rj") - 1e-9))
         return stored(one.join(two, F.col("i") <= F.col("j")).select("i", "j", low.alias("low")), "hierarchy-bounds")
 
-    def met(self, pairs: DataFrame, run, schema: str, extra: DataFrame | None = None) -> DataFrame:
-        """run over the rows of both blocks of each pair; extra gives a block further columns."""
+    def bundle(self) -> int:
+        """How many blocks make a bundle."""
+        blocks = self.table.count()
+        return max(1, min(-(-blocks // BUNDLES), blocks * WIDE // max(self.n, 1)))
+
+    def met(self, pairs: DataFrame, run, joined, schema: str, extra: DataFrame | None = None) -> DataFrame:
+        """run over the rows of both blocks of each pair, and joined over what it gives for the pairs of two bundles; extra
+        gives a block further columns."""
         rows = self.table.select("block", "keys", "body")
-        rows = rows.join(extra, "block") if extra is not None else rows
-        sides = [pairs.select("i", "j", F.col(c).alias("block")) for c in ("i", "j")]
-        both = sides[0].unionByName(sides[1].where("i <> j")).join(rows, "block")
-        return both.groupBy("i", "j").applyInArrow(run, schema)
+        rows = rows.join(F.broadcast(extra), "block") if extra is not None else rows
+        wide = F.lit(self.wide)
+        of = stored(pairs.select(F.floor(F.col("i") / wide).alias("one"), F.floor(F.col("j") / wide).alias("two"), "i", "j"), "hierarchy-pairs")
+        wanted = of.select(F.col("one").alias("p"), F.col("two").alias("q"), F.explode(F.array("i", "j")).alias("block")).distinct()
+        both = rows.join(F.broadcast(wanted), "block")
+
+        def whole(table: pa.Table, listed: pa.Table) -> pa.Table:
+            at = {block: i for i, block in enumerate(table.column("block").to_pylist())}
+            table = table.combine_chunks()
+            out, many = [], 0
+            for i, j in sorted(zip(listed.column("i").to_pylist(), listed.column("j").to_pylist(), strict=True)):
+                out.append(run(pa.concat_tables([table.slice(at[c], 1) for c in dict.fromkeys((i, j))])))
+                many += out[-1].num_rows
+                if many > EDGES:
+                    out = [joined(pa.concat_tables(out))]
+                    many = 0
+            return joined(pa.concat_tables(out))
+
+        return both.groupBy("p", "q").cogroup(of.groupBy("one", "two")).applyInArrow(whole, schema)
 
 
 def _rounded(squares: np.ndarray) -> np.ndarray:
@@ -135,11 +160,15 @@ def core_distances(blocks: Blocks, bounds: DataFrame, min_points: int) -> DataFr
             best = own if best is None else np.sort(np.concatenate([best, own], axis=1), axis=1)[:, :k]
         return pa.table({"block": table.column("block")[:1], "other": table.column("other")[:1], "near": pa.array([best.tobytes()], pa.binary()), "most": [float(best[:, -1].max())]})
 
+    def each(table: pa.Table) -> pa.Table:
+        names = table.column("block").to_numpy()
+        return pa.concat_tables([merged(table.filter(pa.array(names == name))) for name in np.unique(names)])
+
     schema = "block int, other int, near binary, most double"
-    own = stored(blocks.met(bounds.where("i = j"), least, schema), "hierarchy-near")
+    own = stored(blocks.met(bounds.where("i = j"), least, each, schema), "hierarchy-near")
     most = own.select("block", "most")
     wanted = bounds.where("i <> j").join(most.toDF("i", "mi"), "i").join(most.toDF("j", "mj"), "j").where("low <= greatest(mi, mj)").select("i", "j")
-    found = stored(own.unionByName(blocks.met(wanted, least, schema)), "hierarchy-near")
+    found = stored(own.unionByName(blocks.met(wanted, least, each, schema)), "hierarchy-near")
     found = found.withColumn("part", F.floor(F.col("other") / FAN)).groupBy("block", "part").applyInArrow(merged, schema).groupBy("block").applyInArrow(merged, schema)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +205,33 @@ def spanning_tree(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(a, np.int64), np.array(b, np.int64), np.array(d, np.float64)
 
 
+def tree_of_edges(table: pa.Table) -> pa.Table:
+    """Those of the given edges a, b, d that are in their minimum spanning forest, by rounds in which every component keeps
+    its least edge to another."""
+    table = table.sort_by([("d", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    ends = np.concatenate([table.column(c).to_numpy() for c in ("a", "b")])
+    names, place = np.unique(ends, return_inverse=True)
+    a, b = place[: len(table)], place[len(table) :]
+    comp, live, kept = np.arange(len(names)), np.arange(len(table)), np.zeros(len(table), bool)
+    while True:
+        live = live[comp[a[live]] != comp[b[live]]]
+        if not len(live):
+            return table.filter(pa.array(kept))
+        first = np.full(len(names), len(table))
+        np.minimum.at(first, comp[a[live]], live)
+        np.minimum.at(first, comp[b[live]], live)
+        own = np.flatnonzero(first < len(table))
+        edge = first[own]
+        kept[edge] = True
+        up = np.arange(len(names))
+        up[own] = np.where(comp[a[edge]] == own, comp[b[edge]], comp[a[edge]])
+        root = own[(up[up[own]] == own) & (own < up[own])]
+        up[root] = root
+        while (up[up] != up).any():
+            up = up[up]
+        comp = up[comp]
+
+
 def spanning_forest(blocks: Blocks, bounds: DataFrame, cores: DataFrame) -> DataFrame:
     """a < b, d: the minimum spanning tree of mutual reachability over all vectors."""
     dims = blocks.dims
@@ -195,14 +251,14 @@ def spanning_forest(blocks: Blocks, bounds: DataFrame, cores: DataFrame) -> Data
     closest = W.partitionBy("i").orderBy("low", "j")
     both = bounds.where("i <> j").select("i", "j", "low").union(bounds.where("i <> j").select("j", "i", "low"))
     first = both.withColumn("r", F.row_number().over(closest)).where("r <= 4").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    candidates = stored(blocks.met(near.select("i", "j").union(first), trees, EDGE, cores), "hierarchy-candidates")
+    candidates = stored(blocks.met(near.select("i", "j").union(first), trees, tree_of_edges, EDGE, cores), "hierarchy-candidates")
     forest = boruvka(candidates)
     if bounds.where("i <> j").join(first, ["i", "j"], "left_anti").limit(1).count():
         # What spans all with edges up to `most` leaves out every block pair that is farther apart.
         spans = forest.count() == blocks.n - 1
         most = forest.agg(F.max("d")).first()[0] if spans else float("inf")
         rest = bounds.where(f"i <> j and low <= {most!r}D" if spans else "i <> j").join(first, ["i", "j"], "left_anti").select("i", "j")
-        forest = boruvka(stored(forest.union(blocks.met(rest, trees, EDGE, cores)), "hierarchy-candidates"))
+        forest = boruvka(stored(forest.union(blocks.met(rest, trees, tree_of_edges, EDGE, cores)), "hierarchy-candidates"))
     return forest
 
 

@@ -118,3 +118,31 @@ def test_cosine_and_odd_rows(spark):
 def test_small_tables(spark, n):
     rows = frame(spark, list(range(n)), np.eye(3)[:n]) if n else spark.createDataFrame([], "k long, v array<double>")
     assert sorted(map(tuple, hi.density_hierarchy(rows, "k", "v", 5, 3).collect())) == [(i, -1) for i in range(n)]
+
+
+def test_bundles_hand_on_trees(spark, monkeypatch):
+    """Tasks meet all blocks of two bundles; what they hand on has one tree's edges, not one for each pair of blocks."""
+    for name, value in (("BLOCK", 8), ("BUNDLES", 3), ("EDGES", 40)):
+        monkeypatch.setattr(hi, name, value)
+    keys, v = groups(4, 130)
+    blocks = hi.Blocks(frame(spark, keys, v), "k", "v")
+    bounds = blocks.bounds()
+    assert blocks.wide > 3
+    found = hi.stored(hi.spanning_forest(blocks, bounds, hi.core_distances(blocks, bounds, 4)))
+    assert sorted(map(tuple, found.select("d", "a", "b").collect())) == plain_forest(keys, v, 4)
+
+
+def test_tree_of_edges():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (2, 1), (40, 60), (40, 400)):
+        pairs = sorted({tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(m)})
+        edges = [(float(rng.integers(5)), a, b) for a, b in pairs]
+        group, want = {x: {x} for x in range(n)}, []
+        for w, a, b in sorted(edges):
+            if group[a] is not group[b]:
+                want.append((w, a, b))
+                both = group[a] | group[b]
+                group.update(dict.fromkeys(both, both))
+        d, a, b = zip(*edges, strict=True) if edges else ((), (), ())
+        got = hi.tree_of_edges(hi.pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "d": np.array(d, np.float64)}))
+        assert sorted(zip(*[got.column(c).to_pylist() for c in ("d", "a", "b")], strict=True)) == want

@@ -119,10 +119,13 @@ def _chains(groups: list[str], key: str, eps: float):
         order = pc.sort_indices(keys).to_numpy()
         rank[order] = np.arange(len(keys))
         root_a, root_b = rank[: len(a)].copy(), rank[len(a) :].copy()
-        linked = near & core_a[:, None] & core_b
-        while linked.any():
-            new_a = np.minimum(root_a, np.where(linked, root_b, len(keys)).min(axis=1, initial=len(keys)))
-            new_b = np.minimum(root_b, np.where(linked, new_a[:, None], len(keys)).min(axis=0, initial=len(keys)))
+        x, y = np.nonzero(near & core_a[:, None] & core_b)
+        first = np.flatnonzero(np.diff(x, prepend=-1))  # links come row by row
+        own = x[first]
+        while len(x):
+            new_a, new_b = root_a.copy(), root_b.copy()
+            new_a[own] = np.minimum(root_a[own], np.minimum.reduceat(root_b[y], first))
+            np.minimum.at(new_b, y, new_a[x])
             if (new_a == root_a).all() and (new_b == root_b).all():
                 break
             root_a, root_b = new_a, new_b
@@ -130,9 +133,10 @@ def _chains(groups: list[str], key: str, eps: float):
         for t, own, near_, root, core, other in ((one, core_a, near, root_a, core_b, two), (two, core_b, near.T, root_b, core_a, one)):
             cores = np.flatnonzero(own)
             made.append(_out(t, [*groups, key], cores, other=keys.take(pa.array(order[root[cores]])), border=np.zeros(len(cores), bool)))
-            close = near_ & core & ~own[:, None]
-            border = np.flatnonzero(close.any(axis=1))
-            made.append(_out(t, [*groups, key], border, other=other.column(key).take(pa.array(close[border].argmax(axis=1) if len(border) else np.zeros(0, np.int64))), border=np.ones(len(border), bool)))
+            border = np.flatnonzero(~own)
+            close = near_[border] & core
+            border, close = border[close.any(axis=1)], close[close.any(axis=1)]
+            made.append(_out(t, [*groups, key], border, other=other.column(key).take(pa.array(close.argmax(axis=1) if len(border) else np.zeros(0, np.int64))), border=np.ones(len(border), bool)))
             if one is two:
                 break
         return pa.concat_tables(made)

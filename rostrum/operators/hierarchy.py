@@ -1,10 +1,11 @@
 """Hierarchical density clusters: core distances, the minimum spanning forest of mutual reachability, the condensed tree.
 
-Vectors are dealt into blocks of neighbours (cells round sampled pivots). Two blocks at a time are met: first for the
-distances to nearest neighbours, then for the minimum spanning tree of both. An edge that is not in the tree of some two
-blocks is not in the tree of all (it is the greatest of a cycle), so these trees hold the whole forest, which Boruvka rounds
-then find among their edges. No pair of vectors is listed. A task has the blocks of two bundles, meets all their pairs, and
-hands on the least distances of all and the tree of all trees, so what travels grows with the bundles, not the blocks.
+Vectors are dealt into blocks of neighbours (cells round sampled pivots). Blocks are met once for every vector's list of
+nearest neighbours, by products in single precision as a sieve. Boruvka rounds follow the lists' edges: what a list leaves
+out comes after its last entry, so a component's least listed edge is its least of all if it comes before the last entries of
+all its members. The few components left are met once more, by vectors that can still have a shorter link than the listed
+edges give. No pair of vectors is listed. A task has the blocks of two bundles and hands on one list for each vector, or one
+edge for two components, so what travels grows with the bundles, not the blocks.
 
 The forest's edges in rising order are the merges of a single-linkage hierarchy. They are worked off LEVEL at a time, each
 level in one bounded task, which carries on sizes and open clusters and decides by excess of mass which clusters stay; the
@@ -22,13 +23,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions.vectors import scaled
+from rostrum.operators import nearest
 from rostrum.operators.cluster import quality
 from rostrum.operators.order import numbered
 from rostrum.sources.store import stored
@@ -36,9 +38,11 @@ from rostrum.sources.store import stored
 #: Vectors of a block at most (about), and pivots at most; merges of a level; decimals of a distance.
 BLOCK, PIVOTS, LEVEL, PLACES = 2048, 4096, 1 << 20, 9
 #: Vectors of a bundle of blocks at most (about), bundles at least, and edges that a task gathers before it thins them out.
-WIDE, BUNDLES, EDGES = 1 << 15, 8, 1 << 20
-#: Partial lists of nearest distances that are merged at a time; the least distance that a density is taken of.
-FAN, LEAST = 32, 1e-12
+WIDE, BUNDLES, EDGES = 1 << 16, 8, 1 << 20
+#: Neighbours in a list at least, and components at most for which a task is told the limits of all pairs.
+LISTED, FEW = 10, 1024
+#: The least distance that a density is taken of.
+LEAST = 1e-12
 EDGE = "a long, b long, d double"
 
 
@@ -97,119 +101,112 @@ class Blocks:
         blocks = self.table.count()
         return max(1, min(-(-blocks // BUNDLES), blocks * WIDE // max(self.n, 1)))
 
-    def met(self, pairs: DataFrame, run, joined, schema: str, extra: DataFrame | None = None) -> DataFrame:
-        """run over the rows of both blocks of each pair, and joined over what it gives for the pairs of two bundles; extra
-        gives a block further columns."""
+    def met(self, pairs: DataFrame, run, schema: str, extra: DataFrame | None = None) -> DataFrame:
+        """run over the rows of the blocks of two bundles (by block: keys, vectors, packed further columns that extra gives
+        a block) and their pairs of blocks."""
         rows = self.table.select("block", "keys", "body")
-        rows = rows.join(F.broadcast(extra), "block") if extra is not None else rows
-        wide = F.lit(self.wide)
+        rows = rows.join(extra, "block") if extra is not None else rows
+        wide, dims = F.lit(self.wide), self.dims
         of = stored(pairs.select(F.floor(F.col("i") / wide).alias("one"), F.floor(F.col("j") / wide).alias("two"), "i", "j"), "hierarchy-pairs")
         wanted = of.select(F.col("one").alias("p"), F.col("two").alias("q"), F.explode(F.array("i", "j")).alias("block")).distinct()
         both = rows.join(F.broadcast(wanted), "block")
+        more = [c for c in rows.columns if c not in ("block", "keys", "body")]
 
         def whole(table: pa.Table, listed: pa.Table) -> pa.Table:
-            at = {block: i for i, block in enumerate(table.column("block").to_pylist())}
-            table = table.combine_chunks()
-            out, many = [], 0
-            for i, j in sorted(zip(listed.column("i").to_pylist(), listed.column("j").to_pylist(), strict=True)):
-                out.append(run(pa.concat_tables([table.slice(at[c], 1) for c in dict.fromkeys((i, j))])))
-                many += out[-1].num_rows
-                if many > EDGES:
-                    out = [joined(pa.concat_tables(out))]
-                    many = 0
-            return joined(pa.concat_tables(out))
+            of = {}
+            for s, block in enumerate(table.column("block").to_pylist()):
+                keys = np.frombuffer(table.column("keys")[s].as_buffer(), np.int64)
+                of[block] = (keys, _matrix(table.column("body")[s : s + 1], dims), *[table.column(c)[s].as_buffer() for c in more])
+            return run(of, sorted(zip(listed.column("i").to_pylist(), listed.column("j").to_pylist(), strict=True)))
 
         return both.groupBy("p", "q").cogroup(of.groupBy("one", "two")).applyInArrow(whole, schema)
 
 
-def _rounded(squares: np.ndarray) -> np.ndarray:
-    return np.round(np.sqrt(np.maximum(squares, 0)), PLACES)
+def near_lists(blocks: Blocks, bounds: DataFrame, many: int) -> DataFrame:
+    """block, keys, far, others (packed, in the order of its keys): distances and keys of each vector's nearest others, of
+    equals the lesser keys. A block is met by itself first; then only by blocks that can hold something nearer."""
+    k = min(max(many - 1, LISTED), blocks.n - 1)
+
+    def least(of: dict, pairs: list) -> pa.Table:
+        sieve = nearest.Sieve({b: x[1] for b, x in of.items()})
+        far = {b: np.full((len(x[0]), k), np.inf) for b, x in of.items()}
+        others = {b: np.full((len(x[0]), k), -1) for b, x in of.items()}
+        limit = {b: np.frombuffer(x[2], np.float64).copy() if len(x) > 2 else np.full(len(x[0]), np.inf) for b, x in of.items()}
+
+        def learned(b: int, r: np.ndarray, other: np.ndarray, d: np.ndarray) -> None:
+            good = d <= limit[b][r]
+            if good.any():
+                nearest.merge(far[b], others[b], r[good], other[good], d[good])
+                limit[b] = np.minimum(limit[b], far[b][:, -1])
+
+        for i, j in pairs:
+            (one, v), (two, w) = of[i][:2], of[j][:2]
+            for at in range(0, len(one), nearest.STRIP):
+                rows = slice(at, at + nearest.STRIP)
+                for r, c in sieve.within(i, rows, j, limit[i][rows], limit[j] if i != j else np.full(len(two), -1.0), k + 1):
+                    real = one[r] != two[c]
+                    r, c = r[real], c[real]
+                    d = nearest.euclidean(v[r], w[c], PLACES)
+                    learned(i, r, two[c], d)
+                    if i != j:
+                        learned(j, c, one[r], d)
+        return _lists({b: (of[b][0], far[b], others[b]) for b in of})
 
+    def merged(table: pa.Table) -> pa.Table:
+        best = None
+        for keys, x, y in zip(*[table.column(c) for c in ("keys", "far", "others")], strict=True):
+            keys, far, others = (np.frombuffer(c.as_buffer(), t) for c, t in ((keys, np.int64), (x, np.float64), (y, np.int64)))
+            far, others = far.reshape(-1, k).copy(), others.reshape(-1, k).copy()
+            if best is not None:
+                r, c = np.nonzero(np.isfinite(best[1]))
+                nearest.merge(far, others, r, best[2][r, c], best[1][r, c])
+            best = keys, far, others
+        return _lists({table.column("block")[0].as_py(): best})
+
+    schema = "block int, keys binary, far binary, others binary, most double"
+    if k < 1:
+        return blocks.spark.createDataFrame([], schema)
+    own = stored(blocks.met(bounds.where("i = j"), least, schema), "hierarchy-near")
+    most = own.select("block", "most")
+    wanted = bounds.where("i <> j").join(most.toDF("i", "mi"), "i").join(most.toDF("j", "mj"), "j").where("low <= greatest(mi, mj)").select("i", "j")
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, rounded; pairs so near that the quick formula loses them are taken again by differences."""
-    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
-    i, j = np.nonzero(square < 1e-5 * ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)))
-    for at in range(0, len(i), 1 << 14):
-        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-        square[x, y] = ((a[x] - b[y]) ** 2).sum(axis=1)
-    return _rounded(square)
-
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [np.frombuffer(x.as_buffer(), np.float64).reshape(-1, k)[:, -1].tobytes() for x in batch.column("far")]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(ends, pa.binary())], ["block", "limit"])
 
-def core_distances(blocks: Blocks, bounds: DataFrame, min_points: int) -> DataFrame:
-    """block, core (packed, in the order of its keys): distances to the min_points-th nearest vector, itself included. A
-    block is met by itself first; then only by blocks that can hold something nearer than what it has found."""
-    k, dims = min(min_points, blocks.n), blocks.dims
+    found = own.unionByName(blocks.met(wanted, least, schema, own.mapInArrow(last, "block int, limit binary")))
+    return stored(found.groupBy("block").applyInArrow(merged, schema), "hierarchy-near")
 
-    def least(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        names, v = table.column("block").to_pylist(), [_matrix(table.column("body")[s : s + 1], dims) for s in range(table.num_rows)]
-        near = [np.full((len(x), k), np.inf) for x in v]
-        for at in range(0, len(v[0]), 256):
-            d = distances(v[0][at : at + 256], v[-1])
-            near[0][at : at + 256, : min(k, d.shape[1])] = np.sort(d, axis=1)[:, :k]
-            if len(v) > 1:
-                near[1] = np.sort(np.concatenate([near[1], d.T], axis=1), axis=1)[:, :k]
-        other = [names[-1], names[0]][: len(names)]
-        return pa.table({"block": pa.array(names, pa.int32()), "other": pa.array(other, pa.int32()), "near": pa.array([x.tobytes() for x in near], pa.binary()), "most": [float(x[:, -1].max()) for x in near]})
 
-    def merged(table: pa.Table) -> pa.Table:
-        best = None
-        for x in table.column("near"):
-            own = np.frombuffer(x.as_buffer(), np.float64).reshape(-1, k)
-            best = own if best is None else np.sort(np.concatenate([best, own], axis=1), axis=1)[:, :k]
-        return pa.table({"block": table.column("block")[:1], "other": table.column("other")[:1], "near": pa.array([best.tobytes()], pa.binary()), "most": [float(best[:, -1].max())]})
+def _lists(of: dict) -> pa.Table:
+    packed = [pa.array([x[c].tobytes() for x in of.values()], pa.binary()) for c in range(3)]
+    most = [float(x[1][:, -1].max()) if x[1].size else 0.0 for x in of.values()]
+    return pa.table([pa.array(list(of), pa.int32()), *packed, pa.array(most, pa.float64())], ["block", "keys", "far", "others", "most"])
 
-    def each(table: pa.Table) -> pa.Table:
-        names = table.column("block").to_numpy()
-        return pa.concat_tables([merged(table.filter(pa.array(names == name))) for name in np.unique(names)])
 
-    schema = "block int, other int, near binary, most double"
-    own = stored(blocks.met(bounds.where("i = j"), least, each, schema), "hierarchy-near")
-    most = own.select("block", "most")
-    wanted = bounds.where("i <> j").join(most.toDF("i", "mi"), "i").join(most.toDF("j", "mj"), "j").where("low <= greatest(mi, mj)").select("i", "j")
-    found = stored(own.unionByName(blocks.met(wanted, least, each, schema)), "hierarchy-near")
-    found = found.withColumn("part", F.floor(F.col("other") / FAN)).groupBy("block", "part").applyInArrow(merged, schema).groupBy("block").applyInArrow(merged, schema)
+def core_distances(blocks: Blocks, bounds: DataFrame, min_points: int, lists: DataFrame | None = None) -> DataFrame:
+    """The rows of near_lists with core (packed): distances to the min_points-th nearest vector, itself included."""
+    k = min(min_points, blocks.n)
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cores = [np.frombuffer(x.as_buffer(), np.float64).reshape(-1, k)[:, -1].tobytes() for x in batch.column("near")]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(cores, pa.binary())], ["block", "core"])
-
-    return stored(found.mapInArrow(last, "block int, core binary"), "hierarchy-cores")
-
-
-def spanning_tree(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (a < b, places in the order of keys) and weights of the tree of mutual reachability, by Prim's rule; a row of
-    distances at a time."""
-    n = len(v)
-    square = (v * v).sum(axis=1)
-    best, low, high = np.full(n, np.inf), np.full(n, n), np.full(n, n)
-    left, at = np.ones(n, bool), 0
-    left[0] = False
-    out = []
-    place = np.arange(n)
-    for _ in range(n - 1):
-        apart = square + square[at] - 2 * (v @ v[at])
-        near = np.flatnonzero(apart < 1e-5 * (square + square[at]))
-        apart[near] = ((v[near] - v[at]) ** 2).sum(axis=1)
-        d = np.maximum(np.maximum(_rounded(apart), core), core[at])
-        lo, hi = np.minimum(place, at), np.maximum(place, at)
-        better = (d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high))))
-        best, low, high = np.where(better, d, best), np.where(better, lo, low), np.where(better, hi, high)
-        least = np.flatnonzero(left & (best == best[left].min()))
-        at = int(least[np.lexsort((high[least], low[least]))[0]])
-        left[at] = False
-        out.append((low[at], high[at], best[at]))
-    a, b, d = zip(*out, strict=True) if out else ((), (), ())
-    return np.array(a, np.int64), np.array(b, np.int64), np.array(d, np.float64)
+            found = []
+            for keys, far in zip(batch.column("keys"), batch.column("far"), strict=True):
+                n = len(keys.as_buffer()) // 8
+                x = np.frombuffer(far.as_buffer(), np.float64).reshape(n, -1)
+                found.append((x[:, k - 2] if k > 1 else np.zeros(n)).tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("block", "keys", "far", "others")], pa.array(found, pa.binary())], ["block", "keys", "far", "others", "core"])
+
+    lists = near_lists(blocks, bounds, min_points) if lists is None else lists
+    return lists.mapInArrow(cores, "block int, keys binary, far binary, others binary, core binary")
 
 
 def tree_of_edges(table: pa.Table) -> pa.Table:
     """Those of the given edges a, b, d that are in their minimum spanning forest, by rounds in which every component keeps
-    its least edge to another."""
+    its least edge to another. They link a and b, or ca and cb where given."""
     table = table.sort_by([("d", "ascending"), ("a", "ascending"), ("b", "ascending")])
-    ends = np.concatenate([table.column(c).to_numpy() for c in ("a", "b")])
+    ends = np.concatenate([table.column(c).to_numpy() for c in (("ca", "cb") if "ca" in table.column_names else ("a", "b"))])
     names, place = np.unique(ends, return_inverse=True)
     a, b = place[: len(table)], place[len(table) :]
     comp, live, kept = np.arange(len(names)), np.arange(len(table)), np.zeros(len(table), bool)
@@ -232,55 +229,181 @@ def tree_of_edges(table: pa.Table) -> pa.Table:
         comp = up[comp]
 
 
+LINK = f"{EDGE}, ca long, cb long"
+
+
 def spanning_forest(blocks: Blocks, bounds: DataFrame, cores: DataFrame) -> DataFrame:
     """a < b, d: the minimum spanning tree of mutual reachability over all vectors."""
-    dims = blocks.dims
-
-    def trees(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("keys")])
-        v = np.concatenate([_matrix(table.column("body")[s : s + 1], dims) for s in range(table.num_rows)])
-        core = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("core")])
-        side = np.repeat(np.arange(table.num_rows), [len(x.as_buffer()) // 8 for x in table.column("keys")])
-        order = np.argsort(keys)
-        keys, side = keys[order], side[order]
-        a, b, d = spanning_tree(v[order], core[order])
-        kept = (side[a] != side[b]) | (table.num_rows == 1)  # edges within a block are in its own tree
-        return pa.table({"a": keys[a[kept]], "b": keys[b[kept]], "d": d[kept]})
-
-    near = bounds.where("i = j")
-    closest = W.partitionBy("i").orderBy("low", "j")
-    both = bounds.where("i <> j").select("i", "j", "low").union(bounds.where("i <> j").select("j", "i", "low"))
-    first = both.withColumn("r", F.row_number().over(closest)).where("r <= 4").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    candidates = stored(blocks.met(near.select("i", "j").union(first), trees, tree_of_edges, EDGE, cores), "hierarchy-candidates")
-    forest = boruvka(candidates)
-    if bounds.where("i <> j").join(first, ["i", "j"], "left_anti").limit(1).count():
-        # What spans all with edges up to `most` leaves out every block pair that is farther apart.
-        spans = forest.count() == blocks.n - 1
-        most = forest.agg(F.max("d")).first()[0] if spans else float("inf")
-        rest = bounds.where(f"i <> j and low <= {most!r}D" if spans else "i <> j").join(first, ["i", "j"], "left_anti").select("i", "j")
-        forest = boruvka(stored(forest.union(blocks.met(rest, trees, tree_of_edges, EDGE, cores)), "hierarchy-candidates"))
-    return forest
-
-
-def boruvka(edges: DataFrame) -> DataFrame:
-    """a, b, d of the minimum spanning forest of distinct edges. In each round every component takes its least edge to
-    another; those are kept, and components follow them to a common root."""
-    spark = edges.sparkSession
-    open_ = stored(edges.select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb")), "boruvka")
+    spark, many = blocks.spark, blocks.n
+    if many < 2:
+        return spark.createDataFrame([], EDGE)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *packed in zip(*[batch.column(c) for c in ("block", "keys", "far", "others", "core")], strict=True):
+                keys, far, others, core = (np.frombuffer(x.as_buffer(), t) for x, t in zip(packed, (np.int64, np.float64, np.int64, np.float64), strict=True))
+                k = len(far) // len(keys)
+                near = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(far) + 1, k), pa.int32()), pa.array(x)) for x in (far, others)]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(keys), pa.int32()), pa.array(keys), pa.array(core), *near], ["block", "key", "core", "far", "others"])
+
+    points = stored(cores.mapInArrow(unpacked, "block int, key long, core double, far array<double>, others array<long>"), "hierarchy-points")
+    listed = points.select("key", "core", F.explode(F.arrays_zip("far", "others")).alias("x")).select("key", "core", F.col("x.far").alias("far"), F.col("x.others").alias("other"))
+    edges = listed.join(points.select(F.col("key").alias("other"), F.col("core").alias("own")), "other")
+    edges = edges.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), F.greatest("far", "core", "own").alias("d")).distinct()
+    open_ = stored(edges.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")), "boruvka")
+    # What a list leaves out comes after its last entry; a list of all others leaves out nothing.
+    end, reach = F.element_at("others", -1), F.when(F.size("far") < many - 1, F.element_at("far", -1)).otherwise(float("inf"))
+    tail = F.struct(reach.alias("d"), F.least("key", end).alias("a"), F.greatest("key", end).alias("b"))
+    points = stored(points.select("block", "key", "core", F.col("key").alias("c"), tail.alias("tail")), "hierarchy-points")
+    points, open_, kept = grown(points, open_)
+    while (left := points.select("c").distinct().limit(FEW + 1).count()) > 1:
+        tree = component_tree(open_).collect() if left <= FEW else []
+        few = 0 < left - 1 == len(tree)
+        if few:
+            names, limits = pair_limits([(r["ca"], r["cb"], r["d"]) for r in tree])
+            own, most = F.lit(0.0), float(limits.max())
+        else:
+            names = limits = None
+            ends = open_.select(F.col("ca").alias("c"), "d").union(open_.select("cb", "d")).groupBy("c").agg(F.min("d").alias("u"))
+            points = stored(points.drop("u").join(ends, "c", "left").withColumn("u", F.coalesce("u", F.lit(float("inf")))), "hierarchy-points")
+            own, most = F.col("u"), points.agg(F.max("u")).first()[0]
+        extra = points.select("block", "key", "c", "core", F.col("tail.d").alias("reach"), own.alias("u")).groupBy("block").applyInArrow(_packed, "block int, parts binary, cores binary, reach binary, u binary")
+        pairs = bounds.where(f"low <= {most!r}D" if np.isfinite(most) else "true").select("i", "j")
+        found = blocks.met(pairs, _links(names, limits), LINK, extra)
+        open_ = stored(open_.select(*LINKED).union(found.select(*LINKED)), "boruvka")
+        if few:
+            kept.append(component_tree(open_).select("a", "b", "d"))
+            break
+        points, open_, new = grown(points, open_, sure=True)
+        kept += new
+    return stored(reduce(DataFrame.union, kept), "forest")
+
+
+LINKED = ["a", "b", "d", "ca", "cb"]
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    table = table.sort_by("key")
+    return pa.table([table.column("block")[:1], *[pa.array([table.column(c).to_numpy().tobytes()], pa.binary()) for c in ("c", "core", "reach", "u")]], ["block", "parts", "cores", "reach", "u"])
+
+
+def component_tree(links: DataFrame) -> DataFrame:
+    """The minimum spanning forest of at most FEW components; of two components only the least link goes to its task."""
+    pairs = links.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("d", "a", "b")).alias("e"))
+    return pairs.select("e.a", "e.b", "e.d", "ca", "cb").groupBy(F.lit(0).alias("all")).applyInArrow(lambda table: tree_of_edges(table.select(LINKED)), LINK)
+
+
+def pair_limits(tree: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of components, and the greatest edge on the tree's way between each two (-1 for a component and itself)."""
+    names = np.unique([x for a, b, _ in tree for x in (a, b)])
+    limits, group = np.full((len(names), len(names)), -1.0), {i: [i] for i in range(len(names))}
+    for a, b, d in sorted(tree, key=lambda e: e[2]):
+        one, two = (group[int(np.searchsorted(names, x))] for x in (a, b))
+        limits[np.ix_(one, two)] = d
+        limits[np.ix_(two, one)] = d
+        both = one + two
+        group.update(dict.fromkeys(both, both))
+    return names, limits
+
+
+def _links(names: np.ndarray | None, limits: np.ndarray | None):
+    """The least edges between components among two bundles that may be in the tree: of each two components, where limits of
+    all pairs are given; else at least each component's least one."""
+
+    def run(of: dict, pairs: list) -> pa.Table:
+        of = {b: (keys, v, *(np.frombuffer(x, t) for x, t in zip(more, (np.int64, np.float64, np.float64, np.float64), strict=True))) for b, (keys, v, *more) in of.items()}
+        known = names if names is not None else np.unique(np.concatenate([x[2] for x in of.values()]))
+        at = {b: np.searchsorted(known, x[2]) for b, x in of.items()}
+        if limits is not None:
+            most, now = limits.max(axis=1), limits.copy()
+            live = {b: x[4] <= most[at[b]] for b, x in of.items()}  # others have all edges that matter in their lists
+            of = {b: tuple(c[live[b]] for c in x) for b, x in of.items()}
+            at = {b: c[live[b]] for b, c in at.items()}
+        else:
+            now = np.full(len(known), np.inf)
+            for b, x in of.items():
+                np.minimum.at(now, at[b], x[5])
+        sieve = nearest.Sieve({b: x[1] for b, x in of.items()})
+        found, many = [], 0
+
+        def measured(i: int, j: int, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return np.maximum(np.maximum(nearest.euclidean(of[i][1][r], of[j][1][c], PLACES), of[i][3][r]), of[j][3][c])
+
+        def lower(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> None:
+            for a, b in ((x, y), (y, x)):
+                np.minimum.at(now, (a, b) if limits is not None else a, d)
+
+        def thinned(parts: list) -> list:
+            a, b, d, x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if limits is not None:
+                order = np.lexsort((b, a, d, y, x))
+                first = np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)] if len(order) else order
+                return [tuple(c[order][first] for c in (a, b, d, x, y))]
+            picked = []
+            for own in (x, y):
+                order = np.lexsort((b, a, d, own))
+                picked.append(order[np.r_[True, np.diff(own[order]) != 0]] if len(order) else order)
+            picked = np.unique(np.concatenate(picked))
+            return [tuple(c[picked] for c in (a, b, d, x, y))]
+
+        for i, j in pairs:
+            if not len(at[i]) or not len(at[j]) or at[i].min() == at[i].max() == at[j].min() == at[j].max():
+                continue
+            for top in range(0, len(at[i]), nearest.STRIP):
+                rows = slice(top, top + nearest.STRIP)
+                x, y = at[i][rows], at[j]
+                score = sieve.products(i, rows, j)
+                score[x[:, None] == y] = -np.inf
+                for r, c in ((np.arange(len(x)), score.argmax(axis=1)), (score.argmax(axis=0), np.arange(len(y)))):
+                    real = score[r, c] > -np.inf
+                    r, c = r[real], c[real]
+                    lower(x[r], y[c], measured(i, j, r + top, c))
+                limit = now[np.ix_(x, y)] if limits is not None else np.maximum(now[x][:, None], now[y])
+                for r, c in sieve.places(i, rows, j, score, limit):
+                    d = measured(i, j, r, c)
+                    cx, cy, a, b = at[i][r], y[c], of[i][0][r], of[j][0][c]
+                    good = (cx != cy) & (d <= (now[cx, cy] if limits is not None else np.maximum(now[cx], now[cy])))
+                    cx, cy, a, b, d = (z[good] for z in (cx, cy, a, b, d))
+                    lower(cx, cy, d)
+                    found.append((np.minimum(a, b), np.maximum(a, b), d, np.minimum(cx, cy), np.maximum(cx, cy)))
+                    many += len(d)
+                    if many > EDGES:
+                        found = thinned(found)
+                        many = len(found[0][0])
+        if not found:
+            return pa.table({c: pa.array([], pa.float64() if c == "d" else pa.int64()) for c in LINKED})
+        a, b, d, x, y = thinned(found)[0]
+        return pa.table({"a": a, "b": b, "d": d, "ca": known[x], "cb": known[y]})
+
+    return run
+
+
+def grown(points: DataFrame, open_: DataFrame, sure: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """points with new components c, the edges that are still open, and edges of the minimum spanning tree. In each round
+    components take their least edge to another and follow them to a common root: those components whose edge comes before
+    all that their points' lists leave out; or, in a single round, all (`sure`)."""
     kept: list[DataFrame] = []
-    while open_.limit(1).count():
+    while True:
         ends = open_.select(F.col("ca").alias("c"), F.col("cb").alias("to"), "d", "a", "b").union(open_.select("cb", "ca", "d", "a", "b"))
-        least = stored(ends.groupBy("c").agg(F.min(F.struct("d", "a", "b", "to")).alias("e")).select("c", "e.*"), "boruvka-least")
+        least = ends.groupBy("c").agg(F.min(F.struct("d", "a", "b", "to")).alias("e")).select("c", "e.*")
+        if not sure:
+            tails = points.groupBy("c").agg(F.min("tail").alias("tail"))
+            least = least.join(tails, "c").where(F.struct("d", "a", "b") <= F.col("tail")).drop("tail")
+        least = stored(least, "boruvka-least")
+        if not least.limit(1).count():
+            return points, open_, kept
         kept.append(least.select("a", "b", "d").distinct())
         back = least.select(F.col("c").alias("to"), F.col("to").alias("back"))
-        # Two components that took the same edge point at each other: the lesser is the root.
-        up = least.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root"))
-        roots = pointers(up, "c", "root")
-        named = open_.join(roots.toDF("ca", "ra"), "ca").join(roots.toDF("cb", "rb"), "cb")
-        open_ = stored(named.where("ra <> rb").select("a", "b", "d", F.col("ra").alias("ca"), F.col("rb").alias("cb")), "boruvka")
-    if not kept:
-        return spark.createDataFrame([], EDGE)
-    return stored(reduce(DataFrame.union, kept), "forest")
+        # Two components that took the same edge point at each other: the lesser is the root. One that took none is its own.
+        up = least.join(back, "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root"))
+        ends = least.select(F.col("to").alias("c")).distinct().join(least, "c", "left_anti").select("c", F.col("c").alias("root"))
+        roots = pointers(up.union(ends), "c", "root")
+        points = stored(points.join(roots, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root"), "hierarchy-points")
+        named = open_.join(roots.toDF("ca", "ra"), "ca", "left").join(roots.toDF("cb", "rb"), "cb", "left")
+        named = named.select("a", "b", "d", F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"))
+        open_ = stored(named.where("ca <> cb"), "boruvka")
+        if sure:
+            return points, open_, kept
 
 
 def pointers(up: DataFrame, node: str, root: str) -> DataFrame:
@@ -433,23 +556,60 @@ def density_hierarchy(points: DataFrame, key: str, vector: str, min_size: int =
     return _labelled(points, key, forest_of(points, key, vector, min_points, metric), min_size, epsilon)
 
 
+def silhouette(rows: DataFrame, clusters: int) -> float:
+    """The mean silhouette, by squared distances, of rows (key, cluster, v), as ClusteringEvaluator has it, but by products of
+    blocks of rows with blocks of clusters' means: where clusters grow with the table, a row can't go through them singly."""
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    means = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.avg(square).alias("square"), Summarizer.mean(array_to_vector("v")).alias("m"))
+    means = stored(means.select("cluster", "size", "square", vector_to_array("m").alias("m")), "means")
+    pieces, groups = nearest.parts(rows.count(), WIDE), -(-clusters // WIDE)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    points = rows.withColumn("p", F.pmod(F.xxhash64("key"), F.lit(pieces)).cast("int")).select("*", each(groups).alias("g"))
+    others = means.withColumn("g", F.pmod(F.xxhash64("cluster"), F.lit(groups)).cast("int")).select("*", each(pieces).alias("p"))
+
+    def run(points: pa.Table, means: pa.Table) -> pa.Table:
+        if not points.num_rows or not means.num_rows:
+            return pa.schema([("key", pa.int64()), ("own", pa.float64()), ("size", pa.int64()), ("near", pa.float64())]).empty_table()
+        means = means.sort_by("cluster")
+        v, m = (t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t, c in ((points, "v"), (means, "m")))
+        names, sizes, square = (means.column(c).to_numpy() for c in ("cluster", "size", "square"))
+        cluster = points.column("cluster").to_numpy()
+        at = np.minimum(np.searchsorted(names, cluster), len(names) - 1)
+        own, near = np.where(names[at] == cluster, at, -1), np.full(len(v), np.inf)
+        far = np.full(len(v), np.nan)
+        for top in range(0, len(v), nearest.STRIP):
+            x = v[top : top + nearest.STRIP]
+            for left in range(0, len(m), nearest.ACROSS):
+                d = (x * x).sum(axis=1)[:, None] + square[left : left + nearest.ACROSS] - 2 * x @ m[left : left + nearest.ACROSS].T
+                place = own[top : top + len(x)] - left
+                r = np.flatnonzero((place >= 0) & (place < d.shape[1]))
+                far[top + r] = d[r, place[r]]
+                d[r, place[r]] = np.inf
+                near[top : top + len(x)] = np.minimum(near[top : top + len(x)], d.min(axis=1))
+        return pa.table({"key": points.column("key"), "own": pa.array(far, from_pandas=True), "size": pa.array(np.where(own >= 0, sizes[at], 0)), "near": near})
+
+    met = points.groupBy("p", "g").cogroup(others.groupBy("p", "g")).applyInArrow(run, "key long, own double, size long, near double")
+    met = met.groupBy("key").agg(F.max("own").alias("own"), F.max("size").alias("size"), F.min("near").alias("b")) if groups > 1 else met.withColumnRenamed("near", "b")
+    a, b = F.col("own") * F.col("size") / (F.col("size") - 1), F.col("b")
+    return met.agg(F.avg(F.when((F.col("size") == 1) | (a == b), 0.0).when(a < b, 1 - a / b).otherwise(b / a - 1))).first()[0]
+
+
 def density_sweep(points: DataFrame, key: str, vector: str, min_sizes: list[int], min_points: list[int], metric: str = "euclidean") -> DataFrame:
     """A row for each pair of parameters: min_cluster_size, min_samples, sizes of clusters and noise, silhouette of what is no noise
     (null with fewer than two clusters). Vectors are dealt and bounded once, and the forest of a min_points serves all sizes."""
     blocks = Blocks(points, key, vector, metric)
     spark = points.sparkSession
     bounds = blocks.bounds() if blocks.n else None
+    lists = near_lists(blocks, bounds, max(min_points)) if blocks.n else None
     rows = []
-    ready = points.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")) if blocks.n else None
+    ready = points.select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v")) if blocks.n else None
     for k in min_points:
-        forest = spanning_forest(blocks, bounds, core_distances(blocks, bounds, k)) if blocks.n else spark.createDataFrame([], EDGE)
+        forest = spanning_forest(blocks, bounds, core_distances(blocks, bounds, k, lists)) if blocks.n else spark.createDataFrame([], EDGE)
         for m in min_sizes:
             labelled = stored(_labelled(points, key, forest, m, 0.0), "sweep")
             real = labelled.where("cluster >= 0")
-            silhouette = None
-            if real.select("cluster").distinct().limit(2).count() > 1:
-                numbers = numbered(real.select("cluster").distinct(), ["cluster"]).withColumn("n", F.col("n").cast("int"))
-                evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="n")
-                silhouette = evaluator.evaluate(real.join(numbers, "cluster").join(ready, key))
-            rows.append(quality(labelled).select(F.lit(m).alias("min_cluster_size"), F.lit(k).alias("min_samples"), "*", F.lit(silhouette).cast("double").alias("silhouette")))
+            clusters, score = real.select("cluster").distinct().count(), None
+            if clusters > 1:
+                score = silhouette(real.select(F.col(key).cast("long").alias("key"), "cluster").join(ready, "key"), clusters)
+            rows.append(quality(labelled).select(F.lit(m).alias("min_cluster_size"), F.lit(k).alias("min_samples"), "*", F.lit(score).cast("double").alias("silhouette")))
     return reduce(DataFrame.unionByName, rows)

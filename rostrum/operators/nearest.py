@@ -50,6 +50,50 @@ class Filter:
         return i, j
 
 
+class Sieve:
+    """Named parts of a table, ready for the products of any two that give -d*d / 2 of their rows, in single precision."""
+
+    def __init__(self, parts: dict[int, np.ndarray]):
+        full = [x for x in parts.values() if len(x)]
+        middle = full[0].mean(axis=0) if full else 0.0
+        self.scale = float(np.sqrt(max((((x - middle) ** 2).sum(axis=1).max() for x in full), default=0.0))) or 1.0
+        self.parts, self.single = {b: (x - middle) / self.scale for b, x in parts.items()}, {}
+        dims = full[0].shape[1] if full else 0
+        self.slack, self.slack64 = (dims + 8) * 2e-7, (dims + 8) * 1e-15
+
+    def _sides(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        x = self.parts[b]
+        half, one = (x * x).sum(axis=1)[:, None] / 2, np.ones((len(x), 1))
+        return np.hstack([x, -half, one]), np.hstack([x, one, -half]).T
+
+    def products(self, i: int, rows: slice, j: int) -> np.ndarray:
+        for b in (i, j):
+            if b not in self.single:
+                self.single[b] = [x.astype(np.float32) for x in self._sides(b)]
+        return self.single[i][0][rows] @ self.single[j][1]
+
+    def places(self, i: int, rows: slice, j: int, score: np.ndarray, limit: np.ndarray, slack: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in i and j, so many at a time, of pairs whose distance may be at most the limit of the pair."""
+        need = -((np.maximum(limit, 0) / self.scale) ** 2) / 2
+        need[limit < 0] = np.inf
+        r, c = np.nonzero(score >= np.maximum(need - self.slack, -1e30).astype(np.float32))
+        if len(r) > max(len(score) * 64, score.size // 16):  # single precision does not tell them apart
+            close = self._sides(i)[0][rows] @ self._sides(j)[1]
+            r, c = np.nonzero((close >= need - self.slack64) & (score > -np.inf))
+        for s in range(0, len(r), MEASURED):
+            yield r[s : s + MEASURED] + rows.start, c[s : s + MEASURED]
+
+    def within(self, i: int, rows: slice, j: int, one: np.ndarray, two: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`places` of pairs within the limit of either row; rows of i without one look for their `first` nearest."""
+        score = self.products(i, rows, j)
+        one, free = one.copy(), np.flatnonzero(~np.isfinite(one))
+        if len(free) and first < score.shape[1]:
+            at = score.shape[1] - first
+            least = np.partition(score[free], at, axis=1)[:, at].astype(np.float64) - self.slack
+            one[free] = self.scale * np.sqrt(np.maximum(-2 * least, 0))
+        yield from self.places(i, rows, j, score, np.maximum(one[:, None], two))
+
+
 def euclidean(a: np.ndarray, b: np.ndarray, places: int) -> np.ndarray:
     return np.round(np.sqrt(((a - b) ** 2).sum(axis=1)), places)
 
@@ -73,12 +117,12 @@ def nearest(keys: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray,
                 d = cost(x[rows[r]], y[c])
                 new = (d < best[r, -1]) & (own | (keys[rows[r]] != others[c]))  # later ones have greater keys, so equals come too late
                 if new.any():
-                    _merge(best, at, r[new], c[new], d[new])
+                    merge(best, at, r[new], c[new], d[new])
         real = at >= 0
         yield np.repeat(keys[rows], real.sum(axis=1)), others[at[real]], best[real]
 
 
-def _merge(best: np.ndarray, at: np.ndarray, r: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+def merge(best: np.ndarray, at: np.ndarray, r: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
     k = best.shape[1]
     some = np.unique(r)
     r = np.r_[np.repeat(some, k), r]

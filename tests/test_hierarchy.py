@@ -146,3 +146,47 @@ def test_tree_of_edges():
         d, a, b = zip(*edges, strict=True) if edges else ((), (), ())
         got = hi.tree_of_edges(hi.pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "d": np.array(d, np.float64)}))
         assert sorted(zip(*[got.column(c).to_pylist() for c in ("d", "a", "b")], strict=True)) == want
+
+
+def test_lists_leave_few_components(spark, monkeypatch):
+    """What follows from lists of neighbours is not met again: tasks hand on an edge for two components, and the lists are
+    made once for all min_points of a sweep."""
+    keys, v = groups(5, 900)
+    rows, handed, lists = frame(spark, keys, v), [], []
+    met, near = hi.Blocks.met, hi.near_lists
+    monkeypatch.setattr(hi.Blocks, "met", lambda self, pairs, run, schema, extra=None: handed.append(hi.stored(met(self, pairs, run, schema, extra))) or handed[-1])
+    monkeypatch.setattr(hi, "near_lists", lambda *a: lists.append(1) or near(*a))
+    blocks = hi.Blocks(rows, "k", "v")
+    bounds = blocks.bounds()
+    found = hi.stored(hi.spanning_forest(blocks, bounds, hi.core_distances(blocks, bounds, 3)))
+    assert sorted(map(tuple, found.select("d", "a", "b").collect())) == plain_forest(keys, v, 3)
+    assert sum(h.count() for h in handed if "d" in h.columns) < len(keys) / 4
+    lists.clear()
+    hi.density_sweep(rows, "k", "v", [5], [2, 3])
+    assert len(lists) == 1
+
+
+@pytest.mark.parametrize("few", [1, 1024])
+def test_groups_of_copies_and_ties(spark, monkeypatch, few):
+    """Groups that fill their lists with themselves are joined by the rounds that meet blocks, few components or many."""
+    monkeypatch.setattr(hi, "FEW", few)
+    monkeypatch.setattr(hi, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([np.repeat(rng.integers(0, 3, (9, 3)).astype(float) * 7, 15, axis=0), rng.integers(0, 4, (40, 3)).astype(float)])
+    keys = [int(k) - 60 for k in rng.permutation(3 * len(v))[: len(v)]]
+    for points in (1, 2, 14):
+        found = hi.forest_of(frame(spark, keys, v), "k", "v", points)
+        assert sorted(map(tuple, found.select("d", "a", "b").collect())) == plain_forest(keys, v, points)
+
+
+@pytest.mark.parametrize("wide", [1 << 16, 7])
+def test_silhouette_by_blocks(spark, monkeypatch, wide):
+    """The evaluator's figure, without going through all clusters for each row."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(hi, "WIDE", wide)
+    keys, v = groups(7, 160)
+    rows = frame(spark, keys, v).select(F.col("k").alias("key"), (F.col("k") % 23).alias("cluster"), "v")
+    want = ClusteringEvaluator(featuresCol="f", predictionCol="c").evaluate(rows.select(F.col("cluster").cast("int").alias("c"), array_to_vector("v").alias("f")))
+    assert abs(hi.silhouette(rows, 23) - want) < 1e-9

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -19,13 +19,26 @@ from rostrum.sources.store import stored
 
 def fit(docs: DataFrame, text: str, k: int = 250, features: int = 1 << 12, seed: int = 42) -> PipelineModel:
     """A saved model transforms new texts with `transform`."""
-    return fit_tokens(stored(tokenized(docs, text).select("tokens"), "tokens"), k, features, seed)
+    return fit_tokens(stored(counted(tokenized(docs, text), features).select("tf"), "tokens"), k, features, seed)
 
 
 def fit_tokens(words: DataFrame, k: int = 250, features: int = 1 << 12, seed: int = 42) -> PipelineModel:
-    """The model of rows with `tokens`, which are read several times; a stored table saves taking texts apart each time."""
-    stages = [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"), KMeans(k=k, seed=seed, maxIter=10, featuresCol="features", predictionCol="topic_id")]
-    return Pipeline(stages=stages).fit(words)
+    """The model of rows with `tokens`, or those of `counted`, which are read several times: a stored table saves taking texts
+    apart and hashing tokens each time."""
+    rows = words if "tf" in words.columns else stored(counted(words, features).select("tf"), "counts")
+    weights = IDF(inputCol="tf", outputCol="tfidf").fit(rows)
+    unit = Normalizer(inputCol="tfidf", outputCol="features")
+    centres = KMeans(k=k, seed=seed, maxIter=10, featuresCol="features", predictionCol="topic_id").fit(unit.transform(weights.transform(rows)).select("features"))
+    return PipelineModel([_hashing(features), weights, unit, centres])
+
+
+def _hashing(features: int) -> HashingTF:
+    return HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features)
+
+
+def counted(words: DataFrame, features: int = 1 << 12) -> DataFrame:
+    """Adds tf, the hashed counts of `tokens`, to be stored with them."""
+    return _hashing(features).transform(words)
 
 
 def tokenized(docs: DataFrame, text: str) -> DataFrame:
@@ -37,9 +50,11 @@ def transform(model: PipelineModel, docs: DataFrame, text: str, min_size: int =
     return assigned(model, tokenized(docs, text), min_size)
 
 
-def assigned(model: PipelineModel, words: DataFrame, min_size: int = 3) -> DataFrame:
-    """`transform` of rows with `tokens`. They are assigned once and stored; sizes, a row for each topic, are sent along."""
-    rows = stored(model.transform(words).drop("tf", "tfidf"), "assigned")
+def assigned(model: PipelineModel, words: DataFrame, min_size: int = 3, kept: list[str] | None = None) -> DataFrame:
+    """`transform` of rows with `tokens`, or those of `counted` with the model's number of features. They are assigned once and
+    stored, with the columns `kept` or all; sizes, a row for each topic, are sent along."""
+    found = PipelineModel(model.stages[1:] if "tf" in words.columns else model.stages).transform(words).drop("tf", "tfidf")
+    rows = stored(found.select(*kept, "topic_id") if kept else found, "assigned")
     sizes = rows.groupBy("topic_id").agg(F.count("*").alias("__n"))
     return rows.join(F.broadcast(sizes), "topic_id").withColumn("topic_id", F.when(F.col("__n") >= min_size, F.col("topic_id")).otherwise(-1)).drop("__n")
 
@@ -55,8 +70,8 @@ def topic_words(rows: DataFrame, n: int = 10) -> DataFrame:
 
 def topics_of(docs: DataFrame, key: str, text: str, k: int = 250) -> DataFrame:
     """key, topic_id, name."""
-    words = stored(tokenized(docs.select(key, text), text).select(key, "tokens"), "tokens")
-    rows = assigned(fit_tokens(words, k), words)
+    words = stored(counted(tokenized(docs.select(key, text), text).select(key, "tokens")), "tokens")
+    rows = assigned(fit_tokens(words, k), words, kept=[key, "tokens"])
     return rows.select(key, "topic_id").join(F.broadcast(topic_words(rows).select("topic_id", "name")), "topic_id", "left")
 
 

@@ -108,8 +108,9 @@ def keyword_labels(keywords: DataFrame, topic: str = "topic_id", n: int = 5) ->
 
 
 def class_tf_idf(tokens: DataFrame, label: str) -> DataFrame:
-    """label, token, tf, score: tokens that set a class apart. tokens has a row for each (label, token) occurrence."""
-    tf = tokens.groupBy(label, "token").agg(F.count("*").alias("tf"))
+    """label, token, tf, score: tokens that set a class apart. tokens has a row for each (label, token) occurrence. They are counted once and stored,
+    since all sums are of the counts."""
+    tf = stored(tokens.groupBy(label, "token").agg(F.count("*").alias("tf")), "class-counts")
     per_class = tf.groupBy(label).agg(F.sum("tf").alias("words"))
     everywhere = tf.groupBy("token").agg(F.sum("tf").alias("freq"))
     mean = per_class.agg(F.avg("words").alias("mean_words"))

@@ -433,7 +433,7 @@ def m2_representatives(spark, d):
     """A model that was saved and loaded names the three documents nearest to each topic's middle."""
     from rostrum.operators import topic_model
 
-    words = stored(topic_model.tokenized(table(spark, d, "documents"), "text").select("doc_id", "tokens"), "tokens")
+    words = stored(topic_model.counted(topic_model.tokenized(table(spark, d, "documents"), "text").select("doc_id", "tokens"), 1 << 10), "tokens")
     model = topic_model.saved(topic_model.fit_tokens(words, 8, 1 << 10), fresh_path(spark, "topic-model"))
     return topic_model.representatives(topic_model.assigned(model, words), "doc_id")
 

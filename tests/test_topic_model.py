@@ -35,3 +35,22 @@ def test_rows_do_not_travel_to_their_topic(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["topic_id"] for r in got} == {r["topic_id"] for r in rows.where("topic_id >= 0").select("topic_id").distinct().collect()}
     assert rows.agg(F.count("*")).first()[0] == 62 and {r["rank"] for r in got} == {1, 2, 3}
+
+
+def test_tokens_are_hashed_once(spark, monkeypatch):
+    """The fit and the assignment read stored counts, and what topics need is stored, not the features."""
+    hashed, kept = [], []
+    transform, stored = tm.HashingTF._transform, tm.stored
+    monkeypatch.setattr(tm.HashingTF, "_transform", lambda self, rows: hashed.append(1) or transform(self, rows))
+    monkeypatch.setattr(tm, "stored", lambda df, *a: kept.append(df.columns) or stored(df, *a))
+    found = tm.topics_of(texts(spark), "doc_id", "text", 3)
+    assert len(hashed) == 1 and kept == [["doc_id", "tokens", "tf"], ["doc_id", "tokens", "topic_id"]]
+    own = {r["doc_id"]: (r["topic_id"], r["name"]) for r in found.collect()}
+    docs = texts(spark)
+    again = tm.transform(tm.fit(docs, "text", 3), docs, "text")
+    assert {k: t for k, (t, _) in own.items()} == {r["doc_id"]: r["topic_id"] for r in again.collect()}
+
+
+def test_class_words_are_counted_once(spark):
+    rows = texts(spark).select("doc_id", F.explode(F.split("text", " ")).alias("token"))
+    assert "Generate" not in plan(tm.class_tf_idf(rows, "doc_id"))

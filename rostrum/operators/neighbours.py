@@ -23,6 +23,8 @@ from rostrum.sources.store import scratch, stored
 RUN, QUERIES, BLOCK = 512, 1 << 16, 1 << 16
 #: Random directions that order the points at first; the most rounds of descent, and the share of changed edges that ends it.
 DIRECTIONS, ROUNDS, SETTLED = 3, 12, 0.001
+#: Edges of a part of the walk, both ways (about), parts at least for graphs of some size, and edges for which one more is made.
+LINKS, PARTS, LEAST = 1 << 21, 4, 4096
 #: Similarities are compared to so many decimals, so that the order of additions decides nothing.
 DECIMALS = 12
 EDGES = "key long, other long, sim double"
@@ -161,14 +163,19 @@ def _descended(points: DataFrame, pool: int) -> DataFrame:
 
 def exact_neighbours(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """key, other, sim, rank: the k nearest points (key, v) of each query (key, v), a row of its own key left out; of equals
-    the lesser key. Blocks of queries meet blocks of points, and only a query's best of a block travel on."""
-    points, queries = stored(points.withColumn("size", F.size("v")), "points"), stored(queries.withColumn("size", F.size("v")), "queries")
+    the lesser key. Blocks of queries meet blocks of points, and only a query's best of a block travel on. Where all points
+    are queries, a task has two blocks and looks both ways, so that a point travels once for each block."""
+    every = queries is points
+    points = stored(points.withColumn("size", F.size("v")), "points")
+    queries = points if every else stored(queries.withColumn("size", F.size("v")), "queries")
     found = lambda rows: dict(rows.groupBy("size").count().collect())  # a row for each length of vectors
     p, q = found(points), found(queries)
-    sizes = points.sparkSession.createDataFrame([(n, nearest.parts(p[n], BLOCK), nearest.parts(q[n], QUERIES)) for n in p if n in q], "size int, p long, q long")
+    sizes = points.sparkSession.createDataFrame([(n, nearest.parts(p[n], BLOCK), nearest.parts(q[n], BLOCK if every else QUERIES)) for n in p if n in q], "size int, p long, q long")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     columns = ["size", "pb", "qb", "asks", "key", "v"]
+    two = points.join(F.broadcast(sizes), "size").withColumn("own", mine("p")).withColumn("to", upto("p"))
+    two = two.withColumn("pb", F.least("own", "to")).withColumn("qb", F.greatest("own", "to")).withColumn("asks", F.col("own") == F.col("qb")).select(*columns)
     base = points.join(F.broadcast(sizes), "size").withColumn("pb", mine("p")).withColumn("qb", upto("q")).withColumn("asks", F.lit(False)).select(*columns)
     asks = queries.join(F.broadcast(sizes), "size").withColumn("qb", mine("q")).withColumn("pb", upto("p")).withColumn("asks", F.lit(True)).select(*columns)
 
@@ -176,11 +183,12 @@ def exact_neighbours(points: DataFrame, queries: DataFrame, k: int = 10) -> Data
         asks = table.column("asks").to_numpy()
         keys, v = table.column("key").to_numpy(), _matrix(table.column("v"))
         cost = lambda a, b: -np.round((a * b).sum(axis=1), DECIMALS)
-        found = [(key, other, -far) for key, other, far in nearest.nearest(keys[asks], v[asks], keys[~asks], v[~asks], k, cost, False, False)]
+        ways = [(asks, ~asks)] if not every else [(asks, asks)] if table.column("pb")[0] == table.column("qb")[0] else [(asks, ~asks), (~asks, asks)]
+        found = [(key, other, -far) for a, b in ways for key, other, far in nearest.nearest(keys[a], v[a], keys[b], v[b], k, cost, False, False)]
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return _table([np.concatenate(x) for x in zip(none, *found, strict=True)])
 
-    near = base.unionByName(asks).groupBy("size", "pb", "qb").applyInArrow(run, EDGES)
+    near = (two if every else base.unionByName(asks)).groupBy("size", "pb", "qb").applyInArrow(run, EDGES)
     order = W.partitionBy("key").orderBy(F.col("sim").desc(), "other")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -191,14 +199,123 @@ def recall(graph: DataFrame, exact: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("pairs"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
-def _products(columns: list[str]):
-    """at, s: sums of products of all pairs of columns over a task's rows, by place in the square."""
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    return np.ascontiguousarray(x, kind).tobytes()
+
+
+def _columns(body: bytes, points: int) -> np.ndarray:
+    return np.frombuffer(body, np.float64).reshape(points, -1)
+
+
+ROUTES, SENT = pa.list_(pa.struct([("to", pa.int32()), ("places", pa.binary())])), pa.schema([("part", pa.int32()), ("frm", pa.int32()), ("body", pa.binary())])
+STATE = pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.int64())), ("routes", ROUTES), ("body", pa.binary())])
+SENT_SQL, STATE_SQL = "part int, frm int, body binary", "part int, keys array<long>, routes array<struct<to:int,places:binary>>, body binary"
+
+
+class Walk:
+    """The lazy random walk over a graph (key, other, sim > 0), scaled by the roots of degrees. Points are dealt into parts. The
+    edges of a part stay where they are, persisted by part (until `close`) and made anew from a stored table if lost; a
+    step moves values only, each once to every other part that needs it, not along every edge.
+
+    A row of a state is a part: its keys in order, which of its points other parts need, and the points' columns, packed;
+    the first is the root of the degree."""
+
+    def __init__(self, pairs: DataFrame):
+        edges = pairs.count()
+        parts = max(-(-2 * edges // LINKS), min(PARTS, -(-edges // LEAST)), 1)
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias
+        ways = pairs.unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "sim"))
+
+        def gathered(table: pa.Table) -> pa.Table:
+            """A part's points and edges; needs: the points of each part at the other ends; src: an end's place among all these."""
+            key, other, w, to = (table.column(c).to_numpy() for c in ("key", "other", "sim", "to"))
+            order = np.lexsort((-w, other, key))  # of both directions the greater similarity
+            order = order[np.r_[True, (np.diff(key[order]) != 0) | (np.diff(other[order]) != 0)]]
+            key, other, w, to = (x[order] for x in (key, other, w, to))
+            keys, starts = np.unique(key, return_index=True)
+            own, needs, src, at = table.column("part")[0].as_py(), [], np.zeros(len(key), np.int32), 0
+            for part in np.union1d(to, [own]).tolist():
+                here = to == part
+                names = keys if part == own else np.unique(other[here])
+                src[here] = at + np.searchsorted(names, other[here])
+                needs.append({"to": part, "places": _packed(names, np.int64)})
+                at += len(names)
+            packed = {"root": _packed(np.sqrt(np.add.reduceat(w, starts)), np.float64), "starts": _packed(starts, np.int64), "src": _packed(src, np.int32), "w": _packed(w, np.float64)}
+            return pa.table({"part": pa.array([own], pa.int32()), "keys": [keys], **{c: pa.array([x], pa.binary()) for c, x in packed.items()}, "needs": pa.array([needs], ROUTES), "total": [float(w.sum())]})
+
+        def routed(own: pa.Table, asked: pa.Table) -> pa.Table:
+            keys = own.column("keys").combine_chunks().flatten().to_numpy()
+            found = [{"to": r["part"], "places": _packed(np.searchsorted(keys, np.frombuffer(r["places"], np.int64)), np.int32)} for r in asked.to_pylist()]
+            return pa.table({"part": own.column("part"), "routes": pa.array([sorted(found, key=lambda r: r["to"])], ROUTES)})
+
+        schema = "part int, keys array<long>, root binary, starts binary, src binary, w binary, needs array<struct<to:int,places:binary>>, total double"
+        rows = stored(ways.select(of("key")("part"), of("other")("to"), "key", "other", "sim").groupBy("part").applyInArrow(gathered, schema), "walk")
+        asked = rows.select("part", F.explode("needs").alias("need")).select("part", "need.*")
+        routes = rows.select("part", "keys").groupBy("part").cogroup(asked.groupBy("to")).applyInArrow(routed, "part int, routes array<struct<to:int,places:binary>>")
+        whole = stored(rows.drop("needs").join(routes, "part"), "walk")
+        self.total = whole.agg(F.sum("total")).first()[0]
+        self.start = whole.select("part", "keys", "routes", "root")
+        self.edges = whole.drop("total").repartition(parts, "part").persist()
+
+    def close(self) -> None:
+        self.edges.unpersist()
+
+    def begun(self, columns: list[Column], zeros: int) -> DataFrame:
+        """The state with root, zeros and given columns (arrays over the points)."""
+        names = [f"_{i}" for i in range(len(columns))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, row in enumerate(batch.select(["part", "keys", "routes", "root"]).to_pylist()):
+                    drawn = [batch.column(c)[i].values.to_numpy() for c in names]
+                    body = np.column_stack([np.frombuffer(row["root"], np.float64), np.zeros((len(row["keys"]), zeros)), *drawn])
+                    yield pa.RecordBatch.from_pylist([{**row, "body": _packed(body, np.float64)}], STATE)
+
+        return stored(self.start.select("*", *[c.alias(n) for c, n in zip(columns, names, strict=True)]).mapInArrow(run, STATE_SQL), "columns")
+
+    def moved(self, state: DataFrame, weights: np.ndarray, q: int, steps: int) -> DataFrame:
+        """The state with columns mixed by weights, then the images of the last q by one, two, ... steps."""
+
+        def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from sent(row, _columns(row["body"], len(row["keys"])) @ weights)
+
+        def sent(row: dict, columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Its own columns to the part itself, the last q of those points that another part needs to that part."""
+            for r in row["routes"]:
+                body = columns if r["to"] == row["part"] else (columns[:, -q:] / columns[:, :1])[np.frombuffer(r["places"], np.int32)]
+                yield pa.RecordBatch.from_pylist([{"part": r["to"], "frm": row["part"], "body": _packed(body, np.float64)}], SENT)
+
+        def stepped(last: bool):
+            def run(own: pa.Table, came: pa.Table) -> pa.Table:
+                (row,) = own.to_pylist()
+                bodies = {r["frm"]: r["body"] for r in came.to_pylist()}
+                w, src, starts, root = (np.frombuffer(row[c], t) for c, t in (("w", np.float64), ("src", np.int32), ("starts", np.int64), ("root", np.float64)))
+                mine = _columns(bodies[row["part"]], len(root))
+                x = np.concatenate([mine[:, -q:] / root[:, None] if frm == row["part"] else np.frombuffer(bodies[frm], np.float64).reshape(-1, q) for frm in sorted(bodies)])
+                near = np.column_stack([np.add.reduceat(w * x[src, i], starts) for i in range(q)]) / root[:, None]
+                columns = np.hstack([mine, (mine[:, -q:] + near) / 2])
+                return pa.Table.from_pylist([{**row, "body": _packed(columns, np.float64)}], STATE) if last else pa.Table.from_batches(list(sent(row, columns)))
+
+            return run
+
+        rows = state.mapInArrow(mixed, SENT_SQL)
+        for step in range(steps):
+            last = step + 1 == steps
+            rows = self.edges.groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(stepped(last), STATE_SQL if last else SENT_SQL)
+        return stored(rows, "columns")
+
+
+def _products(width: int):
+    """at, s: sums of products of all pairs of columns over a task's points, by place in the square."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(columns), len(columns)))
+        sums = np.zeros((width, width))
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            sums += x @ x.T
+            for body in batch.column("body"):
+                x = np.frombuffer(body.as_buffer(), np.float64).reshape(-1, width)
+                sums += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["at", "s"])
 
     return run
@@ -227,56 +344,52 @@ def spectral_layout(graph: DataFrame, dims: int = 2, tolerance: float = 1e-3, ro
     graph without a link come apart; points without a positive weight stay at the origin. Each coordinate's mean square,
     by degree, is 1 (0 if the graph has too few points for it), and its farthest point is on the positive side."""
     q = dims + 2
-    pairs = graph.where("sim > 0").select("key", "other", "sim")
-    edges = stored(pairs.unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "sim")).groupBy("key", "other").agg(F.max("sim").alias("w")), "weights")
-    degree = stored(edges.groupBy("key").agg(F.sum("w").alias("d")), "degrees")
-    to = degree.select(F.col("key").alias("other"), F.col("d").alias("e"))
-    walk = stored(edges.join(degree, "key").join(to, "other").select("key", "other", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("c")), "walk")
     nodes = graph.select("key").union(graph.select("other")).distinct()
-    total = degree.agg(F.sum("d")).first()[0]
-    if not total:
-        return nodes.select("key", F.array([F.lit(0.0)] * dims).alias("place")), []
-    # p: the last step, m: its image; x: the vectors so far, then their images by one, two and three steps of the walk.
-    names = {c: [f"{c}{i}" for i in range(q)] for c in ("p", "m", "x", "y", "z", "w")}
-    root = F.sqrt("d")
-
-    def multiplied(rows: DataFrame, a: str, b: str) -> DataFrame:
-        """Columns b: half the columns a, half what the neighbours send."""
-        both = list(zip(names[a], names[b], strict=True))
-        sent = walk.join(rows.select(F.col("key").alias("other"), *names[a]), "other").groupBy("key").agg(*[F.sum(F.col("c") * F.col(x)).alias(y) for x, y in both])
-        return rows.join(sent, "key").select(*[rows[c] for c in rows.columns], *[((F.col(x) + F.col(y)) / 2).alias(y) for x, y in both])
-
-    def mixed(columns: list[str], weights: np.ndarray, out: list[str]) -> list[Column]:
-        return [sum((F.col(c) * float(t) for c, t in zip(columns, weights[:, i], strict=True)), F.lit(0.0)).alias(o) for i, o in enumerate(out)]
-
-    def products(rows: DataFrame, columns: list[str]) -> np.ndarray:
-        found = rows.select(*columns).mapInArrow(_products(columns), "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
-        return np.array([s for _, s in sorted(map(tuple, found))]).reshape(len(columns), -1)
-
-    start = [(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(2_000_001)) / 1e6 - 1).alias(x) for i, x in enumerate(names["x"])]
-    now = stored(degree.select("key", "d", root.alias("root"), *start, *[F.lit(0.0).alias(c) for c in names["p"] + names["m"]]), "columns")
-    off = products(now, ["root", *names["x"]])[0, 1:] / total
-    now = now.select("key", "d", "root", *[(F.col(x) - F.col("root") * float(o)).alias(x) for x, o in zip(names["x"], off, strict=True)], *names["p"], *names["m"])
-    for _ in range(rounds):
-        rows = stored(multiplied(multiplied(multiplied(now, "x", "y"), "y", "z"), "z", "w"), "columns")
-        every = ["root", *names["p"], *names["m"], *names["x"], *names["y"], *names["z"], *names["w"]]
-        sums, at = products(rows, every), lambda *cs: [every.index(n) for c in cs for n in names[c]]
+    walk = Walk(graph.where("sim > 0").select("key", "other", "sim"))
+    try:
+        if not walk.total:
+            return nodes.select("key", F.array([F.lit(0.0)] * dims).alias("place")), []
+        # p: the last step, m: its image; x: the vectors so far, then their images by one, two and three steps of the walk.
+        every = ["root", *[c for c in "pmxyzw" for _ in range(q)]]
+        at = lambda *cs: [i for c in cs for i, n in enumerate(every) if n == c]
         basis, image = at("p", "x", "y", "z"), at("m", "y", "z", "w")
-        values, turn = _ritz(sums[np.ix_(basis, basis)], sums[np.ix_(basis, image)], q)
-        left = np.einsum("ij,ik,kj->j", turn, sums[np.ix_(image, image)], turn) - values**2
-        step = np.vstack([turn[:q], np.zeros((q, q)), turn[2 * q :]])
-        off = (sums[0, basis] @ turn) / total  # what rounding adds of the trivial vector
-        columns, images = [every[i] for i in basis], [every[i] for i in image]
-        x = [(c - F.col("root") * float(o)).alias(n) for c, o, n in zip(mixed(columns, turn, names["x"]), off, names["x"], strict=True)]
-        now = rows.select("key", "d", "root", *x, *mixed(columns, step, names["p"]), *mixed(images, step, names["m"]))
-        if np.sqrt(np.maximum(left[:dims], 0)).max(initial=0) <= tolerance:
-            break
-    xs = names["x"][:dims]
-    places = stored(now.select("key", "d", *[(F.col(x) / F.col("root")).alias(x) for x in xs]), "places")
-    ends = places.agg(*[F.max_by(x, F.struct(F.abs(x), "key")).alias(x) for x in xs], *[F.sqrt(F.sum(F.col("d") * F.col(x) * F.col(x)) / total).alias(f"s{x}") for x in xs]).first()
+
+        def products(state: DataFrame, width: int) -> np.ndarray:
+            found = state.select("body").mapInArrow(_products(width), "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
+            return np.array([s for _, s in sorted(map(tuple, found))]).reshape(width, width)
+
+        drawn = lambda i: F.transform("keys", lambda k: F.pmod(F.xxhash64(k, F.lit(i)), F.lit(2_000_001)) / 1e6 - 1)
+        state = walk.begun([drawn(i) for i in range(q)], 2 * q)
+        weights = np.eye(1 + 3 * q)
+        weights[0, at("x")] = -products(state, 1 + 3 * q)[0, at("x")] / walk.total
+        for _ in range(rounds):
+            state = walk.moved(state, weights, q, 3)
+            sums = products(state, len(every))
+            values, turn = _ritz(sums[np.ix_(basis, basis)], sums[np.ix_(basis, image)], q)
+            left = np.einsum("ij,ik,kj->j", turn, sums[np.ix_(image, image)], turn) - values**2
+            weights = np.zeros((len(every), 1 + 3 * q))
+            weights[0, 0] = 1
+            weights[np.ix_(basis, at("x"))] = turn
+            weights[0, at("x")] = -(sums[0, basis] @ turn) / walk.total  # what rounding adds of the trivial vector
+            step = np.vstack([turn[:q], np.zeros((q, q)), turn[2 * q :]])
+            weights[np.ix_(basis, at("p"))], weights[np.ix_(image, at("m"))] = step, step
+            if np.sqrt(np.maximum(left[:dims], 0)).max(initial=0) <= tolerance:
+                break
+    finally:
+        walk.close()
+    xs = [f"x{i}" for i in range(dims)]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, body in zip(batch.column("keys"), batch.column("body"), strict=True):
+                x = _columns(body.as_buffer(), len(keys)) @ weights
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(x[:, 0] ** 2), *[pa.array(x[:, 1 + 2 * q + i] / x[:, 0]) for i in range(dims)]], ["key", "d", *xs])
+
+    places = stored(state.mapInArrow(placed, ", ".join(["key long", "d double", *[f"{x} double" for x in xs]])), "places")
+    ends = places.agg(*[F.max_by(x, F.struct(F.abs(x), "key")).alias(x) for x in xs], *[F.sqrt(F.sum(F.col("d") * F.col(x) * F.col(x)) / walk.total).alias(f"s{x}") for x in xs]).first()
     unit = [F.col(x) * (float(np.sign(ends[x])) / ends[f"s{x}"] if ends[f"s{x}"] > 1e-9 else 0.0) for x in xs]
-    placed = nodes.join(places.select("key", F.array(*unit).alias("place")), "key", "left")
-    return placed.select("key", F.coalesce("place", F.array([F.lit(0.0)] * dims)).alias("place")), values[:dims].tolist()
+    found = nodes.join(places.select("key", F.array(*unit).alias("place")), "key", "left")
+    return found.select("key", F.coalesce("place", F.array([F.lit(0.0)] * dims)).alias("place")), values[:dims].tolist()
 
 
 def neighbour_layout(points: DataFrame, key: str, vector: str, k: int = 10, dims: int = 2) -> DataFrame:

@@ -116,3 +116,42 @@ def test_descent_with_a_pool(spark):
     points = nb.stored(nb.distinct_points(nb.valid(frame(spark, v), "k", "v")))
     got = {(r["key"], r["other"]) for r in nb.neighbour_graph(points, 5, 15).collect()}
     assert len(got & set(nearest(v, 5))) >= 0.9 * len(set(nearest(v, 5)))
+
+
+def shuffled(spark, job) -> int:
+    """Bytes that a job's stages write to shuffles."""
+    store, array = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    listed = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, array, None)
+    before = listed()
+    job()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, array, None)
+    return sum(n for stage, n in listed().items() if stage not in before)
+
+
+def test_rounds_move_values_not_edges(spark):
+    """A round's shuffles have a point's values, once for each other part, however many edges it has."""
+    rng = np.random.default_rng(11)
+    bytes_of = {}
+    for k in (10, 60):
+        edges = [(i, int(j), float(s)) for i in range(3000) for j, s in zip(rng.choice(3000, k, replace=False), rng.random(k), strict=True) if i != j]
+        graph = nb.stored(spark.createDataFrame(edges, "key long, other long, sim double"))
+        runs = [shuffled(spark, lambda r=r, graph=graph: nb.spectral_layout(graph, 2, 0.0, r)) for r in (1, 3)]
+        bytes_of[k] = (runs[1] - runs[0]) / 2 / 3000
+    assert bytes_of[60] < 1.5 * bytes_of[10] < 1500
+
+
+@pytest.mark.parametrize("block", [50, 1 << 16])
+def test_all_points_look_both_ways(spark, monkeypatch, block):
+    """All points as their own queries: the same lists as by queries of another table, and a point travels once for each block."""
+    monkeypatch.setattr(nb, "BLOCK", block)
+    monkeypatch.setattr(nb, "QUERIES", block)
+    v = groups(12, 2600)
+    points = nb.stored(nb.distinct_points(nb.valid(frame(spark, v), "k", "v")))
+    found, moved = {}, {}
+    for name, queries in (("same", points), ("other", points.select("*"))):
+        moved[name] = shuffled(spark, lambda name=name, queries=queries: found.update({name: sorted(map(tuple, nb.exact_neighbours(points, queries, 4).select("key", "other", "rank").collect()))}))
+    assert found["same"] == found["other"] and {(a, b) for a, b, _ in found["same"]} == set(nearest(v, 4))
+    assert moved["same"] < 0.75 * moved["other"]

@@ -130,7 +130,7 @@ def _met(table: pa.Table, cuts: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
 def neighbour_graph(points: DataFrame, k: int = 10, pool: int | None = None) -> DataFrame:
     """key, other, sim, rank: the k nearest points by cosine of each point (`distinct_points`), of equals the lesser key.
 
-    Without a pool they are exact: blocks of points meet all blocks, so a point travels twice per block and not with every
+    Without a pool they are exact: blocks of points meet all blocks, so a point travels once per block and not with every
     list it is in. With one they are (nearly) the nearest, by descent: runs along random directions give a first graph; in
     each round a point's neighbours, at most as many of those that it is a neighbour of, and itself are compared with each
     other, and everyone keeps its best `pool`, until fewer than SETTLED of the edges change. That saves comparisons on
